@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import exact_dedup, mixing, ngram_join, pii, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,50 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+    found = (op1_ngram_jaccard_join, op2_source_mixing, op5_toxicity, op6_url_filter, op8_exact_dedup, op9_pii)
+    return {f.__name__: f for f in found}
+
+
+UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
+
+OP8 = f"""SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)"""
+
+OP2 = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, coalesce('s' || source, '') AS key FROM documents),
+s AS (SELECT source, key, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS i FROM d GROUP BY source, key),
+w AS (SELECT *, CASE i WHEN 0 THEN {mixing.WEIGHTS[0]} WHEN 1 THEN {mixing.WEIGHTS[1]} ELSE {mixing.WEIGHTS[2]} END AS w, source_size * {mixing.MOST_COPIES} AS cap FROM s),
+o AS (SELECT *, coalesce(sum(cap) OVER p, 0) AS cap_before, sum(w) OVER () - coalesce(sum(w) OVER p, 0) AS w_left, sum(source_size) OVER () AS total FROM w WINDOW p AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (total - cap_before)::DOUBLE / w_left AS level FROM o),
+f AS (SELECT *, level * w >= cap AS stops FROM l),
+t AS (SELECT key, source_size, CASE WHEN stops THEN cap::DOUBLE ELSE (SELECT arg_min(level, cap / w) FROM f WHERE NOT stops) * w END AS target FROM f),
+r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+  row_number() OVER (PARTITION BY key ORDER BY size, coalesce(doc_id % {mixing.SLOTS}, -1), doc_id) AS place,
+  ('0x' || substr(md5('{mixing.SEED}:' || key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d JOIN t USING (key)),
+c AS (SELECT *, least(floor(place * rate + u) - floor((place - 1) * rate + u), {mixing.MOST_COPIES})::BIGINT AS copies FROM r)
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_source_mixing": OP2, "op6_url_filter": url_filter.oracle(), "op8_exact_dedup": OP8}
