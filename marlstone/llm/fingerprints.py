@@ -3,7 +3,7 @@
 Each window of WINDOW bytes has an entropy; the further from what is usual in prose, the rarer, and the rarest
 window of SPAN successive ones, leftmost in ties, gains a vote. Windows with VOTES or more are features.
 A text too short
-for SPAN windows has every eighth window as a feature. They go in order into filters of BITS bits, PER_FILTER to a filter. Likeness is the overlap of bits beyond
+for SPAN windows has every fourth piece of 8 bytes as a feature. They go in order into filters of BITS bits, PER_FILTER to a filter. Likeness is the overlap of bits beyond
 chance as a share of the most there can be, each filter of the shorter digest against its best match.
 Entropies are sums of integers, so that equal bytes give equal fingerprints wherever they stand.
 """
@@ -21,6 +21,7 @@ from .common import coefficients, mix64, row_slices, shuffle_partitions, text_bu
 
 WINDOW, SPAN, VOTES = 32, 64, 16
 USUAL_ENTROPY, LEAST_ENTROPY = 3.9, 1.5
+SHORT = WINDOW + SPAN - 1
 BITS, HASHES, PER_FILTER = 2048, 5, 128
 _UNIT = 1 << 16
 
@@ -52,7 +53,7 @@ def rarity(buf: np.ndarray) -> np.ndarray:
 
 
 def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and 64-bit hash of each feature, in order. A shorter text than a window is its own feature."""
+    """Row and 64-bit hash of each feature, in order."""
     lengths = np.diff(offsets)
     rows, hashes = [], []
     if len(buf) >= WINDOW:
@@ -71,17 +72,18 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             whole = np.arange(len(least)) + SPAN + WINDOW - 1 <= ends[: len(least)]
             chosen = least[whole & (least < big)] & np.int64(0xFFFFFFFF)
             votes = np.bincount(chosen, minlength=n)
-        short = np.flatnonzero((lengths >= WINDOW) & (lengths < WINDOW + SPAN - 1))
-        for r in short:  # too short for a choice: windows at even steps
-            votes[offsets[r] : offsets[r + 1] - WINDOW + 1 : 8] = VOTES
         at = np.flatnonzero(votes >= VOTES)
         window = buf[at[:, None] + np.arange(WINDOW)].reshape(len(at), WINDOW).view(np.uint64)
         with np.errstate(over="ignore"):
             hashes.append(mix64((mix64(window) * (coefficients(64)[: WINDOW // 8] | np.uint64(1))).sum(axis=1, dtype=np.uint64)))
         rows.append(np.searchsorted(offsets, at, side="right") - 1)
-    tiny = np.flatnonzero((lengths > 0) & (lengths < WINDOW))
-    rows.append(tiny)
-    hashes.append(np.array([int.from_bytes(hashlib.blake2b(buf[offsets[r] : offsets[r + 1]].tobytes(), digest_size=8).digest(), "little") for r in tiny], np.uint64))
+    for r in np.flatnonzero((lengths > 0) & (lengths < SHORT)):  # too short for a choice
+        text = buf[offsets[r] : offsets[r + 1]].tobytes()
+        pieces = [text[i : i + 8] for i in range(0, max(1, len(text) - 7), 4)]
+        rows.append(np.full(len(pieces), r))
+        hashes.append(np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in pieces], np.uint64))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     row, h = np.concatenate(rows), np.concatenate(hashes)
     order = np.argsort(row, kind="stable")
     return row[order], h[order]
