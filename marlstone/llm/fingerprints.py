@@ -3,7 +3,7 @@
 Each window of WINDOW bytes has an entropy; the further from what is usual in prose, the rarer, and the rarest
 window of SPAN successive ones, leftmost in ties, gains a vote. Windows with VOTES or more are features.
 A text too short
-for SPAN windows has every fourth piece of 8 bytes as a feature. They go in order into filters of BITS bits, PER_FILTER to a filter. Likeness is the overlap of bits beyond
+or too even for that has its distinct pieces of 8 bytes, from every fourth byte, as features. They go in order into filters of BITS bits, PER_FILTER to a filter. Likeness is the overlap of bits beyond
 chance as a share of the most there can be, each filter of the shorter digest against its best match.
 Entropies are sums of integers, so that equal bytes give equal fingerprints wherever they stand.
 """
@@ -21,7 +21,6 @@ from .common import coefficients, mix64, row_slices, shuffle_partitions, text_bu
 
 WINDOW, SPAN, VOTES = 32, 64, 16
 USUAL_ENTROPY, LEAST_ENTROPY = 3.9, 1.5
-SHORT = WINDOW + SPAN - 1
 BITS, HASHES, PER_FILTER = 2048, 5, 128
 _UNIT = 1 << 16
 
@@ -77,9 +76,11 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         with np.errstate(over="ignore"):
             hashes.append(mix64((mix64(window) * (coefficients(64)[: WINDOW // 8] | np.uint64(1))).sum(axis=1, dtype=np.uint64)))
         rows.append(np.searchsorted(offsets, at, side="right") - 1)
-    for r in np.flatnonzero((lengths > 0) & (lengths < SHORT)):  # too short for a choice
+    has = np.zeros(len(lengths), bool)
+    has[np.concatenate(rows).astype(np.int64) if rows else []] = True
+    for r in np.flatnonzero((lengths > 0) & ~has):  # too short or too even for a choice
         text = buf[offsets[r] : offsets[r + 1]].tobytes()
-        pieces = [text[i : i + 8] for i in range(0, max(1, len(text) - 7), 4)]
+        pieces = sorted({text[i : i + 8] for i in range(0, max(1, len(text) - 7), 4)})
         rows.append(np.full(len(pieces), r))
         hashes.append(np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in pieces], np.uint64))
     if not rows:
