@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, langid, mixing, ngram_join, pii, toxicity, url_filter
+from . import exact_dedup, fingerprints, langid, license_scan, mixing, ngram_join, pii, spiece, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,8 +49,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.encoded(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard_join, op2_source_mixing, op3_language_id, op5_toxicity, op6_url_filter, op7_fingerprints, op8_exact_dedup, op9_pii)
+    found = (op1_ngram_jaccard_join, op2_source_mixing, op3_language_id, op4_license_scan, op5_toxicity, op6_url_filter, op7_fingerprints, op8_exact_dedup, op9_pii, op10_sentencepiece)
     return {f.__name__: f for f in found}
 
 
