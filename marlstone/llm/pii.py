@@ -112,8 +112,8 @@ def found(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, near: DataFrame, alpha: float, support: int) -> DataFrame:
     """kind, term of the terms that give a kind away; near has kind, term of each word near a span."""
-    per_kind = near.groupBy("kind", "term").agg(F.count("*").alias("near"))
-    terms = written(per_kind)
+    per_kind = written(near.groupBy("kind", "term").agg(F.count("*").alias("near")))
+    terms = per_kind.where(F.col("near") >= support)
     slot = F.pmod("term", F.lit(1 << FILTER_BITS))
     rows = terms.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("bits")).collect()
     flags = np.zeros(1 << (FILTER_BITS - 6), np.int64)  # of fixed size: full, it lets all words through
@@ -134,11 +134,11 @@ def disclosing(docs: DataFrame, near: DataFrame, alpha: float, support: int) ->
 
     totals = written(map_batches(docs.select("text"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("total")))
     words = (totals.where("term is null").first() or {"total": 0})["total"] or 0
-    kinds = terms.groupBy("kind").agg(F.sum("near").alias("kind_near")).collect()  # one row a kind
+    kinds = per_kind.groupBy("kind").agg(F.sum("near").alias("kind_near")).collect()  # one row a kind
     of_kind = F.lit(None).cast("double")
     for r in kinds:
         of_kind = F.when(F.col("kind") == r["kind"], F.lit(float(r["kind_near"]))).otherwise(of_kind)
-    scored = terms.where(F.col("near") >= support).join(totals, "term").withColumn("of_kind", of_kind)
+    scored = terms.join(totals, "term").withColumn("of_kind", of_kind)
     information = F.log2(F.lit(float(max(words, 1))) / F.col("of_kind"))
     pmi = F.log2(F.col("near") * F.lit(float(max(words, 1))) / (F.col("total") * F.col("of_kind")))
     return scored.where(pmi >= alpha * information).select("kind", "term")
