@@ -176,7 +176,7 @@ def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 late = flags[(x & np.uint64((1 << _HOT_BITS) - 1)).astype(np.int64)]
                 if late.any():
                     at = np.flatnonzero(late)
-                    late[at] = np.isin(x[at], top, kind="sort")
+                    late[at] = top[np.minimum(np.searchsorted(top, x[at]), len(top) - 1)] == x[at]
                     x_ordered = np.concatenate([x[~late], x[late]])
                 else:
                     x_ordered = x
