@@ -29,7 +29,7 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     """path, mtime, content of the wanted files below root. Listing and reading are distributed; unreadable files are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
     path = plain_path(F.col("path"))
-    return raw.where(wanted(path, root)).select(path.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return raw.where(wanted(path, root)).select(path.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
 
 
 def path_aliases(spark: SparkSession, root: str) -> PathAliases:

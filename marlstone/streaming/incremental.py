@@ -15,7 +15,7 @@ def arriving_files(spark: SparkSession, root: str, per_batch: int = 1000) -> Dat
     """path, mtime, content of files as they appear below root."""
     raw = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch).load(root)
     path = plain_path(F.col("path"))
-    return raw.where(wanted(path, root)).select(path.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return raw.where(wanted(path, root)).select(path.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
 
 
 def index_stream(project, checkpoint: str, available_now: bool = True) -> StreamingQuery:
