@@ -65,7 +65,8 @@ def host_scores(pages: DataFrame, rules) -> DataFrame:
         out = both.groupBy("kind", "a").agg(F.sum("w").alias("total"))
         both = written(both.join(out, ["kind", "a"]))
         for turn in range(ROUNDS):
-            sent = scores.join(both, (scores.kind == both.kind) & (scores.host == both.a)).select(both.kind, F.col("b").alias("host"), F.expr(f"mass * w * {DAMPING_PERCENT} div (total * 100)").alias("mass"))
+            held = scores.select("kind", F.col("host").alias("a"), "mass")
+            sent = held.join(both, ["kind", "a"]).select("kind", F.col("b").alias("host"), F.expr(f"mass * w * {DAMPING_PERCENT} div (total * 100)").alias("mass"))
             scores = seeds.union(sent).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
             if turn % 4 == 3:
                 scores = written(scores)
