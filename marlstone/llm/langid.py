@@ -48,8 +48,13 @@ class Network:
         self.w |= {"v": rng.normal(0, 0.3, (2 * h, c)), "c": np.zeros(c)}
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def states(self, x: np.ndarray, d: str, keep: bool = False):
-        """x: (steps, rows) bytes. Hidden states (steps, rows, hidden); with keep, what backpropagation needs."""
+    def states(self, x: np.ndarray, d: str, keep: bool = False, active: np.ndarray | None = None):
+        """x: (steps, rows) bytes. Hidden states (steps, rows, hidden); with keep, what backpropagation needs.
+
+        active: how many of the first rows have a byte at each step; the others keep a state of zeros.
+        """
+        if active is not None:
+            return self._active_states(x, d, active)
         h, w = self.hidden, self.w
         gates, new = w[f"{d}x"][:, : 2 * h].copy(), w[f"{d}x"][:, 2 * h :].copy()
         out = np.empty((*x.shape, h), np.float32)
@@ -73,10 +78,33 @@ class Network:
                 saved.append((t, before, r, z, n, rs))
         return (out, saved) if keep else out
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
+    def _active_states(self, x: np.ndarray, d: str, active: np.ndarray) -> np.ndarray:
+        h, w = self.hidden, self.w
+        gates, new = w[f"{d}x"][:, : 2 * h].copy(), w[f"{d}x"][:, 2 * h :].copy()
+        out = np.zeros((*x.shape, h), np.float32)
+        state = np.zeros((x.shape[1], h), np.float32)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            k = active[t]
+            s, now = state[:k], x[t, :k]
+            g = np.take(gates, now, axis=0)
+            g += s @ w[f"{d}u"]
+            g *= 0.5
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            n = np.take(new, now, axis=0)
+            n += (g[:, :h] * s) @ w[f"{d}n"]
+            np.tanh(n, out=n)
+            s -= n
+            s *= g[:, h:]
+            s += n
+            out[t, :k] = s
+        return out
+
+    def probabilities(self, x: np.ndarray, active: np.ndarray) -> np.ndarray:
         """(steps, rows, languages)."""
-        y = self.states(x, "f") @ self.w["v"][: self.hidden]
-        y += self.states(x, "b") @ self.w["v"][self.hidden :]
+        y = self.states(x, "f", active=active) @ self.w["v"][: self.hidden]
+        y += self.states(x, "b", active=active) @ self.w["v"][self.hidden :]
         y += self.w["c"]
         y -= y.max(axis=-1, keepdims=True)
         np.exp(y, out=y)
@@ -159,7 +187,7 @@ class Network:
             x = padded[b[None, :] + np.arange(steps)[:, None]]
             inside = np.arange(steps)[:, None] < n[None, :]
             x[~inside] = 32
-            p = self.probabilities(x)
+            p = self.probabilities(x, inside.sum(axis=1))
             p *= inside[..., None]
             np.add.at(out, own, p.sum(axis=0))
         return out / np.maximum(lengths, 1)[:, None]
