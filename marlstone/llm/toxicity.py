@@ -19,7 +19,7 @@ from .common import coefficients, lower_ascii, map_batches, mix64, row_slices, t
 
 BITS = 20
 STEM = 4
-PER_CLASS = 5000
+PER_CLASS = 4000
 EPOCHS = 4
 RATE, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.0
 FOLDS, HELD_OUT = 5, 0
