@@ -7,10 +7,12 @@
 3. Prefix shingles deal the nodes into runs. A run is cut where sizes leave a gap no link can span, and
    the bitmaps bound the overlap from above; what may link is chained into coarse groups. A run of more
    than MOST_RUN nodes is chained as it is: coarse groups may be too large, never too small.
-4. Each coarse group is a tile; larger ones are cut into tiles of size bands and blocks, so that every
-   pair of neighbouring bands meets. In a tile, bitmaps bound the overlap, then exact intersection of sorted
-   arrays decides. Only links that join two parts of a tile leave it, never all pairs.
-5. Components over these links.
+4. Each coarse group is a tile; larger ones are cut into tiles of neighbouring size bands and blocks. In a tile,
+   bitmaps bound the overlap, then exact intersection of sorted arrays decides. Only links that join two parts
+   of a tile leave it, never all pairs.
+5. Of a large group, first each block meets itself and some pivots: a group of copies becomes one part in work
+   that is linear in it. Then the nodes that are left outside the largest part meet all nodes of the group.
+6. Components over these links.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ MOST_RUN = 256
 HOT_LIST = 1 << 16
 HOT_LOCAL, HOT_TOTAL = 4, 64
 TILE_NODES = 2048
+PIVOTS = 64
 TILE_SHINGLES = 2_000_000
 FILTER_BITS = 24
 _HOT_BITS = 20
@@ -300,19 +303,48 @@ def coarse_edges(nodes: DataFrame, runs: DataFrame, percent: int) -> DataFrame:
     return found.union(runs.where("kind = 1").select("a", "b")).distinct()
 
 
-def tiles(coarse: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """doc_id and each tile that it is in."""
+def sized_nodes(coarse: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n, component, blocks (into how many tiles' worth of nodes its coarse group is cut), pivots (one node in so many is one)."""
     sized = coarse.join(nodes.select(F.col("doc_id").alias("node"), "n"), "node")
     groups = sized.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("m") / TILE_NODES), F.ceil(F.col("total") / TILE_SHINGLES)).cast("long")
-    sized = sized.join(groups.select("component", blocks.alias("blocks")), "component")
+    apart = F.greatest(F.col("m").cast("double") / PIVOTS, F.lit(1.0)).cast("long")
+    return sized.join(groups.select("component", blocks.alias("blocks"), apart.alias("apart")), "component")
+
+
+def _bands(percent: int):
+    """The tiles by size that a node is in: its own band with the next, and the band before with its own."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    small = sized.where("blocks = 1").select("node", F.xxhash64("component").alias("tile"), "component", F.lit(None).cast("long").alias("band"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
-    large = sized.where("blocks > 1").withColumn("own", own).withColumn("at", band).withColumn("x", F.explode(pairs)).withColumn("band", F.explode(F.array(F.col("at"), F.col("at") - 1)))
-    large = large.select("node", F.xxhash64("component", "band", "x.i", "x.j").alias("tile"), "component", "band", F.col("x.i").alias("i"), F.col("x.j").alias("j"))
-    return small.union(large).drop("tile")
+    return F.explode(F.array(band, band - 1)).alias("band")
+
+
+def _all(n):
+    return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+
+_TILE = ["component", "band", "i", "j", "node", "label"]
+
+
+def first_tiles(sized: DataFrame, percent: int) -> DataFrame:
+    """Small groups whole; of large ones each block with itself and with the group's pivots."""
+    zero, own = F.lit(0).cast("long"), F.pmod(F.xxhash64("node"), F.col("blocks"))
+    small = sized.where("blocks = 1").select("component", F.lit(None).cast("long").alias("band"), zero.alias("i"), zero.alias("j"), "node")
+    pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("apart")) == 0
+    where = F.when(pivot, _all("blocks")).otherwise(F.array(own))
+    large = sized.where("blocks > 1").select("component", "node", "n", F.explode(where).alias("i")).select("component", _bands(percent), "i", F.col("i").alias("j"), "node")
+    return small.union(large).withColumn("label", F.col("node")).select(_TILE)
+
+
+def second_tiles(sized: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Of large groups that aren't one part yet: every node outside the largest part with every node of the group."""
+    large = sized.where("blocks > 1").join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = large.groupBy("component", "label").agg(F.count("*").alias("m"))
+    main = parts.groupBy("component").agg(F.max_by("label", F.struct("m", "label")).alias("main"), (F.sum("m") - F.max("m")).alias("tail")).where("tail > 0")
+    open_ = large.join(main.select("component", "main", F.ceil(F.col("tail") / TILE_NODES).cast("long").alias("tails")), "component")
+    hash_ = F.xxhash64("node")
+    as_any = open_.select("component", "node", "n", "label", F.explode(_all("tails")).alias("i"), F.pmod(hash_, F.col("blocks")).alias("j"))
+    as_tail = open_.where("label <> main").select("component", "node", "n", "label", F.pmod(hash_, F.col("tails")).alias("i"), F.explode(_all("blocks")).alias("j"))
+    return as_any.union(as_tail).select("component", _bands(percent), "i", "j", "node", "label").select(_TILE).distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -335,18 +367,21 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return map_batches(source, load, "node long, set binary")
 
 
-def exact_links(docs: DataFrame, coarse: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    placed = written(tiles(coarse, nodes, percent))
-    loaded = sets_of(docs, placed.select("node"), k).join(placed, "node")
+def verified(docs: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links a, b that join two parts of a tile; nodes of one label are one part from the start."""
+    loaded = sets_of(docs, placed.select("node").distinct(), k).join(placed, "node")
 
     def verify(table: pa.Table) -> pa.Table:
-        ids = table.column("node").to_numpy()
+        ids, labels = table.column("node").to_numpy(), table.column("label").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
         full = [i for i, x in enumerate(sets) if len(x)]
-        ids, sets = ids[full], [sets[i] for i in full]
+        ids, labels, sets = ids[full], labels[full], [sets[i] for i in full]
         a, b = [], []
         if len(sets) > 1:
-            for i, j in Join(np.array([len(x) for x in sets]), [bitmap(x) for x in sets], percent).links(sets):
+            join = Join(np.array([len(x) for x in sets]), [bitmap(x) for x in sets], percent)
+            _, first, part = np.unique(labels, return_index=True, return_inverse=True)
+            join.parent = first[part].tolist()
+            for i, j in join.links(sets):
                 a.append(ids[i])
                 b.append(ids[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -354,6 +389,15 @@ def exact_links(docs: DataFrame, coarse: DataFrame, nodes: DataFrame, k: int, pe
     return loaded.groupBy("component", "band", "i", "j").applyInArrow(verify, "a long, b long")
 
 
+def exact_links(docs: DataFrame, coarse: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    sized = written(sized_nodes(coarse, nodes))
+    links = written(verified(docs, written(first_tiles(sized, percent)), k, percent))
+    if sized.where("blocks > 1").isEmpty():
+        return links
+    rest = written(second_tiles(sized, components(links), percent))
+    return links if rest.isEmpty() else links.union(verified(docs, rest, k, percent))
+
+
 def ngram_jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id.
 

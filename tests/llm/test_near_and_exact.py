@@ -68,9 +68,9 @@ def test_join_against_all_pairs(spark, seed):
 
 def test_join_in_small_runs_and_tiles(spark, monkeypatch):
     """Long runs are chained and large groups cut into bands and blocks: the result stays the same."""
-    for name, value in (("MOST_RUN", 3), ("TILE_NODES", 4), ("TILE_SHINGLES", 300), ("HOT_LOCAL", 2), ("HOT_TOTAL", 2)):
+    for name, value in (("MOST_RUN", 3), ("TILE_NODES", 4), ("PIVOTS", 2), ("TILE_SHINGLES", 300), ("HOT_LOCAL", 2), ("HOT_TOTAL", 2)):
         monkeypatch.setattr(ngram_join, name, value)
-    rows = corpus(3)
+    rows = corpus(3) + [(1000 + i, " ".join(f"w{j if j != i and j != 100 - i else 'x'}" for j in range(60 + i % 3))) for i in range(40)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(frame(spark, rows)).collect()}
     assert got == brute(rows)
 
