@@ -6,8 +6,6 @@ Texts are handled as UTF-8 bytes in numpy slices of bounded size. Random-coeffic
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.materialize import materialized as written
+
 SLICE_BYTES = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,26 +115,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | d
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only a local session without one gets a folder of its own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = getattr(shared_folder, "own", None)
-    if own is None:
-        own = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-    return own
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, lost executors lose nothing."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/marlstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,8 +7,6 @@ each of at most MOST_LANGS languages, first by a hash of doc_id. Prediction read
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +22,6 @@ STEPS, BATCH, LEARN_RATE = 250, 128, 0.02
 TRAIN_WINDOW = 48
 FOLDS, HELD_OUT = 4, 2
 SLICE = 384 << 10
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -222,7 +219,7 @@ def languages(docs: DataFrame, net: Network | None = None) -> DataFrame:
     def predict(text: pa.Array) -> pa.Array:
         net, names, scores = shared.value, [], []
         buf, offsets = text_buffer(text)
-        letters = [bool(x and _LETTER.search(x)) for x in text.to_pylist()]
+        letters = [any(map(str.isalpha, x or "")) for x in text.to_pylist()]
         for a, z in row_slices(offsets, SLICE):
             if net is None:
                 names += ["und"] * (z - a)

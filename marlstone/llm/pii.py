@@ -178,12 +178,15 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """docs with the text of each document sanitised; rows that share a doc_id must share the text."""
     spans = span_digests(docs).where("spans <> ''").groupBy("doc_id").agg(F.first("spans").alias("_spans"))
 
-    @F.udf("string")
-    def clean(text, spans):
+    def one(text, spans):
         if text is None or not spans:
             return text
         return sanitised_text(text, [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(","))])
 
+    @F.arrow_udf("string")
+    def clean(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array(map(one, text.to_pylist(), spans.to_pylist()), pa.string())
+
     return docs.join(spans, "doc_id", "left").withColumn("text", clean("text", "_spans")).select(docs.columns)
 
 

@@ -3,13 +3,13 @@ from marlstone.llm import exact_dedup, mixing, ngram_join, queries
 from tests.test_queries import duck, plain  # noqa: F401
 
 
-def test_stages(spark, small):
+def test_stages(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, sizes = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, small)
-        out.write.mode("overwrite").parquet(f"/tmp/marlstone-test-stage-{name}")
-        before, docs = docs, spark.read.parquet(f"/tmp/marlstone-test-stage-{name}")
+        out.write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
         sizes.append(docs.count())
         if name != "sentencepiece":
             assert docs.columns == columns
