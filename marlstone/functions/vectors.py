@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,3 +85,27 @@ class VectorBackend:
 
     def similarity(self) -> Column:
         return cosine(self.vector, F.col(self.column))
+
+
+def backend_name(explicit: str | None, has_key: bool) -> str:
+    """Which embeddings to use: what is asked for, else a hosted service if there is a key for it, else local ones."""
+    return explicit or ("hosted" if has_key else "local")
+
+
+def embedded_by(client: Callable[[list[str]], list[list[float] | None]], most_chars: int = 8192, batch: int = 64) -> Callable[[Column], Column]:
+    """A Column function that embeds texts by a client of the caller's, which Arrow batches are handed to in parts.
+
+    client is pickled and runs on the executors. What it gives as None, and null texts, are null vectors.
+    """
+
+    @F.arrow_udf("array<double>")
+    def embed(texts: pa.Array) -> pa.Array:
+        rows, out = texts.to_pylist(), [None] * len(texts)
+        at = [i for i, t in enumerate(rows) if t is not None]
+        for s in range(0, len(at), batch):
+            part = at[s : s + batch]
+            for i, v in zip(part, client([rows[i][:most_chars] for i in part]), strict=True):
+                out[i] = None if v is None else [float(x) for x in v]
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return embed

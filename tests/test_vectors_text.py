@@ -58,3 +58,10 @@ def test_query_hash_and_path(spark):
 def test_embed_text_and_estimate(spark):
     assert one(spark, text.embed_text(F.lit(None).cast("string"), F.lit("module"), F.lit("x" * 600))) == "module " + "x" * 512
     assert one(spark, text.token_estimate(F.lit("abcde"))) == 2
+
+
+def test_client_embeddings(spark):
+    df = spark.createDataFrame([("abc",), (None,), ("x" * 9000,)], "t string")
+    embed = vectors.embedded_by(lambda texts: [[float(len(t)), 1.0] if t != "abc" else None for t in texts], batch=1)
+    assert [r["v"] for r in df.select(embed("t").alias("v")).collect()] == [None, None, [8192.0, 1.0]]
+    assert vectors.backend_name(None, True) == "hosted" and vectors.backend_name(None, False) == "local" and vectors.backend_name("local", True) == "local"
