@@ -6,14 +6,15 @@ soon they stop, the level at which the rest share follows from running sums; thi
 
 Sampling: each document expects target / source words copies. Within a source, documents are ordered by
 size, so that the draw is even over sizes; the prefix sum of expected copies plus one random offset
-of the source crosses integers, and each crossing emits the document once. Ranks come from
-counts by (source, size, slot): no task holds a source.
+of the source crosses integers, and each crossing emits the document once. Of OFFSETS evenly spaced offsets from a
+random start, a source has the one whose words come nearest to its target, which matters where few documents
+hold most words. Ranks come from counts by (source, size, slot): no task holds a source.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import count_words, map_batches, written
@@ -21,6 +22,7 @@ from .common import count_words, map_batches, written
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SLOTS = 256
+OFFSETS = 16
 SEED = 17
 
 
@@ -68,10 +70,17 @@ def mixed(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
     starts = starts.select("key", "size", "slot", (F.col("below") + F.col("within")).alias("start"), "source_size", "target", offset.alias("u"))
     rows = rows.withColumn("rank", rank).join(starts, ["key", "size", "slot"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    place = F.col("start") + F.col("rank")
-    copies = F.floor(place * rate + F.col("u")) - F.floor((place - 1) * rate + F.col("u"))
-    copies = F.least(copies, F.lit(MOST_COPIES).cast("long"))
-    return rows.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = written(rows.select("doc_id", "key", "size", "source_size", "target", "u", rate.alias("rate"), (F.col("start") + F.col("rank")).alias("place")))
+
+    def copies(k) -> Column:
+        u = F.col("u") + F.lit(k / OFFSETS) if isinstance(k, int) else F.col("u") + k / OFFSETS
+        u = u - F.floor(u)
+        return F.least(F.floor(F.col("place") * F.col("rate") + u) - F.floor((F.col("place") - 1) * F.col("rate") + u), F.lit(MOST_COPIES).cast("long"))
+
+    sums = rows.groupBy("key").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * copies(k)).alias(f"t{k}") for k in range(OFFSETS)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
+    out = rows.join(sums.select("key", nearest.alias("k")), "key").withColumn("copies", copies(F.col("k")))
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
