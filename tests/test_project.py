@@ -3,7 +3,9 @@ import os
 
 import pytest
 
+from marlstone.__main__ import parser, run
 from marlstone.session import Project
+from marlstone.sources import git
 from marlstone.sources.files import path_aliases
 from marlstone.sources.store import Store
 from marlstone.streaming.incremental import index_stream
@@ -102,3 +104,20 @@ def test_index_stream(project, tmp_path):
     write(root, "src/new.ts", "export const n = () => 1\n")
     index_stream(p, str(tmp_path / "ck")).awaitTermination()
     assert p.status()["chunks"] == 5
+
+
+def test_git_times(spark, tmp_path):
+    assert git.parsed_times("@30\na.ts\n\n@20\na.ts\nb c.ts\n", "/r") == [("/r/a.ts", 30), ("/r/b c.ts", 20)]
+    assert git.git_times(spark, str(tmp_path)).count() == 0
+
+
+def test_command_line(project):
+    p, root = project
+    say = lambda *x: run(p, parser().parse_args([str(root), *x]))
+    assert say("index") == "Indexed 4 files, 4 chunks." and say("graph") == "Graph rebuilt for 4 files."
+    assert "chunks: 4" in say("status") and "# Context: token" in say("search", "token", "--density", "thorough")
+    assert "MEDIUM" in say("impact", str(root / "src/u/hash.ts"))
+    own = say("memory", "save", "a note")
+    assert own in say("memory", "list") and "a note" in say("memory", "recall", "note") and say("memory", "audit").startswith("Audited 1")
+    assert say("memory", "delete", own) == "Deleted." and say("memory", "list") == "No memories."
+    assert say("checkpoint", "list") == "No checkpoints." and say("checkpoint", "save", "here") in say("checkpoint", "list") and "here" in say("checkpoint", "get")
