@@ -29,7 +29,7 @@ PERCENT = 80
 MOST_RUN = 256
 HOT_LIST = 1 << 16
 HOT_LOCAL, HOT_TOTAL = 4, 64
-TILE_NODES = 2048
+TILE_NODES = 512
 PIVOTS = 64
 TILE_SHINGLES = 2_000_000
 FILTER_BITS = 24
