@@ -80,5 +80,25 @@ b AS (SELECT key, arg_min(k, (off, k)) AS k FROM (SELECT key, k, abs(sum(copies
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c JOIN b USING (key, k)"""
 
 
+OP1 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {ngram_join.SHINGLE} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {ngram_join.SHINGLE - 2}), lambda i: array_to_string(w[i:i + {ngram_join.SHINGLE - 1}], ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= {ngram_join.PERCENT} * (len(x.s) + len(y.s) - c)),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, (SELECT min(b) FROM r WHERE r.a = doc_id)) AS component_id FROM s"""
+
+_CUT = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+_ROLL = f"list_transform(range(1, greatest(len(w) - {license_scan.SHINGLE - 2}, 1)), lambda i: array_to_string(w[i:i + {license_scan.SHINGLE - 1}], ' '))"
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(license_scan.TEMPLATES.items()))
+OP4 = f"""WITH t AS (SELECT name, len(w) AS n, list_distinct({_ROLL}) AS t FROM (SELECT name, {_CUT.format('text')} AS w FROM (VALUES {_TEMPLATES}) v(name, text))),
+d AS (SELECT doc_id, {_ROLL} AS s FROM (SELECT doc_id, {_CUT.format('text')} AS w FROM documents)),
+c AS (SELECT doc_id, name, s, t, ceil(1.5 * n)::BIGINT - {license_scan.SHINGLE - 1} AS long, greatest(1, n // 2) AS step FROM d JOIN t ON list_has_any(s, t)),
+m AS (SELECT doc_id, name FROM c WHERE list_max(list_transform(range(0, len(s), step), lambda i: len(list_intersect(s[i + 1:i + long], t)))) * 100 >= {license_scan.CONTAINED} * len(t))
+SELECT doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2, "op6_url_filter": url_filter.oracle(), "op8_exact_dedup": OP8}
+    return {"op1_ngram_jaccard_join": OP1, "op2_source_mixing": OP2, "op4_license_scan": OP4, "op6_url_filter": url_filter.oracle(), "op8_exact_dedup": OP8}
