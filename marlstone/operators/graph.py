@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import materialized
+from ..plans.materialize import counted
 
 MOST_HOPS = 4
 
@@ -33,8 +33,8 @@ def levels(steps: DataFrame, root: str, most: int, root_seen: bool) -> DataFrame
     seen = spark.range(1).select(F.lit(root).alias("file"), F.lit(0).alias("depth")) if root_seen else spark.range(0).select(F.lit("").alias("file"), F.lit(0).alias("depth"))
     for depth in range(1, most + 1):
         reached = steps.join(frontier, steps.a == frontier.file).select(F.col("b").alias("file")).distinct().join(seen.select("file"), "file", "left_anti")
-        level = materialized(reached.withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
+        level, n = counted(reached.withColumn("depth", F.lit(depth)))
+        if not n:
             break
         seen = seen.unionByName(level)
         frontier = level.select("file")
@@ -83,8 +83,8 @@ def impacts(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame
     seen = frontier.withColumn("depth", F.lit(0)).limit(0)
     for depth in range(1, max_depth + 1):
         reached = back.join(frontier, back.a == frontier.file).select("root", F.col("b").alias("file")).distinct().join(seen.select("root", "file"), ["root", "file"], "left_anti")
-        level = materialized(reached.withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
+        level, n = counted(reached.withColumn("depth", F.lit(depth)))
+        if not n:
             break
         seen = seen.unionByName(level)
         frontier = level.select("root", "file")

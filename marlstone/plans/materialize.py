@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,6 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_folder.own
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df as a table, and its rows, counted as they are written."""
+    rows = Observation()
+    return materialized(df.observe(rows, F.count(F.lit(1)).alias("n"))), rows.get["n"]
+
+
 def materialized(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)

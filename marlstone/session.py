@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.text import embed_text, mentioned_path
 from .functions.vectors import LocalBackend, local_embedding
 from .operators import chunking, feedback, graph, imports, indexing, memory, packing, scoring
-from .plans.materialize import materialized
+from .plans.materialize import counted, materialized
 from .schemas import CHECKPOINTS, CHUNKS, CONTEXT_STATE, MEMORIES
 from .sources.files import path_aliases, source_files
 from .sources.store import Store
@@ -48,8 +48,7 @@ class Project:
 
     def _replace(self, changed: DataFrame, git_times: DataFrame | None) -> int:
         now, start = self.clock(), self.store.next_seq("chunks")
-        chunks = materialized(chunking.chunk_files(changed.select("path", "content")))
-        made = chunks.count()
+        chunks, made = counted(chunking.chunk_files(changed.select("path", "content")))
         text = embed_text(F.col("name"), F.col("kind"), F.col("content"))
         place = F.monotonically_increasing_id() + start
         rows = chunks.orderBy("file_path", "ordinal").withColumn("seq", place).withColumn("embedding", local_embedding(text)).withColumn("updated_at", F.lit(now).cast("long"))
