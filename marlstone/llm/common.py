@@ -6,6 +6,8 @@ Texts are handled as UTF-8 bytes in numpy slices of bounded size. Random-coeffic
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -103,14 +105,26 @@ def count_words(text: pa.Array) -> np.ndarray:
     return out
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
-    """mapInArrow where fn turns a batch into dicts of columns in the order of schema."""
+def tidy() -> None:
+    """Hands memory that a Python worker has freed back to the system: idle workers are kept, next to those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, end: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow where fn turns a batch into dicts of columns in the order of schema; end is called after the last batch."""
 
     def run(batches):
         for batch in batches:
             made = fn(batch)
             for columns in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_pydict(columns)
+            del batch, made
+            tidy()
+        if end:
+            end()
+            tidy()
 
     return df.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coefficients, mix64, row_slices, shuffle_partitions, text_buffer
+from .common import coefficients, mix64, row_slices, shuffle_partitions, text_buffer, tidy
 
 WINDOW, SPAN, VOTES = 32, 64, 16
 USUAL_ENTROPY, LEAST_ENTROPY = 3.9, 1.5
@@ -222,5 +222,7 @@ def neighbour_likeness(docs: DataFrame) -> DataFrame:
                         held, size = held[-1:], len(held[-1][3])
         if len(held) > 1:
             yield compare(held)
+        held.clear()
+        tidy()
 
     return dealt.mapInArrow(run, _OUT)

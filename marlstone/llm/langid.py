@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, row_slices, text_buffer
+from .common import lower_ascii, row_slices, text_buffer, tidy
 
 HIDDEN = 8
 WINDOW = 96
@@ -229,6 +229,7 @@ def languages(docs: DataFrame, net: Network | None = None) -> DataFrame:
             for i, best in enumerate(p.argmax(axis=1)):
                 names.append(net.languages[best] if letters[a + i] else "und")
                 scores.append(min(1.0, float(p[i, best])) if letters[a + i] else 0.0)
+        tidy()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("x"))

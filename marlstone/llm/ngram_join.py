@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coefficients, components, lower_ascii, map_batches, mix64, row_slices, shuffle_partitions, text_buffer, word_hashes, written
+from .common import coefficients, components, lower_ascii, map_batches, mix64, row_slices, shuffle_partitions, text_buffer, tidy, word_hashes, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -275,6 +275,8 @@ def candidate_runs(nodes: DataFrame, percent: int) -> DataFrame:
         chosen[first] = True
         keep = chosen[run]
         yield out(0, name[run[keep]].view(np.int64), kept["node"][keep].copy())
+        del held, chain, kept, run, name, first, chosen, keep
+        tidy()
 
     dealt = map_batches(nodes.select("doc_id", "n", "prefix"), deal, "bucket int, entries binary")
     return dealt.repartition(parts, "bucket").mapInArrow(find, "kind int, a long, b long")

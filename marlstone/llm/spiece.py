@@ -24,8 +24,8 @@ from .common import map_batches, row_slices, text_buffer
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 SLICE = 4 << 20
-MOST_CHARS = 600_000
-MOST_KNOWN = 400_000
+MOST_CHARS = 400_000
+MOST_KNOWN = 250_000
 CACHE_BITS = 20
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -338,14 +338,14 @@ def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     def encode(batch):
         coder = _encoder(shared)
         _, offsets = text_buffer(batch.column(1))
-        for a, z in row_slices(offsets, SLICE):
+        for a, z in row_slices(offsets, SLICE):  # words are kept from slice to slice of a partition
             texts = [t or "" for t in batch.column(1).slice(a, z - a).to_pylist()]
             ids, counts = coder.encode(texts)
             ends = np.concatenate([[0], np.cumsum(counts)])
             same = [decode(coder.p, ids[s:e].tolist()) == t for s, e, t in zip(ends[:-1], ends[1:], texts, strict=True)]
             yield {"doc_id": batch.column(0).slice(a, z - a), "n_tokens": pa.array(counts), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), "round_trip": pa.array(same)}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "doc_id long, n_tokens long, ids array<int>, round_trip boolean", lambda: _encoder(shared).forget())
 
 
 def decoded(tokens: DataFrame, model_file: str | None = None) -> DataFrame:

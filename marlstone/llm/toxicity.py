@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import coefficients, lower_ascii, map_batches, mix64, row_slices, text_buffer, word_hashes
+from .common import coefficients, lower_ascii, map_batches, mix64, row_slices, text_buffer, tidy, word_hashes
 
 BITS = 20
 STEM = 4
@@ -117,6 +117,7 @@ def scorer(spark, model):
             keep = dense[index] != 0
             both = np.unique((row[keep] << BITS) | index[keep])
             out[a:z] += np.bincount(both >> BITS, weights=dense[both & ((1 << BITS) - 1)], minlength=z - a)
+        tidy()
         return pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
     return score
