@@ -19,7 +19,7 @@ from .common import coefficients, lower_ascii, map_batches, mix64, row_slices, t
 
 BITS = 20
 STEM = 4
-PER_CLASS = 4000
+PER_CLASS = 3000
 EPOCHS = 4
 RATE, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.0
 FOLDS, HELD_OUT = 5, 0
@@ -96,6 +96,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     order = np.random.default_rng(7).permutation(len(rows))
     y = np.array([rows[i]["toxic"] for i in order], float)
     w, intercept = fit([np.frombuffer(rows[i]["x"], np.int32) for i in order], y)
+    del rows
+    tidy()
     intercept += np.log(shares[1] / y.sum()) - np.log(shares[0] / (len(y) - y.sum()))
     at = np.flatnonzero(w)
     return at, w[at], float(intercept)
