@@ -15,11 +15,9 @@ def bm25(query_terms: Column, doc_terms: Column, average: Column, k1: float = K1
     length = F.size(doc_terms).cast("double")
     ratio = F.try_divide(length, average)
 
-    def term(total: Column, t: Column) -> Column:
-        f = F.size(F.filter(doc_terms, lambda x: x == t)).cast("double")
-        return total + F.when(f == 0, 0.0).otherwise(F.coalesce(f * (k1 + 1) / (f + k1 * (1 - b + b * ratio)), F.lit(0.0)))
-
-    return F.when(length == 0, 0.0).otherwise(F.aggregate(query_terms, F.lit(0.0), term))
+    counts = F.transform(query_terms, lambda t: F.size(F.filter(doc_terms, lambda x: x == t)).cast("double"))
+    weight = lambda f: F.coalesce(f * (k1 + 1) / (f + k1 * (1 - b + b * ratio)), F.lit(0.0))
+    return F.when(length == 0, 0.0).otherwise(F.aggregate(counts, F.lit(0.0), lambda total, f: total + F.when(f == 0, 0.0).otherwise(weight(f))))
 
 
 def bm25_scores(chunks: DataFrame, query: str) -> DataFrame:
