@@ -29,6 +29,7 @@ PERCENT = 80
 MOST_RUN = 256
 HOT_LIST = 1 << 16
 HOT_LOCAL, HOT_TOTAL = 4, 64
+COUNTED = 1_000_000
 TILE_NODES = 512
 PIVOTS = 64
 TILE_SHINGLES = 2_000_000
@@ -143,14 +144,18 @@ class Join:
 
 
 def frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of at most HOT_LIST shingles that many documents of one batch share."""
+    """Sorted hashes of at most HOT_LIST shingles that many documents share, counted by parts of about COUNTED shingles."""
 
     def count(batch):
-        tokens = [x for *_, sets in batch_sets(batch.column(0), k) for x in sets]
-        tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        u, n = np.unique(tokens, return_counts=True)
-        keep = n >= HOT_LOCAL
-        return {"token": signed(u[keep]), "n": pa.array(n[keep].astype(np.int64))}
+        held, size = [], 0
+        for _, z, sets in batch_sets(batch.column(0), k):
+            held += sets
+            size += sum(map(len, sets))
+            if size >= COUNTED or z == batch.num_rows:
+                u, n = np.unique(np.concatenate(held), return_counts=True)
+                held, size = [], 0
+                keep = n >= HOT_LOCAL
+                yield {"token": signed(u[keep]), "n": pa.array(n[keep].astype(np.int64))}
 
     found = map_batches(docs.select("text"), count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = found.where(F.col("n") >= HOT_TOTAL).orderBy(F.desc("n"), "token").limit(HOT_LIST).collect()
@@ -213,7 +218,11 @@ def candidate_runs(nodes: DataFrame, percent: int) -> DataFrame:
     parts = shuffle_partitions(spark)
     buckets = 4 * parts
 
-    def deal(batch):
+    def deal(whole):
+        for at in range(0, whole.num_rows, 2000):
+            yield from deal_rows(whole.slice(at, 2000))
+
+    def deal_rows(batch):
         prefixes = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
         lengths = np.array([len(x) for x in prefixes])
         all_ = np.empty(int(lengths.sum()), _ENTRY)
