@@ -6,7 +6,8 @@
    bitmap signature with the parity of the shingles hashed to each bit. Equal sets become one node.
 3. Prefix shingles deal the nodes into runs. A run is cut where sizes leave a gap no link can span, and
    the bitmaps bound the overlap from above; what may link is chained into coarse groups. A run of more
-   than MOST_RUN nodes is chained as it is: coarse groups may be too large, never too small.
+   than MOST_RUN nodes is chained as it is: coarse groups may be too large, never too small. Of a long run a task
+   holds some nodes, marked as long and at no gap in size; all that come later are chained to these.
 4. Each coarse group is a tile; larger ones are cut into tiles of neighbouring size bands and blocks. In a tile,
    bitmaps bound the overlap, then exact intersection of sorted arrays decides. Only links that join two parts
    of a tile leave it, never all pairs.
@@ -27,6 +28,7 @@ from .common import coefficients, components, lower_ascii, map_batches, mix64, r
 SHINGLE = 5
 PERCENT = 80
 MOST_RUN = 256
+HELD_ENTRIES = 4_000_000
 HOT_LIST = 1 << 16
 HOT_LOCAL, HOT_TOTAL = 4, 64
 COUNTED = 1_000_000
@@ -198,18 +200,76 @@ def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
 _ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i8")])
 
 
-def runs_of(entries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """entries in the order of token, size, node without repeats, and the run of each; runs end at gaps of sizes."""
-    entries = entries[np.lexsort((entries["node"], entries["n"], entries["token"]))]
+def runs_of(entries: np.ndarray, marked: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """entries in the order of token, size, node without repeats, their marks, and the run of each; runs end at gaps of sizes."""
+    order = np.lexsort((~marked, entries["node"], entries["n"], entries["token"]))
+    entries, marked = entries[order], marked[order]
     t, n, d = entries["token"], entries["n"], entries["node"]
     if len(entries) > 1:
         keep = np.ones(len(entries), bool)
         keep[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
-        entries = entries[keep]
+        entries, marked = entries[keep], marked[keep]
         t, n = entries["token"], entries["n"]
     new = np.ones(len(entries), bool)
     new[1:] = (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:])
-    return entries, np.cumsum(new) - 1
+    return entries, marked, np.cumsum(new) - 1
+
+
+def stepping(n: np.ndarray, percent: int) -> list[int]:
+    """Places in the sizes n of a run, from the first to the last, as few as leave no gap between them."""
+    at = [0]
+    while at[-1] < len(n) - 1:
+        at.append(int(np.searchsorted(percent * n, 100 * n[at[-1]], side="right")) - 1)
+    return at
+
+
+def settled(entries: np.ndarray, marked: np.ndarray, percent: int, most_run: int):
+    """The chains of long runs, all entries with their runs, and which are in long runs; a run with a marked node is long."""
+    entries, marked, run = runs_of(entries, marked, percent)
+    if not len(run):
+        return (entries["node"], entries["node"]), entries, run, marked
+    long_ = ((np.bincount(run) > most_run) | (np.bincount(run, weights=marked) > 0))[run]
+    linked = np.flatnonzero(long_ & np.concatenate([[False], run[1:] == run[:-1]]))
+    return (entries["node"][linked - 1].copy(), entries["node"][linked].copy()), entries, run, long_
+
+
+def runs_in(blocks, percent: int, most_run: int, most_held: int):
+    """kind, a, b of the runs of a task's blocks of entries; when more than most_held are held, long runs are chained and thinned."""
+    held, marks, rows, limit = [], [], 0, most_held
+    for block in blocks:
+        held.append(block)
+        marks.append(np.zeros(len(block), bool))
+        rows += len(block)
+        if rows > limit:
+            chain, entries, run, long_ = settled(np.concatenate(held), np.concatenate(marks), percent, most_run)
+            if len(chain[0]):
+                yield 1, *chain
+            keep = ~long_
+            at = np.flatnonzero(long_)
+            for part in np.split(at, np.flatnonzero(np.diff(run[at])) + 1) if len(at) else []:
+                keep[part[stepping(entries["n"][part], percent)]] = True
+            held, marks = [entries[keep]], [long_[keep]]
+            rows = len(held[0])
+            limit = max(limit, 2 * rows)
+    if not rows:
+        return
+    chain, entries, run, long_ = settled(np.concatenate(held), np.concatenate(marks), percent, most_run)
+    if len(chain[0]):
+        yield 1, *chain
+    keep = ~long_ & (np.bincount(run)[run] > 1)
+    kept, run = entries[keep], run[keep]
+    if not len(kept):
+        return
+    _, run = np.unique(run, return_inverse=True)
+    with np.errstate(over="ignore"):
+        name = np.zeros(int(run.max()) + 1, np.uint64)
+        np.add.at(name, run, mix64(kept["node"].view(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
+    name = mix64(name)
+    _, first = np.unique(name, return_index=True)  # many shingles have the same nodes
+    chosen = np.zeros(len(name), bool)
+    chosen[first] = True
+    keep = chosen[run]
+    yield 0, name[run[keep]].view(np.int64), kept["node"][keep].copy()
 
 
 def candidate_runs(nodes: DataFrame, percent: int) -> DataFrame:
@@ -237,54 +297,10 @@ def candidate_runs(nodes: DataFrame, percent: int) -> DataFrame:
             ends = np.append(at[1:], len(bucket))
             yield {"bucket": pa.array(bucket[at].astype(np.int32)), "entries": pa.array([all_[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())}
 
-    def out(kind, a, b):
-        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": pa.array(a), "b": pa.array(b)})
-
-    def settle(entries, last):
-        """The chains of long runs; what stays: short runs, and one node of each long run unless last."""
-        entries, run = runs_of(entries, percent)
-        size = np.bincount(run) if len(run) else np.zeros(0, np.int64)
-        long_ = size[run] > MOST_RUN if len(run) else np.zeros(0, bool)
-        first = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.zeros(0, bool)
-        linked = np.flatnonzero(long_ & ~first)
-        chain = (entries["node"][linked - 1].copy(), entries["node"][linked].copy())
-        if last:
-            keep = ~long_ & (size[run] > 1) if len(run) else long_
-            return chain, entries[keep], run[keep]
-        ends = np.concatenate([run[1:] != run[:-1], [True]])
-        keep = ~long_ | first | ends
-        return chain, entries[keep], run[keep]
-
     def find(batches):
-        held, rows, limit = [], 0, 4_000_000
-        for batch in batches:
-            for x in batch.column(1).to_pylist():
-                held.append(np.frombuffer(x, _ENTRY))
-                rows += len(held[-1])
-            if rows > limit:
-                chain, kept, _ = settle(np.concatenate(held), False)
-                if len(chain[0]):
-                    yield out(1, *chain)
-                held, rows = [kept], len(kept)
-                limit = max(limit, 2 * rows)
-        if not rows:
-            return
-        chain, kept, run = settle(np.concatenate(held), True)
-        if len(chain[0]):
-            yield out(1, *chain)
-        if not len(kept):
-            return
-        _, run = np.unique(run, return_inverse=True)
-        with np.errstate(over="ignore"):
-            name = np.zeros(int(run.max()) + 1, np.uint64)
-            np.add.at(name, run, mix64(kept["node"].view(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
-        name = mix64(name)
-        _, first = np.unique(name, return_index=True)  # many shingles have the same nodes
-        chosen = np.zeros(len(name), bool)
-        chosen[first] = True
-        keep = chosen[run]
-        yield out(0, name[run[keep]].view(np.int64), kept["node"][keep].copy())
-        del held, chain, kept, run, name, first, chosen, keep
+        blocks = (np.frombuffer(x, _ENTRY) for batch in batches for x in batch.column(1).to_pylist())
+        for kind, a, b in runs_in(blocks, percent, MOST_RUN, HELD_ENTRIES):
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": pa.array(a), "b": pa.array(b)})
         tidy()
 
     dealt = map_batches(nodes.select("doc_id", "n", "prefix"), deal, "bucket int, entries binary")

@@ -75,6 +75,44 @@ def test_join_in_small_runs_and_tiles(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_long_run_is_remembered():
+    """Nodes that come after a long run was thinned are chained to it, few as they are, over all sizes of the run."""
+    entries = lambda nodes, sizes: np.array([(7, i, n) for i, n in zip(nodes, sizes)], ngram_join._ENTRY)
+    sizes = [100 + 4 * (i % 150) for i in range(300)]
+    blocks = [entries(range(300), sizes), entries(range(300, 310), [130, 190, 240, 300, 350, 410, 470, 540, 640, 690]), entries([400, 401], [5000, 5001])]
+    parent = {i: i for i in (*range(310), 400, 401)}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    runs = []
+    for kind, a, b in ngram_join.runs_in(blocks, 80, 256, 250):
+        if kind == 0:
+            runs.append(sorted(b.tolist()))
+        else:
+            for x, y in zip(a.tolist(), b.tolist()):
+                parent[find(x)] = find(y)
+    assert runs == [[400, 401]] and len({find(i) for i in range(310)}) == 1 and find(400) == 400
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_steps_leave_no_gap(percent):
+    n = np.array([10, 10, 11, 11, 12, 14, 17, 21, 26, 26, 30, 33, 33])
+    n = n[np.concatenate([[True], 100 * n[:-1] >= percent * n[1:]]).cumprod().astype(bool)]
+    at = ngram_join.stepping(n, percent)
+    assert at[0] == 0 and at[-1] == len(n) - 1 and all(100 * n[i] >= percent * n[j] for i, j in zip(at, at[1:]))
+
+
+def test_join_with_few_entries_held(spark, monkeypatch):
+    for name, value in (("MOST_RUN", 3), ("HELD_ENTRIES", 20), ("HOT_LOCAL", 2), ("HOT_TOTAL", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = corpus(6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
 EDGES = [(5, None), (6, ""), (7, " \t\n"), (8, "one"), (9, "ONE"), (10, "a b c d"), (11, "a b c d"), (12, "x" * 100_000), (13, "w " * 20_000), (14, "w " * 19_000), (15, "É b c d e f"), (16, "é b c d e f")]
 
 
