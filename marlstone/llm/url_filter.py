@@ -3,7 +3,8 @@
 Hosts with allowed pages seed a personalised PageRank along links; hosts with blocked pages seed one along
 reversed links. A host's seed is its share of allowed or blocked pages among those that a rule judges. A
 host is blocked where its distrust exceeds RATIO times its trust. Only DataFrame functions; masses are
-integers, so that the order of summation doesn't matter.
+doubles that spread until none changes by more than SETTLED of itself, so neither the links of a hub nor the
+distance from a seed end them; they are compared up to TIE, so that the order of summation doesn't matter.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ DAMPING_PERCENT = 85
 ROUNDS = 8
 MASS = 1_000_000
 RATIO_PERCENT = 100
+STEP = 4
+SETTLED, TIE = 1e-10, 1e-8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,26 +55,37 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def host_scores(pages: DataFrame, rules) -> DataFrame:
-    """host, trust, distrust of the hosts that have either."""
+    """host, trust, distrust (in parts of MASS, rounded down), blocked, of the hosts that have either."""
     seeds = judged(pages, rules).where("host <> '' and by_rule is not null").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad"))
-    share = lambda c: (F.lit(MASS).cast("long") * F.col(c)).cast("long")
-    kinds = F.array(F.struct(F.lit(0).alias("kind"), share("good").alias("m")), F.struct(F.lit(1).alias("kind"), share("bad").alias("m")))
-    seeds = seeds.select("host", (F.col("good") + F.col("bad")).alias("all"), F.explode(kinds).alias("x")).select(F.col("x.kind").alias("kind"), "host", F.expr("x.m div `all`").alias("seed")).where("seed > 0")
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("good").alias("n")), F.struct(F.lit(1).alias("kind"), F.col("bad").alias("n")))
+    seeds = seeds.select("host", (F.col("good") + F.col("bad")).alias("all"), F.explode(kinds).alias("x")).select("x.kind", "host", "x.n", "all").where("n > 0")
     rest = 100 - DAMPING_PERCENT
-    scores = seeds = written(seeds.select("kind", "host", F.expr(f"seed * {rest} div 100").alias("mass")))
+    seeds = written(seeds.select("kind", "host", F.expr(f"double(n) * {rest} / (double(`all`) * 100)").alias("own"), F.expr(f"({MASS} * n div `all`) * {rest} div 100").alias("shown")))
+    own = seeds.select("kind", "host", F.col("own").alias("mass"))
+    scores, nothing = own, F.lit(0.0)
     links = written(host_links(pages))
     if not links.isEmpty():
         both = links.select(F.lit(0).alias("kind"), "a", "b", "w").union(links.select(F.lit(1).alias("kind"), F.col("b").alias("a"), F.col("a").alias("b"), "w"))
         out = both.groupBy("kind", "a").agg(F.sum("w").alias("total"))
-        both = written(both.join(out, ["kind", "a"]))
-        for turn in range(ROUNDS):
-            held = scores.select("kind", F.col("host").alias("a"), "mass")
-            sent = held.join(both, ["kind", "a"]).select("kind", F.col("b").alias("host"), F.expr(f"mass * w * {DAMPING_PERCENT} div (total * 100)").alias("mass"))
-            scores = seeds.union(sent).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-            if turn % 4 == 3:
-                scores = written(scores)
-    mass = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0).cast("long"))
-    return scores.groupBy("host").agg(mass(0).alias("trust"), mass(1).alias("distrust"))
+        both = written(both.join(out, ["kind", "a"]).select("kind", "a", "b", F.expr(f"double(w) * {DAMPING_PERCENT} / (double(total) * 100)").alias("share")))
+        changing = True
+        while changing:  # what is left to come shrinks by the damping each round
+            start = scores.select("kind", "host", nothing.alias("mass"), F.col("mass").alias("before"))
+            for turn in range(STEP):
+                held = scores.select("kind", F.col("host").alias("a"), "mass")
+                sent = held.join(both, ["kind", "a"]).select("kind", F.col("b").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
+                rows = own.union(sent).select("*", nothing.alias("before"))
+                if turn + 1 == STEP:
+                    rows = rows.union(start)
+                scores = rows.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("before").alias("before"))
+            scores = written(scores)
+            changing = not scores.where(F.col("mass") - F.col("before") > F.col("mass") * SETTLED).isEmpty()
+    both = scores.select("kind", "host", "mass", nothing.alias("own"), F.lit(0).cast("long").alias("shown")).union(seeds.select("kind", "host", nothing.alias("mass"), "own", "shown"))
+    of = lambda k, c: F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0))
+    both = both.groupBy("host").agg(*[of(k, c).alias(f"{c}_{k}") for k in (0, 1) for c in ("mass", "own", "shown")])
+    points = lambda k: F.col(f"shown_{k}") + F.floor(F.greatest(F.col(f"mass_{k}") - F.col(f"own_{k}"), nothing) * MASS + 1e-6)
+    blocked = F.col("mass_1") * 100 > F.col("mass_0") * RATIO_PERCENT * (1 + TIE)
+    return both.select("host", points(0).alias("trust"), points(1).alias("distrust"), blocked.alias("blocked"))
 
 
 def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -79,16 +93,17 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
 
     A null url or one without :// has an empty host and path, no rule, and is allowed. Null html has no links.
     Equal lengths of rules: the later one in the list wins. Repeated rows are judged each; extra columns
-    are ignored; an empty table gives an empty result.
+    are ignored; an empty table gives an empty result. trust and distrust are rounded down, to 0 where they are
+    small; the verdict is by what they were before.
     """
     scores = host_scores(pages, rules)
     out = judged(pages, rules).join(scores, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0).cast("long"))).withColumn("distrust", F.coalesce("distrust", F.lit(0).cast("long")))
-    spread = F.when(F.col("distrust") * 100 > F.col("trust") * RATIO_PERCENT, F.lit("block")).otherwise(F.lit("allow"))
+    spread = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", spread).alias("verdict"), "trust", "distrust")
 
 
 def oracle(rules=RULES) -> str:
-    """The same in DuckDB's SQL, round by round."""
+    """In DuckDB's SQL, with ROUNDS rounds of whole masses: the same where pages hold no links to other hosts."""
 
     def host(x):
         return f"coalesce(translate(regexp_extract({x}, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '')"

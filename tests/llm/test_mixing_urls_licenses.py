@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from marlstone.llm import license_scan, mixing, url_filter
@@ -83,6 +84,45 @@ def test_urls(spark):
     assert url_filter.url_verdicts(df.limit(0)).count() == 0
 
 
+def test_links_of_a_hub(spark):
+    """Each of the hosts that link to a blocked hub has distrust, however small its share."""
+    n = 130_000
+    hosts = spark.range(n).selectExpr("id as page_id", "concat('http://h', id, '.com/') as url", "'<a href=\"http://hub.net/\">' as html")
+    pages = hosts.union(spark.createDataFrame([(n, "http://hub.net/", "")], "page_id long, url string, html string"))
+    assert url_filter.url_verdicts(pages).where("verdict = 'block'").count() == n + 1
+
+
+def solved(links, seeds):
+    """Trust by host, as the solution of the linear equations."""
+    hosts = sorted({x for l in links for x in l} | set(seeds))
+    at = {h: i for i, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for a, b in links:
+        m[at[b], at[a]] += 0.85 / sum(x == a for x, _ in links)
+    found = np.linalg.solve(np.eye(len(hosts)) - m, [0.15 * seeds.get(h, 0) for h in hosts])
+    return dict(zip(hosts, found))
+
+
+def test_far_links_and_cycles(spark):
+    rng = random.Random(11)
+    good, bad = [f"g{i}.org" for i in range(3)], [f"b{i}.net" for i in range(3)]
+    other = [f"h{i}.com" for i in range(60)]
+    links = [(f"c{i}.com", f"c{i + 1}.com") for i in range(14)] + [("c14.com", "b0.net")] + [("g0.org", "d0.com")] + [(f"d{i}.com", f"d{i + 1}.com") for i in range(14)]
+    links += [(rng.choice(other + good), rng.choice(other + bad)) for _ in range(150)]
+    links = [(a, b) for a, b in links if a != b]
+    hosts = sorted({x for l in links for x in l})
+    pages = [(i, f"http://{h}" + ("/fr/" if h in good else "/"), " ".join(f'<a href="http://{b}/">' for a, b in links if a == h)) for i, h in enumerate(hosts)]
+    rows = url_filter.url_verdicts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    trust, distrust = solved(links, dict.fromkeys(good, 1)), solved([(b, a) for a, b in links], dict.fromkeys(bad, 1))
+    for r in rows:
+        t, d = trust.get(r["host"], 0), distrust.get(r["host"], 0)
+        assert abs(r["trust"] - t * 1e6) < 1.01 and abs(r["distrust"] - d * 1e6) < 1.01
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if d > t * (1 + 1e-8) else "allow"), r
+    by = {r["host"]: r["verdict"] for r in rows}
+    assert by["c0.com"] == "block" and by["d14.com"] == "allow" and len(set(by.values())) == 2
+
+
 def brute_licenses(text):
     def cut(t):
         w = [x for x in re.split("[^a-z0-9]+", (t or "").lower()) if x]
