@@ -2,8 +2,8 @@
 
 Terms are words near a base span. Over the whole corpus, a term's pointwise mutual information with a kind,
 relative to the information content of the kind, tells how much seeing the term discloses; terms at
-ALPHA or more, seen near the kind SUPPORT times or more, are spans of kind "term" and are generalised or
-removed with the base spans.
+ALPHA or more, seen near the kind SUPPORT times or more, are spans of kind "term" wherever they stand in a
+document that holds a span of the kind. Sanitising generalises base spans and removes these terms from all texts.
 """
 
 from __future__ import annotations
@@ -92,43 +92,53 @@ _NEAR = pa.list_(pa.struct([("kind", pa.int32()), ("term", pa.int64()), ("start"
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, counts by kind, base spans, words of the text, words near spans."""
+    """Per row: doc_id, counts by kind, base spans, words near spans, the text if it has spans."""
 
     def find(batch):
         for s in range(0, batch.num_rows, 1024):
             part = batch.slice(s, 1024)
-            counts, base, near = [[] for _ in KINDS], [], []
+            counts, base, near, texts = [[] for _ in KINDS], [], [], []
             for text in part.column(1).to_pylist():
                 spans = base_spans(text or "")
                 for k, c in enumerate(counts):
                     c.append(sum(x[0] == k for x in spans))
                 base.append(joined(spans))
+                texts.append(text if spans else None)
                 near.append([dict(zip(("kind", "term", "start", "end"), x, strict=True)) for x in near_words(text, spans)] if spans else [])
-            yield {"doc_id": part.column(0)} | {f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts, strict=True)} | {"base": pa.array(base, pa.string()), "near": pa.array(near, _NEAR)}
+            yield {"doc_id": part.column(0)} | {f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts, strict=True)} | {"base": pa.array(base, pa.string()), "near": pa.array(near, _NEAR), "text": pa.array(texts, pa.string())}
 
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, near array<struct<kind:int,term:long,start:int,end:int>>"
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, near array<struct<kind:int,term:long,start:int,end:int>>, text string"
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), find, schema)
 
 
-def disclosing(docs: DataFrame, near: DataFrame, alpha: float, support: int) -> DataFrame:
-    """kind, term of the terms that give a kind away; near has kind, term of each word near a span."""
-    per_kind = written(near.groupBy("kind", "term").agg(F.count("*").alias("near")))
-    terms = per_kind.where(F.col("near") >= support)
+def filter_of(terms: DataFrame) -> np.ndarray:
+    """Bits by the end of the terms' hashes, of fixed size: full, it lets all words through."""
     slot = F.pmod("term", F.lit(1 << FILTER_BITS))
     rows = terms.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("bits")).collect()
-    flags = np.zeros(1 << (FILTER_BITS - 6), np.int64)  # of fixed size: full, it lets all words through
+    flags = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     for r in rows:
         flags[r["w"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(flags)
+    return flags
+
+
+def let_through(h: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    at = (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    return (flags[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def disclosing(docs: DataFrame, near: DataFrame, alpha: float, support: int) -> DataFrame:
+    """kind, term of the terms that give a kind away; near has kind, term of each word near a span."""
+    per_kind = written(near.groupBy("kind", "term").agg(F.count("*").alias("near")))
+    terms = per_kind.where(F.col("near") >= support)
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(terms))
 
     def count(batch):
-        kept, words, parts = shared.value, 0, []
+        words, parts = 0, []
         buf, offsets = text_buffer(batch.column(0))
         for a, z in row_slices(offsets):
             h, *_ = word_hashes(lower_ascii(buf[offsets[a] : offsets[z]]), offsets[a : z + 1] - offsets[a])
             words += len(h)
-            at = (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-            parts.append(h[(kept[at >> 6] >> (at & 63)) & 1 == 1])
+            parts.append(h[let_through(h, shared.value)])
         u, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
         return {"term": pa.array([None, *u.view(np.int64).tolist()], pa.int64()), "n": pa.array([words, *n.tolist()], pa.int64())}
 
@@ -144,17 +154,41 @@ def disclosing(docs: DataFrame, near: DataFrame, alpha: float, support: int) ->
     return scored.where(pmi >= alpha * information).select("kind", "term")
 
 
+def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """row, kind, start, end of each place of the terms (kind, term) in rows (row, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(filter_of(terms))
+
+    def places(batch):
+        buf, offsets = text_buffer(batch.column(1))
+        ids = batch.column(0).to_numpy()
+        for a, z in row_slices(offsets):
+            part, own = buf[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
+            h, starts, ends, counts = word_hashes(lower_ascii(part), own)
+            at = np.flatnonzero(let_through(h, shared.value))
+            row = np.repeat(np.arange(z - a), counts)[at]
+            points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+            first = points[own[row]]
+            yield {"row": pa.array(ids[a + row]), "term": pa.array(h[at].view(np.int64)), "start": pa.array((points[starts[at]] - first).astype(np.int32)), "end": pa.array((points[ends[at]] - first).astype(np.int32))}
+
+    return map_batches(rows.select("row", "text"), places, "row long, term long, start int, end int").join(terms, "term").select("row", "kind", "start", "end")
+
+
 def personal_spans(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base, terms (array of start, end).
 
     A null text is empty and has no spans. Repeated rows are judged each for itself and all count in the corpus
-    statistics. Extra columns are ignored; an empty table gives an empty result.
+    statistics. A term is a span at each of its places in a text with a span of a kind that it gives away, unless
+    the place touches a base span. Extra columns are ignored; an empty table gives an empty result.
     """
     base = written(found(docs).withColumn("row", F.monotonically_increasing_id()))
-    near = base.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    terms = disclosing(docs, near, alpha, support)
-    hits = near.join(terms, ["kind", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return base.drop("near").join(hits, "row", "left").drop("row")
+    near = base.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
+    terms = written(disclosing(docs, near, alpha, support))
+    own = base.where("base <> ''")
+    has = F.element_at(F.array(*[F.col(f"n_{k}") for k in KINDS]), F.col("kind") + 1) > 0
+    touched = F.expr("exists(split(base, ','), x -> int(split(x, ':')[1]) < end AND int(split(x, ':')[2]) > start)")
+    hits = occurrences(own.select("row", "text"), terms).join(own.drop("doc_id", "near", "text"), "row").where(has & ~touched)
+    hits = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    return base.drop("near", "text").join(hits, "row", "left").drop("row")
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
@@ -175,19 +209,22 @@ def sanitised_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """docs with the text of each document sanitised; rows that share a doc_id must share the text."""
-    spans = span_digests(docs).where("spans <> ''").groupBy("doc_id").agg(F.first("spans").alias("_spans"))
-
-    def one(text, spans):
-        if text is None or not spans:
+    """docs with the text of each row sanitised: base spans generalised, and every place of a term that gives a kind away removed."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    near = found(rows).where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
+    terms = written(disclosing(rows, near, ALPHA, SUPPORT))
+    places = occurrences(rows.select(F.col("_row").alias("row"), "text"), terms).groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("start", "end")).alias("_places"))
+
+    def one(text, places):
+        if text is None:
             return text
-        return sanitised_text(text, [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(","))])
+        return sanitised_text(text, [(KINDS[k], a, b) for k, a, b in base_spans(text)] + [(TERM, x["start"], x["end"]) for x in places or []])
 
     @F.arrow_udf("string")
-    def clean(text: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array(map(one, text.to_pylist(), spans.to_pylist()), pa.string())
+    def clean(text: pa.Array, places: pa.Array) -> pa.Array:
+        return pa.array(map(one, text.to_pylist(), places.to_pylist()), pa.string())
 
-    return docs.join(spans, "doc_id", "left").withColumn("text", clean("text", "_spans")).select(docs.columns)
+    return rows.join(places, "_row", "left").withColumn("text", clean("text", "_places")).select(docs.columns)
 
 
 def base_sha256(spans) -> str:

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -131,3 +132,18 @@ def test_disclosing_terms(spark):
     assert by[100]["spans"] == "" == by[101]["spans"] and pii.span_digests(df.limit(0)).count() == 0
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df.where("doc_id <> 102")).collect()}
     assert "[email]" in clean[0] and "patient" not in clean[0] and "common words here 0" in clean[0]
+
+
+def test_terms_are_removed_wherever_they_stand(spark):
+    rows = [(i, f"é PATIENT{i % 2} is named far from it: " + "common words here " * 60 + f"write to patient{i % 2} x{i}@y.org about z{i}, then patient{i % 2}\nagain") for i in range(40)]
+    rows += [(100, "é\tpatient0 alone,"), (101, "no span, patient1"), (102, None), (103, "patients and patient0s stay")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {r["doc_id"]: r["spans"] for r in pii.span_digests(df).collect()}
+    for i in range(40):
+        at = [m.start() for m in re.finditer("(?i)patient", rows[i][1])]
+        assert len(at) == 3 and [f"term:{a}:{a + 8}" for a in at] == [x for x in by[i].split(",") if x[:4] == "term" and int(x.split(":")[2]) - int(x.split(":")[1]) == 8]
+    assert by[100] == by[101] == by[102] == by[103] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    for i in range(40):
+        assert "patient" not in clean[i].lower() and clean[i].startswith("é  is named far from it: common words here") and "[email]" in clean[i] and clean[i].endswith("again")
+    assert clean[100] == "é\t alone," and clean[101] == "no span, " and clean[102] is None and clean[103] == rows[-1][1]
