@@ -199,10 +199,10 @@ def span_digests(docs: DataFrame) -> DataFrame:
 
 
 def sanitised_text(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """text with base spans generalised to [kind] and terms removed; what overlaps an earlier span is left to it."""
+    """text with base spans generalised to [kind] and terms removed; of a span that overlaps an earlier one, the part after it."""
     out, at = [], 0
     for kind, a, b in sorted(spans, key=lambda x: (x[1], -x[2])):
-        if a >= at:
+        if b > at:
             out += [text[at:a], "" if kind == TERM else f"[{kind}]"]
             at = b
     return "".join(out) + text[at:]

@@ -147,3 +147,10 @@ def test_terms_are_removed_wherever_they_stand(spark):
     for i in range(40):
         assert "patient" not in clean[i].lower() and clean[i].startswith("é  is named far from it: common words here") and "[email]" in clean[i] and clean[i].endswith("again")
     assert clean[100] == "é\t alone," and clean[101] == "no span, " and clean[102] is None and clean[103] == rows[-1][1]
+
+
+def test_overlapping_spans_and_rows_without_id(spark):
+    rows = [(None, "pay 4111 1111 1111 1111@x.com now"), (None, "mail a@b.com now"), (1, "see 1.2.3.4111 1111 1111 1111"), (1, "call +1 (988) 555-2485")]
+    got = [r["text"] for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(["pay [card][email] now", "mail [email] now", "see 1.2.3.[card]", "call [phone]"])
+    assert pii.sanitised_text("ab 1.2.3.4111 1111x", [("ip", 3, 10), ("card", 9, 18)]) == "ab [ip][card]x" and pii.sanitised_text("abcdef", [("ip", 1, 5), ("term", 2, 4)]) == "a[ip]f"
