@@ -1,8 +1,9 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained here by backpropagation through time.
 
 Texts are cut into windows of WINDOW bytes; in each, a forward and a backward pass label every byte, and a
-document's probabilities are the mean over its bytes. It learns from a bounded sample: PER_LANG documents of
-each of at most MOST_LANGS languages, first by a hash of doc_id. Prediction reads whole texts.
+document's probabilities are the mean over its bytes. It learns every language that has labels, from a bounded
+sample: PER_LANG documents of each, fewer if there are more than MOST_LANGS languages but at least one, first by a hash of
+doc_id. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -192,10 +193,10 @@ class Network:
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG, steps: int = STEPS) -> Network | None:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")
+    each = max(1, min(per_lang, per_lang * MOST_LANGS // max(1, known.select("lang").distinct().count())))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.join(F.broadcast(common), "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).select("doc_id", "lang")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(sample), "doc_id")  # per_lang * MOST_LANGS rows at most
+    sample = known.withColumn("r", F.row_number().over(first)).where(F.col("r") <= each).select("doc_id", "lang")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(sample), "doc_id")  # per_lang * MOST_LANGS rows, or one a language
     rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in chosen.collect())
     if not rows:
         return None

@@ -154,3 +154,9 @@ def test_overlapping_spans_and_rows_without_id(spark):
     got = [r["text"] for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == sorted(["pay [card][email] now", "mail [email] now", "see 1.2.3.[card]", "call [phone]"])
     assert pii.sanitised_text("ab 1.2.3.4111 1111x", [("ip", 3, 10), ("card", 9, 18)]) == "ab [ip][card]x" and pii.sanitised_text("abcdef", [("ip", 1, 5), ("term", 2, 4)]) == "a[ip]f"
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, "word " * 3 + chr(0x4E00 + i % 70) * 9, f"l{i % 70:02}") for i in range(1400)]
+    net = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=5, steps=1)
+    assert net.languages == [f"l{i:02}" for i in range(70)]
