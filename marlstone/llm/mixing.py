@@ -26,11 +26,11 @@ OFFSETS = 16
 SEED = 17
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, row: tuple = ()) -> DataFrame:
     def count(batch):
-        return {"doc_id": batch.column(0), "source": batch.column(1), "size": pa.array(count_words(batch.column(2)))}
+        return {"doc_id": batch.column(0), "source": batch.column(1), "size": pa.array(count_words(batch.column(2)))} | {c: batch.column(3) for c in row}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), count, "doc_id long, source string, size long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", *row), count, "doc_id long, source string, size long" + "".join(f", {c} long" for c in row))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
@@ -50,17 +50,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
     return per.select("source", "source_size", F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(F.col("final") * F.col("w")).alias("target"))
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, weights=WEIGHTS, seed: int = SEED, row: tuple = ()) -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, size, source_size, target, copies, taken.
 
     A null text has size 0; a null source is a source of its own. A source without words has target 0 and
     its documents get no copies. Ties in size go by slot and doc_id; repeated rows are sampled each for
     itself. Extra columns are ignored; an empty table gives an empty result. Reruns agree.
+    row may name one column of whole numbers that is carried along and ends ties.
     """
-    sizes = written(sized(docs).withColumn("slot", F.coalesce(F.pmod("doc_id", F.lit(SLOTS)), F.lit(-1).cast("long"))))
+    sizes = written(sized(docs, row).withColumn("slot", F.coalesce(F.pmod("doc_id", F.lit(SLOTS)), F.lit(-1).cast("long"))))
     goals = targets(sizes, weights).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     rows = sizes.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    rank = F.row_number().over(Window.partitionBy("key", "size", "slot").orderBy("doc_id"))
+    rank = F.row_number().over(Window.partitionBy("key", "size", "slot").orderBy("doc_id", *row))
     counts = rows.groupBy("key", "size", "slot").agg(F.count("*").alias("n"))
     in_size = F.sum("n").over(Window.partitionBy("key", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
     by_size = counts.groupBy("key", "size").agg(F.sum("n").alias("n"))
@@ -70,7 +71,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
     starts = starts.select("key", "size", "slot", (F.col("below") + F.col("within")).alias("start"), "source_size", "target", offset.alias("u"))
     rows = rows.withColumn("rank", rank).join(starts, ["key", "size", "slot"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = written(rows.select("doc_id", "key", "size", "source_size", "target", "u", rate.alias("rate"), (F.col("start") + F.col("rank")).alias("place")))
+    rows = written(rows.select("doc_id", *row, "key", "size", "source_size", "target", "u", rate.alias("rate"), (F.col("start") + F.col("rank")).alias("place")))
 
     def copies(k) -> Column:
         u = F.col("u") + F.lit(k / OFFSETS) if isinstance(k, int) else F.col("u") + k / OFFSETS
@@ -80,10 +81,11 @@ def mixed(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
     sums = rows.groupBy("key").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * copies(k)).alias(f"t{k}") for k in range(OFFSETS)])
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
     out = rows.join(sums.select("key", nearest.alias("k")), "key").withColumn("copies", copies(F.col("k")))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", *row, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
-    """docs with each row as often as the mix takes it; the columns of docs. Rows without a doc_id are left out."""
-    plan = mixed(docs.where("doc_id is not null"), weights, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(plan, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+    """docs with each row as often as the mix takes it, with or without a doc_id; the columns of docs."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    plan = mixed(rows, weights, seed, ("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return rows.join(plan, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)

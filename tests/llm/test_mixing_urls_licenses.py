@@ -60,6 +60,14 @@ def test_mix_edge_cases(spark):
     assert kept.columns == df.columns and all(kept.where(f"doc_id = {i}").count() <= 3 for i in range(8))
 
 
+def test_mixture_of_rows_without_id(spark):
+    rows = [(None, words(10 + i), "a") for i in range(30)] + [(i, words(10), "b") for i in range(30)]
+    got = mixing.mixture(docs(spark, rows)).collect()
+    plan = mixing.mixed(docs(spark, rows)).collect()
+    assert sorted(r["text"] for r in got if r["doc_id"] is None) == sorted(words(r["size"]) for r in plan if r["doc_id"] is None for _ in range(r["copies"])) != []
+    assert len(got) == sum(r["copies"] for r in plan)
+
+
 PAGES = [
     (1, "http://x.net/a", '<a href="http://good.example.org/q">'), (2, "HTTPS://A.Example.NET/en/x?y#z", None), (3, "http://example.com/de/", ""), (4, "http://example.com/en", ""),
     (5, None, ""), (6, "no scheme", ""), (7, "http://b.org/fr/x", '<a href=\'http://friend.com/\'>'), (8, "http://friend.com/z", ""), (9, "http://spam.com/1", '<a href="http://x.net/a"><a href="http://y.net/a">'),
