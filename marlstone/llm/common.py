@@ -29,16 +29,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_coefficients = np.zeros(0, np.uint64)
-
-
-def coefficients(n: int) -> np.ndarray:
-    """The first n hash coefficients; the same prefix for every n."""
-    global _coefficients
-    if n > len(_coefficients):
-        with np.errstate(over="ignore"):
-            _coefficients = mix64(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * _GOLD)
-    return _coefficients[:n]
+with np.errstate(over="ignore"):
+    COEFFICIENTS = mix64(np.arange(1, 4097, dtype=np.uint64) * _GOLD)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,43 +57,74 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return buf + ((buf >= 65) & (buf <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of each word [^\\x20\\x09-\\x0D]+, and the words' count by row."""
-    if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
-    edge = np.empty(len(buf), bool)
-    edge[0] = True
-    edge[1:] = space[:-1]
-    cuts = offsets[1:-1]
-    edge[cuts[cuts < len(buf)]] = True
-    starts = np.flatnonzero(~space & edge)
-    counts = np.diff(np.searchsorted(starts, offsets))
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, starts, counts
-    first = np.zeros(len(buf), np.int64)
-    first[starts] = starts
-    place = np.arange(len(buf)) - np.maximum.accumulate(first)
-    place[space] = 0
-    with np.errstate(over="ignore"):
-        value = (buf.astype(np.uint64) + np.uint64(1)) * coefficients(int(place.max()) + 1)[place]
-        value[space] = 0
-        lengths = np.add.reduceat((~space).astype(np.int64), starts)
-        return mix64(np.add.reduceat(value, starts)), starts, starts + lengths, counts
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+AS_IS = np.arange(256, dtype=np.uint8)
+LOWER = lower_ascii(AS_IS)
+
+
+def word_slices(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = AS_IS, most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, hash, first byte and end of the words [^\\x20\\x09-\\x0D]+, by slices of so many bytes; table maps bytes.
+
+    Rows and words may go on over any number of slices: a word that does is held back, as its first byte and sum.
+    """
+    held = None
+    for lo in range(0, len(buf), most):
+        part = table[buf[lo : lo + most]]
+        hi = lo + len(part)
+        cuts = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, side="right")]
+        space = _SPACES[part]
+        edge = np.empty(len(part) + 1, bool)
+        edge[0] = held is None
+        edge[1:] = space
+        edge[cuts - lo] = True
+        starts = np.flatnonzero(~space & edge[:-1])
+        at = starts if held is None else np.concatenate([[0], starts])
+        if not len(at):
+            continue
+        first = np.full(len(part), 0 if held is None else held[0] - lo)
+        first[starts] = starts
+        place = np.arange(len(part)) - np.maximum.accumulate(first)
+        place[space] = 0
+        with np.errstate(over="ignore"):
+            value = (part.astype(np.uint64) + np.uint64(1)) * COEFFICIENTS[place & 4095]
+            if place.max() >= 4096:
+                far = place >= 4096
+                value[far] *= mix64((place[far] >> 12).astype(np.uint64)) | np.uint64(1)
+            value[space] = 0
+            sums = np.add.reduceat(value, at)
+            ends = lo + at + np.add.reduceat((~space).astype(np.int64), at)
+            starts = lo + at
+            if held is not None:
+                starts[0] = held[0]
+                sums[0] += held[1]
+        held = None
+        if hi < len(buf) and not space[-1] and not _SPACES[table[buf[hi]]] and not edge[-1]:
+            held = (int(starts[-1]), sums[-1])
+            starts, ends, sums = starts[:-1], ends[:-1], sums[:-1]
+        if len(starts):
+            yield np.searchsorted(offsets, starts, side="right") - 1, mix64(sums), starts, ends
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = AS_IS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word, and the words' count by row, of a slice of rows."""
+    found = list(word_slices(buf, offsets, table, max(len(buf), 1)))
+    row, h, starts, ends = found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return h, starts, ends, np.bincount(row, minlength=len(offsets) - 1)
 
 
 def count_words(text: pa.Array) -> np.ndarray:
     buf, offsets = text_buffer(text)
     out = np.zeros(len(text), np.int64)
-    for a, z in row_slices(offsets):
-        part = buf[offsets[a] : offsets[z]]
-        own = offsets[a : z + 1] - offsets[a]
-        space = (part == 32) | ((part >= 9) & (part <= 13))
-        edge = np.ones(len(part), bool)
-        edge[1:] = space[:-1]
-        cuts = own[1:-1]
-        edge[cuts[cuts < len(part)]] = True
-        out[a:z] = np.diff(np.searchsorted(np.flatnonzero(~space & edge), own))
+    for lo in range(0, len(buf), SLICE_BYTES):
+        space = _SPACES[buf[max(lo - 1, 0) : lo + SLICE_BYTES]]
+        if not lo:
+            space = np.concatenate([[True], space])
+        cuts = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, lo + len(space) - 1)]
+        edge = space[:-1].copy()
+        edge[cuts - lo] = True
+        at = lo + np.flatnonzero(~space[1:] & edge)
+        out += np.bincount(np.searchsorted(offsets, at, side="right") - 1, minlength=len(text))
     return out
 
 
@@ -133,6 +156,54 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+FILTER_BITS = 24
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """Bits by the end of key, of fixed size: the fuller, the more rows it lets through, so what it lets through is checked exactly."""
+    slot = F.pmod("key", F.lit(1 << FILTER_BITS))
+    rows = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("bits")).collect()  # 1 << FILTER_BITS - 6 rows at most
+    flags = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in rows:
+        flags[r["w"]] = r["bits"]
+    return flags
+
+
+def set_bits(key: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    at = key & ((1 << FILTER_BITS) - 1)
+    return (flags[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: Callable[[pa.Array], tuple[list, list]]) -> DataFrame:
+    """docs but for the rows whose doc_id and keys of the text are in gone (doc_id, k1, k2); the columns of docs.
+
+    Only rows with a doc_id that may be in gone are keyed and shuffled.
+    """
+    gone = written(gone)
+    if gone.isEmpty():
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(gone.select(F.xxhash64("doc_id").alias("key"))))
+    names = {c.lower() for c in docs.columns}
+    maybe, k1, k2, own = (next(n for i in range(len(names) + 1) if (n := f"{c}{i}") not in names) for c in ("maybe", "k1", "k2", "own"))
+
+    @F.arrow_udf("boolean")
+    def met(key: pa.Array) -> pa.Array:
+        return pa.array(set_bits(key.to_numpy(zero_copy_only=False), shared.value))
+
+    @F.arrow_udf("struct<k1:long,k2:long>")
+    def keyed(text: pa.Array) -> pa.Array:
+        a, b = keys(text)
+        tidy()
+        return pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["k1", "k2"])
+
+    id_ = F.col("doc_id").cast("long")
+    hit = met(F.xxhash64(id_))
+    stay, rest = docs.where(~hit), docs.where(hit).withColumn(maybe, keyed("text"))
+    gone = gone.select(F.col("doc_id").alias(own), F.col("k1").alias(k1), F.col("k2").alias(k2))
+    rest = rest.join(gone, id_.eqNullSafe(F.col(own)) & (F.col(f"{maybe}.k1") == F.col(k1)) & (F.col(f"{maybe}.k2") == F.col(k2)), "left_anti")
+    return stay.select(docs.columns).union(rest.select(docs.columns))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): component is the smallest reachable node.
 

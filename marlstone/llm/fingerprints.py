@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coefficients, mix64, row_slices, shuffle_partitions, text_buffer, tidy
+from .common import COEFFICIENTS, mix64, row_slices, shuffle_partitions, text_buffer, tidy
 
 WINDOW, SPAN, VOTES = 32, 64, 16
 USUAL_ENTROPY, LEAST_ENTROPY = 3.9, 1.5
@@ -74,7 +74,7 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         at = np.flatnonzero(votes >= VOTES)
         window = buf[at[:, None] + np.arange(WINDOW)].reshape(len(at), WINDOW).view(np.uint64)
         with np.errstate(over="ignore"):
-            hashes.append(mix64((mix64(window) * (coefficients(64)[: WINDOW // 8] | np.uint64(1))).sum(axis=1, dtype=np.uint64)))
+            hashes.append(mix64((mix64(window) * (COEFFICIENTS[: WINDOW // 8] | np.uint64(1))).sum(axis=1, dtype=np.uint64)))
         rows.append(np.searchsorted(offsets, at, side="right") - 1)
     has = np.zeros(len(lengths), bool)
     has[np.concatenate(rows).astype(np.int64) if rows else []] = True

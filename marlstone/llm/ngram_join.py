@@ -1,73 +1,134 @@
 """N-gram Jaccard join: exact, on sets of word shingles.
 
-1. One pass counts shingles within batches to find very frequent ones; a bounded list of them is put
-   last in the global order of shingles. Any order is exact, so the bound drops nothing.
+1. One pass counts shingles within batches; a bounded list of very frequent ones is put last in the order of
+   shingles. Any order is exact: the list only saves work, and nothing depends on its being complete.
 2. Each set keeps its prefix in that order (two sets that link share a shingle of their prefixes) and a
    bitmap signature with the parity of the shingles hashed to each bit. Equal sets become one node.
 3. Prefix shingles deal the nodes into runs. A run is cut where sizes leave a gap no link can span, and
-   the bitmaps bound the overlap from above; what may link is chained into coarse groups. A run of more
-   than MOST_RUN nodes is chained as it is: coarse groups may be too large, never too small. Of a long run a task
-   holds some nodes, marked as long and at no gap in size; all that come later are chained to these.
-4. Each coarse group is a tile; larger ones are cut into tiles of neighbouring size bands and blocks. In a tile,
+   the bitmaps bound the overlap from above; what may link is joined to coarse groups. A node with a listed shingle in
+   its prefix, or one whose run is longer than MOST_RUN, is crowded; such runs are not formed.
+4. Crowded nodes are counted anew: all their shingles are dealt out, each gets the number of crowded nodes that
+   hold it, and their prefixes are taken again in the order of these numbers, rarest first. So shared passages don't
+   deal documents together unless more than a fifth of their shingles is left to nothing else. Two crowded nodes that
+   link share a shingle of the new prefixes; a link with a node that isn't crowded was met in step 3.
+   Runs that are long even now, such as those of thousands of near copies, are joined to rough groups.
+5. Each group is a tile; larger ones are cut into tiles of neighbouring size bands and blocks. In a tile,
    bitmaps bound the overlap, then exact intersection of sorted arrays decides. Only links that join two parts
    of a tile leave it, never all pairs.
-5. Of a large group, first each block meets itself and some pivots: a group of copies becomes one part in work
-   that is linear in it. Then the nodes that are left outside the largest part meet all nodes of the group.
-6. Components over these links.
+6. Of a large group, first each block meets itself and some pivots: a group of copies becomes one part in work
+   that is linear in it. Then the nodes that are left outside the largest part meet all nodes of the group, by
+   bitmaps alone; what these let through is grouped anew and compared by sorted arrays.
+7. Components over these links.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coefficients, components, lower_ascii, map_batches, mix64, row_slices, shuffle_partitions, text_buffer, tidy, word_hashes, written
+from .common import COEFFICIENTS, LOWER, bit_filter, components, map_batches, mix64, row_slices, set_bits, shuffle_partitions, text_buffer, tidy, without, word_hashes, word_slices, written
 
 SHINGLE = 5
 PERCENT = 80
 MOST_RUN = 256
-HELD_ENTRIES = 4_000_000
+HELD_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 500_000
 HOT_LIST = 1 << 16
 HOT_LOCAL, HOT_TOTAL = 4, 64
 COUNTED = 1_000_000
 TILE_NODES = 512
 PIVOTS = 64
 TILE_SHINGLES = 2_000_000
-FILTER_BITS = 24
+PIECE = 1 << 17
 _HOT_BITS = 20
+_LISTED = 1 << 31
+
+
+def rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the successive k-word shingles."""
+    c = COEFFICIENTS[1000 : 1000 + k] | np.uint64(1)
+    with np.errstate(over="ignore"):
+        out = h[: len(h) - k + 1] * c[0]
+        for j in range(1, k):
+            out = out + h[j : len(h) - k + 1 + j] * c[j]
+    return mix64(out)
+
+
+def few_words(h: np.ndarray) -> np.ndarray:
+    c = COEFFICIENTS[1000 : 1000 + len(h)] | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return mix64(np.array([(h * c).sum() + np.uint64(len(h))], np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """x sorted, without repeats; in place, so that a long x needs no second copy."""
+    x.sort()
+    done = 0
+    for a in range(0, len(x), PIECE):
+        part = x[a : a + PIECE].copy()
+        keep = np.ones(len(part), bool)
+        np.not_equal(part[1:], part[:-1], out=keep[1:])
+        if done and part[0] == x[done - 1]:
+            keep[0] = False
+        part = part[keep]
+        x[done : done + len(part)] = part
+        done += len(part)
+    return x[:done]
+
+
+def long_set(buf: np.ndarray, k: int) -> np.ndarray:
+    """The set of one text of any length, slice by slice."""
+    made, tail, total = [], np.zeros(0, np.uint64), 0
+    for _, h, _, _ in word_slices(buf, np.array([0, len(buf)]), LOWER):
+        total += len(h)
+        h = np.concatenate([tail, h])
+        if len(h) >= k:
+            made.append(np.unique(rolled(h, k)))
+        tail = h[-(k - 1) :] if k > 1 else h[:0]
+    if total < k:
+        return few_words(tail) if total else np.zeros(0, np.uint64)
+    out, at = np.empty(sum(map(len, made)), np.uint64), 0
+    while made:
+        part = made.pop()
+        out[at : at + len(part)] = part
+        at += len(part)
+    return distinct(out)
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct uint64 hashes of the k-word shingles by row; with fewer words, the whole sequence as one."""
-    h, _, _, counts = word_hashes(lower_ascii(buf), offsets)
-    c = coefficients(4096)[1000 : 1000 + k] | np.uint64(1)
+    h, _, _, counts = word_hashes(buf, offsets, LOWER)
     ends = np.concatenate([[0], np.cumsum(counts)])
-    with np.errstate(over="ignore"):
-        if len(h) >= k:
-            rolled = h[: len(h) - k + 1] * c[0]
-            for j in range(1, k):
-                rolled = rolled + h[j : len(h) - k + 1 + j] * c[j]
-            rolled = mix64(rolled)
-        out = []
-        for a, z in zip(ends[:-1], ends[1:], strict=True):
-            if z - a >= k:
-                x = np.sort(rolled[a : z - k + 1])
-                keep = np.ones(len(x), bool)
-                np.not_equal(x[1:], x[:-1], out=keep[1:])
-                out.append(x[keep])
-            elif z > a:
-                out.append(mix64(np.array([(h[a:z] * c[: z - a]).sum() + np.uint64(z - a)], np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))
-            else:
-                out.append(np.zeros(0, np.uint64))
+    all_ = rolled(h, k) if len(h) >= k else h
+    out = []
+    for a, z in zip(ends[:-1], ends[1:], strict=True):
+        if z - a >= k:
+            out.append(distinct(all_[a : z - k + 1].copy()))
+        else:
+            out.append(few_words(h[a:z]) if z > a else np.zeros(0, np.uint64))
     return out
 
 
 def batch_sets(text: pa.Array, k: int):
     buf, offsets = text_buffer(text)
     for a, z in row_slices(offsets):
-        yield a, z, shingle_sets(buf[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], k)
+        part = buf[offsets[a] : offsets[z]]
+        yield a, z, [long_set(part, k)] if z == a + 1 else shingle_sets(part, offsets[a : z + 1] - offsets[a], k)
+
+
+def set_hashes(x: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, as signed numbers."""
+    out = np.zeros(2, np.uint64)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(x), PIECE):
+            part = x[a : a + PIECE]
+            out[0] += mix64(part + np.uint64(1)).sum(dtype=np.uint64)
+            out[1] += mix64(part ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
+    return tuple(out.view(np.int64).tolist())
 
 
 def bitmap(x: np.ndarray) -> np.ndarray:
@@ -75,7 +136,14 @@ def bitmap(x: np.ndarray) -> np.ndarray:
     bits = 64
     while bits < len(x):
         bits *= 2
-    odd = (np.bincount(((x >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    odd = np.zeros(bits, np.uint8)
+    for a in range(0, len(x), PIECE):
+        slot = ((x[a : a + PIECE] >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+        if bits <= PIECE:
+            odd ^= (np.bincount(slot, minlength=bits) & 1).astype(np.uint8)
+        else:
+            slot, n = np.unique(slot, return_counts=True)
+            odd[slot] ^= (n & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
@@ -145,8 +213,12 @@ class Join:
                 yield int(i), int(j)
 
 
-def frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of at most HOT_LIST shingles that many documents share, counted by parts of about COUNTED shingles."""
+def prefix_length(n, percent: int):
+    return n - (-(-percent * n // 100)) + 1
+
+
+def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most HOT_LIST shingles that many documents share, counted by parts of about COUNTED shingles, and their places by frequency."""
 
     def count(batch):
         held, size = [], 0
@@ -161,109 +233,141 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 
     found = map_batches(docs.select("text"), count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = found.where(F.col("n") >= HOT_TOTAL).orderBy(F.desc("n"), "token").limit(HOT_LIST).collect()
-    return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
+    token = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], (len(rows) - order).astype(np.uint32)
+
 
+class Listed:
+    """Tells which shingles are in the list."""
 
-def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, two hashes of the set, its prefix in the global order, its bitmap."""
-    hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
+    def __init__(self, listed: tuple[np.ndarray, np.ndarray]):
+        self.token, self.place = listed
+        self.flags = np.zeros(1 << _HOT_BITS, bool)
+        self.flags[(self.token & np.uint64((1 << _HOT_BITS) - 1)).astype(np.int64)] = True
+
+    def mask(self, x: np.ndarray) -> np.ndarray:
+        out = self.flags[(x & np.uint64((1 << _HOT_BITS) - 1)).astype(np.int64)]
+        at = np.flatnonzero(out)
+        if len(at):
+            out[at] = self.token[np.minimum(np.searchsorted(self.token, x[at]), len(self.token) - 1)] == x[at]
+        return out
+
+    def rank(self, x: np.ndarray) -> np.ndarray:
+        return self.place[np.searchsorted(self.token, x)] + np.uint32(_LISTED)
+
+
+def described(docs: DataFrame, listed, k: int, percent: int) -> DataFrame:
+    """row, doc_id, n, two hashes of the set, its prefix without listed shingles, whether that lacks some, its bitmap."""
 
     def describe(batch):
-        top, flags = hot.value, np.zeros(1 << _HOT_BITS, bool)
-        flags[(top & np.uint64((1 << _HOT_BITS) - 1)).astype(np.int64)] = True
+        top = Listed(listed.value)
         for a, z, sets in batch_sets(batch.column(1), k):
-            n, h1, h2, prefix, maps = [], [], [], [], []
+            n, h, prefix, crowded, maps = [], [], [], [], []
             for x in sets:
+                length = prefix_length(len(x), percent) if len(x) else 0
+                own = []
+                for s in range(0, len(x), PIECE):  # until the prefix is full
+                    part = x[s : s + PIECE]
+                    own.append(part[~top.mask(part)][:length].copy())
+                    length -= len(own[-1])
+                    if not length:
+                        break
                 n.append(len(x))
-                with np.errstate(over="ignore"):
-                    h1.append(int(mix64(x + np.uint64(1)).sum(dtype=np.uint64)))
-                    h2.append(int(mix64(x ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)))
-                if not len(x):
-                    prefix.append(b"")
-                    maps.append(b"")
-                    continue
-                length = len(x) - (-(-percent * len(x) // 100)) + 1
-                late = flags[(x & np.uint64((1 << _HOT_BITS) - 1)).astype(np.int64)]
-                if late.any():
-                    at = np.flatnonzero(late)
-                    late[at] = top[np.minimum(np.searchsorted(top, x[at]), len(top) - 1)] == x[at]
-                    x_ordered = np.concatenate([x[~late], x[late]])
-                else:
-                    x_ordered = x
-                prefix.append(x_ordered[:length].tobytes())
-                maps.append(bitmap(x).tobytes())
-            yield {"doc_id": batch.column(0).slice(a, z - a), "n": pa.array(n, pa.int64()), "h1": signed(np.array(h1, np.uint64)), "h2": signed(np.array(h2, np.uint64)), "prefix": pa.array(prefix, pa.binary()), "bitmap": pa.array(maps, pa.binary())}
-
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), describe, "doc_id long, n long, h1 long, h2 long, prefix binary, bitmap binary")
-
-
-_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i8")])
-
-
-def runs_of(entries: np.ndarray, marked: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """entries in the order of token, size, node without repeats, their marks, and the run of each; runs end at gaps of sizes."""
-    order = np.lexsort((~marked, entries["node"], entries["n"], entries["token"]))
-    entries, marked = entries[order], marked[order]
-    t, n, d = entries["token"], entries["n"], entries["node"]
-    if len(entries) > 1:
-        keep = np.ones(len(entries), bool)
-        keep[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
-        entries, marked = entries[keep], marked[keep]
-        t, n = entries["token"], entries["n"]
-    new = np.ones(len(entries), bool)
-    new[1:] = (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:])
-    return entries, marked, np.cumsum(new) - 1
-
-
-def stepping(n: np.ndarray, percent: int) -> list[int]:
-    """Places in the sizes n of a run, from the first to the last, as few as leave no gap between them."""
-    at = [0]
-    while at[-1] < len(n) - 1:
-        at.append(int(np.searchsorted(percent * n, 100 * n[at[-1]], side="right")) - 1)
-    return at
-
-
-def settled(entries: np.ndarray, marked: np.ndarray, percent: int, most_run: int):
-    """The chains of long runs, all entries with their runs, and which are in long runs; a run with a marked node is long."""
-    entries, marked, run = runs_of(entries, marked, percent)
-    if not len(run):
-        return (entries["node"], entries["node"]), entries, run, marked
-    long_ = ((np.bincount(run) > most_run) | (np.bincount(run, weights=marked) > 0))[run]
-    linked = np.flatnonzero(long_ & np.concatenate([[False], run[1:] == run[:-1]]))
-    return (entries["node"][linked - 1].copy(), entries["node"][linked].copy()), entries, run, long_
+                h.append(set_hashes(x))
+                prefix.append(b"".join(o.tobytes() for o in own))
+                crowded.append(length > 0)
+                maps.append(bitmap(x).tobytes() if len(x) else b"")
+            yield {"doc_id": batch.column(0).slice(a, z - a), "n": pa.array(n, pa.int64()), "h1": pa.array([x[0] for x in h], pa.int64()), "h2": pa.array([x[1] for x in h], pa.int64()), "prefix": pa.array(prefix, pa.binary()), "crowded": pa.array(crowded), "bitmap": pa.array(maps, pa.binary())}
+
+    made = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), describe, "doc_id long, n long, h1 long, h2 long, prefix binary, crowded boolean, bitmap binary")
+    return made.withColumn("row", F.monotonically_increasing_id())
+
+
+_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4")])
+_SHARED = np.dtype([("node", "<i8"), ("token", "<u8"), ("n", "<u4"), ("count", "<u4")])
+_BLOCKS = "bucket long, block binary"
+
+
+def blocks_of(entries: np.ndarray, key: str, buckets: int) -> dict:
+    """The entries packed into a block for each bucket of their key."""
+    bucket = (mix64(entries[key].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    entries = entries[order]
+    bucket, at = np.unique(bucket[order], return_index=True)
+    ends = [*at[1:], len(entries)] if len(at) else []
+    return {"bucket": pa.array(bucket, pa.int64()), "block": pa.array([entries[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())}
+
+
+def by_bucket(blocks: DataFrame, dtype: np.dtype, fn, schema: str) -> DataFrame:
+    """fn of the blocks of each bucket, one after the other; Spark sorts (and spills) the blocks of a task."""
+
+    def run(batches):
+        rows = ((b, x) for batch in batches for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for _, held in itertools.groupby(rows, key=lambda r: r[0]):
+            for made in fn(np.frombuffer(x.as_buffer(), dtype) for _, x in held):
+                yield pa.RecordBatch.from_pydict(made)
+        tidy()
+
+    return blocks.repartition(shuffle_partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def settled(entries: np.ndarray, known: np.ndarray, most_run: int):
+    """entries of short runs in the order of token, size, node without repeats; those of long ones; the tokens known to be long."""
+    entries = entries[np.lexsort((entries["node"], entries["n"], entries["token"]))]
+    if not len(entries):
+        return entries, entries, known
+    t, d = entries["token"], entries["node"]
+    keep = np.ones(len(entries), bool)
+    keep[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+    entries = entries[keep]
+    token, run, count = np.unique(entries["token"], return_inverse=True, return_counts=True)
+    long_ = count > most_run
+    if len(known):
+        long_ |= known[np.minimum(np.searchsorted(known, token), len(known) - 1)] == token
+    return entries[~long_[run]], entries[long_[run]], np.union1d(known, token[long_])
 
 
 def runs_in(blocks, percent: int, most_run: int, most_held: int):
-    """kind, a, b of the runs of a task's blocks of entries; when more than most_held are held, long runs are chained and thinned."""
-    held, marks, rows, limit = [], [], 0, most_held
+    """kind, a, b: node b is in run a (0), or shares with a first node a a shingle of more than most_run (1).
+
+    When more than most_held entries are held, those of long runs are given out and only their tokens are kept.
+    """
+    held, rows, limit, known, firsts = [], 0, most_held, np.zeros(0, np.uint64), {}
+
+    def starred(far):
+        for t in np.unique(far["token"]).tolist():
+            firsts.setdefault(t, int(far["node"][np.searchsorted(far["token"], np.uint64(t))]))
+        return 1, np.array([firsts[t] for t in far["token"].tolist()], np.int64), far["node"].copy()
+
     for block in blocks:
         held.append(block)
-        marks.append(np.zeros(len(block), bool))
         rows += len(block)
         if rows > limit:
-            chain, entries, run, long_ = settled(np.concatenate(held), np.concatenate(marks), percent, most_run)
-            if len(chain[0]):
-                yield 1, *chain
-            keep = ~long_
-            at = np.flatnonzero(long_)
-            for part in np.split(at, np.flatnonzero(np.diff(run[at])) + 1) if len(at) else []:
-                keep[part[stepping(entries["n"][part], percent)]] = True
-            held, marks = [entries[keep]], [long_[keep]]
-            rows = len(held[0])
+            near, far, known = settled(np.concatenate(held), known, most_run)
+            if len(far):
+                yield starred(far)
+            held, rows = [near], len(near)
             limit = max(limit, 2 * rows)
     if not rows:
         return
-    chain, entries, run, long_ = settled(np.concatenate(held), np.concatenate(marks), percent, most_run)
-    if len(chain[0]):
-        yield 1, *chain
-    keep = ~long_ & (np.bincount(run)[run] > 1)
-    kept, run = entries[keep], run[keep]
+    near, far, known = settled(np.concatenate(held), known, most_run)
+    held.clear()
+    if len(far):
+        yield starred(far)
+    if not len(near):
+        return
+    new = np.ones(len(near), bool)
+    new[1:] = (near["token"][1:] != near["token"][:-1]) | (100 * near["n"][:-1].astype(np.int64) < percent * near["n"][1:].astype(np.int64))
+    run = np.cumsum(new) - 1
+    keep = np.bincount(run)[run] > 1
+    kept, run = near[keep], run[keep]
     if not len(kept):
         return
     _, run = np.unique(run, return_inverse=True)
     with np.errstate(over="ignore"):
         name = np.zeros(int(run.max()) + 1, np.uint64)
-        np.add.at(name, run, mix64(kept["node"].view(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
+        np.add.at(name, run, mix64(kept["node"].astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
     name = mix64(name)
     _, first = np.unique(name, return_index=True)  # many shingles have the same nodes
     chosen = np.zeros(len(name), bool)
@@ -272,45 +376,105 @@ def runs_in(blocks, percent: int, most_run: int, most_held: int):
     yield 0, name[run[keep]].view(np.int64), kept["node"][keep].copy()
 
 
-def candidate_runs(nodes: DataFrame, percent: int) -> DataFrame:
-    """kind 0: node b is in run a; kind 1: nodes a and b are chained."""
-    spark = nodes.sparkSession
-    parts = shuffle_partitions(spark)
-    buckets = 4 * parts
+def candidate_runs(entries: DataFrame, percent: int) -> DataFrame:
+    """kind, a, b of the runs of blocks of entries, dealt by token."""
+
+    def find(blocks):
+        for kind, a, b in runs_in(blocks, percent, MOST_RUN, HELD_ENTRIES):
+            yield {"kind": pa.array(np.full(len(a), kind, np.int32)), "a": pa.array(a), "b": pa.array(b)}
+
+    return by_bucket(entries, _ENTRY, find, "kind int, a long, b long")
+
+
+def prefix_entries(nodes: DataFrame, buckets: int) -> DataFrame:
+    """Blocks of the prefix shingles of nodes."""
 
     def deal(whole):
         for at in range(0, whole.num_rows, 2000):
-            yield from deal_rows(whole.slice(at, 2000))
-
-    def deal_rows(batch):
-        prefixes = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-        lengths = np.array([len(x) for x in prefixes])
-        all_ = np.empty(int(lengths.sum()), _ENTRY)
-        if len(all_):
-            all_["token"] = np.concatenate(prefixes)
-            all_["node"] = np.repeat(batch.column(0).to_numpy(), lengths)
-            all_["n"] = np.repeat(batch.column(1).to_numpy(), lengths)
-            bucket = (mix64(all_["token"]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            all_, bucket = all_[order], bucket[order]
-            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            ends = np.append(at[1:], len(bucket))
-            yield {"bucket": pa.array(bucket[at].astype(np.int32)), "entries": pa.array([all_[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())}
-
-    def find(batches):
-        blocks = (np.frombuffer(x, _ENTRY) for batch in batches for x in batch.column(1).to_pylist())
-        for kind, a, b in runs_in(blocks, percent, MOST_RUN, HELD_ENTRIES):
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": pa.array(a), "b": pa.array(b)})
-        tidy()
+            batch = whole.slice(at, 2000)
+            prefixes = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+            lengths = np.array([len(x) for x in prefixes])
+            entries = np.empty(int(lengths.sum()), _ENTRY)
+            entries["token"] = np.concatenate(prefixes)
+            entries["node"] = np.repeat(batch.column(0).to_numpy(), lengths)
+            entries["n"] = np.repeat(batch.column(1).to_numpy(), lengths)
+            yield blocks_of(entries, "token", buckets)
+
+    return map_batches(nodes.select("node", "n", "prefix"), deal, _BLOCKS)
+
 
-    dealt = map_batches(nodes.select("doc_id", "n", "prefix"), deal, "bucket int, entries binary")
-    return dealt.repartition(parts, "bucket").mapInArrow(find, "kind int, a long, b long")
+def crowded_entries(sets: DataFrame, listed, buckets: int, percent: int) -> DataFrame:
+    """Blocks of the prefix shingles of the crowded nodes (node, set), in the order of how many of them hold a shingle; listed ones last."""
+
+    def deal(batch):
+        top = Listed(listed.value)
+        for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.frombuffer(x.as_buffer(), np.uint64)
+            late = top.mask(x)
+            yield node, x[~late], x[late], len(x)
+
+    def deal_blocks(batch):
+        held, size = [], 0
+        top = Listed(listed.value)
+
+        def packed():
+            near, far = np.empty(sum(len(r[1]) for r in held), _ENTRY), np.empty(sum(len(r[2]) for r in held), _SHARED)
+            for out, c in ((near, 1), (far, 2)):
+                lengths = [len(r[c]) for r in held]
+                out["token"] = np.concatenate([r[c] for r in held])
+                out["node"] = np.repeat(np.array([r[0] for r in held], np.int64), lengths)
+                out["n"] = np.repeat(np.array([r[3] for r in held], np.uint32), lengths)
+            far["count"] = top.rank(far["token"])
+            for kind, entries, key in ((0, near, "token"), (1, far, "node")):
+                made = blocks_of(entries, key, buckets)
+                yield {"kind": pa.array(np.full(len(made["bucket"]), kind, np.int32))} | made
+
+        for row in deal(batch):
+            held.append(row)
+            size += row[3]
+            if size > COUNTED:
+                yield from packed()
+                held, size = [], 0
+        if held:
+            yield from packed()
+
+    def count(blocks):
+        near, *_ = settled(np.concatenate(list(blocks)), np.zeros(0, np.uint64), 1 << 40)
+        _, at, n = np.unique(near["token"], return_inverse=True, return_counts=True)
+        n = n[at]
+        near, n = near[n > 1], n[n > 1]
+        for s in range(0, len(near), BUCKET_ENTRIES):
+            part = near[s : s + BUCKET_ENTRIES]
+            out = np.empty(len(part), _SHARED)
+            out["node"], out["token"], out["n"], out["count"] = part["node"], part["token"], part["n"], np.minimum(n[s : s + BUCKET_ENTRIES], _LISTED - 1)
+            yield blocks_of(out, "node", buckets)
+
+    def choose(blocks):
+        x = np.concatenate(list(blocks))
+        x = x[np.lexsort((x["token"], x["count"], x["node"]))]
+        keep = np.ones(len(x), bool)
+        keep[1:] = (x["node"][1:] != x["node"][:-1]) | (x["token"][1:] != x["token"][:-1])
+        x = x[keep]
+        _, first, own, shared = np.unique(x["node"], return_index=True, return_inverse=True, return_counts=True)
+        n = x["n"].astype(np.int64)
+        alone = n - shared[own]  # shingles of no other crowded node come first in the order
+        x = x[np.arange(len(x)) - first[own] < prefix_length(n, percent) - alone]
+        for s in range(0, len(x), BUCKET_ENTRIES):
+            part = x[s : s + BUCKET_ENTRIES]
+            out = np.empty(len(part), _ENTRY)
+            out["token"], out["node"], out["n"] = part["token"], part["node"], part["n"]
+            yield blocks_of(out, "token", buckets)
+
+    dealt = written(map_batches(sets.select("node", "set"), deal_blocks, f"kind int, {_BLOCKS}"))
+    counts = by_bucket(dealt.where("kind = 0").drop("kind"), _ENTRY, count, _BLOCKS)
+    return by_bucket(counts.union(dealt.where("kind = 1").drop("kind")), _SHARED, choose, _BLOCKS)
 
 
 def coarse_edges(nodes: DataFrame, runs: DataFrame, percent: int) -> DataFrame:
-    members = runs.where("kind = 0").select(F.col("a").alias("run"), F.col("b").alias("doc_id")).distinct()
-    members = members.join(nodes.select("doc_id", "n", "bitmap"), "doc_id")
-    grouped = members.groupBy("run").agg(F.collect_list(F.struct("doc_id", "n", "bitmap")).alias("x"))
+    """a, b: spanning pairs of what the bitmaps let link within runs."""
+    members = runs.select(F.col("a").alias("run"), F.col("b").alias("node")).distinct()
+    members = members.join(nodes.select("node", "n", "bitmap"), "node")
+    grouped = members.groupBy("run").agg(F.collect_list(F.struct("node", "n", "bitmap")).alias("x"))  # MOST_RUN nodes at most
 
     def chain(batch):
         a, b = [], []
@@ -326,17 +490,30 @@ def coarse_edges(nodes: DataFrame, runs: DataFrame, percent: int) -> DataFrame:
                 b.append(ids[s + j])
         return {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}
 
-    found = map_batches(grouped.select("x"), chain, "a long, b long")
-    return found.union(runs.where("kind = 1").select("a", "b")).distinct()
+    return map_batches(grouped.select("x"), chain, "a long, b long").distinct()
+
+
+def coarse_groups(docs: DataFrame, nodes: DataFrame, listed, k: int, percent: int) -> DataFrame:
+    """node, component: any two nodes that link are in one."""
+    held = nodes.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0)) / 8, F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = shuffle_partitions(docs.sparkSession)
+    runs = written(candidate_runs(prefix_entries(nodes, max(parts, int(held[0]) // BUCKET_ENTRIES + 1)), percent))
+    edges = coarse_edges(nodes, runs.where("kind = 0"), percent)
+    crowd = written(runs.where("kind = 1").select(F.col("b").alias("node")).union(nodes.where("crowded").select("node")).distinct())
+    if not crowd.isEmpty():
+        sets = sets_of(docs, nodes.join(crowd, "node", "left_semi"), k)
+        again = written(candidate_runs(crowded_entries(sets, listed, max(parts, int(held[1]) // BUCKET_ENTRIES + 1), percent), percent))
+        edges = edges.union(coarse_edges(nodes, again.where("kind = 0"), percent)).union(again.where("kind = 1").select("a", "b")).distinct()
+    return components(edges)
 
 
 def sized_nodes(coarse: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, component, blocks (into how many tiles' worth of nodes its coarse group is cut), pivots (one node in so many is one)."""
-    sized = coarse.join(nodes.select(F.col("doc_id").alias("node"), "n"), "node")
+    """node, n, component, blocks (into how many tiles' worth of nodes its group is cut), apart (one node in so many is a pivot)."""
+    sized = coarse.join(nodes.select("node", "n"), "node")
     groups = sized.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("m") / TILE_NODES), F.ceil(F.col("total") / TILE_SHINGLES)).cast("long")
     apart = F.greatest(F.col("m").cast("double") / PIVOTS, F.lit(1.0)).cast("long")
-    return sized.join(groups.select("component", blocks.alias("blocks"), apart.alias("apart")), "component")
+    return sized.join(written(groups.select("component", blocks.alias("blocks"), apart.alias("apart"))), "component")
 
 
 def _bands(percent: int):
@@ -362,12 +539,11 @@ def first_tiles(sized: DataFrame, percent: int) -> DataFrame:
     return small.union(large).withColumn("label", F.col("node")).select(_TILE)
 
 
-def second_tiles(sized: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Of large groups that aren't one part yet: every node outside the largest part with every node of the group."""
-    large = sized.where("blocks > 1").join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = large.groupBy("component", "label").agg(F.count("*").alias("m"))
+def second_tiles(labelled: DataFrame, percent: int) -> DataFrame:
+    """Of groups (component, node, n, label, blocks) of more than one part: every node outside the largest part with every node of the group."""
+    parts = labelled.groupBy("component", "label").agg(F.count("*").alias("m"))
     main = parts.groupBy("component").agg(F.max_by("label", F.struct("m", "label")).alias("main"), (F.sum("m") - F.max("m")).alias("tail")).where("tail > 0")
-    open_ = large.join(main.select("component", "main", F.ceil(F.col("tail") / TILE_NODES).cast("long").alias("tails")), "component")
+    open_ = labelled.join(written(main.select("component", "main", F.ceil(F.col("tail") / TILE_NODES).cast("long").alias("tails"))), "component")
     hash_ = F.xxhash64("node")
     as_any = open_.select("component", "node", "n", "label", F.explode(_all("tails")).alias("i"), F.pmod(hash_, F.col("blocks")).alias("j"))
     as_tail = open_.where("label <> main").select("component", "node", "n", "label", F.pmod(hash_, F.col("tails")).alias("i"), F.explode(_all("blocks")).alias("j"))
@@ -375,34 +551,44 @@ def second_tiles(sized: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """doc_id and sorted shingle array, for the wanted nodes and a few others that the filter lets through."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
-    rows = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("bits")).collect()
-    flags = np.zeros(1 << (FILTER_BITS - 6), np.int64)  # a filter of fixed size: full, it lets all rows through
-    for r in rows:
-        flags[r["w"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(flags)
+    """node and sorted shingle array of the wanted nodes (node, doc_id, h1, h2)."""
+    keys = wanted.select("node", F.col("doc_id").alias("own"), "h1", "h2")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(keys.select(F.xxhash64("own").alias("key"))))
 
     def load(batch):
-        slots = batch.column(2).to_numpy()
-        keep = np.flatnonzero((shared.value[slots >> 6] >> (slots & 63)) & 1)
-        ids, text = batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))
+        keep = pa.array(np.flatnonzero(set_bits(batch.column(2).to_numpy(), shared.value)))
+        ids, text = batch.column(0).take(keep), batch.column(1).take(keep)
         for a, z, sets in batch_sets(text, k):
-            yield {"node": ids.slice(a, z - a), "set": pa.array([x.tobytes() for x in sets], pa.binary())}
+            h = [set_hashes(x) for x in sets]
+            yield {"doc_id": ids.slice(a, z - a), "h1": pa.array([x[0] for x in h], pa.int64()), "h2": pa.array([x[1] for x in h], pa.int64()), "set": pa.array([x.tobytes() for x in sets], pa.binary())}
+
+    id_ = F.col("doc_id").cast("long")
+    made = map_batches(docs.select(id_.alias("doc_id"), "text", F.xxhash64(id_).alias("key")), load, "doc_id long, h1 long, h2 long, set binary")
+    return made.join(keys, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("own"))).select("node", "set")
+
 
-    source = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null").withColumn("slot", slot)
-    return map_batches(source, load, "node long, set binary")
+def possible(nodes: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Labels a, b of parts that the bitmaps let link in a tile."""
 
+    def test(table: pa.Table) -> pa.Table:
+        labels = table.column("label").to_numpy()
+        maps = [np.frombuffer(x, np.uint64) for x in table.column("bitmap").to_pylist()]
+        join = Join(table.column("n").to_numpy(), maps, percent)
+        _, first, part = np.unique(labels, return_index=True, return_inverse=True)
+        join.parent = first[part].tolist()
+        found = list(join.links(None))
+        return pa.table({"a": pa.array([labels[i] for i, _ in found], pa.int64()), "b": pa.array([labels[j] for _, j in found], pa.int64())})
 
-def verified(docs: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
+    return placed.join(nodes.select("node", "n", "bitmap"), "node").groupBy("component", "band", "i", "j").applyInArrow(test, "a long, b long")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
     """Links a, b that join two parts of a tile; nodes of one label are one part from the start."""
-    loaded = sets_of(docs, placed.select("node").distinct(), k).join(placed, "node")
+    loaded = sets_of(docs, nodes.join(placed.select("node").distinct(), "node", "left_semi"), k).join(placed, "node")
 
     def verify(table: pa.Table) -> pa.Table:
         ids, labels = table.column("node").to_numpy(), table.column("label").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        full = [i for i, x in enumerate(sets) if len(x)]
-        ids, labels, sets = ids[full], labels[full], [sets[i] for i in full]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").combine_chunks()] if table.num_rows else []
         a, b = [], []
         if len(sets) > 1:
             join = Join(np.array([len(x) for x in sets]), [bitmap(x) for x in sets], percent)
@@ -418,34 +604,62 @@ def verified(docs: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFr
 
 def exact_links(docs: DataFrame, coarse: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     sized = written(sized_nodes(coarse, nodes))
-    links = written(verified(docs, written(first_tiles(sized, percent)), k, percent))
-    if sized.where("blocks > 1").isEmpty():
+    links = written(verified(docs, nodes, written(first_tiles(sized, percent)), k, percent))
+    large = sized.where("blocks > 1")
+    if large.isEmpty():
         return links
-    rest = written(second_tiles(sized, components(links), percent))
-    return links if rest.isEmpty() else links.union(verified(docs, rest, k, percent))
+    labels = components(links).select("node", F.col("component").alias("label"))
+    large = written(large.drop("apart").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    pairs = written(possible(nodes, second_tiles(large, percent), percent))
+    if pairs.isEmpty():
+        return links
+    again = components(pairs).withColumnRenamed("node", "label")
+    again = sized_nodes(large.drop("component", "blocks", "n").join(again, "label"), nodes)
+    return links.union(verified(docs, nodes, written(second_tiles(written(again), percent)), k, percent))
+
+
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, h1, h2, component_id, and of its group the doc_id and hashes (keep, k1, k2) of the row that stands for it."""
+    listed = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
+    all_ = written(described(docs, listed, k, percent))
+    full = all_.where("n > 0")
+    reps = written(full.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")))
+    nodes = written(full.join(reps.select("node"), full.row == reps.node).select("node", "doc_id", "h1", "h2", "n", "prefix", "crowded", "bitmap"))
+    links = written(exact_links(docs, written(coarse_groups(docs, nodes, listed, k, percent)), nodes, k, percent))
+    own = reps.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h1", "h2")).alias("first")
+    groups = written(own.join(own.groupBy("component").agg(first), "component").select("h1", "h2", "first"))
+    out = all_.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(groups, ["h1", "h2"], "left")
+    id_ = F.when(F.col("n_shingles") > 0, F.col("first.rep")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", "h1", "h2", id_.alias("component_id"), F.col("first.h1").alias("k1"), F.col("first.h2").alias("k2"))
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     Two documents link when 100 * overlap >= percent * union of their k-word shingles. Texts that are null,
-    empty or without words have no shingles and link with nothing. Rows that share a doc_id are one document.
-    A null doc_id gets a null component_id. Extra columns are ignored; an empty table gives an empty result.
+    empty or without words have no shingles and link with nothing. Very long texts are read in slices and compared whole.
+    Rows are linked by their sets: repeated rows are in one group; rows that share a doc_id but not the text are in the groups of
+    their texts. component_id is the smallest doc_id of the group; rows with a null doc_id are linked like
+    others, and a group of such rows only has a null component_id. There are no ties. Extra columns
+    are ignored, whatever their names; an empty table gives an empty result.
     """
-    all_ = written(described(docs, k, percent))
-    own = all_.where("n > 0 and doc_id is not null")
-    reps = written(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
-    nodes = written(own.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n", "prefix", "bitmap"))
-    runs = written(candidate_runs(nodes, percent))
-    coarse = written(components(coarse_edges(nodes, runs, percent)))
-    links = written(exact_links(docs, coarse, nodes, k, percent))
-    labels = components(links)
-    ids = reps.join(labels, reps.rep == labels.node, "left").select("h1", "h2", F.coalesce("component", "rep").alias("found"))
-    out = all_.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(ids, ["h1", "h2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return grouped(docs, k, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component; a null doc_id stays."""
-    gone = ngram_jaccard_join(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that stand for their group, with all their columns.
+
+    That is the row with the group's smallest doc_id, nulls last; of rows with that doc_id and other texts of the group, the one
+    whose set has the smaller hashes. Rows that repeat its doc_id and words are the same document, and stay.
+    Rows without words stay. A row goes by its doc_id and its set, so that other texts with its doc_id stay.
+    Very long texts, nulls, clashing names and empty tables as in ngram_jaccard_join.
+    """
+    found = grouped(docs, k, percent).where("n_shingles > 0")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
+
+    def keys(batch):
+        h = [set_hashes(x) for _, _, sets in batch_sets(batch, k) for x in sets]
+        return [x[0] for x in h], [x[1] for x in h]
+
+    return without(docs, found.where(~stays).select("doc_id", F.col("h1").alias("k1"), F.col("h2").alias("k2")).distinct(), keys)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import coefficients, lower_ascii, map_batches, mix64, row_slices, text_buffer, tidy, word_hashes
+from .common import COEFFICIENTS, lower_ascii, map_batches, mix64, row_slices, text_buffer, tidy, word_hashes
 
 BITS = 20
 STEM = 4
@@ -33,7 +33,7 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     buf = lower_ascii(buf)
     h, starts, ends, counts = word_hashes(np.where(_SEPARATORS[buf] == 1, np.uint8(32), buf), offsets)
     row = np.repeat(np.arange(len(counts)), counts)
-    c = coefficients(4096)[2000:2004] | np.uint64(1)
+    c = COEFFICIENTS[2000:2004] | np.uint64(1)
     long_ = np.flatnonzero(ends - starts > STEM)
     stem = np.zeros(len(long_), np.uint64)
     for i in range(STEM):
