@@ -75,34 +75,60 @@ def test_join_in_small_runs_and_tiles(spark, monkeypatch):
     assert got == brute(rows)
 
 
-def test_long_run_is_remembered():
-    """Nodes that come after a long run was thinned are chained to it, few as they are, over all sizes of the run."""
-    entries = lambda nodes, sizes: np.array([(7, i, n) for i, n in zip(nodes, sizes)], ngram_join._ENTRY)
-    sizes = [100 + 4 * (i % 150) for i in range(300)]
-    blocks = [entries(range(300), sizes), entries(range(300, 310), [130, 190, 240, 300, 350, 410, 470, 540, 640, 690]), entries([400, 401], [5000, 5001])]
-    parent = {i: i for i in (*range(310), 400, 401)}
+def test_runs_of_a_task():
+    """A shingle of more than most_run nodes gives all of them out, however the blocks fall; shorter runs end at gaps of sizes."""
+    entries = lambda t, nodes, sizes: np.array([(t, i, n) for i, n in zip(nodes, sizes)], ngram_join._ENTRY)
+    blocks = [entries(7, range(300), [100] * 300), entries(8, [1, 2], [100, 110]), entries(7, range(300, 310), [130] * 10), entries(9, [400, 401, 402, 403], [5000, 5001, 9000, 9001]), entries(8, [3], [500])]
+    for held in (5, 250, 10_000):
+        runs, far = [], set()
+        for kind, a, b in ngram_join.runs_in(blocks, 80, 256, held):
+            if kind:
+                far |= set(b.tolist())
+                assert len(set(a.tolist())) == 1
+            else:
+                runs += [sorted(b[a == r].tolist()) for r in np.unique(a)]
+        assert sorted(runs) == [[1, 2], [400, 401], [402, 403]] and far == set(range(310))
+
+
+def boilerplate(n):
+    """Texts of two or three of six passages and words of their own: no two link."""
+    rng = random.Random(12)
+    passages = [[f"p{k}x{j}" for j in range(40)] for k in range(6)]
+    rows = []
+    for i in range(n):
+        w = [x for p in rng.sample(passages, rng.choice([2, 3])) for x in p] + [f"own{i}w{j}" for j in range(60)]
+        rows.append((i, " ".join(w)))
+    return rows
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    runs = []
-    for kind, a, b in ngram_join.runs_in(blocks, 80, 256, 250):
-        if kind == 0:
-            runs.append(sorted(b.tolist()))
-        else:
-            for x, y in zip(a.tolist(), b.tolist()):
-                parent[find(x)] = find(y)
-    assert runs == [[400, 401]] and len({find(i) for i in range(310)}) == 1 and find(400) == 400
+def test_boilerplate_makes_no_groups(spark, monkeypatch):
+    """Documents that share only passages are dealt together by none of them, though the list of frequent shingles is exhausted."""
+    monkeypatch.setattr(ngram_join, "HOT_LIST", 20)
+    docs = frame(spark, boilerplate(6000))
+    listed = spark.sparkContext.broadcast(ngram_join.frequent(docs, 5))
+    assert len(listed.value[0]) == 20
+    all_ = common.written(ngram_join.described(docs, listed, 5, 80))
+    nodes = all_.select(F.col("row").alias("node"), "doc_id", "h1", "h2", "n", "prefix", "crowded", "bitmap")
+    assert ngram_join.candidate_runs(ngram_join.prefix_entries(nodes, 8), 80).where("kind = 1").count() > 1000
+    assert ngram_join.coarse_groups(docs, nodes, listed, 5, 80).groupBy("component").count().where("count > 512").count() == 0
+    again = ngram_join.candidate_runs(ngram_join.crowded_entries(ngram_join.sets_of(docs, nodes, 5), listed, 8, 80), 80)
+    assert again.count() == 0
 
 
-@pytest.mark.parametrize("percent", [50, 80, 95])
-def test_steps_leave_no_gap(percent):
-    n = np.array([10, 10, 11, 11, 12, 14, 17, 21, 26, 26, 30, 33, 33])
-    n = n[np.concatenate([[True], 100 * n[:-1] >= percent * n[1:]]).cumprod().astype(bool)]
-    at = ngram_join.stepping(n, percent)
-    assert at[0] == 0 and at[-1] == len(n) - 1 and all(100 * n[i] >= percent * n[j] for i, j in zip(at, at[1:]))
+@pytest.mark.parametrize("listed", [0, 20])
+def test_join_of_boilerplate_and_copies(spark, monkeypatch, listed):
+    for name, value in (("MOST_RUN", 8), ("HOT_LIST", listed), ("TILE_NODES", 16), ("PIVOTS", 2), ("HOT_LOCAL", 2), ("HOT_TOTAL", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(13)
+    rows = boilerplate(60) + boilerplate(20)
+    for i in range(80):  # mostly passages: some link, others are alike by less
+        w = [x for k in range(3) for x in [f"q{(i + k) % 4}x{j}" for j in range(40)]]
+        rows.append((i, " ".join(w[: rng.choice([120, 110, 90])]) + f" own{i}" * 2))
+    for i in range(60):
+        rows.append((i, " ".join(f"z{j}" if rng.random() > 0.03 else f"c{i}" for j in range(120))))
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(frame(spark, rows)).collect()}
+    assert got == brute(rows)
 
 
 def test_join_with_few_entries_held(spark, monkeypatch):
@@ -128,6 +154,16 @@ def test_one_of_each_keeps_columns(spark):
     df = frame(spark, [(3, "a b c d e f g"), (1, "A b c d e f g"), (2, "other words are here now"), (None, None)])
     kept = ngram_join.one_of_each(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2]
+    odd = spark.createDataFrame([(1, "x y", 5, 6, 7, 8), (2, "x y", 5, 6, 7, 8)], "doc_id long, text string, k10 long, K2 long, maybe0 long, own0 long")
+    assert [tuple(r) for r in ngram_join.one_of_each(odd).collect()] == [(1, "x y", 5, 6, 7, 8)] and ngram_join.one_of_each(odd.limit(0)).count() == 0
+
+
+def test_one_of_each_loses_no_text(spark):
+    """A row goes by its doc_id and its text; rows without a doc_id are linked like others."""
+    a, b = "a b c d e f g", "p q r s t u v"
+    rows = [(2, a), (1, a), (2, b), (None, b), (None, a), (3, "z y x w v u t"), (3, "z y x w v u t"), (None, "k l m n o p"), (None, "k l m n o p")]
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in ngram_join.one_of_each(frame(spark, rows)).collect())
+    assert got == [(-1, "k l m n o p")] * 2 + [(1, a), (2, b)] + [(3, "z y x w v u t")] * 2
 
 
 def test_words_and_slices():
@@ -142,6 +178,39 @@ def test_words_and_slices():
     assert list(common.row_slices(np.array([0]), 10)) == []
 
 
+def test_words_by_slices():
+    """Rows and words that go on over slices have the hashes and places that they have in one."""
+    rng = random.Random(8)
+    texts = ["", "x" * 9000, " ", "é" * 5000 + " end"] + ["".join(rng.choice("ab\t É") for _ in range(rng.randint(0, 300))) for _ in range(40)] + ["", "last"]
+    raw = [t.encode() for t in texts]
+    buf, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    whole = list(common.word_slices(buf, offsets, common.LOWER, 1 << 20))
+    assert len(whole) == 1
+    cut = [buf[a:z].tobytes().decode() for a, z in zip(whole[0][2], whole[0][3])]
+    assert cut == [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+    for most in (1, 7, 100, 4097):
+        parts = list(common.word_slices(buf, offsets, common.LOWER, most))
+        assert [np.concatenate(x).tolist() for x in zip(*parts)] == [x.tolist() for x in whole[0]]
+    import pyarrow as pa
+
+    counts = [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts]
+    for most in (7, 100, 1 << 20):
+        common.SLICE_BYTES, was = most, common.SLICE_BYTES
+        try:
+            assert common.count_words(pa.array(texts)).tolist() == counts
+        finally:
+            common.SLICE_BYTES = was
+
+
+def test_long_sets():
+    for text in ("a b c d e f " * 30_000 + "z", "one word", "w" * 200_000, "", " ".join(str(i) for i in range(70_000))):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        assert ngram_join.long_set(buf, 5).tolist() == ngram_join.shingle_sets(buf, np.array([0, len(buf)]))[0].tolist()
+    x = np.unique(np.random.default_rng(1).integers(0, 2**64, 400_000, np.uint64))
+    odd = np.bincount(((x >> np.uint64(20)) & np.uint64((1 << 19) - 1)).astype(np.int64), minlength=1 << 19) & 1
+    assert (np.unpackbits(ngram_join.bitmap(x).view(np.uint8), bitorder="little") == odd).all()
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     order = list(range(n))
@@ -169,3 +238,16 @@ def test_exact_repeats_nulls_and_empty(spark):
     kept = exact_dedup.deduplicated(frame(spark, [(1, "A"), (2, "a"), (3, "b")]))
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {2, 3}
     assert exact_dedup.deduplicated(df.limit(0)).agg(F.count("*")).first()[0] == 0
+
+
+def test_deduplicated_loses_no_text(spark):
+    rows = [(1, "a"), (1, "z"), (2, "A"), (None, "a"), (None, "n"), (None, "N"), (3, ""), (4, None), (5, "y" * 300 + "1"), (6, "y" * 300 + "2"), (7, "rep"), (7, "rep")]
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in exact_dedup.deduplicated(frame(spark, rows)).collect())
+    assert got == [(-1, "N"), (-1, "n"), (1, "z"), (2, "A"), (4, ""), (5, "y" * 300 + "1"), (6, "y" * 300 + "2"), (7, "rep"), (7, "rep")]
+
+
+def test_exact_groups_shuffle_no_texts(spark, small):
+    from marlstone.llm import queries
+
+    p = queries.op8_exact_dedup(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("MapInArrow|documents", p)  # what is joined was written: numbers and digests
