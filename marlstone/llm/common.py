@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialized as written
@@ -156,6 +156,46 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for i in range(len(taken) + 1) if (n := f"{w}{i or ''}") not in taken) for w in wanted]
+
+
+def first_by_hash(rows: DataFrame, label: str, k: int) -> DataFrame:
+    """Of rows (doc_id, label) without repeats, the k of each label that come first by a hash of doc_id.
+
+    Where a label has many more, a bound on the hash leaves some more than k, so no task sorts all rows of a label.
+    """
+    rows = written(rows.select("doc_id", label).distinct().withColumn("hash", F.xxhash64("doc_id")))
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}  # a row a label
+    bound = F.lit(2**63 - 1).cast("long")
+    for x, n in counts.items():
+        want = 1.25 * k + 64
+        if n > want:
+            bound = F.when(F.col(label) == x, F.lit(int(want / n * 2**64) - 2**63)).otherwise(bound)
+    place = F.row_number().over(Window.partitionBy(label).orderBy("hash", "doc_id"))
+    return rows.where(F.col("hash") <= bound).withColumn("place", place).where(F.col("place") <= k).select("doc_id", label, "hash")
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """df with columns of the sums over all rows before in the order, which has no ties, and the sums over all rows; no task holds all rows."""
+    parts = shuffle_partitions(df.sparkSession)
+    held = df.withColumns({f"own_{k}": c for k, c in sums.items()}).repartitionByRange(parts, *order)
+    held = written(held.withColumn("part", F.spark_partition_id()))
+    per = sorted(held.groupBy("part").agg(*[F.sum(f"own_{k}").alias(k) for k in sums]).collect())  # a row a partition
+    before, total = [], dict.fromkeys(sums, 0)
+    for r in per:
+        before.append((r["part"], *total.values()))
+        total = {k: v + r[k] for k, v in total.items()}
+    if not before:
+        return held.select(*df.columns, *[F.col(f"own_{k}").alias(k) for k in sums]), total
+    offsets = df.sparkSession.createDataFrame(before, ["part", *[f"to_{k}" for k in sums]])
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.join(F.broadcast(offsets), "part")  # a row a partition
+    return held.select(*df.columns, *[(F.coalesce(F.sum(f"own_{k}").over(inside), F.lit(0)) + F.col(f"to_{k}")).alias(k) for k in sums]), total
+
+
 FILTER_BITS = 24
 
 
@@ -183,8 +223,7 @@ def without(docs: DataFrame, gone: DataFrame, keys: Callable[[pa.Array], tuple[l
     if gone.isEmpty():
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(gone.select(F.xxhash64("doc_id").alias("key"))))
-    names = {c.lower() for c in docs.columns}
-    maybe, k1, k2, own = (next(n for i in range(len(names) + 1) if (n := f"{c}{i}") not in names) for c in ("maybe", "k1", "k2", "own"))
+    maybe, k1, k2, own = free_names(docs, "maybe", "k1", "k2", "own")
 
     @F.arrow_udf("boolean")
     def met(key: pa.Array) -> pa.Array:

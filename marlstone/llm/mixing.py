@@ -2,90 +2,89 @@
 
 Targets: sources in code point order, null last, take the weights in turn and share all words; a source's
 target stops at MOST_COPIES times its words, and the excess goes to the others by weight. Sorted by how
-soon they stop, the level at which the rest share follows from running sums; this runs on one row a source.
+soon they stop, the level at which the rest share follows from running sums over ranges of sources.
 
 Sampling: each document expects target / source words copies. Within a source, documents are ordered by
 size, so that the draw is even over sizes; the prefix sum of expected copies plus one random offset
-of the source crosses integers, and each crossing emits the document once. Of OFFSETS evenly spaced offsets from a
-random start, a source has the one whose words come nearest to its target, which matters where few documents
-hold most words. Ranks come from counts by (source, size, slot): no task holds a source.
+of the source crosses integers, and each crossing emits the document once. What a source takes is then within twice its
+longest document of its target. Places come from ranges of the order and counts of each source in them: no task holds a source.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, map_batches, written
+from .common import count_words, free_names, map_batches, running, shuffle_partitions, written
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-SLOTS = 256
-OFFSETS = 16
 SEED = 17
 
 
-def sized(docs: DataFrame, row: tuple = ()) -> DataFrame:
+def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, source, size in words, and the column row of whole numbers; without it, a number for each row."""
+
     def count(batch):
-        return {"doc_id": batch.column(0), "source": batch.column(1), "size": pa.array(count_words(batch.column(2)))} | {c: batch.column(3) for c in row}
+        out = {"doc_id": batch.column(0), "source": batch.column(1), "size": pa.array(count_words(batch.column(2)))}
+        return out | ({"row": batch.column(3)} if row else {})
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", *row), count, "doc_id long, source string, size long" + "".join(f", {c} long" for c in row))
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", *([F.col(row).alias("row")] if row else []))
+    held = map_batches(held, count, "doc_id long, source string, size long" + ", row long" * bool(row))
+    return held if row else held.withColumn("row", F.monotonically_increasing_id())
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
     """source, source_size, target."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("w", weight).withColumn("cap", F.col("source_size") * MOST_COPIES)
-    soonest = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = soonest.rowsBetween(Window.unboundedPreceding, -1)
-    everyone = soonest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0).cast("long"))).withColumn("w_left", F.sum("w").over(everyone) - F.coalesce(F.sum("w").over(before), F.lit(0).cast("long")))
-    per = per.withColumn("level", (F.sum("source_size").over(everyone) - F.col("cap_before")).cast("double") / F.col("w_left"))
-    per = per.withColumn("stops", F.col("level") * F.col("w") >= F.col("cap"))
-    # the level of the first source that does not stop is everyone's
-    per = per.withColumn("final", F.min(F.when(~F.col("stops"), F.struct(F.col("cap") / F.col("w"), F.col("level")))).over(everyone)["level"])
-    return per.select("source", "source_size", F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(F.col("final") * F.col("w")).alias("target"))
-
-
-def mixed(docs: DataFrame, weights=WEIGHTS, seed: int = SEED, row: tuple = ()) -> DataFrame:
-    """Per row of docs (doc_id, text, source): doc_id, size, source_size, target, copies, taken.
-
-    A null text has size 0; a null source is a source of its own. A source without words has target 0 and
-    its documents get no copies. Ties in size go by slot and doc_id; repeated rows are sampled each for
-    itself. Extra columns are ignored; an empty table gives an empty result. Reruns agree.
-    row may name one column of whole numbers that is carried along and ends ties.
+    by_name = F.col("source").asc_nulls_last()
+    per, _ = running(per, [by_name], {"name_place": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod("name_place", F.lit(len(weights))) + 1).cast("int"))
+    per = per.withColumn("w", weight).drop("name_place").withColumn("cap", F.col("source_size") * MOST_COPIES).withColumn("soon", F.col("cap") / F.col("w"))
+    per, total = running(per, [F.col("soon"), by_name], {"cap_before": F.col("cap"), "w_before": F.col("w"), "size_before": F.col("source_size")})
+    level = (F.lit(total["size_before"]) - F.col("cap_before")).cast("double") / (F.lit(total["w_before"]) - F.col("w_before"))
+    per = written(per.withColumn("level", level).withColumn("stops", F.col("level") * F.col("w") >= F.col("cap")))
+    final = per.where("not stops").agg(F.min(F.struct("soon", (-F.col("level")).alias("less"))).alias("x")).first()["x"]  # the level of the first source that does not stop is everyone's
+    shared = F.lit(-final["less"] if final else 0.0) * F.col("w")
+    return per.select("source", "source_size", F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(shared).alias("target"))
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, seed: int = SEED, row: str | None = None) -> DataFrame:
+    """Per row of docs (doc_id, text, source): doc_id, size, source_size, target, copies, taken, and with row that column as row.
+
+    A null text has size 0, and a very long one is counted in slices; a null source is a source of its own. A source without words
+    has target 0 and its documents get no copies. Ties in size go by a hash of doc_id, doc_id and the row; rows without
+    a doc_id and repeated rows are sampled each for itself. Extra columns are ignored, whatever their names; an empty
+    table gives an empty result. Reruns agree.
     """
-    sizes = written(sized(docs, row).withColumn("slot", F.coalesce(F.pmod("doc_id", F.lit(SLOTS)), F.lit(-1).cast("long"))))
-    goals = targets(sizes, weights).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    rows = sizes.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    rank = F.row_number().over(Window.partitionBy("key", "size", "slot").orderBy("doc_id", *row))
-    counts = rows.groupBy("key", "size", "slot").agg(F.count("*").alias("n"))
-    in_size = F.sum("n").over(Window.partitionBy("key", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    by_size = counts.groupBy("key", "size").agg(F.sum("n").alias("n"))
-    below = by_size.select("key", "size", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
+    slot = F.coalesce(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2), F.lit(""))
+    sizes = written(sized(docs, row).withColumn("slot", slot).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "key")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    starts = counts.withColumn("within", F.coalesce(in_size, F.lit(0))).join(below, ["key", "size"]).join(goals.drop("source"), "key")
-    starts = starts.select("key", "size", "slot", (F.col("below") + F.col("within")).alias("start"), "source_size", "target", offset.alias("u"))
-    rows = rows.withColumn("rank", rank).join(starts, ["key", "size", "slot"])
+    goals = targets(sizes, weights).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    goals = written(goals.select("key", "source_size", "target", offset.alias("u")))
+    order = ["key", "size", "slot", "doc_id", "row"]
+    dealt = written(sizes.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("key", "part").agg(F.count("*").alias("n"))  # for a source, a row a partition
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(counts.select("key", "part", before.alias("start")).join(goals, "key"))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("key", "part").orderBy("size", "slot", "doc_id", "row"))
+    rows = dealt.join(starts, ["key", "part"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = written(rows.select("doc_id", *row, "key", "size", "source_size", "target", "u", rate.alias("rate"), (F.col("start") + F.col("rank")).alias("place")))
-
-    def copies(k) -> Column:
-        u = F.col("u") + F.lit(k / OFFSETS) if isinstance(k, int) else F.col("u") + k / OFFSETS
-        u = u - F.floor(u)
-        return F.least(F.floor(F.col("place") * F.col("rate") + u) - F.floor((F.col("place") - 1) * F.col("rate") + u), F.lit(MOST_COPIES).cast("long"))
-
-    sums = rows.groupBy("key").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * copies(k)).alias(f"t{k}") for k in range(OFFSETS)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
-    out = rows.join(sums.select("key", nearest.alias("k")), "key").withColumn("copies", copies(F.col("k")))
-    return out.select("doc_id", *row, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = rows.select("doc_id", "row", "size", "source_size", "target", "u", rate.alias("rate"), place.alias("place"))
+    copies = F.least(F.floor(F.col("place") * F.col("rate") + F.col("u")) - F.floor((F.col("place") - 1) * F.col("rate") + F.col("u")), F.lit(MOST_COPIES).cast("long"))
+    out = rows.withColumn("copies", copies)
+    return out.select("doc_id", *(["row"] if row else []), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
-    """docs with each row as often as the mix takes it, with or without a doc_id; the columns of docs."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    plan = mixed(rows, weights, seed, ("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    return rows.join(plan, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+    """docs with each row as often as the mix takes it; the columns of docs.
+
+    Each row goes for itself: rows without a doc_id and repeated rows are sampled like others. Null and very long texts, null
+    sources, ties and empty tables as in mixed; any columns of docs are kept, whatever their names.
+    """
+    row, own, copies, copy = free_names(docs, "row", "own_row", "copies", "copy")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    plan = mixed(rows, weights, seed, row).where("copies > 0").select(F.col("row").alias(own), F.col("copies").alias(copies))
+    out = rows.join(written(plan), F.col(row) == F.col(own))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(docs.columns)

@@ -70,14 +70,12 @@ w AS (SELECT *, CASE i WHEN 0 THEN {mixing.WEIGHTS[0]} WHEN 1 THEN {mixing.WEIGH
 o AS (SELECT *, coalesce(sum(cap) OVER p, 0) AS cap_before, sum(w) OVER () - coalesce(sum(w) OVER p, 0) AS w_left, sum(source_size) OVER () AS total FROM w WINDOW p AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, (total - cap_before)::DOUBLE / w_left AS level FROM o),
 f AS (SELECT *, level * w >= cap AS stops FROM l),
-t AS (SELECT key, source_size, CASE WHEN stops THEN cap::DOUBLE ELSE (SELECT arg_min(level, cap / w) FROM f WHERE NOT stops) * w END AS target FROM f),
+t AS (SELECT key, source_size, CASE WHEN stops THEN cap::DOUBLE ELSE (SELECT arg_min(level, (cap / w, -level)) FROM f WHERE NOT stops) * w END AS target FROM f),
 r AS (SELECT doc_id, key, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  row_number() OVER (PARTITION BY key ORDER BY size, coalesce(doc_id % {mixing.SLOTS}, -1), doc_id) AS place,
+  row_number() OVER (PARTITION BY key ORDER BY size, coalesce(substr(md5(doc_id::VARCHAR), 1, 2), ''), doc_id) AS place,
   ('0x' || substr(md5('{mixing.SEED}:' || key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d JOIN t USING (key)),
-v AS (SELECT *, u + k / {mixing.OFFSETS}.0::DOUBLE - floor(u + k / {mixing.OFFSETS}.0::DOUBLE) AS o FROM r, (SELECT unnest(range({mixing.OFFSETS})) AS k)),
-c AS (SELECT *, least(floor(place * rate + o) - floor((place - 1) * rate + o), {mixing.MOST_COPIES})::BIGINT AS copies FROM v),
-b AS (SELECT key, arg_min(k, (off, k)) AS k FROM (SELECT key, k, abs(sum(copies * size)::BIGINT - any_value(target)) AS off FROM c GROUP BY key, k) GROUP BY key)
-SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c JOIN b USING (key, k)"""
+c AS (SELECT *, least(floor(place * rate + u) - floor((place - 1) * rate + u), {mixing.MOST_COPIES})::BIGINT AS copies FROM r)
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c"""
 
 
 OP1 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

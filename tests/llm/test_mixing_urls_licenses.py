@@ -68,6 +68,42 @@ def test_mixture_of_rows_without_id(spark):
     assert len(got) == sum(r["copies"] for r in plan)
 
 
+def test_mixture_takes_each_row_for_itself(spark):
+    """Repeated rows of one doc_id in two sources come out as often as their sources' targets say."""
+    df = spark.createDataFrame([(7, words(10), s, 1, 2, 3) for s in "aaaaabbbbb"], "doc_id long, text string, source string, _copies long, row long, Copies long")
+    got = mixing.mixture(df)
+    assert got.columns == df.columns
+    by = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
+    assert abs(by["a"] * 10 - 71.4) < 10 and abs(by["b"] * 10 - 28.6) < 10
+
+
+def test_ids_of_one_remainder_and_many_sources(spark):
+    rows = [(i * 256, words(10), f"s{i % 700}") for i in range(3500)]
+    got = mixing.mixed(docs(spark, rows)).collect()
+    want = water_filled({f"s{i}": 50 for i in range(700)})
+    assert len(got) == 3500 and all(abs(r["target"] - want[f"s{r['doc_id'] // 256 % 700}"]) < 1e-6 for r in got)
+
+
+def test_mix_against_plain_prefix_sums(spark):
+    import hashlib
+
+    rng = random.Random(6)
+    rows = [(i, words(rng.randint(0, 60)), rng.choice(["a", "b", "c", None])) for i in range(800)]
+    got = {r["doc_id"]: r["copies"] for r in mixing.mixed(docs(spark, rows)).collect()}
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    goal = water_filled(sizes)
+    for s in sizes:
+        u = int(hashlib.md5(f"17:{'s' + s if s is not None else ''}".encode()).hexdigest()[:8], 16) / 2**32
+        own = sorted((len(t.split()), hashlib.md5(str(i).encode()).hexdigest()[:2], i) for i, t, x in rows if x == s)
+        total = 0.0
+        for k, (_, _, i) in enumerate(own, 1):
+            at, rate = total, goal[s] / sizes[s]
+            total = k * rate
+            assert got[i] == min(3, int(total + u) - int(at + u)), i
+
+
 PAGES = [
     (1, "http://x.net/a", '<a href="http://good.example.org/q">'), (2, "HTTPS://A.Example.NET/en/x?y#z", None), (3, "http://example.com/de/", ""), (4, "http://example.com/en", ""),
     (5, None, ""), (6, "no scheme", ""), (7, "http://b.org/fr/x", '<a href=\'http://friend.com/\'>'), (8, "http://friend.com/z", ""), (9, "http://spam.com/1", '<a href="http://x.net/a"><a href="http://y.net/a">'),
