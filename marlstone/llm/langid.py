@@ -3,24 +3,25 @@
 Texts are cut into windows of WINDOW bytes; in each, a forward and a backward pass label every byte, and a
 document's probabilities are the mean over its bytes. It learns every language that has labels, from a bounded
 sample: PER_LANG documents of each, fewer if there are more than MOST_LANGS languages but at least one, first by a hash of
-doc_id. Prediction reads whole texts.
+doc_id, and of each at most PER_TEXT windows of TRAIN_WINDOW bytes, evenly spaced; these are cut where the texts are.
+Prediction reads whole texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, row_slices, text_buffer, tidy
+from .common import LOWER, first_by_hash, map_batches, row_slices, text_buffer, tidy, written
 
 HIDDEN = 8
 WINDOW = 96
 PER_LANG = 400
 MOST_LANGS = 64
 STEPS, BATCH, LEARN_RATE = 250, 128, 0.02
-TRAIN_WINDOW = 48
+TRAIN_WINDOW, PER_TEXT = 48, 24
 FOLDS, HELD_OUT = 4, 2
 SLICE = 384 << 10
 
@@ -178,11 +179,10 @@ class Network:
             return out
         order = np.argsort(-size, kind="stable")
         begin, size, row = begin[order], size[order], row[order]
-        padded = np.append(lower_ascii(buf), np.full(WINDOW, 32, np.uint8))
         for s in range(0, len(row), 2048):
             b, n, own = begin[s : s + 2048], size[s : s + 2048], row[s : s + 2048]
             steps = int(n.max())
-            x = padded[b[None, :] + np.arange(steps)[:, None]]
+            x = LOWER[buf[np.minimum(b[None, :] + np.arange(steps)[:, None], len(buf) - 1)]]
             inside = np.arange(steps)[:, None] < n[None, :]
             x[~inside] = 32
             p = self.probabilities(x, inside.sum(axis=1))
@@ -193,25 +193,49 @@ class Network:
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG, steps: int = STEPS) -> Network | None:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
+    known = written(known.distinct())
     each = max(1, min(per_lang, per_lang * MOST_LANGS // max(1, known.select("lang").distinct().count())))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.withColumn("r", F.row_number().over(first)).where(F.col("r") <= each).select("doc_id", "lang")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(sample), "doc_id")  # per_lang * MOST_LANGS rows, or one a language
-    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in chosen.collect())
+    sample = first_by_hash(known, "lang", each)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("own"), "text").where("text is not null").join(F.broadcast(sample), "doc_id")  # per_lang * MOST_LANGS rows, or one a language
+    chosen = chosen.where("own = lang").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # one text of each
+
+    def cut(batch):
+        buf, offsets = text_buffer(batch.column(2))
+        ids, langs, windows = [], [], []
+        for i, (a, z) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            n = min(PER_TEXT, -(-int(z - a) // TRAIN_WINDOW))
+            for k in range(n):
+                s = a + (z - a - TRAIN_WINDOW) * k // max(1, n - 1) if z - a > TRAIN_WINDOW else a
+                ids.append(batch.column(0)[i].as_py())
+                langs.append(batch.column(1)[i].as_py())
+                windows.append(LOWER[buf[s : min(z, s + TRAIN_WINDOW)]].tobytes())
+        return {"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "window": pa.array(windows, pa.binary())}
+
+    rows = sorted((r["doc_id"], r["lang"], bytes(r["window"])) for r in map_batches(chosen, cut, "doc_id long, lang string, window binary").collect())  # PER_TEXT windows a row
     if not rows:
         return None
     languages = sorted({r[1] for r in rows})
     net = Network(languages)
-    net.train([lower_ascii(np.frombuffer(r[2].encode("utf-8", "replace"), np.uint8)) for r in rows], np.array([languages.index(r[1]) for r in rows]), steps)
+    net.train([np.frombuffer(r[2], np.uint8) for r in rows], np.array([languages.index(r[1]) for r in rows]), steps)
     return net
 
 
+def has_letter(text: pa.Array) -> list[bool]:
+    buf, offsets = text_buffer(text)
+    out = []
+    for i, (a, z) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        ascii_ = any(((LOWER[part] >= 97) & (LOWER[part] <= 122)).any() for s in range(a, z, SLICE) if len(part := buf[s : min(z, s + SLICE)]))
+        out.append(ascii_ or any(map(str.isalpha, text[i].as_py() or "")))
+    return out
+
+
 def languages(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """Per row of docs (doc_id, text; lang to learn from): doc_id, held_out, lang_pred, score.
 
     A text that is null or has no letter is `und` with score 0, as is every text if no row has a lang to learn.
-    Ties go to the first language in code point order. Repeated rows are predicted each; extra columns
-    are ignored; an empty table gives an empty result.
+    A very long text is read whole, window by window. Ties go to the first language in code point order. Repeated
+    rows are predicted each, also without a doc_id; of texts that share a doc_id and lang the first in order is learnt from. Extra columns
+    are ignored, whatever their names; an empty table gives an empty result.
     """
     net = net or learn(docs)
     shared = docs.sparkSession.sparkContext.broadcast(net)
@@ -220,7 +244,7 @@ def languages(docs: DataFrame, net: Network | None = None) -> DataFrame:
     def predict(text: pa.Array) -> pa.Array:
         net, names, scores = shared.value, [], []
         buf, offsets = text_buffer(text)
-        letters = [any(map(str.isalpha, x or "")) for x in text.to_pylist()]
+        letters = has_letter(text)
         for a, z in row_slices(offsets, SLICE):
             if net is None:
                 names += ["und"] * (z - a)
