@@ -53,6 +53,118 @@ def test_windows_do_not_depend_on_the_batch():
         assert np.allclose(own[0], both[i], atol=1e-5)
 
 
+def plain_probabilities(net, text):
+    """Means over bytes of the network's outputs, byte by byte in plain loops."""
+    import math
+
+    h, w = net.hidden, {k: v.astype(float).tolist() for k, v in net.w.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def run(b, d):
+        s, out = [0.0] * h, []
+        for x in b:
+            g = [w[f"{d}x"][x][j] + sum(s[i] * w[f"{d}u"][i][j] for i in range(h)) for j in range(2 * h)]
+            r, z = [sig(v) for v in g[:h]], [sig(v) for v in g[h:]]
+            n = [math.tanh(w[f"{d}x"][x][2 * h + j] + sum(r[i] * s[i] * w[f"{d}n"][i][j] for i in range(h))) for j in range(h)]
+            s = [(1 - z[j]) * n[j] + z[j] * s[j] for j in range(h)]
+            out.append(s)
+        return out
+
+    total, c = [0.0] * len(net.languages), len(net.languages)
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text)
+    for a in range(0, len(raw), langid.WINDOW):
+        b = raw[a : a + langid.WINDOW]
+        for f, r in zip(run(b, "f"), run(b[::-1], "b")[::-1], strict=True):
+            y = [math.exp(sum(v * w["v"][i][j] for i, v in enumerate(f + r)) + w["c"][j]) for j in range(c)]
+            total = [t + v / sum(y) for t, v in zip(total, y, strict=True)]
+    return [t / len(raw) for t in total]
+
+
+def test_probabilities_against_plain_loops():
+    net = langid.Network(["a", "b", "c"], hidden=5, seed=4)
+    texts = ["Hello World, this is LONG enough for two windows. " * 4, "x", "été ÀÉ 日本"]
+    raw = [t.encode() for t in texts]
+    got = net.document_probabilities(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    for r, p in zip(raw, got, strict=True):
+        assert np.allclose(p, plain_probabilities(net, r), atol=1e-5)
+
+
+def plain_features(text):
+    w = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in text))
+    out = {("w", x) for x in w} | {("s", x.encode()[:4]) for x in w if len(x.encode()) > 4}
+    return out | {(g, w[i - g], w[i]) for g in (1, 2) for i in range(g, len(w))}
+
+
+def test_scores_against_plain_ftrl(spark):
+    """Learner and scorer with dictionaries of features in place of hashes and arrays."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"word{chr(97 + i)}{i}" for i in range(40)] + ["a", "é"]
+    rows, toxic = [], {}
+    for i in range(300):
+        toxic[i] = int(rng.random() < 0.3)
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(1, 25))] + ["nasty thing", "So.bad"][: 2 * toxic[i]]
+        rng.shuffle(w)
+        rows.append((i, rng.choice([" ", ", ", "\n"]).join(w)))
+    docs = spark.createDataFrame([(i, t, 0.0, True) for i, t in rows], "doc_id long, text string, score double, toxic boolean")
+    labels = spark.createDataFrame([(i, t) for i, t in toxic.items()], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    learnt = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    order = [learnt[i] for i in np.random.default_rng(7).permutation(len(learnt))]
+    z, n = {}, {}
+
+    def weight(f):
+        if abs(z.get(f, 0)) <= toxicity.L1:
+            return 0.0
+        return -(z[f] - math.copysign(toxicity.L1, z[f])) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.RATE + toxicity.L2)
+
+    texts = dict(rows)
+    for _ in range(toxicity.EPOCHS):
+        for i in order:
+            x = plain_features(texts[i]) | {"one"}
+            w = {f: weight(f) for f in x}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - toxic[i]
+            for f in x:
+                was = n.get(f, 0)
+                z[f] = z.get(f, 0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / toxicity.RATE * w[f]
+                n[f] = was + g * g
+    for i, t in rows:  # shares of the sample are those of the labels
+        assert abs(got[i] - 1 / (1 + math.exp(-sum(weight(f) for f in plain_features(t) | {"one"})))) < 1e-9, i
+
+
+def test_features_by_slices(monkeypatch):
+    from marlstone.llm import common
+
+    texts = ["Some words, and so.on again " * 50, "", "x", "é" * 40 + " tail words"]
+    import pyarrow as pa
+
+    whole = [x.tolist() for x in toxicity.feature_sets(pa.array(texts))]
+    monkeypatch.setattr(toxicity, "word_slices", lambda b, o, t: common.word_slices(b, o, t, 7))
+    assert [x.tolist() for x in toxicity.feature_sets(pa.array(texts))] == whole and whole[1] == []
+
+
+def test_sample_by_hash_is_the_first(spark):
+    from marlstone.llm import common
+
+    rows = [(i, i % 3) for i in range(4000)] + [(7, 1)] * 500
+    df = spark.createDataFrame(rows, "doc_id long, label int")
+    for k in (5, 200):
+        got = {(r["doc_id"], r["label"]) for r in common.first_by_hash(df, "label", k).collect()}
+        every = df.distinct().selectExpr("doc_id", "label", "xxhash64(doc_id) h").collect()
+        assert got == {(r["doc_id"], r["label"]) for c in range(3) for r in sorted((r for r in every if r["label"] == c), key=lambda r: r["h"])[:k]}
+
+
+def test_learning_bounds(spark):
+    """Texts beyond the bytes of the sample are not learnt from; clashing names and repeated rows do no harm."""
+    docs = spark.createDataFrame([(i, "good words" if i % 2 else "bad words", "c", 1) for i in range(400)] + [(5, "good words", "c", 1)] * 50, "doc_id long, text string, hash string, place int")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "doc_id long, toxic int")
+    assert toxicity.acceptable(docs, labels).count() == 250 and toxicity.acceptable(docs, labels).columns == docs.columns
+    at, _, intercept = toxicity.learn(docs, labels, bytes_per_class=1)
+    assert len(at) == 0 and intercept == -4.0
+
+
 def test_toxicity_accuracy_and_edges(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels).collect()}
