@@ -1,9 +1,9 @@
 """Document fingerprints: an improbable-feature digest in chained Bloom filters.
 
-Each window of WINDOW bytes has an entropy; the further from what is usual in prose, the rarer, and the rarest
-window of SPAN successive ones, leftmost in ties, gains a vote. Windows with VOTES or more are features.
-A text too short
-or too even for that has its distinct pieces of 8 bytes, from every fourth byte, as features. They go in order into filters of BITS bits, PER_FILTER to a filter. Likeness is the overlap of bits beyond
+Each window of WINDOW bytes has an entropy; the further from what is usual in prose, the rarer, and windows of hardly
+any entropy come last. The rarest window of SPAN successive ones, leftmost in ties, gains a vote; a span may reach beyond the ends of the
+text. Windows with VOTES or more are features; any text has at least one, and one shorter than a window is a window by itself.
+They go in order into filters of BITS bits, PER_FILTER to a filter. Likeness is the overlap of bits beyond
 chance as a share of the most there can be, each filter of the shorter digest against its best match.
 Entropies are sums of integers, so that equal bytes give equal fingerprints wherever they stand.
 """
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import COEFFICIENTS, mix64, row_slices, shuffle_partitions, text_buffer, tidy
 
-WINDOW, SPAN, VOTES = 32, 64, 16
-USUAL_ENTROPY, LEAST_ENTROPY = 3.9, 1.5
+WINDOW, SPAN, VOTES = 16, 32, 8
+USUAL_ENTROPY, LEAST_ENTROPY = 3.5, 1.0
 BITS, HASHES, PER_FILTER = 2048, 5, 128
+PIECE = 1 << 20
 _UNIT = 1 << 16
 
 
@@ -38,7 +39,7 @@ _MOST = int((np.log2(WINDOW) - LEAST_ENTROPY) * WINDOW * _UNIT)
 
 
 def rarity(buf: np.ndarray) -> np.ndarray:
-    """Of each window, by its first byte: the distance from the usual sum; -1 where entropy is too low."""
+    """Of each window, by its first byte: the distance from the usual sum; -1 where there is hardly any entropy."""
     n = len(buf) - WINDOW + 1
     after, before = np.zeros(len(buf), np.uint8), np.zeros(len(buf), np.uint8)
     for k in range(1, WINDOW):
@@ -51,40 +52,65 @@ def rarity(buf: np.ndarray) -> np.ndarray:
     return np.where(total > _MOST, -1, np.abs(total - _USUAL))
 
 
+def window_hashes(windows: np.ndarray) -> np.ndarray:
+    """Of rows of WINDOW bytes."""
+    w = np.ascontiguousarray(windows).view(np.uint64)
+    with np.errstate(over="ignore"):
+        return mix64((mix64(w) * (COEFFICIENTS[: WINDOW // 8] | np.uint64(1))).sum(axis=1, dtype=np.uint64))
+
+
+def voted(far: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The windows with VOTES or more; far holds the windows of one text after the other, from starts on (and one end)."""
+    if not len(far):
+        return np.zeros(0, np.int64)
+    none = np.int64(1) << np.int64(60)
+    own = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    place = np.arange(len(far)) + (own + 1) * (SPAN - 1)  # no span reaches two texts
+    least = np.full(len(far) + len(starts) * (SPAN - 1), none)
+    least[place] = ((np.int64(1 << 27) - far) << np.int64(32)) | np.arange(len(far))
+    step = 1
+    while step < SPAN:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    votes = np.bincount(least[least < none] & np.int64(0xFFFFFFFF), minlength=len(far))
+    return np.flatnonzero(votes >= VOTES)
+
+
+def long_features(buf: np.ndarray) -> np.ndarray:
+    """The features of one text of more than PIECE bytes, piece by piece."""
+    out, n = [], len(buf) - WINDOW + 1
+    for lo in range(0, n, PIECE):
+        hi = min(n, lo + PIECE)
+        a, z = max(0, lo - SPAN + 1), min(n, hi + SPAN - 1)  # all windows that share a span with these
+        part = buf[a : z + WINDOW - 1]
+        at = voted(rarity(part), np.array([0, z - a]))
+        at = at[(at >= lo - a) & (at < hi - a)]
+        out.append(window_hashes(part[at[:, None] + np.arange(WINDOW)].reshape(len(at), WINDOW)))
+    return np.concatenate(out)
+
+
 def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and 64-bit hash of each feature, in order."""
     lengths = np.diff(offsets)
-    rows, hashes = [], []
-    if len(buf) >= WINDOW:
-        n = len(buf) - WINDOW + 1
-        far = rarity(buf)
-        big = np.int64(1) << np.int64(60)
-        key = np.where(far < 0, big, ((np.int64(1 << 27) - far) << np.int64(32)) | np.arange(n))
-        ends = np.repeat(offsets[1:], lengths)  # of the row that each byte is in
-        votes = np.zeros(n, np.int64)
-        if n >= SPAN:
-            least = key
-            step = 1
-            while step < SPAN:
-                least = np.minimum(least[:-step], least[step:])
-                step *= 2
-            whole = np.arange(len(least)) + SPAN + WINDOW - 1 <= ends[: len(least)]
-            chosen = least[whole & (least < big)] & np.int64(0xFFFFFFFF)
-            votes = np.bincount(chosen, minlength=n)
-        at = np.flatnonzero(votes >= VOTES)
-        window = buf[at[:, None] + np.arange(WINDOW)].reshape(len(at), WINDOW).view(np.uint64)
-        with np.errstate(over="ignore"):
-            hashes.append(mix64((mix64(window) * (COEFFICIENTS[: WINDOW // 8] | np.uint64(1))).sum(axis=1, dtype=np.uint64)))
-        rows.append(np.searchsorted(offsets, at, side="right") - 1)
-    has = np.zeros(len(lengths), bool)
-    has[np.concatenate(rows).astype(np.int64) if rows else []] = True
-    for r in np.flatnonzero((lengths > 0) & ~has):  # too short or too even for a choice
-        text = buf[offsets[r] : offsets[r + 1]].tobytes()
-        pieces = sorted({text[i : i + 8] for i in range(0, max(1, len(text) - 7), 4)})
-        rows.append(np.full(len(pieces), r))
-        hashes.append(np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in pieces], np.uint64))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(lengths) == 1 and lengths[0] > PIECE:
+        h = long_features(buf)
+        return np.zeros(len(h), np.int64), h
+    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    enough = np.flatnonzero(lengths >= WINDOW)
+    if len(enough):
+        far, windows = rarity(buf), lengths[enough] - WINDOW + 1
+        starts = np.concatenate([[0], np.cumsum(windows)])
+        at = np.repeat(offsets[enough] - starts[:-1], windows) + np.arange(starts[-1])
+        chosen = voted(far[at], starts)
+        at = at[chosen]
+        rows.append(enough[np.searchsorted(starts, chosen, side="right") - 1])
+        hashes.append(window_hashes(buf[at[:, None] + np.arange(WINDOW)].reshape(len(at), WINDOW)))
+    few = np.flatnonzero((lengths > 0) & (lengths < WINDOW))
+    if len(few):
+        at = offsets[few][:, None] + np.arange(WINDOW)
+        inside = np.arange(WINDOW) < lengths[few][:, None]
+        rows.append(few)
+        hashes.append(window_hashes(np.where(inside, buf[np.minimum(at, len(buf) - 1)], np.uint8(0))))
     row, h = np.concatenate(rows), np.concatenate(hashes)
     order = np.argsort(row, kind="stable")
     return row[order], h[order]
@@ -123,13 +149,18 @@ def likeness(a, b) -> float:
         return float(len(a[0]) == len(b[0]))
     if a[0].sum() > b[0].sum() or (a[0].sum() == b[0].sum() and len(a[0]) > len(b[0])):
         a, b = b, a
+    known = {f.tobytes() for f in b[1]}
+    same = np.array([f.tobytes() in known for f in a[1]])  # these have a likeness of 1
+    all_, sure, a = a[0].sum(), a[0][same].sum(), (a[0][~same], a[1][~same])
+    if not len(a[0]):
+        return 1.0
     p, q = np.bitwise_count(a[1]).sum(axis=1).astype(float), np.bitwise_count(b[1]).sum(axis=1).astype(float)
     both = np.stack([np.bitwise_count(b[1] & f).sum(axis=1) for f in a[1]]).astype(float)
     most, chance = np.minimum(p[:, None], q[None, :]), p[:, None] * q[None, :] / BITS
     with np.errstate(divide="ignore", invalid="ignore"):
         score = np.where(most > chance, (both - chance) / (most - chance), (both == most).astype(float))
     best = np.clip(score, 0, 1).max(axis=1)
-    return float(min(1.0, (best * a[0]).sum() / a[0].sum()))
+    return float(min(1.0, (sure + (best * a[0]).sum()) / all_))
 
 
 def digest_texts(texts: list[str]) -> list:
@@ -163,8 +194,9 @@ def neighbour_likeness(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): _OUT, where the next document is the next by doc_id, and after the last the first.
 
     Ranges of doc_id are dealt out; the first row of each range also goes to the range before, so each text is
-    shuffled once and no task sees all. A null text is empty. Null doc_ids come first; rows with equal doc_id go by
-    text. Extra columns are ignored; an empty table gives an empty result.
+    shuffled once and no task sees all; rows that share a doc_id, or have none, are in one range. A null text is empty; a very
+    long one is read whole, in pieces. Null doc_ids come first; rows with equal doc_id go by text, and repeated rows follow each
+    other. Extra columns are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     parts = 4 * shuffle_partitions(spark)

@@ -17,21 +17,72 @@ def plain_rarity(b):
     return out
 
 
-def test_rarity_and_votes():
+M64 = 2**64 - 1
+
+
+def plain_mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def plain_digest(text):
+    """Features by filter, and the filters as sets of bits, in plain loops."""
+    raw = text.encode()
+    if not raw:
+        return []
+    w, span = fingerprints.WINDOW, fingerprints.SPAN
+    windows = [raw[i : i + w] for i in range(len(raw) - w + 1)] or [raw + bytes(w - len(raw))]
+    far = plain_rarity(np.frombuffer(raw, np.uint8)) if len(raw) >= w else [0]
+    votes = [0] * len(windows)
+    for s in range(1 - span, len(windows)):
+        votes[min(range(max(s, 0), min(s + span, len(windows))), key=lambda i: (-far[i], i))] += 1
+    hashes = []
+    for i, v in enumerate(votes):
+        if v >= fingerprints.VOTES:
+            words = [int.from_bytes(windows[i][k : k + 8], "little") for k in range(0, w, 8)]
+            hashes.append(plain_mix(sum(plain_mix(x) * (plain_mix((k + 1) * 0x9E3779B97F4A7C15 & M64) | 1) for k, x in enumerate(words)) & M64))
+    filters = [hashes[i : i + fingerprints.PER_FILTER] for i in range(0, len(hashes), fingerprints.PER_FILTER)]
+    return [(len(f), {(h >> 11 * i) % fingerprints.BITS for h in f for i in range(fingerprints.HASHES)}) for f in filters]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    a, b = sorted((a, b), key=lambda d: (sum(c for c, _ in d), len(d)))
+    total = 0.0
+    for c, x in a:
+        scores = []
+        for _, y in b:
+            most, chance = min(len(x), len(y)), len(x) * len(y) / fingerprints.BITS
+            scores.append(min(1.0, max(0.0, (len(x & y) - chance) / (most - chance) if most > chance else float(len(x & y) == most))))
+        total += c * max(scores)
+    return min(1.0, total / sum(c for c, _ in a))
+
+
+def test_rarity():
     rng = np.random.default_rng(1)
-    for n in (32, 33, 94, 95, 96, 300):
+    for n in (16, 17, 32, 33, 300):
         b = rng.choice(np.frombuffer(b"abcdefgh  ", np.uint8), n)
-        far = plain_rarity(b)
-        assert fingerprints.rarity(b).tolist() == far
-        votes = [0] * len(far)
-        for s in range(len(far) - fingerprints.SPAN + 1):
-            own = [(-f, i) for i, f in enumerate(far[s : s + fingerprints.SPAN], s) if f >= 0]
-            if own:
-                votes[min(own)[1]] += 1
-        want = sum(v >= fingerprints.VOTES for v in votes)
-        row, h = fingerprints.features(b, np.array([0, n]))
-        if want:
-            assert len(h) == want and not row.any()
+        assert fingerprints.rarity(b).tolist() == plain_rarity(b)
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 100])
+def test_digests_against_plain_loops(monkeypatch, piece):
+    """Whole digests and likenesses by an independent version; long texts piece by piece."""
+    monkeypatch.setattr(fingerprints, "PIECE", piece)
+    rng = random.Random(7)
+    texts = ["", "x", "a" * 15, "b" * 16, "c" * 500, "\n" * 40, "é日本 " * 30, "0123456789abcdef"]
+    texts += ["".join(rng.choice("abcdefghij klmnop.é") for _ in range(rng.choice([10, 31, 50, 94, 95, 300, 3000]))) for _ in range(25)]
+    own, want = fingerprints.digest_texts(texts), [plain_digest(t) for t in texts]
+    for t, d, w in zip(texts, own, want, strict=True):
+        alone = fingerprints.digest_texts([t])[0]
+        for got in (d, alone):
+            assert got[0].tolist() == [c for c, _ in w], t
+            assert [set(np.flatnonzero(np.unpackbits(f.view(np.uint8), bitorder="little")).tolist()) for f in got[1]] == [bits for _, bits in w]
+    for _ in range(300):
+        i, j = rng.randrange(len(texts)), rng.randrange(len(texts))
+        assert abs(fingerprints.likeness(own[i], own[j]) - plain_likeness(want[i], want[j])) < 1e-12
 
 
 def test_equal_texts_wherever_they_stand_and_likeness():
@@ -79,7 +130,7 @@ def test_neighbours_of_few_and_repeated_rows(spark, ids):
 def test_fingerprints_column(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "some text that is long enough to have a window")], "doc_id long, text string")
     got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(df).collect()}
-    assert got[1] == got[2] == "" and len(got[3]) == 514
+    assert got[1] == got[2] == "" and len(got[3]) == 514  # one filter
 
 
 @pytest.fixture(scope="module")
