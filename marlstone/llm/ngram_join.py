@@ -497,12 +497,12 @@ def coarse_groups(docs: DataFrame, nodes: DataFrame, listed, k: int, percent: in
     """node, component: any two nodes that link are in one."""
     held = nodes.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0)) / 8, F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = shuffle_partitions(docs.sparkSession)
-    runs = written(candidate_runs(prefix_entries(nodes, max(parts, int(held[0]) // BUCKET_ENTRIES + 1)), percent))
+    runs = written(candidate_runs(prefix_entries(nodes, max(16 * parts, int(held[0]) // BUCKET_ENTRIES + 1)), percent))
     edges = coarse_edges(nodes, runs.where("kind = 0"), percent)
     crowd = written(runs.where("kind = 1").select(F.col("b").alias("node")).union(nodes.where("crowded").select("node")).distinct())
     if not crowd.isEmpty():
         sets = sets_of(docs, nodes.join(crowd, "node", "left_semi"), k)
-        again = written(candidate_runs(crowded_entries(sets, listed, max(parts, int(held[1]) // BUCKET_ENTRIES + 1), percent), percent))
+        again = written(candidate_runs(crowded_entries(sets, listed, max(16 * parts, int(held[1]) // BUCKET_ENTRIES + 1), percent), percent))
         edges = edges.union(coarse_edges(nodes, again.where("kind = 0"), percent)).union(again.where("kind = 1").select("a", "b")).distinct()
     return components(edges)
 
