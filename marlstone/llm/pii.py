@@ -1,9 +1,10 @@
 """Personal data: patterns find what to protect; corpus statistics find the terms that give it away.
 
-Terms are words near a base span. Over the whole corpus, a term's pointwise mutual information with a kind,
-relative to the information content of the kind, tells how much seeing the term discloses; terms at
-ALPHA or more, seen near the kind SUPPORT times or more, are spans of kind "term" wherever they stand in a
-document that holds a span of the kind. Sanitising generalises base spans and removes these terms from all texts.
+Terms are runs of letters and digits near a base span. Over all documents, a term's pointwise mutual information with a
+kind, or with any of them, relative to the information content of that kind, tells how much seeing the term discloses: ALPHA or more
+means that the kind stands near the term in most documents that hold the term. Such terms, if near the kind in SUPPORT documents or more, are spans of
+kind "term" wherever they stand in any document. How common a word is says nothing in a small corpus, so function words,
+which are known, are never terms. Sanitising generalises base spans and removes terms.
 """
 
 from __future__ import annotations
@@ -16,14 +17,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, map_batches, row_slices, text_buffer, word_hashes, written
+from .common import LOWER, bit_filter, free_names, map_batches, row_slices, set_bits, text_buffer, word_hashes, word_slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
+ANY = len(KINDS)
 NEAR_WORDS = 4
 ALPHA = 0.75
 SUPPORT = 5
-FILTER_BITS = 22
+
+#: Function words of the languages of the texts (English, German, French, Spanish), which give nothing away.
+FUNCTION_WORDS = """
+a about after all also am an and are as at be because been but by can could did do does for from had has have he her him his how i if in
+is it its me my no not now of on or our out she so some than that the their them then there they this to up us was we were what when
+which who will with would you your
+aber als auf aus bei das dass dem den der des die ein eine einem einen einer es hat ich ihr im ist mit nach nicht oder sich sie sind und
+von war wie wir zu zum zur
+au aux avec ce ces cette dans de du elle est et il ils je la le les leur mais ne nous ou par pas pour qui sa se ses son sont sur un une
+vous
+al como con del el en es esta este las lo los para pero por que se su sus una y
+""".split()
+
+#: ASCII signs separate terms.
+TABLE = LOWER.copy()
+TABLE[[b for b in range(128) if not chr(b).isalnum()]] = 32
+
+
+def _term_hashes(words: list[str]) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    return word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), TABLE)[0]
+
+
+_FUNCTION = np.sort(_term_hashes(FUNCTION_WORDS))
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -70,125 +95,157 @@ def joined(spans, names=KINDS) -> str:
     return ",".join(f"{names[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def near_words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(kind, hash, start, end) of the words near a span that touch none."""
-    buf = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    h, starts, ends, _ = word_hashes(lower_ascii(buf), np.array([0, len(buf)]))
-    points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    starts, ends = points[starts], points[ends]
-    free = np.ones(len(h), bool)
+def code_points(buf: np.ndarray, places: np.ndarray, starts_at: int, points_at: int) -> np.ndarray:
+    """Code points before ascending places in buf, counted on from a place of which they are known."""
+    if not len(places):
+        return places
+    part = buf[starts_at : places[-1]]
+    heads = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+    return points_at + heads[places - starts_at]
+
+
+def terms_of(buf: np.ndarray):
+    """Hash, start and end in code points of the terms of one text, slice by slice."""
+    at, points = 0, 0
+    for _, h, starts, ends in word_slices(buf, np.array([0, len(buf)]), TABLE):
+        both = code_points(buf, np.stack([starts, ends], axis=1).reshape(-1), at, points)
+        at, points = int(ends[-1]), int(both[-1])
+        yield h, both[::2], both[1::2]
+
+
+def known_words(h: np.ndarray) -> np.ndarray:
+    return _FUNCTION[np.minimum(np.searchsorted(_FUNCTION, h), len(_FUNCTION) - 1)] == h
+
+
+def touching(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    out = np.zeros(len(starts), bool)
     for _, a, b in spans:
-        free[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b)] = False
+        out[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b)] = True
+    return out
+
+
+def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(kind, hash) of the terms within NEAR_WORDS of a span that touch none, without function words; each for its kind and for ANY."""
+    buf = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    slices = list(terms_of(buf))
+    if not slices:
+        return []
+    h, starts, ends = (np.concatenate(x) for x in zip(*slices, strict=True))
+    free = ~touching(starts, ends, spans) & ~known_words(h)
     out = set()
     for kind, a, b in spans:
         i, j = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b))
         for w in (*range(max(0, i - NEAR_WORDS), i), *range(j, min(len(h), j + NEAR_WORDS))):
             if free[w]:
-                out.add((kind, int(h[w].view(np.int64)), int(starts[w]), int(ends[w])))
+                out |= {(k, int(h[w].view(np.int64))) for k in (kind, ANY)}
     return sorted(out)
 
 
-_NEAR = pa.list_(pa.struct([("kind", pa.int32()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+def each_text(text: pa.Array):
+    """The texts one by one, so that few are held as strings."""
+    for x in text:
+        yield x.as_py() or ""
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, counts by kind, base spans, words near spans, the text if it has spans."""
+def near(docs: DataFrame) -> DataFrame:
+    """A row for each kind and each term near it in each document; term null for the kind itself, kind null for the document."""
 
     def find(batch):
-        for s in range(0, batch.num_rows, 1024):
-            part = batch.slice(s, 1024)
-            counts, base, near, texts = [[] for _ in KINDS], [], [], []
-            for text in part.column(1).to_pylist():
-                spans = base_spans(text or "")
-                for k, c in enumerate(counts):
-                    c.append(sum(x[0] == k for x in spans))
-                base.append(joined(spans))
-                texts.append(text if spans else None)
-                near.append([dict(zip(("kind", "term", "start", "end"), x, strict=True)) for x in near_words(text, spans)] if spans else [])
-            yield {"doc_id": part.column(0)} | {f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts, strict=True)} | {"base": pa.array(base, pa.string()), "near": pa.array(near, _NEAR), "text": pa.array(texts, pa.string())}
-
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, near array<struct<kind:int,term:long,start:int,end:int>>, text string"
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), find, schema)
-
-
-def filter_of(terms: DataFrame) -> np.ndarray:
-    """Bits by the end of the terms' hashes, of fixed size: full, it lets all words through."""
-    slot = F.pmod("term", F.lit(1 << FILTER_BITS))
-    rows = terms.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("bits")).collect()
-    flags = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in rows:
-        flags[r["w"]] = r["bits"]
-    return flags
-
-
-def let_through(h: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    at = (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-    return (flags[at >> 6] >> (at & 63)) & 1 == 1
-
-
-def disclosing(docs: DataFrame, near: DataFrame, alpha: float, support: int) -> DataFrame:
-    """kind, term of the terms that give a kind away; near has kind, term of each word near a span."""
-    per_kind = written(near.groupBy("kind", "term").agg(F.count("*").alias("near")))
-    terms = per_kind.where(F.col("near") >= support)
-    shared = docs.sparkSession.sparkContext.broadcast(filter_of(terms))
+        kinds, terms, n = [], [], 0
+        for text in each_text(batch.column(0)):
+            n += 1
+            if spans := base_spans(text):
+                found = near_terms(text, spans)
+                own = sorted({k for k, _, _ in spans} | {ANY})
+                kinds += own + [k for k, _ in found]
+                terms += [None] * len(own) + [t for _, t in found]
+        return {"kind": pa.array([None, *kinds], pa.int32()), "term": pa.array([None, *terms], pa.int64()), "n": pa.array([n] + [1] * len(kinds), pa.int64())}
+
+    return map_batches(docs.select("text"), find, "kind int, term long, n long")
+
+
+def disclosing(docs: DataFrame, alpha: float, support: int) -> DataFrame:
+    """term of the terms that give a kind away, each once."""
+    counts = written(near(docs).groupBy("kind", "term").agg(F.sum("n").alias("near")))
+    totals = {r["kind"]: r["near"] for r in counts.where("term is null").collect()}  # a row a kind, and one
+    documents = float(totals.get(None, 0))
+    terms = counts.where(F.col("term").isNotNull() & (F.col("near") >= support))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(terms.select(F.col("term").alias("key"))))
 
     def count(batch):
-        words, parts = 0, []
+        """Documents of the batch that hold each term that the filter lets through."""
+        found = [np.zeros(0, np.uint64)]
         buf, offsets = text_buffer(batch.column(0))
         for a, z in row_slices(offsets):
-            h, *_ = word_hashes(lower_ascii(buf[offsets[a] : offsets[z]]), offsets[a : z + 1] - offsets[a])
-            words += len(h)
-            parts.append(h[let_through(h, shared.value)])
-        u, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-        return {"term": pa.array([None, *u.view(np.int64).tolist()], pa.int64()), "n": pa.array([words, *n.tolist()], pa.int64())}
-
-    totals = written(map_batches(docs.select("text"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("total")))
-    words = (totals.where("term is null").first() or {"total": 0})["total"] or 0
-    kinds = per_kind.groupBy("kind").agg(F.sum("near").alias("kind_near")).collect()  # one row a kind
+            codes = []
+            for row, h, _, _ in word_slices(buf[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], TABLE):
+                keep = set_bits(h.view(np.int64), shared.value)
+                codes.append(np.unique(np.stack([row[keep], h[keep].view(np.int64)], axis=1), axis=0))
+            if codes:
+                found.append(np.unique(np.concatenate(codes), axis=0)[:, 1].view(np.uint64))
+        u, n = np.unique(np.concatenate(found), return_counts=True)
+        return {"term": pa.array(u.view(np.int64)), "n": pa.array(n.astype(np.int64))}
+
+    held = map_batches(docs.select("text"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("total"))
     of_kind = F.lit(None).cast("double")
-    for r in kinds:
-        of_kind = F.when(F.col("kind") == r["kind"], F.lit(float(r["kind_near"]))).otherwise(of_kind)
-    scored = terms.join(totals, "term").withColumn("of_kind", of_kind)
-    information = F.log2(F.lit(float(max(words, 1))) / F.col("of_kind"))
-    pmi = F.log2(F.col("near") * F.lit(float(max(words, 1))) / (F.col("total") * F.col("of_kind")))
-    return scored.where(pmi >= alpha * information).select("kind", "term")
+    for kind, n in totals.items():
+        if kind is not None:
+            of_kind = F.when(F.col("kind") == kind, F.lit(float(n))).otherwise(of_kind)
+    scored = terms.join(held, "term").withColumn("of_kind", of_kind)
+    information = F.log2(F.lit(documents) / F.col("of_kind"))
+    pmi = F.log2(F.col("near") * F.lit(documents) / (F.col("total") * F.col("of_kind")))
+    return scored.where(pmi >= alpha * information).select("term").distinct()
 
 
-def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """row, kind, start, end of each place of the terms (kind, term) in rows (row, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(filter_of(terms))
+_PLACES = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def places(batch):
-        buf, offsets = text_buffer(batch.column(1))
-        ids = batch.column(0).to_numpy()
-        for a, z in row_slices(offsets):
-            part, own = buf[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
-            h, starts, ends, counts = word_hashes(lower_ascii(part), own)
-            at = np.flatnonzero(let_through(h, shared.value))
-            row = np.repeat(np.arange(z - a), counts)[at]
-            points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-            first = points[own[row]]
-            yield {"row": pa.array(ids[a + row]), "term": pa.array(h[at].view(np.int64)), "start": pa.array((points[starts[at]] - first).astype(np.int32)), "end": pa.array((points[ends[at]] - first).astype(np.int32))}
 
-    return map_batches(rows.select("row", "text"), places, "row long, term long, start int, end int").join(terms, "term").select("row", "kind", "start", "end")
+def places(buf: np.ndarray, flags: np.ndarray, spans) -> list[dict]:
+    """Where terms that the filter lets through stand in one text, but for those that touch a base span."""
+    out = []
+    for h, starts, ends in terms_of(buf):
+        keep = np.flatnonzero(set_bits(h.view(np.int64), flags))
+        keep = keep[~touching(starts[keep], ends[keep], spans)]
+        out += [{"term": int(h[i].view(np.int64)), "start": int(starts[i]), "end": int(ends[i])} for i in keep]
+    return out
+
+
+def with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """rows (row, hits) with terms, the places in hits of the given terms, in order; null where there are none."""
+    hits = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*").join(terms, "term")
+    hits = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))  # of one text
+    none = rows.where("size(hits) <= 0 or hits is null").withColumn("terms", F.lit(None).cast("array<struct<start:int,end:int>>"))
+    return none.unionByName(rows.where(F.size("hits") > 0).join(hits, "row", "left")).drop("hits")
 
 
 def personal_spans(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base, terms (array of start, end).
 
-    A null text is empty and has no spans. Repeated rows are judged each for itself and all count in the corpus
-    statistics. A term is a span at each of its places in a text with a span of a kind that it gives away, unless
-    the place touches a base span. Extra columns are ignored; an empty table gives an empty result.
+    A null text is empty and has no spans; a very long one is read whole. Repeated rows are judged each for itself and all count as
+    documents in the corpus statistics. A term that gives a kind away is a span at each of its places in any text, unless the
+    place touches a base span. A term of just the threshold is one. Extra columns are ignored, whatever their names; an
+    empty table gives an empty result.
     """
-    base = written(found(docs).withColumn("row", F.monotonically_increasing_id()))
-    near = base.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
-    terms = written(disclosing(docs, near, alpha, support))
-    own = base.where("base <> ''")
-    has = F.element_at(F.array(*[F.col(f"n_{k}") for k in KINDS]), F.col("kind") + 1) > 0
-    touched = F.expr("exists(split(base, ','), x -> int(split(x, ':')[1]) < end AND int(split(x, ':')[2]) > start)")
-    hits = occurrences(own.select("row", "text"), terms).join(own.drop("doc_id", "near", "text"), "row").where(has & ~touched)
-    hits = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return base.drop("near", "text").join(hits, "row", "left").drop("row")
+    terms = written(disclosing(docs, alpha, support))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(terms.select(F.col("term").alias("key"))))
+
+    def find(batch):
+        for s in range(0, batch.num_rows, 1024):
+            part = batch.slice(s, 1024)
+            counts, base, hits = [[] for _ in KINDS], [], []
+            buf, offsets = text_buffer(part.column(1))
+            for i, text in enumerate(each_text(part.column(1))):
+                spans = base_spans(text)
+                del text
+                for k, c in enumerate(counts):
+                    c.append(sum(x[0] == k for x in spans))
+                base.append(joined(spans))
+                hits.append(places(buf[offsets[i] : offsets[i + 1]], shared.value, spans))
+            yield {"doc_id": part.column(0)} | {f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts, strict=True)} | {"base": pa.array(base, pa.string()), "hits": pa.array(hits, _PLACES)}
+
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, hits array<struct<term:long,start:int,end:int>>"
+    rows = written(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), find, schema).withColumn("row", F.monotonically_increasing_id()))
+    return with_terms(rows, terms).drop("row")
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
@@ -208,12 +265,25 @@ def sanitised_text(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitised(docs: DataFrame) -> DataFrame:
-    """docs with the text of each row sanitised: base spans generalised, and every place of a term that gives a kind away removed."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    near = found(rows).where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
-    terms = written(disclosing(rows, near, ALPHA, SUPPORT))
-    places = occurrences(rows.select(F.col("_row").alias("row"), "text"), terms).groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("start", "end")).alias("_places"))
+def sanitised(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """docs with the text of each row sanitised: base spans generalised, and every place of a term that gives a kind away removed.
+
+    A null text stays null. Rows without a doc_id and repeated rows are treated like others, each for itself; other columns are kept,
+    whatever their names. Long texts, ties and empty tables as in personal_spans.
+    """
+    row, own, found = free_names(docs, "row", "own_row", "found")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    terms = written(disclosing(rows, alpha, support))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(terms.select(F.col("term").alias("key"))))
+
+    def hits(batch):
+        buf, offsets = text_buffer(batch.column(1))
+        at = [places(buf[a:z], shared.value, []) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+        keep = [i for i, x in enumerate(at) if x]
+        return {"row": batch.column(0).take(pa.array(keep, pa.int64())), "hits": pa.array([at[i] for i in keep], _PLACES)}
+
+    met = written(map_batches(rows.select(F.col(row).alias("row"), "text"), hits, "row long, hits array<struct<term:long,start:int,end:int>>"))
+    met = written(with_terms(met, terms).where("terms is not null").select(F.col("row").alias(own), F.col("terms").alias(found)))
 
     def one(text, places):
         if text is None:
@@ -222,9 +292,9 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def clean(text: pa.Array, places: pa.Array) -> pa.Array:
-        return pa.array(map(one, text.to_pylist(), places.to_pylist()), pa.string())
+        return pa.array((one(t.as_py(), p.as_py()) for t, p in zip(text, places, strict=True)), pa.string())
 
-    return rows.join(places, "_row", "left").withColumn("text", clean("text", "_places")).select(docs.columns)
+    return rows.join(met, F.col(row) == F.col(own), "left").withColumn("text", clean("text", F.col(found))).select(docs.columns)
 
 
 def base_sha256(spans) -> str:

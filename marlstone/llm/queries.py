@@ -100,7 +100,7 @@ SELECT doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY
 
 #: The patterns of each kind.
 _PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-_WORD = r"[^\x20\x09-\x0D]+"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _matches(rows: str, pattern: str, columns: str) -> str:
@@ -114,18 +114,20 @@ _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN {_DIGITS}[i]::INT WHEN {_DIGITS}[i]::INT > 4 THEN 2 * {_DIGITS}[i]::INT - 9 ELSE 2 * {_DIGITS}[i]::INT END)) % 10 = 0"
 _VALID = {"email": "true", "ip": "list_max(list_transform(string_split(m, '.'), lambda x: x::HUGEINT)) <= 255", "card": f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}", "phone": f"length({_DIGITS}) BETWEEN 9 AND 15"}
 _SPANS = " UNION ALL ".join(f"SELECT doc_id, {i} AS kind, a, a + length(m) AS b FROM ({_matches('t', _PATTERNS[k], 'doc_id')}) WHERE {_VALID[k]}" for i, k in enumerate(pii.KINDS))
+_KNOWN = ", ".join(f"'{w}'" for w in pii.FUNCTION_WORDS)
 OP9 = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 s AS MATERIALIZED ({_SPANS}),
-w AS MATERIALIZED (SELECT doc_id, k - 1 AS k, m, a, a + length(m) AS b FROM ({_matches('(SELECT * FROM t WHERE doc_id IN (SELECT doc_id FROM s))', _WORD, 'doc_id')})),
+w AS MATERIALIZED (SELECT doc_id, k - 1 AS k, m, a, a + length(m) AS b FROM ({_matches('(SELECT * FROM t WHERE doc_id IN (SELECT doc_id FROM s))', _TERM, 'doc_id')})),
 f AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = w.doc_id AND s.a < w.b AND s.b > w.a)),
 x AS (SELECT s.doc_id, s.kind, s.a, s.b, count(*) FILTER (w.b <= s.a) AS i, count(*) FILTER (w.a < s.b) AS j FROM s JOIN w ON w.doc_id = s.doc_id GROUP BY ALL),
-n AS MATERIALIZED (SELECT DISTINCT f.doc_id, x.kind, translate(f.m, '{UPPER}', '{LOWER}') AS term, f.a, f.b FROM f JOIN x ON x.doc_id = f.doc_id AND (f.k BETWEEN x.i - {pii.NEAR_WORDS} AND x.i - 1 OR f.k BETWEEN x.j AND x.j + {pii.NEAR_WORDS - 1})),
-c AS (SELECT kind, term, count(*) AS near FROM n GROUP BY ALL),
-o AS (SELECT kind, sum(near)::DOUBLE AS of_kind FROM c GROUP BY kind),
-v AS (SELECT unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_WORD}')) AS term FROM t),
-z AS (SELECT term, count(*) AS total FROM v GROUP BY term),
-g AS (SELECT kind, term FROM (SELECT *, (SELECT count(*)::DOUBLE FROM v) AS words FROM c JOIN o USING (kind) JOIN z USING (term) WHERE near >= {pii.SUPPORT}) WHERE log2(near * words / (total * of_kind)) >= {pii.ALPHA}::DOUBLE * log2(words / of_kind)),
-h AS (SELECT DISTINCT doc_id, a, b FROM n JOIN g USING (kind, term)),
+n AS MATERIALIZED (SELECT DISTINCT f.doc_id, unnest([x.kind, {pii.ANY}]) AS kind, translate(f.m, '{UPPER}', '{LOWER}') AS term FROM f JOIN x ON x.doc_id = f.doc_id AND (f.k BETWEEN x.i - {pii.NEAR_WORDS} AND x.i - 1 OR f.k BETWEEN x.j AND x.j + {pii.NEAR_WORDS - 1})),
+c AS (SELECT kind, term, count(*) AS near FROM n WHERE term NOT IN ({_KNOWN}) GROUP BY ALL HAVING count(*) >= {pii.SUPPORT}),
+o AS (SELECT kind, count(DISTINCT doc_id)::DOUBLE AS of_kind FROM (SELECT doc_id, unnest([kind, {pii.ANY}]) AS kind FROM s) GROUP BY kind),
+v AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TERM}'))) AS term FROM t),
+z AS (SELECT term, count(*) AS total FROM v SEMI JOIN c USING (term) GROUP BY term),
+g AS MATERIALIZED (SELECT DISTINCT term FROM (SELECT *, (SELECT count(*)::DOUBLE FROM t) AS docs FROM c JOIN o USING (kind) JOIN z USING (term)) WHERE log2(near * docs / (total * of_kind)) >= {pii.ALPHA}::DOUBLE * log2(docs / of_kind)),
+y AS (SELECT doc_id, m, a, a + length(m) AS b FROM ({_matches('(SELECT * FROM t WHERE doc_id IN (SELECT doc_id FROM v SEMI JOIN g USING (term)))', _TERM, 'doc_id')})),
+h AS (SELECT doc_id, a, b FROM y WHERE translate(m, '{UPPER}', '{LOWER}') IN (SELECT term FROM g) AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = y.doc_id AND s.a < y.b AND s.b > y.a)),
 q AS (SELECT doc_id, kind, a, b FROM s UNION ALL SELECT doc_id, 4, a, b FROM h),
 r AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(pii.KINDS))},
   coalesce(string_agg({list(pii.KINDS)}[kind + 1] || ':' || a || ':' || b, ',' ORDER BY kind, a) FILTER (kind < 4), '') AS base,
