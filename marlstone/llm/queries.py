@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup, fingerprints, langid, license_scan, mixing, ngram_join, pii, spiece, toxicity, url_filter
 
 
+LICENSES = license_scan.license_texts() | license_scan.TEMPLATES
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,7 +29,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return license_scan.license_scan(table(spark, sf_dir, "documents"), LICENSES)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,11 +93,13 @@ SELECT doc_id, len(s) AS n_shingles, least(doc_id, (SELECT min(b) FROM r WHERE r
 
 _CUT = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
 _ROLL = f"list_transform(range(1, greatest(len(w) - {license_scan.SHINGLE - 2}, 1)), lambda i: array_to_string(w[i:i + {license_scan.SHINGLE - 1}], ' '))"
-_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(license_scan.TEMPLATES.items()))
-OP4 = f"""WITH t AS (SELECT name, len(w) AS n, list_distinct({_ROLL}) AS t FROM (SELECT name, {_CUT.format('text')} AS w FROM (VALUES {_TEMPLATES}) v(name, text))),
+_TEMPLATES = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in sorted(LICENSES.items()))
+_SCALE = "CASE " + " ".join(f"WHEN n <= {x} THEN {x}" for x in license_scan.SCALES) + " END"
+OP4 = f"""WITH t AS MATERIALIZED (SELECT name, n, t, {_SCALE} AS scale FROM (SELECT name, len(w) AS n, list_distinct({_ROLL}) AS t FROM (SELECT name, {_CUT.format('text')} AS w FROM (VALUES {_TEMPLATES}) v(name, text)))),
 d AS (SELECT doc_id, {_ROLL} AS s FROM (SELECT doc_id, {_CUT.format('text')} AS w FROM documents)),
-c AS (SELECT doc_id, name, s, t, ceil(1.5 * n)::BIGINT - {license_scan.SHINGLE - 1} AS long, greatest(1, n // 2) AS step FROM d JOIN t ON list_has_any(s, t)),
-m AS (SELECT doc_id, name FROM c WHERE list_max(list_transform(range(0, len(s), step), lambda i: len(list_intersect(s[i + 1:i + long], t)))) * 100 >= {license_scan.CONTAINED} * len(t))
+c AS (SELECT doc_id, name, s, t, scale, coalesce(scale + scale // 2, {license_scan.PIECE}) - {license_scan.SHINGLE - 1} AS long, coalesce(scale, {license_scan.PIECE}) // 2 AS step FROM d JOIN t ON list_has_any(s, t)),
+x AS (SELECT doc_id, name, scale, t, unnest(list_transform(range(0, len(s), step), lambda i: list_distinct(s[i + 1:i + long]))) AS x FROM c),
+m AS (SELECT DISTINCT doc_id, name FROM x WHERE CASE WHEN scale IS NULL THEN len(x) >= {license_scan.FEWEST} AND len(list_intersect(x, t)) * 100 >= {license_scan.TEXT_CONTAINED} * len(x) ELSE len(list_intersect(x, t)) * 100 >= {license_scan.CONTAINED} * len(t) END)
 SELECT doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id"""
 
 

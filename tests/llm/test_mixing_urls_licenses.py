@@ -167,16 +167,21 @@ def test_far_links_and_cycles(spark):
     assert by["c0.com"] == "block" and by["d14.com"] == "allow" and len(set(by.values())) == 2
 
 
-def brute_licenses(text):
+def brute_licenses(text, templates=license_scan.TEMPLATES):
     def cut(t):
         w = [x for x in re.split("[^a-z0-9]+", (t or "").lower()) if x]
         return [tuple(w[i : i + 5]) for i in range(len(w) - 4)], len(w)
 
     s, out = cut(text)[0], []
-    for name, template in sorted(license_scan.TEMPLATES.items()):
+    for name, template in sorted(templates.items()):
         t, n = cut(template)
-        span = -(-3 * n // 2) - 4
-        if any(len(set(t) & set(s[a : a + span])) * 100 >= 80 * len(set(t)) for a in range(0, len(s), max(1, n // 2))):
+        t, scale = set(t), next((x for x in (8, 16, 32, 64) if n <= x), None)
+        if scale:
+            hit = any(len(t & set(s[a : a + scale * 3 // 2 - 4])) * 100 >= 80 * len(t) for a in range(0, len(s), scale // 2))
+        else:
+            windows = (set(s[a : a + 60]) for a in range(0, len(s), 32))
+            hit = any(len(w) >= 24 and len(t & w) * 100 >= 60 * len(w) for w in windows)
+        if hit:
             out.append(name)
     return ",".join(out)
 
@@ -200,6 +205,43 @@ def test_licenses(spark):
     assert [r["licenses"] for r in twice] == ["apache-2.0"] * 2
 
 
+def test_recall_of_license_excerpts(spark):
+    """Excerpts of full texts, whole, edited or broken into lines, are found by bands in at least nine of ten; prose has none."""
+    texts = license_scan.license_texts() | {k: v for k, v in license_scan.TEMPLATES.items() if k.endswith("-text")}
+    rng = random.Random(14)
+    prose = lambda n: " ".join(rng.choice(["the", "software", "of", "use", "license", "copy", "under", "a", "work", "terms", "and"]) for _ in range(n))
+    rows, of = [], {}
+    for i in range(400):
+        name, text = rng.choice(sorted(texts.items()))
+        w = text.split()
+        a = rng.randrange(max(1, len(w) - 110))
+        part = w[a : a + rng.randint(105, 220)]
+        for k in range(len(part)):
+            if i % 2 and rng.random() < 0.04:
+                part[k] = rng.choice(["changed", "words", ""])
+        rows.append((i, f"{prose(rng.randint(0, 300))} {rng.choice([' ', chr(10), chr(10) + '// '])} " + rng.choice([" ", "\n * "]).join(part) + f" {prose(rng.randint(0, 300))}"))
+        of[i] = name
+    rows += [(i, prose(400)) for i in range(400, 450)]
+    got = {r["doc_id"]: r["licenses"].split(",") for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.license_texts() | license_scan.TEMPLATES).collect()}
+    for odd in (0, 1):
+        assert sum(of[i] in got[i] for i in range(odd, 400, 2)) >= 0.95 * 200
+    assert all(got[i] == [""] for i in range(400, 450))
+
+
+def test_license_in_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "CUT", 5000)
+    text = license_scan.TEMPLATES["isc-text"]
+    rows = [(k, "word " * k + text + " word" * (3000 - k)) for k in (0, 700, 900, 1000, 2000)] + [(None, text)]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("isc-text" in got[k] for k in (0, 700, 900, 1000, 2000)) and got[None] == ""
+
+
+def test_plan_is_the_same_for_more_templates(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    of = lambda t: re.sub(r"#\d+L?|\d+", "", license_scan.license_matches(df, t)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(len(of(license_scan.TEMPLATES)) - len(of({"one": "this one is a short line"}))) < 200
+
+
 @pytest.mark.parametrize("templates", [{}, {"short": "two words"}])
 def test_no_templates(spark, templates):
     df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")

@@ -8,7 +8,7 @@ from marlstone.llm import common, queries
 @pytest.mark.parametrize("name", ["op4_license_scan", "op6_url_filter"])
 def test_native_queries_run_no_python(spark, small, name):
     p = queries.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", p)
+    assert not re.search("Python|Pandas|Arrow|RDD|CartesianProduct|BroadcastNestedLoopJoin", p)
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
