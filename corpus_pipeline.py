@@ -1,7 +1,9 @@
 """From documents to token ids: STAGES in order, each over all that the stage before kept.
 
 Each function takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents. Rows go by their doc_id and text, so that a repeated doc_id loses no other
+text, and rows without a doc_id are treated like others; the operators' docstrings say what nulls, empty and very long texts, ties,
+repeated rows and empty tables give.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ STAGES = [
     ("sentencepiece", token_ids),
 ]
 
-#: The stages of a trained classifier and of a BPE encoder have no form in SQL; tests/llm holds them against brute force.
+#: The stages of a trained classifier and of a BPE encoder have no form in SQL; tests/llm/test_pipeline.py holds run() against a plain pipeline.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,7 @@
 """SentencePiece BPE encoding by suffix-array matching, and decoding.
 
-The distinct words of a batch are concatenated and their suffixes sorted, as deep as the longest piece. Each
+The distinct words of a batch that earlier batches of the task haven't had are concatenated (the ids of the others are kept, up to
+MOST_KNOWN words) and their suffixes sorted, as deep as the longest piece. Each
 piece's occurrences are a range, found by binary search; they are edges from the start to the end of the
 occurrence. Sorted by end position, edges are relaxed for all words at once: a prefix's encoding ends with
 the one piece that fits what the encoding of the shorter prefix ends with. Two pieces fit if merging
@@ -329,7 +330,8 @@ def _encoder(shared) -> Encoder:
 def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens, ids, round_trip (decoding the ids gives the text).
 
-    A null text is empty; an empty text has no ids. A text that itself holds U+2581 decodes to spaces there, as with the
+    A null text is empty; an empty text has no ids; a very long one is encoded whole, by its distinct words. There are no ties: of equal
+    merges the leftmost comes first, as in the library. A text that itself holds U+2581 decodes to spaces there, as with the
     library, and has round_trip false. Repeated rows are encoded each; extra columns are ignored; an empty table
     gives an empty result.
     """

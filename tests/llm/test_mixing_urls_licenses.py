@@ -136,6 +136,16 @@ def test_links_of_a_hub(spark):
     assert url_filter.url_verdicts(pages).where("verdict = 'block'").count() == n + 1
 
 
+def test_long_html_and_repeated_pages(spark):
+    """Links anywhere in a long page count, each page by itself; only links decide on these hosts."""
+    filler = "<p>text</p> <a href='/local'>x</a> " * 20_000
+    pages = [(1, "http://a.com/", filler + "<a href='http://bad.net/'>" + filler), (2, "http://good.org/fr/", '<a href="http://b.com/x">' + filler + '<a href="http://c.com/">'), (2, "http://good.org/fr/", '<a href="http://b.com/x">'), (3, "http://b.com/", None), (4, "http://c.com/", ""), (None, "http://bad.net/", "")]
+    rows = url_filter.url_verdicts(spark.createDataFrame([(*p, "c", 1) for p in pages], "page_id long, url string, html string, rule string, mass long")).collect()
+    by = {r["host"]: (r["rule"], r["verdict"], r["trust"], r["distrust"]) for r in rows}
+    assert len(rows) == 6 and by["a.com"][:2] == (None, "block") and by["b.com"][:2] == by["c.com"][:2] == (None, "allow")
+    assert by["b.com"][2] == 2 * by["c.com"][2] > 0 and by["a.com"][3] > 0 and by["good.org"][1] == "allow"
+
+
 def solved(links, seeds):
     """Trust by host, as the solution of the linear equations."""
     hosts = sorted({x for l in links for x in l} | set(seeds))
