@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bit_filter, free_names, map_batches, row_slices, set_bits, text_buffer, word_hashes, word_slices, written
+from .common import LOWER, bit_filter, free_names, map_batches, mix64, row_slices, set_bits, text_buffer, word_hashes, word_slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -25,6 +25,7 @@ ANY = len(KINDS)
 NEAR_WORDS = 4
 ALPHA = 0.75
 SUPPORT = 5
+SLICE = 1 << 19
 
 #: Function words of the languages of the texts (English, German, French, Spanish), which give nothing away.
 FUNCTION_WORDS = """
@@ -166,7 +167,7 @@ def near(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, alpha: float, support: int) -> DataFrame:
     """term of the terms that give a kind away, each once."""
-    counts = written(near(docs).groupBy("kind", "term").agg(F.sum("n").alias("near")))
+    counts = written(near(docs)).groupBy("kind", "term").agg(F.sum("n").alias("near"))
     totals = {r["kind"]: r["near"] for r in counts.where("term is null").collect()}  # a row a kind, and one
     documents = float(totals.get(None, 0))
     terms = counts.where(F.col("term").isNotNull() & (F.col("near") >= support))
@@ -176,13 +177,15 @@ def disclosing(docs: DataFrame, alpha: float, support: int) -> DataFrame:
         """Documents of the batch that hold each term that the filter lets through."""
         found = [np.zeros(0, np.uint64)]
         buf, offsets = text_buffer(batch.column(0))
-        for a, z in row_slices(offsets):
-            codes = []
-            for row, h, _, _ in word_slices(buf[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], TABLE):
+        for a, z in row_slices(offsets, SLICE):
+            terms, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for row, h, _, _ in word_slices(buf[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], TABLE, SLICE):
                 keep = set_bits(h.view(np.int64), shared.value)
-                codes.append(np.unique(np.stack([row[keep], h[keep].view(np.int64)], axis=1), axis=0))
-            if codes:
-                found.append(np.unique(np.concatenate(codes), axis=0)[:, 1].view(np.uint64))
+                terms, rows = np.concatenate([terms, h[keep]]), np.concatenate([rows, row[keep]])
+                with np.errstate(over="ignore"):
+                    _, once = np.unique(mix64(terms + mix64(rows.astype(np.uint64) + np.uint64(1))), return_index=True)  # of each row
+                terms, rows = terms[once], rows[once]
+            found.append(terms)
         u, n = np.unique(np.concatenate(found), return_counts=True)
         return {"term": pa.array(u.view(np.int64)), "n": pa.array(n.astype(np.int64))}
 
@@ -200,13 +203,24 @@ def disclosing(docs: DataFrame, alpha: float, support: int) -> DataFrame:
 _PLACES = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def places(buf: np.ndarray, flags: np.ndarray, spans) -> list[dict]:
-    """Where terms that the filter lets through stand in one text, but for those that touch a base span."""
-    out = []
-    for h, starts, ends in terms_of(buf):
-        keep = np.flatnonzero(set_bits(h.view(np.int64), flags))
-        keep = keep[~touching(starts[keep], ends[keep], spans)]
-        out += [{"term": int(h[i].view(np.int64)), "start": int(starts[i]), "end": int(ends[i])} for i in keep]
+def places(buf: np.ndarray, offsets: np.ndarray, flags: np.ndarray, spans: list | None = None) -> list[list[dict]]:
+    """By row: where terms that the filter lets through stand, but for those that touch a base span (spans by row)."""
+    out = [[] for _ in offsets[1:]]
+    for a, z in row_slices(offsets, SLICE):
+        part, own = buf[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
+        rows, hashes, begins, ends = ([np.zeros(0, t)] for t in (np.int64, np.uint64, np.int64, np.int64))
+        for found in word_slices(part, own, TABLE, SLICE):
+            keep = set_bits(found[1].view(np.int64), flags)
+            for held, x in zip((rows, hashes, begins, ends), found, strict=True):
+                held.append(x[keep])
+        row, h, begin, end = map(np.concatenate, (rows, hashes, begins, ends))
+        cut = np.searchsorted(row, np.arange(z - a + 1))
+        for i in np.unique(row).tolist():  # few texts have any
+            at = slice(cut[i], cut[i + 1])
+            both = code_points(part, np.stack([begin[at], end[at]], axis=1).reshape(-1), int(own[i]), 0)
+            first, last = both[::2], both[1::2]
+            free = ~touching(first, last, spans[a + i] if spans else [])
+            out[a + i] = [{"term": t, "start": s, "end": e} for t, s, e in zip(h[at][free].view(np.int64).tolist(), first[free].tolist(), last[free].tolist(), strict=True)]
     return out
 
 
@@ -232,15 +246,10 @@ def personal_spans(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT
     def find(batch):
         for s in range(0, batch.num_rows, 1024):
             part = batch.slice(s, 1024)
-            counts, base, hits = [[] for _ in KINDS], [], []
-            buf, offsets = text_buffer(part.column(1))
-            for i, text in enumerate(each_text(part.column(1))):
-                spans = base_spans(text)
-                del text
-                for k, c in enumerate(counts):
-                    c.append(sum(x[0] == k for x in spans))
-                base.append(joined(spans))
-                hits.append(places(buf[offsets[i] : offsets[i + 1]], shared.value, spans))
+            spans = [base_spans(text) for text in each_text(part.column(1))]
+            counts = [[sum(x[0] == k for x in own) for own in spans] for k in range(len(KINDS))]
+            base = [joined(own) for own in spans]
+            hits = places(*text_buffer(part.column(1)), shared.value, spans)
             yield {"doc_id": part.column(0)} | {f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts, strict=True)} | {"base": pa.array(base, pa.string()), "hits": pa.array(hits, _PLACES)}
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, hits array<struct<term:long,start:int,end:int>>"
@@ -277,8 +286,7 @@ def sanitised(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) ->
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(terms.select(F.col("term").alias("key"))))
 
     def hits(batch):
-        buf, offsets = text_buffer(batch.column(1))
-        at = [places(buf[a:z], shared.value, []) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+        at = places(*text_buffer(batch.column(1)), shared.value)
         keep = [i for i, x in enumerate(at) if x]
         return {"row": batch.column(0).take(pa.array(keep, pa.int64())), "hits": pa.array([at[i] for i in keep], _PLACES)}
 
