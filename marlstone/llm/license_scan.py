@@ -1,9 +1,10 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
 Words are lower-cased runs of letters and digits of ASCII, shingles five words. Texts are cut into windows of several scales.
-Up to 64 words, a template belongs to the least scale that holds it, whose windows overlap by as much, so that every occurrence lies
-whole in a window. Longer texts of licenses are cut into windows of PIECE words, STEP apart, and documents into windows of PIECE words
-too, half of that apart: any excerpt of one and a half pieces holds a whole window, which lies within STEP / 2 words of one of the license.
+Up to 32 words, a template belongs to the least scale that holds it; windows are of twice as many words and overlap by half, so that every
+occurrence lies whole in a window. Longer texts of licenses are cut into windows of PIECE words, STEP apart, and documents into
+windows of PIECE words too, APART: any excerpt of PIECE + APART words holds a whole window, which lies within STEP / 2 words of one
+of the license.
 
 Signatures are minima of one hash function. For texts they are those of BANDS ranges of it, ROWS to a band: two windows alike by j, by
 Jaccard similarity, meet in some band with a probability of 1 - (1 - j ** ROWS) ** BANDS, that is 0.99 for j = 0.5. Short
@@ -12,7 +13,7 @@ four fifths of the template is missed with a probability below (1 - j) ** LEAST;
 windows' shingles are among the minima.
 
 A match needs CONTAINED percent of a short template's shingles in one window, or TEXT_CONTAINED percent of a window's shingles
-in the text of the license. Only DataFrame functions; templates are data, so that the plan is the same for any number of them.
+(of the text's, if these are fewer) in both the window and the text of the license. Only DataFrame functions; templates are data, so that the plan is the same for any number of them.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-SCALES = (8, 16, 32, 64)
+SCALES = (8, 16, 32)
 LEAST = 24
-PIECE, STEP = 64, 8
+PIECE, STEP, APART = 64, 8, 48
 BANDS, ROWS = 16, 2
 FEWEST = 24  # shingles of a window that may lie in a text
 CONTAINED, TEXT_CONTAINED = 80, 60
@@ -119,13 +120,13 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> D
     table = templates_table(docs.sparkSession, templates)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(segments(F.coalesce(F.col("text"), F.lit("")))).alias("text"))
     held = with_shingles(held, F.col("text")).select("doc_id", "_s").where(F.size("_s") > 0)
-    all_ = F.concat(*[windows_of(scale + scale // 2, scale // 2, scale) for scale in SCALES], windows_of(PIECE, PIECE // 2, PIECE + 1))
+    all_ = F.concat(*[windows_of(2 * scale, scale, scale) for scale in SCALES], windows_of(PIECE, APART, PIECE + 1))
     signed = with_keys(held.select("doc_id", F.explode(all_).alias("w")))
     met = signed.join(F.broadcast(template_keys(table)), ["scale", "key"])  # LEAST or BANDS rows for each window of a template
     met = met.select("doc_id", "scale", "window", "name").join(F.broadcast(table.select("name", "shingles")), "name")  # a row a template
     both = F.size(F.array_intersect("shingles", "window"))
     text = F.col("scale") == PIECE + 1
-    met = met.withColumn("share", both / F.when(text, F.size("window")).otherwise(F.size("shingles")))
+    met = met.withColumn("share", both / F.when(text, F.least(F.size("window"), F.size("shingles"))).otherwise(F.size("shingles")))
     enough = F.when(text, (F.col("share") * 100 >= TEXT_CONTAINED) & (F.size("window") >= FEWEST)).otherwise(F.col("share") * 100 >= CONTAINED)
     return met.where(enough).groupBy("doc_id", F.col("name").alias("license")).agg(F.max("share").alias("contained"))
 

@@ -185,12 +185,12 @@ def brute_licenses(text, templates=license_scan.TEMPLATES):
     s, out = cut(text)[0], []
     for name, template in sorted(templates.items()):
         t, n = cut(template)
-        t, scale = set(t), next((x for x in (8, 16, 32, 64) if n <= x), None)
+        t, scale = set(t), next((x for x in (8, 16, 32) if n <= x), None)
         if scale:
-            hit = any(len(t & set(s[a : a + scale * 3 // 2 - 4])) * 100 >= 80 * len(t) for a in range(0, len(s), scale // 2))
+            hit = any(len(t & set(s[a : a + 2 * scale - 4])) * 100 >= 80 * len(t) for a in range(0, len(s), scale))
         else:
-            windows = (set(s[a : a + 60]) for a in range(0, len(s), 32))
-            hit = any(len(w) >= 24 and len(t & w) * 100 >= 60 * len(w) for w in windows)
+            windows = (set(s[a : a + 60]) for a in range(0, len(s), 48))
+            hit = any(len(w) >= 24 and len(t & w) * 100 >= 60 * min(len(w), len(t)) for w in windows)
         if hit:
             out.append(name)
     return ",".join(out)
@@ -224,8 +224,8 @@ def test_recall_of_license_excerpts(spark):
     for i in range(400):
         name, text = rng.choice(sorted(texts.items()))
         w = text.split()
-        a = rng.randrange(max(1, len(w) - 110))
-        part = w[a : a + rng.randint(105, 220)]
+        a = rng.randrange(max(1, len(w) - 120))
+        part = w[a : a + rng.randint(115, 220)]
         for k in range(len(part)):
             if i % 2 and rng.random() < 0.04:
                 part[k] = rng.choice(["changed", "words", ""])
