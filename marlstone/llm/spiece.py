@@ -24,7 +24,7 @@ from .common import map_batches, row_slices, text_buffer
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
-SLICE = 4 << 20
+SLICE = 2 << 20
 MOST_CHARS = 400_000
 MOST_KNOWN = 250_000
 CACHE_BITS = 20
