@@ -87,12 +87,16 @@ class VectorBackend:
         return cosine(self.vector, F.col(self.column))
 
 
+#: How many characters of a text the two kinds of services are given.
+HOSTED_CHARS, SERVER_CHARS = 8000, 8192
+
+
 def backend_name(explicit: str | None, has_key: bool) -> str:
     """Which embeddings to use: what is asked for, else a hosted service if there is a key for it, else local ones."""
     return explicit or ("hosted" if has_key else "local")
 
 
-def embedded_by(client: Callable[[list[str]], list[list[float] | None]], most_chars: int = 8192, batch: int = 64) -> Callable[[Column], Column]:
+def embedded_by(client: Callable[[list[str]], list[list[float] | None]], most_chars: int = SERVER_CHARS, batch: int = 64) -> Callable[[Column], Column]:
     """A Column function that embeds texts by a client of the caller's, which Arrow batches are handed to in parts.
 
     client is pickled and runs on the executors. What it gives as None, and null texts, are null vectors.
@@ -109,3 +113,8 @@ def embedded_by(client: Callable[[list[str]], list[list[float] | None]], most_ch
         return pa.array(out, pa.list_(pa.float64()))
 
     return embed
+
+
+def hosted_by(client: Callable[[list[str]], list[list[float] | None]], batch: int = 64) -> Callable[[Column], Column]:
+    """embedded_by with the limit of hosted services."""
+    return embedded_by(client, HOSTED_CHARS, batch)

@@ -29,3 +29,9 @@ def expand_event(spark, query_hash: str, chunk_id: str, ts: int) -> DataFrame:
 def returned_events(spark, query_hash: str, chunk_ids: list[str], ts: int) -> DataFrame:
     ids = F.array(*[F.lit(x) for x in chunk_ids]).cast("array<string>")
     return spark.range(1).select(F.lit(query_hash).alias("query_hash"), F.explode(ids).alias("chunk_id"), F.lit("returned").alias("action"), F.lit(ts).cast("long").alias("ts"))
+
+
+def expand_report(chunks: DataFrame, chunk_id: str) -> DataFrame:
+    """One row or none: text with the whole chunk and where it is."""
+    own = chunks.where(F.col("id") == chunk_id)
+    return own.select(F.concat(F.lit("**"), F.col("file_path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("**\n```\n"), F.col("content"), F.lit("\n```")).alias("text"))

@@ -1,6 +1,6 @@
 """Analytics on dependency edges (from_file depends on to_file): breadth-first levels as joins.
 
-Every level joins the frontier with the edges and drops what was seen; levels are written tables, so plans
+Edges are written once, and every level joins the frontier with them and drops what was seen; levels are written tables, so plans
 don't grow. The number of levels is bounded by the caller's depth.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import counted
+from ..plans.materialize import counted, materialized
 
 MOST_HOPS = 4
 
@@ -29,6 +29,7 @@ def dependencies(edges: DataFrame, file: str) -> DataFrame:
 def levels(steps: DataFrame, root: str, most: int, root_seen: bool) -> DataFrame:
     """file, depth of what is reached from root over steps (a, b); root itself only if reached again and not root_seen."""
     spark = steps.sparkSession
+    steps = materialized(steps.select("a", "b"))
     frontier = spark.range(1).select(F.lit(root).alias("file"))
     seen = spark.range(1).select(F.lit(root).alias("file"), F.lit(0).alias("depth")) if root_seen else spark.range(0).select(F.lit("").alias("file"), F.lit(0).alias("depth"))
     for depth in range(1, most + 1):
@@ -78,7 +79,7 @@ def risk(impacts: DataFrame) -> DataFrame:
 
 def impacts(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
     """root, file, depth for every root (file) at once; as impact of each."""
-    back = edges.select(F.col("to_file").alias("a"), F.col("from_file").alias("b"))
+    back = materialized(edges.select(F.col("to_file").alias("a"), F.col("from_file").alias("b")))
     frontier = roots.select(F.col("file").alias("root"), "file").distinct()
     seen = frontier.withColumn("depth", F.lit(0)).limit(0)
     for depth in range(1, max_depth + 1):
@@ -97,3 +98,33 @@ def risks(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
     zero = F.lit(0).cast("long")
     out = roots.select("file").distinct().join(counts, "file", "left").select("file", F.coalesce("direct", zero).alias("direct"), F.coalesce("transitive", zero).alias("transitive"))
     return out.withColumn("score", risk_score(F.col("direct"), F.col("transitive"))).withColumn("label", risk_label(F.col("score")))
+
+
+def impact_report(edges: DataFrame, file: str, max_depth: int = 5, heading: str = "Impact of") -> DataFrame:
+    """part, depth, line: the lines of the report about a change of file, in this order; a line for each dependent, at any number of them."""
+    found = impact(edges, file, max_depth)
+    found = materialized(found.select("file", F.col("depth").cast("int").alias("depth"), "is_test"))
+    tick = lambda x: F.concat(F.lit("- `"), x, F.lit("`"))
+    sums = risk(found).withColumn("tests", found.agg(F.count_if("is_test")).scalar())
+    n = lambda c: F.col(c).cast("string")
+    none = F.col("direct") + F.col("transitive") == 0
+    say = lambda part, line, cond=F.lit(True): F.struct(F.lit(part).alias("part"), F.when(cond, line).alias("line"))
+    lines = [
+        say(0, F.when(none, F.lit(f"No dependents found for `{file}`. Safe to change.")).otherwise(F.lit(f"## {heading} `{file}`"))),
+        say(1, F.concat(F.lit("**Risk: "), F.upper("label"), F.lit(" ("), n("score"), F.lit("/100)**")), ~none),
+        say(2, F.concat(F.lit("**Direct dependents ("), n("direct"), F.lit("):**")), ~none),
+        say(4, F.concat(F.lit("**Transitive dependents ("), n("transitive"), F.lit("):**")), F.col("transitive") > 0),
+        say(6, F.when(F.col("tests") > 0, F.concat(F.lit("**Test files affected ("), n("tests"), F.lit("):**"))).otherwise("No test files affected."), ~none),
+    ]
+    heads = sums.select(F.inline(F.array(*lines))).where("line is not null").select("part", F.lit(0).alias("depth"), "line")
+    direct = found.where("depth = 1").select(F.lit(3).alias("part"), "depth", tick(F.col("file")).alias("line"))
+    further = found.where("depth > 1").select(F.lit(5).alias("part"), "depth", F.concat(tick(F.col("file")), F.lit(" (depth "), n("depth"), F.lit(")")).alias("line"))
+    tests = found.where("is_test").select(F.lit(7).alias("part"), "depth", tick(F.col("file")).alias("line"))
+    return heads.union(direct).union(further).union(tests)
+
+
+def change_report(edges: DataFrame, file: str) -> DataFrame:
+    """One row: report, JSON that says how safe a change of file is."""
+    r = risk(impact(edges, file))
+    fields = F.struct(F.lit(file).alias("file"), F.col("label").alias("risk"), "score", (F.col("direct") + F.col("transitive")).alias("affected"), "direct")
+    return r.select(F.to_json(fields).alias("report"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import embed_text
+from ..functions.vectors import local_embedding, local_sign
+
 
 def changed_files(files: DataFrame, meta: DataFrame) -> DataFrame:
     """files (path, mtime, ...) that meta does not have with that mtime."""
@@ -40,3 +43,19 @@ def stats(chunks: DataFrame, memories: DataFrame, meta: DataFrame, edges: DataFr
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def chunk_rows(changed: DataFrame, now: int, start: int) -> DataFrame:
+    """The rows of the chunks of changed (path, content): embedded, numbered from start, the last of equal ids."""
+    from .chunking import chunk_files
+
+    text = embed_text(F.col("name"), F.col("kind"), F.col("content"))
+    made = chunk_files(changed.select("path", "content")).orderBy("file_path", "ordinal")
+    made = made.withColumn("seq", F.monotonically_increasing_id() + start).withColumn("embedding", local_embedding(text)).withColumn("sign", local_sign(text)).withColumn("updated_at", F.lit(now).cast("long"))
+    return last_by_key(made.drop("ordinal"), "id")
+
+
+def file_rows(changed: DataFrame, git_times: DataFrame | None = None) -> DataFrame:
+    """path, mtime, git_updated_at of changed (path, mtime)."""
+    seen = changed.select("path", "mtime")
+    return seen.join(git_times.select("path", "git_updated_at"), "path", "left") if git_times is not None else seen.withColumn("git_updated_at", F.lit(None).cast("long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EmbeddingBackend
@@ -79,3 +79,48 @@ def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
 
 def checkpoint_list(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.orderBy(F.desc("seq")).select("id", "summary", "created_at")
+
+
+def newest_best() -> Column:
+    """A recalled memory as a struct that sorts as recall does."""
+    return F.struct((-F.col("score")).alias("worse"), (-F.col("created_at")).alias("older"), "seq", "content", "tags", F.coalesce("stale", F.lit(False)).alias("stale"), "score")
+
+
+def lines_of(m: Column) -> Column:
+    """The line that shows a recalled memory."""
+    stale, tags = F.when(m["stale"], " *[stale]*").otherwise(""), F.when(F.size(m["tags"]) > 0, F.concat(F.lit(" *("), F.array_join(m["tags"], ", "), F.lit(")*"))).otherwise("")
+    return F.concat(F.lit("- ["), F.format_string("%.2f", m["score"]), F.lit("] "), m["content"], stale, tags)
+
+
+def recall_report(recalled: DataFrame) -> DataFrame:
+    """One row: text that lists the recalled memories; they are few."""
+    rows = recalled.agg(F.array_sort(F.collect_list(newest_best())).alias("x"))
+    text = F.concat(F.lit("**Relevant memories:**\n"), F.array_join(F.transform("x", lines_of), "\n"))
+    return rows.select(F.when(F.size("x") > 0, text).otherwise("No relevant memories found.").alias("text"))
+
+
+def audit_report(audited: DataFrame) -> DataFrame:
+    """One row: text that says how many memories were audited and marked."""
+    n = audited.agg(F.count("*").alias("n"), F.count_if("marked").alias("m"))
+    end = F.when(F.col("m") > 0, F.concat(F.lit("Marked "), F.col("m").cast("string"), F.lit(" as stale."))).otherwise("All look current.")
+    return n.select(F.concat(F.lit("Audited "), F.col("n").cast("string"), F.lit(" memories. "), end).alias("text"))
+
+
+def checkpoint_report(latest: DataFrame) -> DataFrame:
+    """One row or none: text that shows a checkpoint; times are UTC."""
+    when = F.expr("date_format(timestampadd(SECOND, created_at, timestamp_ntz'1970-01-01 00:00:00'), 'M/d/yyyy, h:mm:ss a')")
+    tasks = F.when(F.size("open_tasks") > 0, F.concat(F.lit("\n\n**Open tasks:**\n"), F.array_join(F.transform("open_tasks", lambda t: F.concat(F.lit("- "), t)), "\n"))).otherwise("")
+    return latest.select(F.concat(F.lit("**Last checkpoint** ("), when, F.lit(")\n\n"), F.col("summary"), tasks).alias("text"))
+
+
+def new_memory(spark, own: str, content: str, tags: list[str], now: int, seq: int) -> DataFrame:
+    from ..functions.vectors import local_embedding
+
+    tags = F.array(*map(F.lit, tags)).cast("array<string>")
+    row = spark.range(1).select(F.lit(own).alias("id"), F.lit(content).alias("content"), tags.alias("tags"), F.lit(False).alias("stale"), F.lit(now).cast("long").alias("created_at"), F.lit(None).cast("long").alias("last_seen_at"), F.lit(seq).cast("long").alias("seq"))
+    return row.withColumn("embedding", local_embedding(F.col("content")))
+
+
+def new_checkpoint(spark, own: str, summary: str, open_tasks: list[str], now: int, seq: int) -> DataFrame:
+    tasks = F.array(*map(F.lit, open_tasks)).cast("array<string>")
+    return spark.range(1).select(F.lit(own).alias("id"), F.lit(summary).alias("summary"), tasks.alias("open_tasks"), F.lit(now).cast("long").alias("created_at"), F.lit(seq).cast("long").alias("seq"))

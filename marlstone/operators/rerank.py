@@ -6,29 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens
+from ..plans.materialize import materialized
 
 K1, B = 1.5, 0.75
 
 
-def bm25(query_terms: Column, doc_terms: Column, average: Column, k1: float = K1, b: float = B) -> Column:
-    """Sum over query terms, repeats included; 0 for a document without terms."""
-    length = F.size(doc_terms).cast("double")
+def bm25(query_terms: Column, doc_terms: Column, average: Column, k1: float = K1, b: float = B, length: Column | None = None) -> Column:
+    """Sum over query terms, repeats included; 0 for a document without terms. doc_terms may be only those of the query, if length is given."""
+    length = F.size(doc_terms).cast("double") if length is None else length.cast("double")
+    counts = F.transform(query_terms, lambda t: F.size(F.filter(doc_terms, lambda x: x == t)).cast("double"))
     ratio = F.try_divide(length, average)
 
-    counts = F.transform(query_terms, lambda t: F.size(F.filter(doc_terms, lambda x: x == t)).cast("double"))
     weight = lambda f: F.coalesce(f * (k1 + 1) / (f + k1 * (1 - b + b * ratio)), F.lit(0.0))
     return F.when(length == 0, 0.0).otherwise(F.aggregate(counts, F.lit(0.0), lambda total, f: total + F.when(f == 0, 0.0).otherwise(weight(f))))
 
 
-def bm25_scores(chunks: DataFrame, query: str) -> DataFrame:
-    """chunks (name, content) with bm25; the average length is over content, the scored text is name and content.
+def bm25_scores(chunks: DataFrame, query: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """keys and bm25 of chunks (name, content); the average length is over content, the scored text is name and content.
 
-    Query and document terms are columns of their own, so that each text is cut into tokens once.
+    One pass cuts the texts into tokens, and writes their number and those that the query has; scores follow from this.
     """
-    average = chunks.agg(F.avg(F.size(bm25_tokens(F.col("content"))))).scalar()
-    doc = F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.col("content"))
-    out = chunks.withColumn("_terms", F.explode(F.array(bm25_tokens(doc)))).withColumn("_average", F.explode(F.array(average)))
-    return out.withColumn("bm25", bm25(bm25_tokens(F.lit(query)), F.col("_terms"), F.col("_average"))).drop("_terms", "_average")
+    terms = bm25_tokens(F.lit(query))
+    cut = chunks.select(*keys, F.explode(F.array(F.struct(bm25_tokens(F.col("name")).alias("name"), bm25_tokens(F.col("content")).alias("content")))).alias("t"))
+    asked = lambda c: F.filter(c, lambda x: F.array_contains(terms, x))
+    few = materialized(cut.select(*keys, F.size("t.content").alias("n"), (F.size("t.name") + F.size("t.content")).alias("length"), F.concat(asked(F.col("t.name")), asked(F.col("t.content"))).alias("hits")))
+    average = few.agg(F.avg("n")).first()[0]
+    return few.select(*keys, bm25(terms, F.col("hits"), F.lit(average).cast("double"), length=F.col("length")).alias("bm25"))
 
 
 def rerank(candidates: DataFrame, query: str, top_k: int, embedding_weight: float = 0.7) -> DataFrame:

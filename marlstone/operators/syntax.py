@@ -39,6 +39,9 @@ class Token:
         self.kind, self.text, self.line, self.at, self.mate = kind, text, line, at, -1
 
 
+_SKIPPED = re.compile(r"""'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|//[^\n]*|/\*[\s\S]*?\*/""")
+
+
 def _template_end(text: str, at: int) -> int:
     """The position after the template that begins at at, with what its ${} hold."""
     i, depth = at + 1, []
@@ -55,6 +58,9 @@ def _template_end(text: str, at: int) -> int:
             elif text.startswith("${", i):
                 depth.append("{")
                 i += 1
+        elif m := _SKIPPED.match(text, i):  # strings and comments between the braces
+            i = m.end()
+            continue
         elif c == "`":
             depth.append("`")
         elif c == "{":
@@ -368,6 +374,9 @@ def chunks_of(path: str, content: str) -> list[dict]:
     return out
 
 
+SLICE = 1 << 22
+
+
 def chunks_by_syntax(files: DataFrame) -> DataFrame:
     """files (path, content): id, file_path, kind, name, start_line, end_line, content, ordinal."""
     names = ["id", "file_path", "kind", "name", "start_line", "end_line", "content", "ordinal"]
@@ -376,7 +385,14 @@ def chunks_by_syntax(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [c | {"file_path": p} for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t is not None for c in chunks_of(p, t)]
+            rows, size = [], 0
+            for p, t in zip(batch.column(0), batch.column(1), strict=True):  # file by file, in slices of about SLICE characters
+                if (t := t.as_py()) is not None:
+                    rows += [c | {"file_path": p.as_py()} for c in chunks_of(p.as_py(), t)]
+                    size += len(t)
+                if size > SLICE:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return files.select("path", "content").mapInArrow(run, "id string, file_path string, kind string, name string, start_line int, end_line int, content string, ordinal int")

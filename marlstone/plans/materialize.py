@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,4 +33,37 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
 def materialized(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _made:
+        _made[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator:
+    """Tables that are made inside are deleted at the end, but for those that are handed to what it gives.
+
+    What is kept must not be read from the others any more: hand on tables, not plans over them.
+    """
+    kept = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.table_path)
+        return df
+
+    _made.append([])
+    try:
+        yield keep
+    finally:
+        made = _made.pop()
+        for path in made:
+            if path not in kept:
+                delete(spark, path)
+            elif _made:
+                _made[-1].append(path)

@@ -1,4 +1,4 @@
-"""Row types of the datasets. Times are epoch seconds; seq is the order of insertion."""
+"""Row types of the datasets. Times are epoch seconds; seq is the order of insertion; sign stands for a local embedding."""
 
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -9,7 +9,7 @@ def _of(**fields) -> StructType:
     return StructType([StructField(k, v) for k, v in fields.items()])
 
 
-CHUNKS = _of(id=_S, file_path=_S, kind=_S, name=_S, start_line=_I, end_line=_I, content=_S, embedding=ArrayType(DoubleType()), updated_at=_L, seq=_L)
+CHUNKS = _of(id=_S, file_path=_S, kind=_S, name=_S, start_line=_I, end_line=_I, content=_S, embedding=ArrayType(DoubleType()), sign=_I, updated_at=_L, seq=_L)
 FILE_META = _of(path=_S, mtime=_L, git_updated_at=_L)
 MEMORIES = _of(id=_S, content=_S, tags=ArrayType(_S), embedding=ArrayType(DoubleType()), stale=BooleanType(), created_at=_L, last_seen_at=_L, seq=_L)
 GRAPH_EDGES = _of(from_file=_S, to_file=_S)

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import embed_text, mentioned_path
-from .functions.vectors import LocalBackend, local_embedding
-from .operators import chunking, feedback, graph, imports, indexing, memory, packing, scoring
-from .plans.materialize import counted, materialized
-from .schemas import CHECKPOINTS, CHUNKS, CONTEXT_STATE, MEMORIES
-from .sources.files import path_aliases, source_files
+from .functions.text import mentioned_path
+from .functions.vectors import LocalBackend
+from .operators import feedback, graph, imports, indexing, memory, packing, scoring
+from .plans.materialize import counted, materialized, temporary
+from .schemas import CONTEXT_STATE
+from .sources.files import listed_files, path_aliases, read_files, source_files
 from .sources.store import Store
 
-
-def _note(m) -> str:
-    return f"- [{m['score']:.2f}] {m['content']}" + (" *[stale]*" if m["stale"] else "") + (f" *({', '.join(m['tags'])})*" if m["tags"] else "")
+MOST_LINES = 10_000
 
 
 class Project:
@@ -32,38 +29,33 @@ class Project:
     # indexing
 
     def index(self, git_times: DataFrame | None = None, prune_deleted: bool = False) -> dict:
-        """Chunks of new and changed files replace the old. git_times: path, git_updated_at."""
-        files, meta = source_files(self.spark, self.root), self.store.read("file_meta")
-        changed = materialized(indexing.changed_files(files, meta))
-        made = self._replace(changed, git_times)
-        if prune_deleted:
-            kept = materialized(files.select("path"))
-            self.store.write("chunks", indexing.pruned(self.store.read("chunks"), kept))
-            self.store.write("file_meta", indexing.pruned(self.store.read("file_meta"), kept, "path"))
-        return {"files": files.select("path").count(), "chunks": made}
+        """Chunks of new and changed files replace the old; only these are read. git_times: path, git_updated_at."""
+        with temporary(self.spark):
+            listed = materialized(listed_files(self.spark, self.root))
+            changed = indexing.changed_files(listed, self.store.read("file_meta"))
+            made = self._replace(materialized(read_files(self.spark, self.root, changed)), git_times)
+            if prune_deleted:
+                self.store.write("chunks", indexing.pruned(self.store.read("chunks"), listed))
+                self.store.write("file_meta", indexing.pruned(self.store.read("file_meta"), listed, "path"))
+            return {"files": listed.count(), "chunks": made}
 
     def index_file(self, path: str) -> int:
         """One file again, changed or not; its git time is forgotten."""
-        return self._replace(materialized(source_files(self.spark, self.root).where(F.col("path") == path)), None)
+        with temporary(self.spark):
+            return self._replace(materialized(read_files(self.spark, self.root, self.spark.createDataFrame([(path,)], "path string"))), None)
 
     def _replace(self, changed: DataFrame, git_times: DataFrame | None) -> int:
-        now, start = self.clock(), self.store.next_seq("chunks")
-        chunks, made = counted(chunking.chunk_files(changed.select("path", "content")))
-        text = embed_text(F.col("name"), F.col("kind"), F.col("content"))
-        place = F.monotonically_increasing_id() + start
-        rows = chunks.orderBy("file_path", "ordinal").withColumn("seq", place).withColumn("embedding", local_embedding(text)).withColumn("updated_at", F.lit(now).cast("long"))
-        rows = indexing.last_by_key(rows.select([f.name for f in CHUNKS]), "id")
-        self.store.write("chunks", indexing.replaced(self.store.read("chunks"), rows, changed.select(F.col("path").alias("file_path"))))
-        seen = changed.select("path", "mtime")
-        seen = seen.join(git_times.select("path", "git_updated_at"), "path", "left") if git_times is not None else seen.withColumn("git_updated_at", F.lit(None).cast("long"))
-        self.store.write("file_meta", indexing.replaced(self.store.read("file_meta"), seen, changed.select("path"), "path"))
-        return made
+        with temporary(self.spark):
+            rows, made = counted(indexing.chunk_rows(changed, self.clock(), self.store.next_seq("chunks")))
+            self.store.write("chunks", indexing.replaced(self.store.read("chunks"), rows, changed.select(F.col("path").alias("file_path"))))
+            self.store.write("file_meta", indexing.replaced(self.store.read("file_meta"), indexing.file_rows(changed, git_times), changed.select("path"), "path"))
+            return made
 
     def rebuild_graph(self, js_to_ts: bool = False) -> int:
         """Edges between the indexed files; how many files there are."""
         paths = self.store.read("chunks").select(F.col("file_path").alias("path")).distinct()
         files = materialized(source_files(self.spark, self.root).join(paths, "path", "left_semi"))
-        self.store.write("graph_edges", imports.build_edges(files, self.root, path_aliases(self.spark, self.root), js_to_ts))
+        self.store.overwrite("graph_edges", imports.build_edges(files, self.root, path_aliases(self.spark, self.root), js_to_ts))
         return paths.count()
 
     # retrieval
@@ -73,15 +65,13 @@ class Project:
         return row["file"] if row else None
 
     def set_context(self, file: str) -> str:
-        self.store.write("context_state", self.spark.createDataFrame([(file,)], CONTEXT_STATE))
+        self.store.overwrite("context_state", self.spark.createDataFrame([(file,)], CONTEXT_STATE))
         return f"Context set to: {file}"
 
-    def _signs(self) -> DataFrame:
-        """Chunks with the sign of the local embedding in place of its 256 numbers."""
-        return self.store.read("chunks").withColumn("sign", F.when(F.col("embedding").isNotNull(), F.signum(F.get("embedding", F.lit(0))).cast("int"))).drop("embedding")
-
     def search(self, query: str, top_k: int = 10) -> DataFrame:
-        return scoring.search_context(self._signs(), query, self.clock(), top_k, meta=self.store.read("file_meta"), log=self.store.read("query_log"), edges=self.store.read("graph_edges"), context_file=self.context_file(), backend=LocalBackend(query, sign="sign"))
+        """Reads the sign of each chunk's embedding, not its 256 numbers."""
+        chunks = self.store.read("chunks").drop("embedding")
+        return scoring.search_context(chunks, query, self.clock(), top_k, meta=self.store.read("file_meta"), log=self.store.read("query_log"), edges=self.store.read("graph_edges"), context_file=self.context_file(), backend=LocalBackend(query, sign="sign"))
 
     def search_context(self, query: str, top_k: int = 10, density: str = "balanced", exclude: list[str] | None = None, token_budget: int | None = None) -> str:
         """The rendered context. A path that the query mentions becomes the context file if there is none."""
@@ -89,51 +79,38 @@ class Project:
         if named and not self.context_file():
             self.set_context(named)
         packed = packing.compressed(self.search(query, top_k), density, exclude, token_budget)
-        r = packing.rendered(packed, query).first()
-        notes = f"{r['shown']} chunks shown" + (f" | {r['dropped']} dropped" if r["dropped"] else "") + (f" | {len(exclude)} excluded" if exclude else "")
-        return "\n".join([r["context"], "---", f"*~{-(-len(r['context']) // 4)} tokens | {notes}*", f"*chunk_ids: {', '.join(r['ids'])}*"])
+        return packing.search_report(packed, query, len(exclude or [])).first()["text"]
 
     def start_task(self, task: str, density: str = "balanced", token_budget: int | None = None) -> str:
-        notes = self.recall_rows(task, 3)
-        out = []
-        if notes:
-            warning = "\n> Some memories are flagged stale — verify before relying on them." if any(m["stale"] for m in notes) else ""
-            out += [f"## Memories from past sessions{warning}\n", *map(_note, notes)]
-        else:
-            out.append("## Memories from past sessions\n*(none found for this topic)*")
-        r = packing.rendered(packing.compressed(self.search(task, 8), density, None, token_budget), task).first()
-        out += ["", r["context"]]
-        tokens = -(-len("\n".join(out)) // 4)
-        out.append(f"\n---\n*~{tokens} tokens | {len(notes)} memories | {r['shown']} chunks" + (f" | {r['dropped']} dropped" if r["dropped"] else "") + "*")
-        return "\n".join(out)
+        notes = self._recalled(task, 3)
+        packed = packing.compressed(self.search(task, 8), density, None, token_budget)
+        return packing.task_report(notes, packed, task).first()["text"]
 
     def expand_chunk(self, chunk_id: str, query: str | None = None) -> str:
-        row = self.store.read("chunks").where(F.col("id") == chunk_id).select("content", "file_path", "start_line").first()
+        row = feedback.expand_report(self.store.read("chunks"), chunk_id).first()
         if row is None:
             return f"Chunk not found: {chunk_id}"
         digest = self.spark.range(1).select(F.substring(F.sha2(F.lit(query if query is not None else chunk_id), 256), 1, 16).alias("x")).first()["x"]
-        self.store.write("query_log", self.store.read("query_log").unionByName(feedback.expand_event(self.spark, digest, chunk_id, self.clock())))
-        return f"**{row['file_path']}:{row['start_line']}**\n```\n{row['content']}\n```"
+        self.store.append("query_log", feedback.expand_event(self.spark, digest, chunk_id, self.clock()))
+        return row["text"]
 
     # memory
 
     def save_learning(self, content: str, tags: list[str] | None = None) -> str:
         own = str(uuid.uuid4())
-        row = self.spark.createDataFrame([(own, content, tags or [], None, False, self.clock(), None, self.store.next_seq("memories"))], MEMORIES).withColumn("embedding", local_embedding(F.col("content")))
-        self.store.write("memories", self.store.read("memories").unionByName(row))
+        self.store.append("memories", memory.new_memory(self.spark, own, content, tags or [], self.clock(), self.store.next_seq("memories")))
         return own
 
-    def recall_rows(self, topic: str, top_k: int = 5) -> list:
+    def _recalled(self, topic: str, top_k: int) -> DataFrame:
+        """The memories that a topic recalls, which are marked as seen."""
         memories = self.store.read("memories")
-        found = memory.recall(memories, LocalBackend(topic), top_k).select("id", "content", "tags", "stale", "score").collect()
-        if found:
-            hit = self.spark.createDataFrame([(r["id"],) for r in found], "id string")
-            self.store.write("memories", memory.touched(memories, hit, self.clock()))
+        found = materialized(memory.recall(memories, LocalBackend(topic), top_k).drop("embedding"))
+        if not found.isEmpty():
+            self.store.write("memories", memory.touched(memories, found.select("id"), self.clock()))
         return found
 
     def recall(self, topic: str, top_k: int = 5) -> str:
-        found = self.recall_rows(topic, top_k)
-        return "**Relevant memories:**\n" + "\n".join(map(_note, found)) if found else "No relevant memories found."
+        return memory.recall_report(self._recalled(topic, top_k)).first()["text"]
 
     def list_memories(self) -> DataFrame:
         return memory.newest_first(self.store.read("memories"))
@@ -148,15 +125,13 @@ class Project:
     def audit_memories(self) -> str:
         memories = self.store.read("memories")
         audited = materialized(memory.audit(memories, self.store.read("chunks")))
-        n, marked = audited.agg(F.count("*"), F.count_if("marked")).first()
-        if marked:
+        if not audited.where("marked").isEmpty():
             self.store.write("memories", memory.after_audit(memories, audited))
-        return f"Audited {n} memories. " + (f"Marked {marked} as stale." if marked else "All look current.")
+        return memory.audit_report(audited).first()["text"]
 
     def save_checkpoint(self, summary: str, open_tasks: list[str] | None = None) -> str:
         own = str(uuid.uuid4())
-        row = self.spark.createDataFrame([(own, summary, open_tasks or [], self.clock(), self.store.next_seq("checkpoints"))], CHECKPOINTS)
-        self.store.write("checkpoints", self.store.read("checkpoints").unionByName(row))
+        self.store.append("checkpoints", memory.new_checkpoint(self.spark, own, summary, open_tasks or [], self.clock(), self.store.next_seq("checkpoints")))
         return own
 
     def latest_checkpoint(self):
@@ -166,31 +141,23 @@ class Project:
         return memory.checkpoint_list(self.store.read("checkpoints"))
 
     def get_checkpoint(self) -> str:
-        c = self.latest_checkpoint()
-        if c is None:
-            return "No checkpoints saved yet."
-        tasks = "\n\n**Open tasks:**\n" + "\n".join(f"- {t}" for t in c["open_tasks"]) if c["open_tasks"] else ""
-        when = time.strftime("%m/%d/%Y, %I:%M:%S %p", time.gmtime(c["created_at"]))
-        return f"**Last checkpoint** ({when})\n\n{c['summary']}{tasks}"
+        row = memory.checkpoint_report(memory.latest_checkpoint(self.store.read("checkpoints"))).first()
+        return row["text"] if row else "No checkpoints saved yet."
 
     # graph
 
+    def impact_lines(self, file: str, max_depth: int = 5) -> DataFrame:
+        """part, depth, line of the report, for any number of dependents."""
+        return graph.impact_report(self.store.read("graph_edges"), file, max_depth)
+
     def analyze_impact(self, file: str, max_depth: int = 5) -> str:
-        found = graph.impact(self.store.read("graph_edges"), file, max_depth).orderBy("depth", "file").collect()
-        if not found:
-            return f"No dependents found for `{file}`. Safe to change."
-        direct, further, tests = [r for r in found if r["depth"] == 1], [r for r in found if r["depth"] > 1], [r for r in found if r["is_test"]]
-        score = min(100, 10 * len(direct) + 2 * len(further))
-        label = next(x for least, x in ((60, "CRITICAL"), (30, "HIGH"), (10, "MEDIUM"), (0, "LOW")) if score >= least)
-        out = [f"## Impact of `{file}`", f"**Risk: {label} ({score}/100)**", f"**Direct dependents ({len(direct)}):**", *[f"- `{r['file']}`" for r in direct]]
-        if further:
-            out += [f"**Transitive dependents ({len(further)}):**", *[f"- `{r['file']}` (depth {r['depth']})" for r in further]]
-        out += [f"**Test files affected ({len(tests)}):**", *[f"- `{r['file']}`" for r in tests]] if tests else ["No test files affected."]
-        return "\n".join(out)
+        """The report as a text, of MOST_LINES lines at most."""
+        lines = self.impact_lines(file, max_depth).orderBy("part", "depth", "line").limit(MOST_LINES + 1).collect()
+        more = ["(more lines: see impact_lines)"] if len(lines) > MOST_LINES else []
+        return "\n".join([r["line"] for r in lines[:MOST_LINES]] + more)
 
     def safe_to_change(self, file: str) -> str:
-        r = graph.risk(graph.impact(self.store.read("graph_edges"), file)).first()
-        return json.dumps({"file": file, "risk": r["label"], "score": r["score"], "affected": r["direct"] + r["transitive"], "direct": r["direct"]}, separators=(",", ":"))
+        return graph.change_report(self.store.read("graph_edges"), file).first()["report"]
 
     def status(self) -> dict:
         t = self.store.read

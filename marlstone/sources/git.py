@@ -3,26 +3,34 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def parsed_times(log: str, root: str) -> list[tuple[str, int]]:
-    """log: for each commit, newest first, a line of @ and its time, then a line for each file. The newest time of each file."""
+def parsed_times(lines: Iterable[str], root: str, wanted: set[str] | None = None) -> list[tuple[str, int]]:
+    """lines: for each commit, newest first, @ and its time, then a line for each file. The newest time of each file; ends when all that are wanted have one."""
     at, found = 0, {}
-    for line in log.split("\n"):
+    for line in lines:
+        line = line.rstrip("\n")
         if line.startswith("@") and line[1:].isdigit():
             at = int(line[1:])
         elif line:
-            found.setdefault(f"{root.rstrip('/')}/{line}", at)
+            path = f"{root.rstrip('/')}/{line}"
+            if wanted is None or path in wanted:
+                found.setdefault(path, at)
+                if wanted is not None and len(found) == len(wanted):
+                    break
     return sorted(found.items())
 
 
-def git_times(spark: SparkSession, root: str) -> DataFrame:
-    """path, git_updated_at; no rows if root is no repository. The history is read on the driver: one row a file."""
+def git_times(spark: SparkSession, root: str, files: Iterable[str] | None = None) -> DataFrame:
+    """path, git_updated_at; no rows if root is no repository. The history streams through the driver, which holds one row a file (of files, if given)."""
     call = ["git", "-C", root, "-c", "core.quotepath=off", "log", "--pretty=format:@%ct", "--name-only", "--relative"]
     try:
-        log = subprocess.run(call, capture_output=True, text=True, check=True).stdout
-    except (OSError, subprocess.CalledProcessError):
-        log = ""
-    return spark.createDataFrame(parsed_times(log, root), "path string, git_updated_at long")
+        with subprocess.Popen(call, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, errors="replace") as log:
+            found = parsed_times(log.stdout, root, None if files is None else set(files))
+            log.kill()
+    except OSError:
+        found = []
+    return spark.createDataFrame(found, "path string, git_updated_at long")

@@ -20,11 +20,12 @@ def arriving_files(spark: SparkSession, root: str, per_batch: int = 1000) -> Dat
 
 def index_stream(project, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Indexes what arrives below the project's root. A batch that is repeated replaces the same files again."""
-    from ..plans.materialize import materialized
+    from ..plans.materialize import materialized, temporary
 
     def replace(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            project._replace(materialized(batch), None)
+            with temporary(batch.sparkSession):
+                project._replace(materialized(batch), None)
 
     writer = arriving_files(project.spark, project.root).writeStream.option("checkpointLocation", checkpoint).foreachBatch(replace)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -93,3 +93,8 @@ def test_indexing_steps(spark):
     assert {tuple(r)[:2] for r in indexing.last_by_key(rows, "id").collect()} == {("x", "b"), ("y", "c")}
     ids = spark.createDataFrame([("f", "f::a", 1), ("f", "f::a", 2), ("f", "f::a", 3), ("g", "f::a", 1)], "file_path string, id string, ordinal int")
     assert sorted(r["id"] for r in indexing.with_unique_ids(ids).collect()) == ["f::a", "f::a", "f::a__2", "f::a__3"]
+
+
+def test_strings_and_comments_in_templates():
+    source = "function first() {\n  return `a${f('`') + \"}\" /* ` */ + `in${1}` // `}\n  }`;\n}\nfunction first() {}\n"
+    assert [(c["id"], c["start_line"], c["end_line"]) for c in chunks_of("x.ts", source)] == [("x.ts::first", 1, 4), ("x.ts::first__2", 5, 5)]

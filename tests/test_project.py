@@ -1,13 +1,15 @@
+import itertools
 import json
 import os
 
 import pytest
 
 from marlstone.__main__ import parser, run
+from marlstone.plans import materialize
 from marlstone.session import Project
-from marlstone.sources import git
+from marlstone.sources import files, git, store
 from marlstone.sources.files import path_aliases
-from marlstone.sources.store import Store
+from marlstone.sources.store import Conflict, Store
 from marlstone.streaming.incremental import index_stream
 
 
@@ -88,10 +90,58 @@ def test_store_reads_older_columns(spark, tmp_path):
     assert s.read("graph_edges").count() == 2
     old = tmp_path / "file_meta" / "data-0"
     spark.createDataFrame([("a", 1)], "path string, mtime long").write.parquet(str(old))
-    (tmp_path / "file_meta" / "current-000000000001-0").touch()
+    (tmp_path / "file_meta" / "version-000000000001").write_text("data-0")
     assert [tuple(r) for r in s.read("file_meta").collect()] == [("a", 1, None)]
 
 
+def test_store_of_two_writers(spark, tmp_path, monkeypatch):
+    edge = lambda *x: spark.createDataFrame(list(x), "from_file string, to_file string")
+    a, b = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    a.write("graph_edges", edge(("a", "b")))
+    old = b.read("graph_edges")
+    a.write("graph_edges", a.read("graph_edges").union(edge(("c", "d"))))
+    with pytest.raises(Conflict):
+        b.write("graph_edges", old.limit(0))
+    assert a.read("graph_edges").count() == 2
+    b.append("graph_edges", edge(("e", "f")))
+    a.append("graph_edges", edge(("g", "h")))
+    assert b.read("graph_edges").count() == 4
+    b.write("graph_edges", b.read("graph_edges").where("from_file <> 'a'"))
+    b.overwrite("graph_edges", edge(("x", "y")))
+    a.overwrite("graph_edges", edge(("x", "z")))
+    assert [tuple(r) for r in b.read("graph_edges").collect()] == [("x", "z")]
+    monkeypatch.setattr(store, "MOST_FOLDERS", 3)
+    for i in range(5):
+        a.append("graph_edges", edge((f"n{i}", "m")))
+    assert len(a.folders("graph_edges", a.latest("graph_edges"))) <= 3 and a.read("graph_edges").count() == 6
+    assert a.vacuum() > 3 and a.read("graph_edges").count() == 6 and len(a.versions("graph_edges")) == 1
+    (tmp_path / "graph_edges" / f"version-{a.latest('graph_edges') + 1:012d}").touch()  # one that is being written
+    assert a.read("graph_edges").count() == 6
+
+
+def test_files_by_name(spark, tmp_path, monkeypatch):
+    names = ["a.ts", "src/[id].tsx", "src/{x}*?.md", "b.py"]
+    paths = [write(tmp_path, n, f"text of {n}") for n in names]
+    wanted = spark.createDataFrame([(p,) for p in paths[1:3]], "path string")
+    for most in (5000, 1):
+        monkeypatch.setattr(files, "MOST_NAMED", most)
+        got = {r["path"]: r["content"] for r in files.read_files(spark, str(tmp_path), wanted).collect()}
+        assert got == {p: f"text of {n}" for p, n in zip(paths[1:3], names[1:3])}
+    assert files.read_files(spark, str(tmp_path), wanted.limit(0)).count() == 0
+
+
+def test_temporary_tables_go(spark):
+    def there(df):
+        return os.path.exists(df.table_path.removeprefix("file://"))
+
+    with materialize.temporary(spark) as keep:
+        a, b = materialize.materialized(spark.range(3)), keep(materialize.materialized(spark.range(4)))
+        with materialize.temporary(spark) as inner:
+            c, d = materialize.materialized(spark.range(5)), inner(materialize.materialized(spark.range(6)))
+        assert not there(c) and there(d)
+    assert not there(a) and there(b) and not there(d) and b.count() == 4
+
+
 def test_malformed_aliases(spark, tmp_path):
     write(tmp_path, "tsconfig.json", "{ // comment\n}")
     assert path_aliases(spark, str(tmp_path)).paths == []
@@ -107,7 +157,9 @@ def test_index_stream(project, tmp_path):
 
 
 def test_git_times(spark, tmp_path):
-    assert git.parsed_times("@30\na.ts\n\n@20\na.ts\nb c.ts\n", "/r") == [("/r/a.ts", 30), ("/r/b c.ts", 20)]
+    assert git.parsed_times(["@30\n", "a.ts\n", "\n", "@20\n", "a.ts\n", "b c.ts\n"], "/r") == [("/r/a.ts", 30), ("/r/b c.ts", 20)]
+    endless = itertools.chain(["@30", "a.ts", "b.ts"], itertools.repeat("c.ts"))
+    assert git.parsed_times(endless, "/r", {"/r/a.ts", "/r/b.ts"}) == [("/r/a.ts", 30), ("/r/b.ts", 30)]
     assert git.git_times(spark, str(tmp_path)).count() == 0
 
 
