@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import exact_dedup, mixing, ngram_join, spiece, toxicity
-from marlstone.llm.common import written
+from marlstone.llm.common import temporary, written
 from marlstone.llm.queries import table
 
 
@@ -49,8 +49,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs)
-    return docs
+    with temporary(spark) as last:
+        for _, stage in STAGES[:-1]:
+            with temporary(spark) as keep:
+                docs = keep(written(stage(spark, docs, sf_dir)))
+        last(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import delete, temporary  # noqa: F401
 from ..plans.materialize import materialized as written
 
 SLICE_BYTES = 1 << 20
@@ -219,7 +220,8 @@ def without(docs: DataFrame, gone: DataFrame, keys: Callable[[pa.Array], tuple[l
 
     Only rows with a doc_id that may be in gone are keyed and shuffled.
     """
-    gone = written(gone)
+    if not hasattr(gone, "table_path"):
+        gone = written(gone)
     if gone.isEmpty():
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(gone.select(F.xxhash64("doc_id").alias("key"))))
@@ -260,7 +262,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = written(small)
+        old, e = e, written(small)
+        delete(e.sparkSession, old.table_path)
     else:
         raise RuntimeError("components didn't settle")
     return e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, lower_ascii, map_batches, mix64, set_bits, text_buffer, without, written
+from .common import bit_filter, lower_ascii, map_batches, mix64, set_bits, temporary, text_buffer, without, written
 
 PREFIX_BYTES = 256
 PIECE = 1 << 20
@@ -76,8 +76,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     true if it stays, as has each row of a group without any doc_id. Extra columns are ignored, whatever their names; an
     empty table gives an empty result.
     """
-    keys = written(keyed(docs, True))
-    same = copies(keys.join(alike(keys), ["n", "h", "key"], "left_semi"), ["text_sha256"])
+    with temporary(docs.sparkSession) as keep:
+        keys = keep(written(keyed(docs, True)))
+        same = keep(copies(keys.join(alike(keys), ["n", "h", "key"], "left_semi"), ["text_sha256"]))
     out = keys.select("doc_id", "text_sha256").join(same, "text_sha256", "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
@@ -97,8 +98,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     that repeat the doc_id and the text that stay are the same document and all stay, as do rows without a doc_id
     if their text has no other. Null, empty and very long texts, clashing names and empty tables as in exact_groups.
     """
-    found = alike(written(keyed(docs, False)))
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(found.select("key")))
 
     def digest(batch):
         buf, offsets = text_buffer(batch.column(1))
@@ -110,9 +109,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         halves_ = [halves(buf[offsets[i] : offsets[i + 1]]) for i in keep]
         return {"doc_id": batch.column(0).take(pa.array(keep)), "k1": pa.array([x[0] for x in halves_], pa.int64()), "k2": pa.array([x[1] for x in halves_], pa.int64())}
 
-    rows = written(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), digest, "doc_id long, k1 long, k2 long"))
-    same = copies(rows, ["k1", "k2"])
-    gone = rows.join(same, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "k1", "k2").distinct()
+    with temporary(docs.sparkSession) as keep:
+        found = alike(written(keyed(docs, False)))
+        shared = docs.sparkSession.sparkContext.broadcast(bit_filter(found.select("key")))
+        rows = written(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), digest, "doc_id long, k1 long, k2 long"))
+        same = copies(rows, ["k1", "k2"])
+        gone = keep(written(rows.join(same, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "k1", "k2").distinct()))
 
     def keys(text):
         buf, offsets = text_buffer(text)

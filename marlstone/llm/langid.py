@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, first_by_hash, map_batches, row_slices, text_buffer, tidy, written
+from .common import LOWER, first_by_hash, map_batches, row_slices, temporary, text_buffer, tidy, written
 
 HIDDEN = 8
 WINDOW = 96
@@ -192,6 +192,18 @@ class Network:
 
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG, steps: int = STEPS) -> Network | None:
+    with temporary(docs.sparkSession):
+        rows = sampled(docs, per_lang)
+    if not rows:
+        return None
+    languages = sorted({r[1] for r in rows})
+    net = Network(languages)
+    net.train([np.frombuffer(r[2], np.uint8) for r in rows], np.array([languages.index(r[1]) for r in rows]), steps)
+    return net
+
+
+def sampled(docs: DataFrame, per_lang: int) -> list[tuple[int, str, bytes]]:
+    """Windows to learn from, in order: doc_id, lang, bytes."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
     known = written(known.distinct())
     each = max(1, min(per_lang, per_lang * MOST_LANGS // max(1, known.select("lang").distinct().count())))
@@ -211,13 +223,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, steps: int = STEPS) -> Netw
                 windows.append(LOWER[buf[s : min(z, s + TRAIN_WINDOW)]].tobytes())
         return {"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "window": pa.array(windows, pa.binary())}
 
-    rows = sorted((r["doc_id"], r["lang"], bytes(r["window"])) for r in map_batches(chosen, cut, "doc_id long, lang string, window binary").collect())  # PER_TEXT windows a row
-    if not rows:
-        return None
-    languages = sorted({r[1] for r in rows})
-    net = Network(languages)
-    net.train([np.frombuffer(r[2], np.uint8) for r in rows], np.array([languages.index(r[1]) for r in rows]), steps)
-    return net
+    return sorted((r["doc_id"], r["lang"], bytes(r["window"])) for r in map_batches(chosen, cut, "doc_id long, lang string, window binary").collect())  # PER_TEXT windows a row
 
 
 def has_letter(text: pa.Array) -> list[bool]:

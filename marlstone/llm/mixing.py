@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, free_names, map_batches, running, shuffle_partitions, written
+from .common import count_words, free_names, map_batches, running, shuffle_partitions, temporary, written
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -59,15 +59,16 @@ def mixed(docs: DataFrame, weights=WEIGHTS, seed: int = SEED, row: str | None =
     table gives an empty result. Reruns agree.
     """
     slot = F.coalesce(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2), F.lit(""))
-    sizes = written(sized(docs, row).withColumn("slot", slot).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "key")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    goals = targets(sizes, weights).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    goals = written(goals.select("key", "source_size", "target", offset.alias("u")))
     order = ["key", "size", "slot", "doc_id", "row"]
-    dealt = written(sizes.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).withColumn("part", F.spark_partition_id()))
-    counts = dealt.groupBy("key", "part").agg(F.count("*").alias("n"))  # for a source, a row a partition
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = written(counts.select("key", "part", before.alias("start")).join(goals, "key"))
+    with temporary(docs.sparkSession) as keep:
+        sizes = written(sized(docs, row).withColumn("slot", slot).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))))
+        goals = targets(sizes, weights).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+        goals = written(goals.select("key", "source_size", "target", offset.alias("u")))
+        dealt = keep(written(sizes.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).withColumn("part", F.spark_partition_id())))
+        counts = dealt.groupBy("key", "part").agg(F.count("*").alias("n"))  # for a source, a row a partition
+        starts = keep(written(counts.select("key", "part", before.alias("start")).join(goals, "key")))
     place = F.col("start") + F.row_number().over(Window.partitionBy("key", "part").orderBy("size", "slot", "doc_id", "row"))
     rows = dealt.join(starts, ["key", "part"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -84,7 +85,9 @@ def mixture(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
     sources, ties and empty tables as in mixed; any columns of docs are kept, whatever their names.
     """
     row, own, copies, copy = free_names(docs, "row", "own_row", "copies", "copy")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
-    plan = mixed(rows, weights, seed, row).where("copies > 0").select(F.col("row").alias(own), F.col("copies").alias(copies))
-    out = rows.join(written(plan), F.col(row) == F.col(own))
+    with temporary(docs.sparkSession) as keep:
+        rows = keep(written(docs.withColumn(row, F.monotonically_increasing_id())))
+        plan = mixed(rows, weights, seed, row).where("copies > 0").select(F.col("row").alias(own), F.col("copies").alias(copies))
+        plan = keep(written(plan))
+    out = rows.join(plan, F.col(row) == F.col(own))
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(docs.columns)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COEFFICIENTS, LOWER, bit_filter, components, map_batches, mix64, row_slices, set_bits, shuffle_partitions, text_buffer, tidy, without, word_hashes, word_slices, written
+from .common import COEFFICIENTS, LOWER, bit_filter, components, map_batches, mix64, row_slices, set_bits, shuffle_partitions, temporary, text_buffer, tidy, without, word_hashes, word_slices, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -621,15 +621,17 @@ def exact_links(docs: DataFrame, coarse: DataFrame, nodes: DataFrame, k: int, pe
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, h1, h2, component_id, and of its group the doc_id and hashes (keep, k1, k2) of the row that stands for it."""
     listed = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
-    all_ = written(described(docs, listed, k, percent))
-    full = all_.where("n > 0")
-    reps = written(full.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")))
-    nodes = written(full.join(reps.select("node"), full.row == reps.node).select("node", "doc_id", "h1", "h2", "n", "prefix", "crowded", "bitmap"))
-    links = written(exact_links(docs, written(coarse_groups(docs, nodes, listed, k, percent)), nodes, k, percent))
-    own = reps.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h1", "h2")).alias("first")
-    groups = written(own.join(own.groupBy("component").agg(first), "component").select("h1", "h2", "first"))
-    out = all_.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(groups, ["h1", "h2"], "left")
+    with temporary(docs.sparkSession) as keep:
+        all_ = written(described(docs, listed, k, percent))
+        rows = keep(written(all_.select("doc_id", "n", "h1", "h2")))
+        full = all_.where("n > 0")
+        reps = written(full.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")))
+        nodes = written(full.join(reps.select("node"), full.row == reps.node).select("node", "doc_id", "h1", "h2", "n", "prefix", "crowded", "bitmap"))
+        links = written(exact_links(docs, written(coarse_groups(docs, nodes, listed, k, percent)), nodes, k, percent))
+        own = reps.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h1", "h2")).alias("first")
+        groups = keep(written(own.join(own.groupBy("component").agg(first), "component").select("h1", "h2", "first")))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(groups, ["h1", "h2"], "left")
     id_ = F.when(F.col("n_shingles") > 0, F.col("first.rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "h1", "h2", id_.alias("component_id"), F.col("first.h1").alias("k1"), F.col("first.h2").alias("k2"))
 
@@ -655,11 +657,13 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     Rows without words stay. A row goes by its doc_id and its set, so that other texts with its doc_id stay.
     Very long texts, nulls, clashing names and empty tables as in ngram_jaccard_join.
     """
-    found = grouped(docs, k, percent).where("n_shingles > 0")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
 
     def keys(batch):
         h = [set_hashes(x) for _, _, sets in batch_sets(batch, k) for x in sets]
         return [x[0] for x in h], [x[1] for x in h]
 
-    return without(docs, found.where(~stays).select("doc_id", F.col("h1").alias("k1"), F.col("h2").alias("k2")).distinct(), keys)
+    with temporary(docs.sparkSession) as keep:
+        found = grouped(docs, k, percent).where("n_shingles > 0")
+        gone = keep(written(found.where(~stays).select("doc_id", F.col("h1").alias("k1"), F.col("h2").alias("k2")).distinct()))
+    return without(docs, gone, keys)

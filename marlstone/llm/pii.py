@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bit_filter, free_names, map_batches, mix64, row_slices, set_bits, text_buffer, word_hashes, word_slices, written
+from .common import LOWER, bit_filter, free_names, map_batches, mix64, row_slices, set_bits, temporary, text_buffer, word_hashes, word_slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -240,7 +240,8 @@ def personal_spans(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT
     place touches a base span. A term of just the threshold is one. Extra columns are ignored, whatever their names; an
     empty table gives an empty result.
     """
-    terms = written(disclosing(docs, alpha, support))
+    with temporary(docs.sparkSession) as keep:
+        terms = keep(written(disclosing(docs, alpha, support)))
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(terms.select(F.col("term").alias("key"))))
 
     def find(batch):
@@ -281,8 +282,9 @@ def sanitised(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) ->
     whatever their names. Long texts, ties and empty tables as in personal_spans.
     """
     row, own, found = free_names(docs, "row", "own_row", "found")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
-    terms = written(disclosing(rows, alpha, support))
+    with temporary(docs.sparkSession) as keep:
+        rows = keep(written(docs.withColumn(row, F.monotonically_increasing_id())))
+        terms = keep(written(disclosing(rows, alpha, support)))
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(terms.select(F.col("term").alias("key"))))
 
     def hits(batch):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import COEFFICIENTS, LOWER, first_by_hash, map_batches, mix64, row_slices, text_buffer, tidy, word_slices, written
+from .common import COEFFICIENTS, LOWER, first_by_hash, map_batches, mix64, row_slices, temporary, text_buffer, tidy, word_slices, written
 
 BITS = 20
 STEM = 4
@@ -91,6 +91,12 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) ->
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bytes_per_class: int = BYTES_PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and values of the nonzero weights, and the intercept; from labels outside the held-out fold."""
+    with temporary(docs.sparkSession):
+        return learned(*sampled(docs, labels, per_class, bytes_per_class))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, per_class: int, bytes_per_class: int) -> tuple[list, dict[int, int]]:
+    """Rows (doc_id, toxic, x: distinct features) to learn from, and how many documents have each label."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     known = written(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
@@ -104,7 +110,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bytes_
         return {"doc_id": batch.column(0), "toxic": batch.column(1), "x": pa.array([x.tobytes() for x in feature_sets(batch.column(2))], pa.binary())}
 
     rows = map_batches(chosen.join(F.broadcast(fitting), "doc_id").select("doc_id", "toxic", "text"), describe, "doc_id long, toxic int, x binary").collect()
-    rows = [r for r in rows if len(r["x"])]
+    return [r for r in rows if len(r["x"])], shares
+
+
+def learned(rows: list, shares: dict[int, int]) -> tuple[np.ndarray, np.ndarray, float]:
     if len({r["toxic"] for r in rows}) < 2:
         return np.zeros(0, np.int64), np.zeros(0), -4.0 if not rows or rows[0]["toxic"] == 0 else 4.0
     rows.sort(key=lambda r: r["doc_id"])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import delete, written
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING_PERCENT = 85
@@ -68,7 +68,7 @@ def host_scores(pages: DataFrame, rules) -> DataFrame:
         both = links.select(F.lit(0).alias("kind"), "a", "b", "w").union(links.select(F.lit(1).alias("kind"), F.col("b").alias("a"), F.col("a").alias("b"), "w"))
         out = both.groupBy("kind", "a").agg(F.sum("w").alias("total"))
         both = written(both.join(out, ["kind", "a"]).select("kind", "a", "b", F.expr(f"double(w) * {DAMPING_PERCENT} / (double(total) * 100)").alias("share")))
-        changing = True
+        changing, last = True, None
         while changing:  # what is left to come shrinks by the damping each round
             start = scores.select("kind", "host", nothing.alias("mass"), F.col("mass").alias("before"))
             for turn in range(STEP):
@@ -78,7 +78,10 @@ def host_scores(pages: DataFrame, rules) -> DataFrame:
                 if turn + 1 == STEP:
                     rows = rows.union(start)
                 scores = rows.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("before").alias("before"))
-            scores = written(scores)
+            old, scores = last, written(scores)
+            last = scores.table_path
+            if old:
+                delete(pages.sparkSession, old)
             changing = not scores.where(F.col("mass") - F.col("before") > F.col("mass") * SETTLED).isEmpty()
     both = scores.select("kind", "host", "mass", nothing.alias("own"), F.lit(0).cast("long").alias("shown")).union(seeds.select("kind", "host", nothing.alias("mass"), "own", "shown"))
     of = lambda k, c: F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0))
