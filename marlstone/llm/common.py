@@ -218,7 +218,7 @@ def set_bits(key: np.ndarray, flags: np.ndarray) -> np.ndarray:
 def without(docs: DataFrame, gone: DataFrame, keys: Callable[[pa.Array], tuple[list, list]]) -> DataFrame:
     """docs but for the rows whose doc_id and keys of the text are in gone (doc_id, k1, k2); the columns of docs.
 
-    Only rows with a doc_id that may be in gone are keyed and shuffled.
+    Only rows with a doc_id that may be in gone are keyed and shuffled. Each scan has one call to Python.
     """
     if not hasattr(gone, "table_path"):
         gone = written(gone)
@@ -232,14 +232,17 @@ def without(docs: DataFrame, gone: DataFrame, keys: Callable[[pa.Array], tuple[l
         return pa.array(set_bits(key.to_numpy(zero_copy_only=False), shared.value))
 
     @F.arrow_udf("struct<k1:long,k2:long>")
-    def keyed(text: pa.Array) -> pa.Array:
-        a, b = keys(text)
+    def keyed(key: pa.Array, text: pa.Array) -> pa.Array:
+        hit = set_bits(key.to_numpy(zero_copy_only=False), shared.value)
+        at = np.where(hit, np.cumsum(hit) - 1, -1)
+        a, b = keys(text.filter(pa.array(hit)))
+        found = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["k1", "k2"])
         tidy()
-        return pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["k1", "k2"])
+        return found.take(pa.array(at, mask=~hit))
 
     id_ = F.col("doc_id").cast("long")
-    hit = met(F.xxhash64(id_))
-    stay, rest = docs.where(~hit), docs.where(hit).withColumn(maybe, keyed("text"))
+    key = F.xxhash64(id_)
+    stay, rest = docs.where(~met(key)), docs.withColumn(maybe, keyed(key, F.col("text"))).where(F.col(maybe).isNotNull())
     gone = gone.select(F.col("doc_id").alias(own), F.col("k1").alias(k1), F.col("k2").alias(k2))
     rest = rest.join(gone, id_.eqNullSafe(F.col(own)) & (F.col(f"{maybe}.k1") == F.col(k1)) & (F.col(f"{maybe}.k2") == F.col(k2)), "left_anti")
     return stay.select(docs.columns).union(rest.select(docs.columns))

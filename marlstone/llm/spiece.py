@@ -24,9 +24,9 @@ from .common import map_batches, row_slices, text_buffer
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
-SLICE = 2 << 20
-MOST_CHARS = 400_000
-MOST_KNOWN = 250_000
+SLICE = 1 << 20
+MOST_CHARS = 200_000
+MOST_KNOWN = 150_000
 CACHE_BITS = 20
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
