@@ -29,6 +29,7 @@ MOST_CHARS = 200_000
 MOST_KNOWN = 150_000
 CACHE_BITS = 20
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+_EDGE = re.compile(f"(?<![ {SPACE}])[ {SPACE}]")
 
 
 def default_model() -> str:
@@ -294,7 +295,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
-        words = [self.words_of(t) for t in texts]
+        return self.encode_cut([self.words_of(t) for t in texts])
+
+    def encode_long(self, text: str):
+        """The ids of one text, piece by piece, and the piece; pieces after the first begin where a word does."""
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if self.p.cuts and (edge := _EDGE.search(text, at + SLICE)):
+                end = edge.start()
+            piece = text[at:end]
+            marked = (SPACE if not at else "") + piece.replace(" ", SPACE)
+            yield self.encode_cut([_WORD.findall(marked) if self.p.cuts else [marked]])[0], piece
+            at = end
+
+    def encode_cut(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each list of words has."""
         if len(self.known) > MOST_KNOWN:
             self.forget()
         new = set().union(*words) - self.known.keys()
@@ -303,7 +319,7 @@ class Encoder:
         total = np.fromiter(map(len, words), np.int64, len(words))
         index = np.fromiter((self.known[w] for x in words for w in x), np.int64, int(total.sum()))
         if not len(index):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
         counts = self.counts[0][index]
         at = np.repeat(self.starts[0][index] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
         ends = np.concatenate([[0], np.cumsum(counts)])
@@ -311,9 +327,13 @@ class Encoder:
         return self.ids[0][at], np.diff(ends[bounds])
 
 
+def joined(pieces: Pieces, ids) -> str:
+    return b"".join(map(pieces.decoded.__getitem__, ids)).decode("utf-8", "replace")
+
+
 def decode(pieces: Pieces, ids) -> str:
     """The text of ids, without the space that encoding put in front; broken bytes become U+FFFD."""
-    return b"".join(map(pieces.decoded.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+    return joined(pieces, ids).removeprefix(" ")
 
 
 _encoders: dict = {}
@@ -330,7 +350,8 @@ def _encoder(shared) -> Encoder:
 def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens, ids, round_trip (decoding the ids gives the text).
 
-    A null text is empty; an empty text has no ids; a very long one is encoded whole, by its distinct words. There are no ties: of equal
+    A null text is empty; an empty text has no ids; a very long one is encoded whole, in pieces that end where words do (one word must fit
+    into memory some hundred times). There are no ties: of equal
     merges the leftmost comes first, as in the library. A text that itself holds U+2581 decodes to spaces there, as with the
     library, and has round_trip false. Repeated rows are encoded each; extra columns are ignored; an empty table
     gives an empty result.
@@ -342,9 +363,17 @@ def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
         _, offsets = text_buffer(batch.column(1))
         for a, z in row_slices(offsets, SLICE):  # words are kept from slice to slice of a partition
             texts = [t or "" for t in batch.column(1).slice(a, z - a).to_pylist()]
-            ids, counts = coder.encode(texts)
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            same = [decode(coder.p, ids[s:e].tolist()) == t for s, e, t in zip(ends[:-1], ends[1:], texts, strict=True)]
+            if len(texts) == 1 and len(texts[0]) > SLICE:
+                parts, same = [], [True]
+                for own, piece in coder.encode_long(texts[0]):
+                    same[0] &= joined(coder.p, own.tolist()) == (" " if not parts else "") + piece
+                    parts.append(own)
+                ids, counts = np.concatenate(parts), np.array([sum(map(len, parts))], np.int64)
+                ends = np.concatenate([[0], counts])
+            else:
+                ids, counts = coder.encode(texts)
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                same = [decode(coder.p, ids[s:e].tolist()) == t for s, e, t in zip(ends[:-1], ends[1:], texts, strict=True)]
             yield {"doc_id": batch.column(0).slice(a, z - a), "n_tokens": pa.array(counts), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), "round_trip": pa.array(same)}
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "doc_id long, n_tokens long, ids array<int>, round_trip boolean", lambda: _encoder(shared).forget())

@@ -165,6 +165,17 @@ def test_ids_against_the_library(coder, library):
             assert spiece.decode(coder.p, ids) == t.replace("▁", " ")
 
 
+@pytest.mark.parametrize("size", [3, 20, 200])
+def test_long_texts_in_pieces(coder, library, monkeypatch, size):
+    monkeypatch.setattr(spiece, "SLICE", size)
+    rng = random.Random(size)
+    texts = ["".join(rng.choice("aé日 th \n▁") for _ in range(rng.randrange(0, 400))) for _ in range(40)] + ["   " * 30, "x" * 300 + "    y", " lead", "trail   "]
+    for t in texts:
+        parts = list(coder.encode_long(t))
+        assert "".join(p for _, p in parts) == t
+        assert [i for ids, _ in parts for i in ids.tolist()] == library.encode(t), t
+
+
 def test_forgetting_words(coder, library, monkeypatch):
     monkeypatch.setattr(spiece, "MOST_KNOWN", 10)
     monkeypatch.setattr(spiece, "MOST_CHARS", 40)
@@ -173,6 +184,9 @@ def test_forgetting_words(coder, library, monkeypatch):
 
 
 def test_encoded_and_decoded(spark, library):
+    long = "many different words0 like1 this2 " * 60_000
+    both = spiece.encoded(spark.createDataFrame([(1, long), (2, long + "▁"), (3, "short")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["ids"] == library.encode({1: long, 2: long + "▁", 3: "short"}[r["doc_id"]]), r["round_trip"]) for r in both} == {1: (True, True), 2: (True, False), 3: (True, True)}
     rows = [(i, t) for i, t in enumerate(ODD)] + [(99, None), (None, "x"), (3, "again"), (3, "again"), (100, "long words " * 20_000)]
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, ids string")
     got = spiece.encoded(df).collect()
