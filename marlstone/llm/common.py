@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..plans.materialize import delete, temporary  # noqa: F401
 from ..plans.materialize import materialized as written
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -35,8 +35,8 @@ from .common import COEFFICIENTS, LOWER, bit_filter, components, map_batches, mi
 SHINGLE = 5
 PERCENT = 80
 MOST_RUN = 256
-HELD_ENTRIES = 2_000_000
-BUCKET_ENTRIES = 500_000
+HELD_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 250_000
 HOT_LIST = 1 << 16
 HOT_LOCAL, HOT_TOTAL = 4, 64
 COUNTED = 1_000_000

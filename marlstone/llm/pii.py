@@ -25,7 +25,7 @@ ANY = len(KINDS)
 NEAR_WORDS = 4
 ALPHA = 0.75
 SUPPORT = 5
-SLICE = 1 << 19
+SLICE = 1 << 17
 
 #: Function words of the languages of the texts (English, German, French, Spanish), which give nothing away.
 FUNCTION_WORDS = """
