@@ -225,6 +225,34 @@ def chunk_script_rules(spark, d):
     return chunking.chunk_files(files).select("id", "kind", "name", "start_line", "end_line")
 
 
+def _by_rule(content: str, rule: str, kind: str, group: int, end: str) -> str:
+    """Chunks from each line that rule matches to the next, of documents with content as text."""
+    name = f"regexp_extract(arg_min(line, i), '{rule}', {group})"
+    mark = f"regexp_replace({name}, '\\s+', '_', 'g')" if kind == "section" else name
+    return f"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split({content}, {NL}) AS x FROM documents)),
+m AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{rule}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l)
+SELECT doc_id || '{end}::' || CASE WHEN k = 0 THEN 'module' ELSE {mark} END AS id, CASE WHEN k = 0 THEN 'module' ELSE '{kind}' END AS kind, CASE WHEN k > 0 THEN {name} END AS name, min(i)::INT AS start_line, max(i)::INT AS end_line, md5(string_agg(line, {NL} ORDER BY i)) AS digest FROM m WHERE k > 0 OR doc_id NOT IN (SELECT doc_id FROM m WHERE k > 0) GROUP BY doc_id, k"""
+
+
+def _chunked(spark: SparkSession, d: str, mark: str, end: str) -> DataFrame:
+    """Documents as files in which what follows a full stop begins a line with mark."""
+    content = F.replace("text", F.lit(". "), F.lit(f".\n{mark} "))
+    files = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(end)).alias("path"), content.alias("content"))
+    return chunking.chunk_files(files).select("id", "kind", "name", "start_line", "end_line", F.md5("content").alias("digest"))
+
+
+@query(_by_rule(f"replace(text, '. ', '.' || {NL} || '## ')", r"^#{1,3}\s+(.+)", "section", 1, ".md"))
+def chunk_markdown_texts(spark, d):
+    """Whole documents with a heading for each sentence."""
+    return _chunked(spark, d, "##", ".md")
+
+
+@query(_by_rule(f"replace(text, '. ', '.' || {NL} || 'async def ')", r"^(async\s+)?def\s+(\w+)", "function", 2, ".py"))
+def chunk_python_texts(spark, d):
+    """Whole documents with a function for each sentence."""
+    return _chunked(spark, d, "async def", ".py")
+
+
 # indexing, store, streams
 
 

@@ -3,86 +3,82 @@ import pytest
 from marlstone.operators import chunking, indexing
 from marlstone.operators.syntax import chunks_of
 
-SERVICE = """
-export class AuthService<T extends { a: string }> extends Base<T> {
-  private cache: Map<string, { a: number }> = new Map();
-  constructor(private db: DB) {}
-
-  async login(email: string, password = "}"): Promise<{ a: string }> {
-    const user = `a${`b${c}`}}`;
-    return /[}/]/.test(user);
-  }
-  logout(token: string) {
-    invalidate(token);
-  }
-  handler = async (e: Event): Promise<void> => {
-    x();
+LEDGER = '''import { Clock } from "./clock";
+
+export abstract class Ledger<Row extends Record<string, { amount: number }>> {
+  static #open = 0;
+  readonly rows: Row[] = [{ note: "}" } as any];
+  get total() { return this.rows.reduce((s, r) => s + r.amount, 0); }
+
+  post = (row: Row): number => {
+    if (/[}"]/.test(row.note)) return 0;
+    return this.rows.push(row);
+  };
+  protected *history({ from = 0, to = Infinity } = {}): Iterable<Row> {
+    for (const r of this.rows) {
+      if (r.at > from) yield `${r.at}: ${[`{`, r.note].join("}")}`;
+    }
   }
-  count = 3
-  abstract foo(): void;
+  close?(): void;
+  size = 3
 }
-"""
-
-
-def named(text, path="f.ts"):
-    return {c["name"]: c for c in chunks_of(path, text)}
+'''
 
-
-def test_class_and_methods():
-    got = named(SERVICE)
-    assert set(got) == {"AuthService", "AuthService.constructor", "AuthService.login", "AuthService.logout", "AuthService.handler"}
-    assert (got["AuthService"]["start_line"], got["AuthService"]["end_line"]) == (2, 18)
-    assert (got["AuthService.login"]["start_line"], got["AuthService.login"]["end_line"]) == (6, 9)
-
-
-def test_functions_interfaces_and_overloads():
-    text = """
-// it's
-function process(x: string): string;
-function process(x: number): number;
-function process(x: any): any { return x; }
-export const Button = ({ onClick, label }: { onClick: () => void; label: string }) => {
-  return <button onClick={onClick}>{label} Don't</button>;
-};
-export default async function handler(req: Request) {
-  return 1;
-}
-export interface Session {
-  id: string;
+MIXED = '''
+export function parse(raw: Buffer): Row;
+export function parse(raw: string | Buffer): Row {
+  return typeof raw === "string" ? { text: raw } : { text: "it's" };
 }
-type A = { b: string } | null
-const a = 1, f = function () {}, g = async x => x * 2
-export const q = (() => 1)();
-export default () => 3
-"""
-    got = chunks_of("c.tsx", text)
-    assert [(c["kind"], c["name"]) for c in got] == [("function", "process")] * 3 + [("function", "Button"), ("function", "handler"), ("interface", "Session"), ("function", "f"), ("function", "g")]
-    assert [c["id"] for c in got[:3]] == ["c.tsx::process", "c.tsx::process__2", "c.tsx::process__3"]
-    assert got[3]["content"].startswith("export const Button")
-
-
-@pytest.mark.parametrize("text,kinds", [("this is not valid }{][", ["module"]), ("const a = 1;\n", ["module"]), ("", ["module"]), ("function f( {\nclass K {", ["function", "class"])])
+declare function log(x: unknown): void;
+export const toRow = async <T,>(x: T) => ({ x }), VERSION = "1";
+let later: () => void;
+const View = (p: { rows: Row[] }) =>
+  <ul title="}">{p.rows.map((r) => <li key={r.id}>it's {r.text}</li>)}</ul>;
+interface Row extends Base { text: string; nested: { a: 1 } }
+export type Kind = "a" | { b: 1 };
+export default function* () { yield 1 }
+'''
+
+
+def test_members_of_a_class():
+    """Accessors, arrow properties and generators are chunks; fields, and methods without a body, are not."""
+    got = [(c["kind"], c["name"], c["start_line"], c["end_line"]) for c in chunks_of("l.ts", LEDGER)]
+    assert got == [("class", "Ledger", 3, 19), ("method", "Ledger.total", 6, 6), ("method", "Ledger.post", 8, 11), ("method", "Ledger.history", 12, 16)]
+    assert chunks_of("l.ts", LEDGER)[2]["content"].startswith("  post = (row: Row)")
+
+
+def test_declarations_of_a_module():
+    """Each signature of an overload is a chunk of its own; variables are if they hold a function; types are not."""
+    got = [(c["kind"], c["id"], c["start_line"], c["end_line"]) for c in chunks_of("m.tsx", MIXED)]
+    assert got == [
+        ("function", "m.tsx::parse", 2, 2), ("function", "m.tsx::parse__2", 3, 5), ("function", "m.tsx::log", 6, 6), ("function", "m.tsx::toRow", 7, 7),
+        ("function", "m.tsx::View", 9, 10), ("interface", "m.tsx::Row", 11, 11), ("function", "m.tsx::anonymous", 13, 13),
+    ]
+    assert [c["name"] for c in chunks_of("v.ts", "const a = 1, f = function () {}, g = async x => x * 2\nexport const q = (() => 1)();\nexport default () => 3\n")] == ["f", "g"]
+
+
+@pytest.mark.parametrize("text,kinds", [("let x = )( ;", ["module"]), ("const a = 1;\n", ["module"]), ("", ["module"]), ("function f( {\nclass K {", ["function", "class"])])
 def test_fallbacks(text, kinds):
     assert [c["kind"] for c in chunks_of("x.js", text)] == kinds
 
 
 def test_chunk_files(spark):
     files = {
-        "s.py": "import os\ndef compute(x):\n    return x\nasync def fetch():\n    pass\nclass User:\n    def m(self): pass",
-        "d.md": "intro\n# Title\ntext\n## Part two\n### Sub\nend",
-        "plain.md": "just text",
-        "c.yaml": "a: 1\nb: 2\n",
-        "f.ts": "\nfunction first() {\n  return 1;\n}\n\nfunction second() {\n  return 2;\n}\n",
+        "jobs.py": "from os import path\n\nasync def pull(url):\n    def inner(): ...\n    return url\ndef push(): pass\nclass Queue(list):\n    def put(self, x): self.append(x)",
+        "guide.md": "before\n### Deep  one\n#### deeper is text\n# Top\n",
+        "note.md": "no heading at all",
+        "conf.yaml": "a: 1\nb: 2\n",
+        "q.ts": "// a queue\nfunction take(n: number) {\n  return n - 1;\n}\nconst rest = () => [];\n",
     }
     got = [r.asDict() for r in chunking.chunk_files(spark.createDataFrame(list(files.items()), "path string, content string")).collect()]
     by = {r["id"]: (r["kind"], r["name"], r["start_line"], r["end_line"]) for r in got}
     assert by == {
-        "s.py::compute": ("function", "compute", 2, 3), "s.py::fetch": ("function", "fetch", 4, 5), "s.py::User": ("class", "User", 6, 7),
-        "d.md::Title": ("section", "Title", 2, 3), "d.md::Part_two": ("section", "Part two", 4, 4), "d.md::Sub": ("section", "Sub", 5, 6),
-        "plain.md::module": ("module", None, 1, 1), "c.yaml::module": ("module", None, 1, 3),
-        "f.ts::first": ("function", "first", 2, 4), "f.ts::second": ("function", "second", 6, 8),
+        "jobs.py::pull": ("function", "pull", 3, 5), "jobs.py::push": ("function", "push", 6, 6), "jobs.py::Queue": ("class", "Queue", 7, 8),
+        "guide.md::Deep_one": ("section", "Deep  one", 2, 3), "guide.md::Top": ("section", "Top", 4, 5),
+        "note.md::module": ("module", None, 1, 1), "conf.yaml::module": ("module", None, 1, 3),
+        "q.ts::take": ("function", "take", 2, 4), "q.ts::rest": ("function", "rest", 5, 5),
     }
-    assert "return 2" not in next(r["content"] for r in got if r["id"] == "f.ts::first")
+    assert next(r["content"] for r in got if r["id"] == "q.ts::rest") == "const rest = () => [];"
 
 
 def test_indexing_steps(spark):
@@ -96,5 +92,5 @@ def test_indexing_steps(spark):
 
 
 def test_strings_and_comments_in_templates():
-    source = "function first() {\n  return `a${f('`') + \"}\" /* ` */ + `in${1}` // `}\n  }`;\n}\nfunction first() {}\n"
-    assert [(c["id"], c["start_line"], c["end_line"]) for c in chunks_of("x.ts", source)] == [("x.ts::first", 1, 4), ("x.ts::first__2", 5, 5)]
+    source = "function tpl() {\n  return `a${f('`') + \"}\" /* ` */ + `in${1}` // `}\n  }`;\n}\nfunction tpl() {}\n"
+    assert [(c["id"], c["start_line"], c["end_line"]) for c in chunks_of("x.ts", source)] == [("x.ts::tpl", 1, 4), ("x.ts::tpl__2", 5, 5)]
