@@ -501,7 +501,7 @@ def coarse_groups(docs: DataFrame, nodes: DataFrame, listed, k: int, percent: in
     edges = coarse_edges(nodes, runs.where("kind = 0"), percent)
     crowd = written(runs.where("kind = 1").select(F.col("b").alias("node")).union(nodes.where("crowded").select("node")).distinct())
     if not crowd.isEmpty():
-        sets = sets_of(docs, nodes.join(crowd, "node", "left_semi"), k)
+        sets = written(sets_of(docs, nodes.join(crowd, "node", "left_semi"), k))  # ends a stage, so that no task has two Python workers
         again = written(candidate_runs(crowded_entries(sets, listed, max(16 * parts, int(held[1]) // BUCKET_ENTRIES + 1), percent), percent))
         edges = edges.union(coarse_edges(nodes, again.where("kind = 0"), percent)).union(again.where("kind = 1").select("a", "b")).distinct()
     return components(edges)
