@@ -314,6 +314,34 @@ def index_tree(spark, d):
     return _done(spark, root, p.store.read("chunks").select(F.substring("id", own, 10_000).alias("id"), "kind", "start_line", "end_line"))
 
 
+@query("SELECT 'lib/r' || r_regionkey || '.ts::region' || CASE WHEN r_regionkey = 2 THEN 'Y' ELSE r_regionkey::VARCHAR END AS id, CASE WHEN r_regionkey = 2 THEN NULL ELSE r_regionkey + 100 END AS git_updated_at FROM region")
+def index_file(spark, d):
+    """One file again, whose time hasn't changed; a run over the tree leaves it alone, and its git time is forgotten."""
+    root, p = _tree(spark, d)
+    times = table(spark, d, "region").select(F.concat(F.lit(f"{p.root}/lib/r"), F.col("r_regionkey").cast("string"), F.lit(".ts")).alias("path"), (F.col("r_regionkey") + 100).cast("long").alias("git_updated_at"))
+    p.index(times)
+    _write_file(spark, f"{root}/lib/r2.ts", "export const regionY = () => 2;\n", 1)
+    assert p.index()["chunks"] == 0
+    p.index_file(f"{p.root}/lib/r2.ts")
+    own = len(p.root) + 2
+    meta = p.store.read("file_meta").select(F.col("path").alias("file_path"), "git_updated_at")
+    return _done(spark, root, p.store.read("chunks").join(meta, "file_path").select(F.substring("id", own, 10_000).alias("id"), "git_updated_at").where("id like 'lib/%'"))
+
+
+@query(
+    "SELECT 'index' AS command, 'Indexed 30 files, 30 chunks.' AS text UNION ALL SELECT 'graph', 'Graph rebuilt for 30 files.' UNION ALL SELECT 'impact', '## Impact of `/lib/r0.ts`' || chr(10) || '**Risk: ' || CASE WHEN n * 10 >= 60 THEN 'CRITICAL' WHEN n * 10 >= 30 THEN 'HIGH' ELSE 'MEDIUM' END || ' (' || least(100, n * 10) || '/100)**' || chr(10) || '**Direct dependents (' || n || '):**' || chr(10) || files || chr(10) || 'No test files affected.' "
+    "FROM (SELECT count(*) AS n, string_agg('- `/src/[n]' || n_nationkey || '.ts`', chr(10) ORDER BY '/src/[n]' || n_nationkey || '.ts`') AS files FROM nation WHERE n_regionkey = 0) UNION ALL SELECT 'memory', 'No relevant memories found.' UNION ALL SELECT 'checkpoint', 'No checkpoints saved yet.'"
+)
+def command_line(spark, d):
+    """What the command line says of a project of real files."""
+    from ..__main__ import parser, run
+
+    root, p = _tree(spark, d)
+    say = lambda *x: run(p, parser().parse_args([p.root, *x])).replace(p.root, "")
+    said = [("index", say("index")), ("graph", say("graph")), ("impact", say("impact", f"{p.root}/lib/r0.ts")), ("memory", say("memory", "recall", "x")), ("checkpoint", say("checkpoint", "get"))]
+    return _done(spark, root, spark.createDataFrame(said, "command string, text string"))
+
+
 @query("SELECT 'src/[n]' || n_nationkey || '.ts' AS from_file, 'lib/r' || n_regionkey || '.ts' AS to_file FROM nation")
 def rebuild_graph(spark, d):
     """Edges of real files by the aliases of their tsconfig."""
