@@ -89,5 +89,5 @@ def mixture(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
         rows = keep(written(docs.withColumn(row, F.monotonically_increasing_id())))
         plan = mixed(rows, weights, seed, row).where("copies > 0").select(F.col("row").alias(own), F.col("copies").alias(copies))
         plan = keep(written(plan))
-    out = rows.join(plan, F.col(row) == F.col(own))
+    out = rows.join(plan.hint("merge"), F.col(row) == F.col(own))  # plan has a row a document: alike at every size, never broadcast
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(docs.columns)
