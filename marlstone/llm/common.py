@@ -191,7 +191,8 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> tupl
         total = {k: v + r[k] for k, v in total.items()}
     if not before:
         return held.select(*df.columns, *[F.col(f"own_{k}").alias(k) for k in sums]), total
-    offsets = df.sparkSession.createDataFrame(before, ["part", *[f"to_{k}" for k in sums]])
+    rows = F.array(*[F.struct(F.lit(r[0]).alias("part"), *[F.lit(v).cast("long").alias(f"to_{k}") for k, v in zip(sums, r[1:], strict=True)]) for r in before])
+    offsets = df.sparkSession.range(1).select(F.inline(rows))  # createDataFrame would start Python workers of another kind beside those of the functions
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     held = held.join(F.broadcast(offsets), "part")  # a row a partition
     return held.select(*df.columns, *[(F.coalesce(F.sum(f"own_{k}").over(inside), F.lit(0)) + F.col(f"to_{k}")).alias(k) for k in sums]), total
