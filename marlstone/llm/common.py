@@ -242,6 +242,7 @@ def without(docs: DataFrame, gone: DataFrame, keys: Callable[[pa.Array], tuple[l
         return found.take(pa.array(at, mask=~hit))
 
     id_ = F.col("doc_id").cast("long")
+    keyed = keyed.asNondeterministic()  # else the filter on what it gives calls it once more
     key = F.xxhash64(id_)
     stay, rest = docs.where(~met(key)), docs.withColumn(maybe, keyed(key, F.col("text"))).where(F.col(maybe).isNotNull())
     gone = gone.select(F.col("doc_id").alias(own), F.col("k1").alias(k1), F.col("k2").alias(k2))
