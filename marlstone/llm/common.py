@@ -129,6 +129,19 @@ def count_words(text: pa.Array) -> np.ndarray:
     return out
 
 
+def joined_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, rows: int, most: int = 1 << 16) -> tuple[bytes, np.ndarray]:
+    """The words of each row, each followed by a space, as bytes, and where rows begin and end in them."""
+    sizes = ends - starts + 1
+    out = bytearray()
+    for lo in range(0, len(starts), most):
+        size = sizes[lo : lo + most]
+        at = np.cumsum(size) - size
+        part = buf[np.minimum(np.arange(int(size.sum())) + np.repeat(starts[lo : lo + most] - at, size), len(buf) - 1)]
+        part[at + size - 1] = 32
+        out += part.tobytes()
+    return bytes(out), np.concatenate([[0], np.cumsum(np.bincount(row, sizes, rows).astype(np.int64))])
+
+
 def tidy() -> None:
     """Hands memory that a Python worker has freed back to the system: idle workers are kept, next to those of later stages."""
     pa.default_memory_pool().release_unused()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, langid, license_scan, mixing, ngram_join, pii, spiece, toxicity, url_filter
+from . import exact_dedup, fingerprints, langid, license_scan, mixing, ngram_join, pii, run_detection, spiece, toxicity, url_filter
 
 
 LICENSES = license_scan.license_texts() | license_scan.TEMPLATES
@@ -56,8 +56,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.encoded(table(spark, sf_dir, "documents"))
 
 
+def op12_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_detection.run_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard_join, op2_source_mixing, op3_language_id, op4_license_scan, op5_toxicity, op6_url_filter, op7_fingerprints, op8_exact_dedup, op9_pii, op10_sentencepiece)
+    found = (op1_ngram_jaccard_join, op2_source_mixing, op3_language_id, op4_license_scan, op5_toxicity, op6_url_filter, op7_fingerprints, op8_exact_dedup, op9_pii, op10_sentencepiece, op12_run_detection)
     return {f.__name__: f for f in found}
 
 
