@@ -114,6 +114,14 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = AS_IS)
     return h, starts, ends, np.bincount(row, minlength=len(offsets) - 1)
 
 
+def all_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash, first byte and end of all words of rows, found slice by slice, so that a very long row takes no more than its words."""
+    parts = list(word_slices(buf, offsets))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def count_words(text: pa.Array) -> np.ndarray:
     buf, offsets = text_buffer(text)
     out = np.zeros(len(text), np.int64)

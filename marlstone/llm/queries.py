@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, langid, license_scan, mixing, ngram_join, pii, run_detection, spiece, toxicity, url_filter
+from . import exact_dedup, fingerprints, langid, license_scan, mixing, ngram_join, pii, run_detection, spiece, substring_dedup, toxicity, url_filter
 
 
 LICENSES = license_scan.license_texts() | license_scan.TEMPLATES
@@ -56,12 +56,16 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.encoded(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_detection.run_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard_join, op2_source_mixing, op3_language_id, op4_license_scan, op5_toxicity, op6_url_filter, op7_fingerprints, op8_exact_dedup, op9_pii, op10_sentencepiece, op12_run_detection)
+    found = (op1_ngram_jaccard_join, op2_source_mixing, op3_language_id, op4_license_scan, op5_toxicity, op6_url_filter, op7_fingerprints, op8_exact_dedup, op9_pii, op10_sentencepiece, op11_substring_dedup, op12_run_detection)
     return {f.__name__: f for f in found}
 
 
@@ -95,6 +99,15 @@ g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b)
 SELECT doc_id, len(s) AS n_shingles, least(doc_id, (SELECT min(b) FROM r WHERE r.a = doc_id)) AS component_id FROM s"""
 
+OP11 = f"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS MATERIALIZED (SELECT r, i, sha256(array_to_string(w[i:i + {substring_dedup.WORDS - 1}], ' ')) AS t FROM (SELECT r, w, unnest(range(1, len(w) - {substring_dedup.WORDS - 2})) AS i FROM w)),
+d AS (SELECT t FROM x GROUP BY t HAVING count(*) > 1),
+g AS MATERIALIZED (SELECT DISTINCT r, unnest(range(i, i + {substring_dedup.WORDS})) AS i FROM x SEMI JOIN d USING (t)),
+u AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+k AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS kept FROM u ANTI JOIN g USING (r, i) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r) LEFT JOIN n USING (r)"""
+
 _CUT = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
 _ROLL = f"list_transform(range(1, greatest(len(w) - {license_scan.SHINGLE - 2}, 1)), lambda i: array_to_string(w[i:i + {license_scan.SHINGLE - 1}], ' '))"
 _TEMPLATES = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in sorted(LICENSES.items()))
@@ -145,4 +158,4 @@ SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op2_source_mixing": OP2, "op4_license_scan": OP4, "op6_url_filter": url_filter.oracle(), "op8_exact_dedup": OP8, "op9_pii": OP9}
+    return {"op1_ngram_jaccard_join": OP1, "op2_source_mixing": OP2, "op4_license_scan": OP4, "op6_url_filter": url_filter.oracle(), "op8_exact_dedup": OP8, "op9_pii": OP9, "op11_substring_dedup": OP11}

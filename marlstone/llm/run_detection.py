@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_words, map_batches, mix64, row_slices, text_buffer, word_hashes
+from .common import all_words, joined_words, map_batches, mix64, row_slices, text_buffer
 
 FEWEST, EXPONENT = 6, 4
 SLICE = 1 << 19
@@ -272,8 +272,8 @@ def with_runs(docs: DataFrame, fewest: int = FEWEST, exponent: int = EXPONENT, r
         ids, (buf, offsets) = batch.column(0).to_pylist(), text_buffer(batch.column(1))
         for lo, hi in row_slices(offsets, SLICE):
             own = buf[offsets[lo] : offsets[hi]]
-            h, starts, ends, counts = word_hashes(own, offsets[lo : hi + 1] - offsets[lo])
-            row = np.repeat(np.arange(hi - lo), counts)
+            row, h, starts, ends = all_words(own, offsets[lo : hi + 1] - offsets[lo])
+            counts = np.bincount(row, minlength=hi - lo)
             if rotate:
                 at = rotated(ids[lo:hi], counts)
                 h, starts, ends = h[at], starts[at], ends[at]

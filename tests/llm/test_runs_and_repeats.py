@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import run_detection
+from marlstone.llm import common, run_detection, substring_dedup
 
 DOCS = "doc_id long, text string, runs string, n_words long, kept_text string, removed string, anchor long"
 
@@ -126,3 +126,98 @@ def test_a_long_periodic_text(spark):
     text = " ".join(["u"] + ["a", "b", "c"] * 200_000 + ["v"])
     r = run_detection.with_runs(spark.range(1).select(F.lit(7).alias("doc_id"), F.lit(text).alias("text"))).first()
     assert [tuple(x) for x in r["runs"]] == [(1, 600_000, 3)] and r["collapsed_text"] == "u a b c v"
+
+
+def plain_repeats(rows, n):
+    """Each window of n words, wherever it starts, in a dictionary."""
+    texts, seen = [words(t) for _, t in rows], {}
+    for w in texts:
+        for i in range(len(w) - n + 1):
+            seen[tuple(w[i : i + n])] = seen.get(tuple(w[i : i + n]), 0) + 1
+    out = []
+    for (i, _), w in zip(rows, texts):
+        gone = {k for a in range(len(w) - n + 1) if seen[tuple(w[a : a + n])] > 1 for k in range(a, a + n)}
+        out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return sorted(out, key=str)
+
+
+def shared_corpus(seed, n, size):
+    """Copies, near copies, passages within other words, passages that differ in a word, loops."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 3)))
+    passages = [[word() for _ in range(rng.randint(size // 2, 3 * size))] for _ in range(6)]
+    rows = []
+    for i in range(n):
+        w = [word() for _ in range(rng.randint(0, 2 * size))]
+        for _ in range(rng.randint(0, 3)):
+            p = list(rng.choice(passages))
+            if rng.random() < 0.3:
+                p[rng.randrange(len(p))] = word()
+            a = rng.randint(0, len(p) - 1)
+            w += p[a:] if rng.random() < 0.3 else p
+            w += [word() for _ in range(rng.randint(0, size))]
+        if rng.random() < 0.1:
+            w += [word(), word()] * size
+        rows.append((i, rng.choice([" ", "\n", "\t \x0b"]).join(w)))
+        if rng.random() < 0.2:
+            rows.append((rng.randint(0, i), rows[-1][1]))
+    return rows
+
+
+def digests(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
+
+
+def with_words(docs, n):
+    found = substring_dedup.without_repeats(docs, n)
+    return found.select("doc_id", "n_words", F.aggregate("removed", F.lit(0).cast("long"), lambda x, s: x + s.z - s.a).alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@pytest.mark.parametrize(("n", "kinds", "slice_bytes", "shard"), [(35, 256, 1 << 17, 50_000), (12, 2, 1 << 17, 300), (5, 256, 200, 50), (9, 1, 64, 1)])
+def test_repeats_against_a_dictionary_of_windows(spark, monkeypatch, n, kinds, slice_bytes, shard):
+    monkeypatch.setattr(substring_dedup, "MOST_KINDS", kinds)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
+    rows = shared_corpus(n, 90, n)
+    rows += [(900, None), (901, ""), (902, " \n"), (None, rows[3][1]), (None, rows[3][1] + " x"), (903, "q " * (n - 1)), (904, "r " * n), (905, "s " * (n + 1))]
+    assert digests(with_words(frame(spark, rows), n)) == plain_repeats(rows, n)
+    for piece in (slice_bytes,):  # slices of any size give the same windows
+        buf, offsets = common.text_buffer(substring_dedup.pa.array([t for _, t in rows], substring_dedup.pa.string()))
+        monkeypatch.setattr(substring_dedup, "word_slices", lambda b, o, most=piece: common.word_slices(b, o, most=most))
+        count = {}
+        for row, first, windows, *_ in substring_dedup.pieces_of(buf, offsets, n):
+            for r, f, k in zip(row.tolist(), first.tolist(), windows.tolist()):
+                for i in range(f, f + k):
+                    count[r, i] = count.get((r, i), 0) + 1
+        assert count == {(r, i): 1 for r, (_, t) in enumerate(rows) for i in range(len(words(t)) - n + 1)}
+
+
+def test_columns_and_spans_of_the_operator(spark):
+    p = " ".join(f"w{i}" for i in range(6))
+    got = substring_dedup.without_repeats(frame(spark, [(1, f"a {p} b"), (2, f"c  {p}"), (3, "d e f g")]), 4)
+    assert set(got.columns) == {"doc_id", "text", "runs", "n_words", "kept_text", "removed", "anchor"} and got.first()["runs"] == "clash"
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert [tuple(x) for x in by[1]["removed"]] == [(1, 7)] and by[1]["kept_text"] == "a b" and by[2]["kept_text"] == "c" and by[3]["removed"] == []
+    assert substring_dedup.without_repeats(frame(spark, []), 4).count() == 0
+
+
+def test_query_against_a_dictionary_of_windows(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert digests(substring_dedup.repeat_digests(docs)) == plain_repeats(rows, 35)
+
+
+def test_automaton_counts_places():
+    rng = random.Random(3)
+    for _ in range(60):
+        texts = [[rng.choice("ab") for _ in range(rng.randint(1, 25))] for _ in range(rng.randint(1, 4))]
+        times = [rng.randint(1, 3) for _ in texts]
+        a = substring_dedup.SuffixAutomaton()
+        for t, k in zip(texts, times):
+            a.add(t, k)
+        a.count()
+        for t in texts:
+            n = rng.randint(1, 6)
+            for end, (length, places) in enumerate(a.matches(t, n), 1):
+                assert length == min(n, end)
+                part = t[end - length : end]
+                assert places == sum(k * sum(x[i : i + length] == part for i in range(len(x))) for x, k in zip(texts, times))
