@@ -2,18 +2,21 @@
 
 The reference is the corpus itself, so of the corpus only stretches that may repeat get as far as an automaton. Each window of so many words
 takes the least hash of its shingles as anchor: equal windows have equal anchors. Consecutive windows with one anchor are a piece: a
-piece's windows are in no other piece, and each window is in one. Pieces whose anchor occurs once are left out; of equal pieces
-one is kept with its number of places. Shards hold the pieces of some anchors; a shard's suffix automaton knows in how many places each of
-its sequences stands, its pieces are read for matching statistics, and where a match of a window's length stands in two places or more, the window repeats.
+piece's windows are in no other piece, and each window is in one. Pieces whose anchor occurs once are left out, and of equal pieces
+one is kept with its number of places. If these are all pieces of their anchor, their windows stand where they do. Else they
+go to a shard with the other pieces of the anchor: the shard's suffix automaton knows in how many places each of its sequences stands, its
+pieces are read for matching statistics, and where a match of a window's length stands in two places or more, the window repeats.
 
 A broadcast of the shards would pass all that repeats in the corpus to the driver and each document to each shard. So a shard and what is to be
-matched with it meet by a shuffle on the anchor, once for each different piece. What is broadcast is a filter of anchors of bounded size.
-Anchors with very many different pieces (in passages that stand in many surroundings) are split: their windows are dealt by a hash
-of the whole window, and those that occur once are left out before their words are shuffled.
+matched with it meet by a shuffle on the anchor, once for each different piece. What is broadcast are filters of anchors, of bounded size.
+An anchor with very many different pieces (in a passage that stands in many surroundings) is split: the windows of a piece that begin within
+some words of each other share a longer core, which is their new anchor, in the end the whole window. Cores of windows that
+reach beyond a passage mostly occur once, and are left out.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import COEFFICIENTS, all_words, free_names, joined_words, map_batches, mix64, row_slices, temporary, text_buffer, tidy, word_slices, written
 
 WORDS, SHINGLE = 35, 8
-MOST_KINDS = 256  # different pieces of an anchor; beyond them its windows are dealt one by one
+MOST_KINDS = 256  # different pieces of an anchor; beyond them it is split
+SPLITS = (7, 1)  # windows of a piece that share a core, at the first split and at the second
 SHARD_WORDS = 50_000  # of a shard's pieces, on average; an anchor's pieces stay together
 LEAST_BITS, MOST_BITS = 20, 28  # of the filter of anchors: 32 MB at most; where more anchors repeat, it lets more pieces through, which are then grouped exactly
 
@@ -41,7 +45,10 @@ def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces_of(buf: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row, number of the first window, windows, first byte, end and anchor of the pieces, by slices of the texts. A piece ends where a slice does."""
+    """Row, number of the first window, windows, words before the anchor, first byte, end and anchor of the pieces, by slices of the texts.
+
+    A piece ends where a slice does.
+    """
     shingle = min(SHINGLE, words)
     held, before = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
     for part in word_slices(buf, offsets):
@@ -63,7 +70,7 @@ def pieces_of(buf: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[tupl
         at = at[window]
         edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         first, last = window[edge], window[np.append(edge[1:], len(window)) - 1]
-        yield row[first], number[first], last - first + 1, start[first], end[last + words - 1], x[at[edge]].view(np.int64)
+        yield row[first], number[first], last - first + 1, at[edge] - first, start[first], end[last + words - 1], x[at[edge]].view(np.int64)
 
 
 def repeated_anchors(docs: DataFrame, words: int) -> DataFrame:
@@ -91,41 +98,39 @@ def may_be(x: np.ndarray, flags: np.ndarray, bits: int) -> np.ndarray:
     return (flags[at >> 6] >> (at & 63)) & 1 == 1
 
 
-PIECE = "doc_id long, text_key long, first long, windows long, anchor long, content string"
+PIECE = "doc_id long, text_key long, first long, windows long, lead long, anchor long, content string"
 
 
-def hashes() -> dict:
-    return {"h1": F.xxhash64("content"), "h2": F.xxhash64(F.lit(1), "content")}
+def with_hashes(pieces: DataFrame) -> DataFrame:
+    return pieces.withColumns({"h1": F.xxhash64("content"), "h2": F.xxhash64(F.lit(1), "content")})
 
 
 def candidate_pieces(docs: DataFrame, words: int) -> DataFrame:
-    """The pieces whose anchor may repeat: doc_id, text_key, first window, windows, anchor, words joined by one space, and two hashes of these."""
+    """The pieces whose anchor may repeat: doc_id, text_key, first window, windows, words before the anchor, anchor, words joined by one space, and two hashes of these."""
     flags, bits = anchor_filter(repeated_anchors(docs, words))
     shared = docs.sparkSession.sparkContext.broadcast((flags, bits))  # bounded by MOST_BITS
 
     def find(batch):
         ids, keys, (buf, offsets) = batch.column(0), batch.column(1), text_buffer(batch.column(2))
-        for row, first, windows, start, end, anchor in pieces_of(buf, offsets, words):
+        for row, first, windows, lead, start, end, anchor in pieces_of(buf, offsets, words):
             hit = np.flatnonzero(may_be(anchor, *shared.value))
             at = pa.array(row[hit])
             content = [b" ".join(buf[a:z].tobytes().split()).decode(errors="replace") for a, z in zip(start[hit].tolist(), end[hit].tolist(), strict=True)]
-            yield {"doc_id": ids.take(at), "text_key": keys.take(at), "first": pa.array(first[hit]), "windows": pa.array(windows[hit]), "anchor": pa.array(anchor[hit]), "content": pa.array(content, pa.string())}
-
-    return written(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"), find, PIECE).withColumns(hashes()))
-
+            yield {"doc_id": ids.take(at), "text_key": keys.take(at), "first": pa.array(first[hit]), "windows": pa.array(windows[hit]), "lead": pa.array(lead[hit]), "anchor": pa.array(anchor[hit]), "content": pa.array(content, pa.string())}
 
-def kinds_of(pieces: DataFrame) -> DataFrame:
-    """The different pieces of each anchor, with their number of places."""
-    return pieces.groupBy("anchor", "h1", "h2", "windows", "content").agg(F.count("*").alias("places"))
+    return written(with_hashes(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"), find, PIECE)))
 
 
-def single_windows(pieces: DataFrame, words: int) -> DataFrame:
-    """A piece for each window that stands in two places or more, with a hash of the whole window as anchor."""
-    cut = pieces.withColumn("w", F.split("content", " ")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("windows").cast("int") - 1)))
-    content = F.array_join(F.slice("w", F.col("i") + 1, words), " ")
-    cut = cut.select("doc_id", "text_key", (F.col("first") + F.col("i")).alias("first"), F.lit(1).cast("long").alias("windows"), content.alias("content")).withColumns({"anchor": F.xxhash64(F.lit(2), "content"), **hashes()})
-    twice = written(cut.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    return cut.join(twice, ["anchor", "h1", "h2"], "left_semi").select(pieces.columns)
+def split_pieces(pieces: DataFrame, words: int, most: int) -> DataFrame:
+    """Pieces of most windows or fewer: those that begin within so many words of each other before the anchor. The words they share are hashed as anchor."""
+    lead = F.col("lead")
+    groups = F.sequence(F.floor((lead - F.col("windows") + 1) / most), F.floor(lead / most))
+    cut = pieces.withColumn("w", F.split("content", " ")).withColumn("g", F.explode(groups))
+    far, near = F.least(lead, F.col("g") * most + most - 1), F.greatest(lead - F.col("windows") + 1, F.col("g") * most)
+    words_of = lambda at, n: F.array_join(F.slice("w", at.cast("int") + 1, n.cast("int")), " ")
+    core = words_of(lead - F.col("g") * most, F.lit(words - most + 1))
+    own = cut.select("doc_id", "text_key", (F.col("first") + lead - far).alias("first"), (far - near + 1).alias("windows"), far.alias("lead"), F.xxhash64(F.lit(2), F.col("g"), core).alias("anchor"), words_of(lead - far, far - near + words).alias("content"))
+    return with_hashes(own.select(*(F.col(c).cast("long" if c != "content" else "string").alias(c) for c in own.columns)))
 
 
 class SuffixAutomaton:
@@ -200,37 +205,39 @@ def stretches(hits: list[bool]) -> Iterator[tuple[int, int]]:
 
 
 def shard_repeats(kinds: list[tuple], words: int) -> Iterator[tuple]:
-    """Of a shard's kinds (anchor, h1, h2, windows, content, places): anchor, h1, h2 and ranges of windows that stand in two places or more.
-
-    What is the only piece of its anchor needs no automaton: its windows stand where it does.
-    """
-    of: dict[int, int] = {}
-    for k in kinds:
-        of[k[0]] = of.get(k[0], 0) + 1
+    """Of a shard's kinds (anchor, h1, h2, content, places): anchor, h1, h2 and ranges of windows that stand in two places or more."""
     reference = SuffixAutomaton()
-    shared = [k for k in kinds if of[k[0]] > 1]
-    for k in shared:
-        reference.add(k[4].split(" "), k[5])
+    texts = [k[3].split(" ") for k in kinds]
+    for k, text in zip(kinds, texts, strict=True):
+        reference.add(text, k[4])
     reference.count()
-    for k in kinds:
-        if of[k[0]] == 1:
-            if k[5] > 1:
-                yield (*k[:3], 0, k[3])
-    for k in shared:
-        found = [n == words and places > 1 for n, places in reference.matches(k[4].split(" "), words)]
+    for k, text in zip(kinds, texts, strict=True):
+        found = [n == words and places > 1 for n, places in reference.matches(text, words)]
         for a, z in stretches(found[words - 1 :]):
             yield (*k[:3], a, z)
 
 
-def repeated_windows(kinds: DataFrame, words: int) -> DataFrame:
-    """anchor, h1, h2, lo, hi: of the kinds (written), ranges of windows that stand in two places or more. A task holds one shard at a time."""
-    spark = kinds.sparkSession
-    shards = max(1, kinds.count() * 3 * words // 2 // SHARD_WORDS)
-    dealt = kinds.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    parts = min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def matched(pieces: DataFrame, contested: DataFrame, words: int) -> DataFrame:
+    """anchor, h1, h2, lo, hi: of the different pieces of contested anchors (anchor, kinds), ranges of windows that stand in two places or more.
+
+    A task holds one shard at a time. Of an anchor that the filter lets through but that isn't contested, what has more than MOST_KINDS pieces is passed over.
+    """
+    spark = pieces.sparkSession
+    n = contested.agg(F.sum("kinds")).first()[0] or 0
+    shards = max(1, n * 3 * words // 2 // SHARD_WORDS)
+    shared = spark.sparkContext.broadcast(anchor_filter(contested))  # bounded by MOST_BITS
+
+    @F.arrow_udf("boolean")
+    def met(anchor: pa.Array) -> pa.Array:
+        return pa.array(may_be(anchor.to_numpy(zero_copy_only=False), *shared.value))
 
     def run(batches):
-        shard, held = None, []
+        shard, anchor, group, held = None, None, [], []
+
+        def close():
+            if len(group) <= MOST_KINDS:
+                held.extend(group)
+            group.clear()
 
         def flush():
             rows = list(shard_repeats(held, words))
@@ -239,31 +246,41 @@ def repeated_windows(kinds: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             for s, *kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind[0] != anchor or s != shard:
+                    close()
                 if s != shard and held:
                     yield flush()
-                shard = s
-                held.append(tuple(kind))
+                shard, anchor = s, kind[0]
+                if len(group) <= MOST_KINDS:
+                    group.append(tuple(kind))
+        close()
         if held:
             yield flush()
         tidy()
 
-    rows = dealt.select("shard", "anchor", "h1", "h2", "windows", "content", "places").repartition(parts, "shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(run, "anchor long, h1 long, h2 long, lo long, hi long")
+    kinds = pieces.where(met("anchor")).groupBy("anchor", "h1", "h2", "content").agg(F.count("*").alias("places"))
+    dealt = kinds.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "h1", "h2", "content", "places")
+    parts = min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(parts, "shard").sortWithinPartitions("shard", "anchor").mapInArrow(run, "anchor long, h1 long, h2 long, lo long, hi long")
 
 
 def repeated_spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), spans (first word, end) of the texts in which windows of so many words also start anywhere else."""
     with temporary(docs.sparkSession) as keep:
-        pieces = candidate_pieces(docs, words)
-        kinds = written(kinds_of(pieces))
-        crowded = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST_KINDS).select("anchor"))
-        if not crowded.isEmpty():
-            split = single_windows(pieces.join(crowded, "anchor", "left_semi").select(pieces.columns), words)
-            pieces = written(pieces.join(crowded, "anchor", "left_anti").select(pieces.columns).union(split))
-            kinds = written(kinds.join(crowded, "anchor", "left_anti").select(kinds.columns).union(kinds_of(split).select(kinds.columns)))
-        found = written(repeated_windows(kinds, words))
-        hits = pieces.select("doc_id", "text_key", "first", "anchor", "h1", "h2").join(found, ["anchor", "h1", "h2"])
-        hits = hits.select("doc_id", "text_key", F.struct((F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") - 1 + words).alias("z")).alias("span"))
+        pieces, hits = candidate_pieces(docs, words), []
+        for most in (*SPLITS, None):
+            kinds = pieces.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("places"), F.max("windows").alias("windows"))
+            per = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("places").alias("places"), F.max("h1").alias("h1"), F.max("h2").alias("h2"), F.max("windows").alias("windows")))
+            alone = per.where("kinds = 1 and places > 1").select("anchor", "h1", "h2", F.lit(0).cast("long").alias("lo"), F.col("windows").alias("hi"))
+            found = written(alone.union(matched(pieces, per.where(F.col("kinds").between(2, MOST_KINDS)), words)))
+            own = pieces.select("doc_id", "text_key", "first", "anchor", "h1", "h2").join(found, ["anchor", "h1", "h2"])
+            hits.append(own.select("doc_id", "text_key", F.struct((F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") - 1 + words).alias("z")).alias("span")))
+            crowded = per.where(F.col("kinds") > MOST_KINDS).select("anchor")
+            if most is None or crowded.isEmpty():
+                break
+            most = min(most, words - min(SHINGLE, words) + 1)
+            pieces = written(split_pieces(pieces.join(crowded, "anchor", "left_semi").select(pieces.columns), words, most))
+        hits = functools.reduce(DataFrame.union, hits)
         return keep(written(hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("span")).alias("spans"))))  # of one document
 
 
