@@ -217,6 +217,17 @@ def shard_repeats(kinds: list[tuple], words: int) -> Iterator[tuple]:
             yield (*k[:3], a, z)
 
 
+def among(pieces: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Pieces whose anchor is one of anchors (anchor), and maybe some others."""
+    shared = pieces.sparkSession.sparkContext.broadcast(anchor_filter(anchors))  # bounded by MOST_BITS
+
+    @F.arrow_udf("boolean")
+    def met(anchor: pa.Array) -> pa.Array:
+        return pa.array(may_be(anchor.to_numpy(zero_copy_only=False), *shared.value))
+
+    return pieces.where(met("anchor"))
+
+
 def matched(pieces: DataFrame, contested: DataFrame, words: int) -> DataFrame:
     """anchor, h1, h2, lo, hi: of the different pieces of contested anchors (anchor, kinds), ranges of windows that stand in two places or more.
 
@@ -225,11 +236,6 @@ def matched(pieces: DataFrame, contested: DataFrame, words: int) -> DataFrame:
     spark = pieces.sparkSession
     n = contested.agg(F.sum("kinds")).first()[0] or 0
     shards = max(1, n * 3 * words // 2 // SHARD_WORDS)
-    shared = spark.sparkContext.broadcast(anchor_filter(contested))  # bounded by MOST_BITS
-
-    @F.arrow_udf("boolean")
-    def met(anchor: pa.Array) -> pa.Array:
-        return pa.array(may_be(anchor.to_numpy(zero_copy_only=False), *shared.value))
 
     def run(batches):
         shard, anchor, group, held = None, None, [], []
@@ -258,7 +264,7 @@ def matched(pieces: DataFrame, contested: DataFrame, words: int) -> DataFrame:
             yield flush()
         tidy()
 
-    kinds = pieces.where(met("anchor")).groupBy("anchor", "h1", "h2", "content").agg(F.count("*").alias("places"))
+    kinds = among(pieces, contested).groupBy("anchor", "h1", "h2", "content").agg(F.count("*").alias("places"))
     dealt = kinds.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "h1", "h2", "content", "places")
     parts = min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     return dealt.repartition(parts, "shard").sortWithinPartitions("shard", "anchor").mapInArrow(run, "anchor long, h1 long, h2 long, lo long, hi long")
@@ -279,7 +285,7 @@ def repeated_spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
             if most is None or crowded.isEmpty():
                 break
             most = min(most, words - min(SHINGLE, words) + 1)
-            pieces = written(split_pieces(pieces.join(crowded, "anchor", "left_semi").select(pieces.columns), words, most))
+            pieces = written(split_pieces(among(pieces, crowded), words, most))  # to split others too changes nothing
         hits = functools.reduce(DataFrame.union, hits)
         return keep(written(hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("span")).alias("spans"))))  # of one document
 
