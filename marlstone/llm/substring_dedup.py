@@ -121,15 +121,21 @@ def candidate_pieces(docs: DataFrame, words: int) -> DataFrame:
     return written(with_hashes(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"), find, PIECE)))
 
 
-def split_pieces(pieces: DataFrame, words: int, most: int) -> DataFrame:
-    """Pieces of most windows or fewer: those that begin within so many words of each other before the anchor. The words they share are hashed as anchor."""
-    lead = F.col("lead")
-    groups = F.sequence(F.floor((lead - F.col("windows") + 1) / most), F.floor(lead / most))
-    cut = pieces.withColumn("w", F.split("content", " ")).withColumn("g", F.explode(groups))
-    far, near = F.least(lead, F.col("g") * most + most - 1), F.greatest(lead - F.col("windows") + 1, F.col("g") * most)
+def split_pieces(pieces: DataFrame, words: int, widest: int, most: int) -> DataFrame:
+    """Pieces (of widest windows or fewer) as ones of most windows or fewer: those that begin within so many words of each other before the anchor.
+
+    The words that they share are hashed as anchor. A piece becomes widest / most pieces at most, each by a projection of its own.
+    """
+    lead, last = F.col("lead"), F.col("lead") - F.col("windows") + 1
     words_of = lambda at, n: F.array_join(F.slice("w", at.cast("int") + 1, n.cast("int")), " ")
-    core = words_of(lead - F.col("g") * most, F.lit(words - most + 1))
-    own = cut.select("doc_id", "text_key", (F.col("first") + lead - far).alias("first"), (far - near + 1).alias("windows"), far.alias("lead"), F.xxhash64(F.lit(2), F.col("g"), core).alias("anchor"), words_of(lead - far, far - near + words).alias("content"))
+    parts = []
+    for i in range((widest - 1) // most + 1):
+        g = F.floor(lead / most) - i
+        far, near = F.least(lead, g * most + most - 1), F.greatest(last, g * most)
+        cut = pieces.where(near <= far).withColumn("w", F.split("content", " "))
+        core = words_of(lead - g * most, F.lit(words - most + 1))
+        parts.append(cut.select("doc_id", "text_key", (F.col("first") + lead - far).alias("first"), (far - near + 1).alias("windows"), far.alias("lead"), F.xxhash64(F.lit(2), g, core).alias("anchor"), words_of(lead - far, far - near + words).alias("content")))
+    own = functools.reduce(DataFrame.union, parts)
     return with_hashes(own.select(*(F.col(c).cast("long" if c != "content" else "string").alias(c) for c in own.columns)))
 
 
@@ -273,7 +279,7 @@ def matched(pieces: DataFrame, contested: DataFrame, words: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), spans (first word, end) of the texts in which windows of so many words also start anywhere else."""
     with temporary(docs.sparkSession) as keep:
-        pieces, hits = candidate_pieces(docs, words), []
+        pieces, hits, widest = candidate_pieces(docs, words), [], words - min(SHINGLE, words) + 1
         for most in (*SPLITS, None):
             kinds = pieces.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("places"), F.max("windows").alias("windows"))
             per = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("places").alias("places"), F.max("h1").alias("h1"), F.max("h2").alias("h2"), F.max("windows").alias("windows")))
@@ -284,8 +290,8 @@ def repeated_spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
             crowded = per.where(F.col("kinds") > MOST_KINDS).select("anchor")
             if most is None or crowded.isEmpty():
                 break
-            most = min(most, words - min(SHINGLE, words) + 1)
-            pieces = written(split_pieces(among(pieces, crowded), words, most))  # to split others too changes nothing
+            most = min(most, widest)
+            pieces, widest = written(split_pieces(written(among(pieces, crowded)), words, widest, most)), most  # to split others too changes nothing
         hits = functools.reduce(DataFrame.union, hits)
         return keep(written(hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("span")).alias("spans"))))  # of one document
 
