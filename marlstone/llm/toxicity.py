@@ -4,7 +4,8 @@ Features are the presence of hashed words, their stems (the first STEM bytes of
 pairs with one word between. The learner keeps a rate
 for each coordinate and L1 sparsity; what is broadcast are the nonzero weights, of which there are at most
 1 << BITS. It learns from a bounded sample: PER_CLASS labelled documents of each label, first by a hash of doc_id, as
-far as their texts together have BYTES_PER_CLASS; the intercept is then corrected to the labels' true shares.
+far as their texts together have BYTES_PER_CLASS; where they have more, the longest are left out first. The intercept is then
+corrected to the labels' true shares.
 Scoring reads whole texts, slice by slice.
 """
 
@@ -103,7 +104,9 @@ def sampled(docs: DataFrame, labels: DataFrame, per_class: int, bytes_per_class:
     sample = first_by_hash(known, "toxic", per_class)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # 2 * per_class rows
     chosen = written(chosen.groupBy("doc_id", "toxic", "hash").agg(F.min("text").alias("text")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")))
-    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("toxic").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    share = max(1, bytes_per_class // max(1, per_class))
+    longer = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("bytes"), F.lit(1)) / F.lit(share))))  # doublings of an even share of the bytes
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("toxic").orderBy(longer, "hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
     fitting = chosen.drop("text").withColumn("so_far", before).where(F.col("so_far") <= bytes_per_class).select("doc_id")  # of per_class rows a label
 
     def describe(batch):

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import langid, pii, toxicity
 
@@ -163,6 +164,12 @@ def test_learning_bounds(spark):
     assert toxicity.acceptable(docs, labels).count() == 250 and toxicity.acceptable(docs, labels).columns == docs.columns
     at, _, intercept = toxicity.learn(docs, labels, bytes_per_class=1)
     assert len(at) == 0 and intercept == -4.0
+    for long in range(4):  # a text beyond the bytes takes nothing from the others of its label, whatever its place in the order
+        few = docs.where("doc_id < 34").dropDuplicates(["doc_id"])
+        few = few.withColumn("text", F.when(F.col("doc_id") == long, F.repeat("text", F.lit(1000))).otherwise(F.col("text")))
+        rows, shares = toxicity.sampled(few, labels.where("doc_id < 34"), 3000, 5000)
+        want = {i for i in range(34) if i != long and zlib.crc32(str(i).encode()) % 5}
+        assert {r["doc_id"] for r in rows} == want and sum(shares.values()) >= len(want)
 
 
 def test_toxicity_accuracy_and_edges(spark):
