@@ -96,6 +96,11 @@ def backend_name(explicit: str | None, has_key: bool) -> str:
     return explicit or ("hosted" if has_key else "local")
 
 
+def backend_choice(explicit: Column, has_key: Column) -> Column:
+    """backend_name of a row: what it asks for (null or empty: nothing), else by whether it has a key."""
+    return F.coalesce(F.nullif(explicit, F.lit("")), F.when(has_key, "hosted").otherwise("local"))
+
+
 def embedded_by(client: Callable[[list[str]], list[list[float] | None]], most_chars: int = SERVER_CHARS, batch: int = 64) -> Callable[[Column], Column]:
     """A Column function that embeds texts by a client of the caller's, which Arrow batches are handed to in parts.
 

@@ -1,7 +1,8 @@
 """Analytics on dependency edges (from_file depends on to_file): breadth-first levels as joins.
 
-Edges are written once, and every level joins the frontier with them and drops what was seen; levels are written tables, so plans
-don't grow. The number of levels is bounded by the caller's depth.
+Every level takes the edges of its frontier and drops what was seen; levels are written tables, so plans don't grow. A frontier of few
+files is pushed to the edges as a filter, so that of stored edges, which lie by their ends, a level reads the parts that have them; a larger one
+is joined. Edges are not copied. The number of levels is bounded by the caller's depth.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.materialize import counted, materialized
 
 MOST_HOPS = 4
+MOST_PUSHED = 1000  # files of a frontier that are pushed as a filter
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -29,16 +31,18 @@ def dependencies(edges: DataFrame, file: str) -> DataFrame:
 def levels(steps: DataFrame, root: str, most: int, root_seen: bool) -> DataFrame:
     """file, depth of what is reached from root over steps (a, b); root itself only if reached again and not root_seen."""
     spark = steps.sparkSession
-    steps = materialized(steps.select("a", "b"))
-    frontier = spark.range(1).select(F.lit(root).alias("file"))
+    steps = steps.select("a", "b")
+    names, frontier = [root], None
     seen = spark.range(1).select(F.lit(root).alias("file"), F.lit(0).alias("depth")) if root_seen else spark.range(0).select(F.lit("").alias("file"), F.lit(0).alias("depth"))
     for depth in range(1, most + 1):
-        reached = steps.join(frontier, steps.a == frontier.file).select(F.col("b").alias("file")).distinct().join(seen.select("file"), "file", "left_anti")
+        near = steps.join(frontier, steps.a == frontier.file) if names is None else steps.where(F.col("a").isin(names))
+        reached = near.select(F.col("b").alias("file")).distinct().join(seen.select("file"), "file", "left_anti")
         level, n = counted(reached.withColumn("depth", F.lit(depth)))
         if not n:
             break
         seen = seen.unionByName(level)
         frontier = level.select("file")
+        names = [r["file"] for r in frontier.where("file is not null").collect()] if n <= MOST_PUSHED else None
     return seen
 
 
@@ -78,7 +82,7 @@ def risk(impacts: DataFrame) -> DataFrame:
 
 
 def impacts(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
-    """root, file, depth for every root (file) at once; as impact of each."""
+    """root, file, depth for every root (file) at once; as impact of each. A row a root and file that it reaches: for some roots, not for all files of a dense graph."""
     back = materialized(edges.select(F.col("to_file").alias("a"), F.col("from_file").alias("b")))
     frontier = roots.select(F.col("file").alias("root"), "file").distinct()
     seen = frontier.withColumn("depth", F.lit(0)).limit(0)

@@ -11,14 +11,17 @@ from ..plans.materialize import materialized
 K1, B = 1.5, 0.75
 
 
+def term_weight(f: Column, ratio: Column, k1: float = K1, b: float = B) -> Column:
+    """What a term that stands f times in a text counts; ratio is the text's length by the average one."""
+    return F.when(f == 0, 0.0).otherwise(F.coalesce(f * (k1 + 1) / (f + k1 * (1 - b + b * ratio)), F.lit(0.0)))
+
+
 def bm25(query_terms: Column, doc_terms: Column, average: Column, k1: float = K1, b: float = B, length: Column | None = None) -> Column:
     """Sum over query terms, repeats included; 0 for a document without terms. doc_terms may be only those of the query, if length is given."""
     length = F.size(doc_terms).cast("double") if length is None else length.cast("double")
     counts = F.transform(query_terms, lambda t: F.size(F.filter(doc_terms, lambda x: x == t)).cast("double"))
     ratio = F.try_divide(length, average)
-
-    weight = lambda f: F.coalesce(f * (k1 + 1) / (f + k1 * (1 - b + b * ratio)), F.lit(0.0))
-    return F.when(length == 0, 0.0).otherwise(F.aggregate(counts, F.lit(0.0), lambda total, f: total + F.when(f == 0, 0.0).otherwise(weight(f))))
+    return F.when(length == 0, 0.0).otherwise(F.aggregate(counts, F.lit(0.0), lambda total, f: total + term_weight(f, ratio, k1, b)))
 
 
 def bm25_scores(chunks: DataFrame, query: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.vectors import LocalBackend
-from ..operators import chunking, feedback, graph, imports, indexing, memory, packing, scoring
+from ..operators import chunking, feedback, graph, groups, imports, indexing, memory, packing, postings, scoring
 from ..schemas import TABLES
 from ..session import Project
 from ..sources.files import aliases_of
-from ..sources.git import parsed_times
+from ..sources.git import newest_times
 from ..sources.store import Store
-from .materialize import delete, shared_folder
-from .registry import EDGES, LOG, MEMORIES, META, NOW, QUERY, SCORED, SEARCH, SIGN, STUB, SUMMARY, TEMPORAL, TOPIC, _reach, _search, _signals, checkpoints, chunks, edges, memories, query, r6, table
+from ..streaming.incremental import index_stream
+from .materialize import delete, materialized, shared_folder
+from .registry import EDGES, LOG, MEMORIES, META, NOW, QUERY, SCORED, SEARCH, SIGN, STUB, SUMMARY, TEMPORAL, TOPIC, _reach, _search, _signals, checkpoints, chunks, edges, memories, oracle_sql, query, r6, table
 
 NL = "chr(10)"
 
@@ -294,11 +295,11 @@ def _tree(spark: SparkSession, d: str) -> tuple[str, Project]:
 
 
 def _done(spark: SparkSession, root: str, out: DataFrame) -> DataFrame:
-    """The rows of out, which are few, without the folders that they come from."""
-    rows = out.collect()
+    """out as a table, without the folders that it comes from."""
+    out = materialized(out)
     delete(spark, root)
     delete(spark, f"{root}-store")
-    return spark.createDataFrame(rows, out.schema)
+    return out
 
 
 @query("SELECT 'lib/r' || r_regionkey || '.ts::region' || CASE WHEN r_regionkey = 1 THEN 'X' ELSE r_regionkey::VARCHAR END AS id, 'function' AS kind, 1 AS start_line, 3 AS end_line FROM region UNION ALL SELECT 'src/[n]' || n_nationkey || '.ts::nation' || n_nationkey, 'function', 2, 2 FROM nation WHERE n_nationkey <> 3")
@@ -374,20 +375,69 @@ def store_versions(spark, d):
 
 @query("SELECT doc_id || '::module' AS id, md5(text) AS digest FROM documents")
 def stream_index(spark, d):
-    """Documents that arrive as a stream of batches, each replacing the chunks of its files in a store."""
+    """Documents that arrive as a stream of files, each batch replacing its files' chunks and times; a second run from the checkpoint finds nothing new."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    store = Store(spark, f"{root}/store")
+    p = Project(spark, "/nowhere", f"{root}/store", clock=lambda: 5)
     arriving = spark.readStream.schema(table(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parque[t]")
     files = arriving.select(F.col("doc_id").cast("string").alias("path"), F.lit(1).cast("long").alias("mtime"), F.col("text").alias("content"))
+    for _ in range(2):
+        index_stream(p, f"{root}/checkpoint", files=files).awaitTermination()
+    meta = p.store.read("file_meta").where("mtime = 1").select(F.col("path").alias("file_path"))
+    return p.store.read("chunks").join(meta, "file_path").select("id", F.md5("content").alias("digest"))
 
-    def replace(batch: DataFrame, number: int) -> None:
-        rows = chunking.chunks_as_module(batch).withColumn("seq", F.lit(number).cast("long"))
-        old = store.read("chunks")
-        rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in old.columns])
-        store.write("chunks", indexing.replaced(old, rows, batch.select(F.col("path").alias("file_path"))))
 
-    files.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(replace).trigger(availableNow=True).start().awaitTermination()
-    return store.read("chunks").select("id", F.md5("content").alias("digest"))
+@query(oracle_sql()["vector_topk"])
+def vector_topk_groups(spark, d):
+    """The nearest vectors from groups around centres, of which those that can't hold one are not read."""
+    at = f"{shared_folder(spark)}/groups-{uuid.uuid4().hex}"
+    own = table(spark, d, "embeddings").select("vec_id", "embedding")
+    groups.write_groups(own, at, 64)
+    found, _ = groups.top_k(spark, at, own.where("vec_id = 0").first()["embedding"], 10, "vec_id")
+    return found.select("vec_id", r6("score").alias("score"))
+
+
+class _Dies(Store):
+    """A writer that is gone before its change counts."""
+
+    def _put(self, text: str, *parts: str) -> bool:
+        if parts[0] == "commits" and text == "done":
+            raise InterruptedError
+        return super()._put(text, *parts)
+
+
+@query("SELECT doc_id || '.md' AS path, CASE WHEN doc_id % 5 = 0 THEN 2 WHEN doc_id % 7 = 0 THEN 3 ELSE 1 END::BIGINT AS mtime, md5(CASE WHEN doc_id % 5 = 0 THEN 'new ' WHEN doc_id % 7 = 0 THEN 'newer ' ELSE '' END || text) AS digest FROM documents WHERE doc_id % 11 <> 0")
+def store_replace(spark, d):
+    """Chunks and times of documents as files, replaced together: every seventh, every fifth, and every eleventh by none; one writer dies before its change counts."""
+    root = f"{shared_folder(spark)}/replace-{uuid.uuid4().hex}"
+    store, dies = Store(spark, root), _Dies(spark, root)
+
+    def parts(rows: DataFrame, mtime: int, word: str, keep: str = "true") -> dict:
+        path = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
+        own = rows.select("doc_id", path.alias("file_path"), F.concat(F.lit(word), "text").alias("content"))
+        empty = {f.name: F.lit(None).cast(f.dataType) for f in TABLES["chunks"]}
+        chunks_ = own.select(*[F.col(c) if c in own.columns else empty[c].alias(c) for c in empty if c != "id"], F.concat("file_path", F.lit("::module")).alias("id"))
+        times = own.select(F.col("file_path").alias("path"), F.lit(mtime).cast("long").alias("mtime"), F.lit(None).cast("long").alias("git_updated_at"))
+        return {"chunks": (chunks_.where(keep), own.select("file_path")), "file_meta": (times.where(keep), own.select(F.col("file_path").alias("path")))}
+
+    docs = table(spark, d, "documents")
+    store.replace(parts(docs, 1, ""))
+    store.replace(parts(docs.where("doc_id % 7 = 0"), 3, "newer "))
+    for s in (dies, store):
+        try:
+            s.replace(parts(docs.where("doc_id % 5 = 0"), 2, "new ") if s is store else parts(docs, 9, "lost "))
+        except InterruptedError:
+            assert s is dies
+    store.replace(parts(docs.where("doc_id % 11 = 0"), 0, "", "false"))
+    chunks_ = store.read("chunks").select(F.col("file_path").alias("path"), F.md5("content").alias("digest"))
+    return chunks_.join(store.read("file_meta"), "path").select("path", "mtime", "digest")
+
+
+@query(oracle_sql()["bm25_scores"])
+def bm25_postings(spark, d):
+    """BM25 of all chunks from a table of postings, of which only the query's terms are read, and one of lengths."""
+    terms = materialized(postings.postings(chunks(spark, d), "id"))
+    lengths = materialized(postings.with_lengths(chunks(spark, d)).select("id", "tokens", "length"))
+    return postings.bm25_scores(terms, lengths, QUERY).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 # backends and history
@@ -403,13 +453,21 @@ def embed_client(spark, d):
 
 @query("SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 'chosen' WHEN r_regionkey = 1 THEN 'hosted' ELSE 'local' END AS backend FROM region")
 def backend_choice(spark, d):
-    rows = [r["r_regionkey"] for r in table(spark, d, "region").select("r_regionkey").collect()]  # five rows
-    return spark.createDataFrame([(k, vectors.backend_name("chosen" if k % 2 == 0 else None, k == 1)) for k in rows], "r_regionkey long, backend string")
+    key = F.col("r_regionkey").cast("long")
+    return table(spark, d, "region").select(key.alias("r_regionkey"), vectors.backend_choice(F.when(key % 2 == 0, "chosen"), key == 1).alias("backend"))
 
 
 @query("SELECT '/r/' || r_name AS path, 100 - (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS git_updated_at FROM region")
 def git_recency(spark, d):
     """A history in which each nation is a commit, newest first, of the file of its region."""
-    names = {r["r_regionkey"]: r["r_name"] for r in table(spark, d, "region").collect()}  # five rows
-    log = [x for r in table(spark, d, "nation").orderBy("n_nationkey").collect() for x in (f"@{100 - r['n_nationkey']}", names[r["n_regionkey"]], "")]  # a commit a nation
-    return spark.createDataFrame(parsed_times(log, "/r/", {f"/r/{n}" for n in names.values()}), "path string, git_updated_at long")
+    key = F.col("n_nationkey").cast("long")
+    names = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.concat(F.lit("/r/"), "r_name").alias("path"))
+    return newest_times(table(spark, d, "nation").join(names, "n_regionkey").select("path", key.alias("place"), (100 - key).alias("at")))
+
+
+@query("SELECT 'n' || l_partkey % 500 || '.ts' AS path, arg_max(epoch(o_orderdate)::BIGINT, o_orderkey) AS git_updated_at FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+def git_recency_of_parts(spark, d):
+    """A history in which each order is a commit, the greatest key newest, of the files of its parts."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (-F.col("o_orderkey")).alias("place"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)").alias("at"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("n"), (F.col("l_partkey") % 500).cast("string"), F.lit(".ts")).alias("path"))
+    return newest_times(lines.join(orders, "l_orderkey"))

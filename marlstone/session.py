@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import mentioned_path
-from .functions.vectors import LocalBackend
+from .functions.text import embed_text, mentioned_path
+from .functions.vectors import EmbeddingBackend, LocalBackend, VectorBackend
 from .operators import feedback, graph, imports, indexing, memory, packing, scoring
 from .plans.materialize import counted, materialized, temporary
 from .schemas import CONTEXT_STATE
+from .sources.embedding_service import Service, new_vectors, with_vectors
 from .sources.files import listed_files, path_aliases, read_files, source_files
 from .sources.store import Store
 
@@ -22,40 +23,65 @@ MOST_LINES = 10_000
 class Project:
     """The index of a source tree. Indexing and rebuilding the graph are separate steps; without edges no file has dependents."""
 
-    def __init__(self, spark: SparkSession, root: str, store: str | None = None, clock=lambda: int(time.time())):
-        self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
+    def __init__(self, spark: SparkSession, root: str, store: str | None = None, clock=lambda: int(time.time()), service: Service | None = None):
+        """service embeds chunks, notes and queries; without one embeddings are local."""
+        self.spark, self.root, self.clock, self.service = spark, root.rstrip("/"), clock, service
         self.store = Store(spark, store or f"{self.root}/.marlstone")
 
     # indexing
 
     def index(self, git_times: DataFrame | None = None, prune_deleted: bool = False) -> dict:
-        """Chunks of new and changed files replace the old; only these are read. git_times: path, git_updated_at."""
+        """Chunks of new and changed files replace the old; only these are read and written. git_times: path, git_updated_at."""
         with temporary(self.spark):
             listed = materialized(listed_files(self.spark, self.root))
-            changed = indexing.changed_files(listed, self.store.read("file_meta"))
-            made = self._replace(materialized(read_files(self.spark, self.root, changed)), git_times)
-            if prune_deleted:
-                self.store.write("chunks", indexing.pruned(self.store.read("chunks"), listed))
-                self.store.write("file_meta", indexing.pruned(self.store.read("file_meta"), listed, "path"))
+            meta = self.store.read("file_meta")
+            gone = meta.select("path").join(listed, "path", "left_anti") if prune_deleted else None
+            made = self._replace(read_files(self.spark, self.root, indexing.changed_files(listed, meta)), git_times, gone)
             return {"files": listed.count(), "chunks": made}
 
     def index_file(self, path: str) -> int:
         """One file again, changed or not; its git time is forgotten."""
-        with temporary(self.spark):
-            return self._replace(materialized(read_files(self.spark, self.root, self.spark.createDataFrame([(path,)], "path string"))), None)
+        self.store.read("file_meta")
+        return self._replace(read_files(self.spark, self.root, self.spark.createDataFrame([(path,)], "path string")), None)
+
+    def _replace(self, changed: DataFrame, git_times: DataFrame | None, gone: DataFrame | None = None) -> int:
+        """Chunks and times of changed files (path, mtime, content) take the place of those of changed and gone files (path), in one change; how many chunks.
 
-    def _replace(self, changed: DataFrame, git_times: DataFrame | None) -> int:
+        Nothing is written if there are no such files. The store must not have changed since its file_meta was read.
+        """
         with temporary(self.spark):
-            rows, made = counted(indexing.chunk_rows(changed, self.clock(), self.store.next_seq("chunks")))
-            self.store.write("chunks", indexing.replaced(self.store.read("chunks"), rows, changed.select(F.col("path").alias("file_path"))))
-            self.store.write("file_meta", indexing.replaced(self.store.read("file_meta"), indexing.file_rows(changed, git_times), changed.select("path"), "path"))
+            changed, n = counted(changed)
+            keys = changed.select("path")
+            if gone is not None:
+                gone, more = counted(gone)
+                keys, n = keys.union(gone), n + more
+            if not n:
+                return 0
+            rows, made = counted(self._embedded(indexing.chunk_rows(changed, self.clock(), self.store.next_seq("chunks"))))
+            self.store.replace({"chunks": (rows, keys.select(F.col("path").alias("file_path"))), "file_meta": (indexing.file_rows(changed, git_times), keys)})
             return made
 
+    def _embedded(self, chunks: DataFrame) -> DataFrame:
+        """chunks with embeddings of the service, if there is one: of texts that it has had from what is kept. What it fails to embed is null."""
+        if not self.service:
+            return chunks
+        text = embed_text(F.col("name"), F.col("kind"), F.col("content"))
+        chunks = materialized(chunks.drop("embedding"))
+        new = new_vectors(chunks.select(text.alias("text")), self.store.read("vectors"), self.service)
+        if not new.where("embedding is not null").isEmpty():
+            self.store.append("vectors", new.where("embedding is not null"))
+        return with_vectors(chunks, text, self.store.read("vectors"), self.service).withColumn("sign", F.lit(None).cast("int"))
+
+    def _backend(self, query: str) -> EmbeddingBackend:
+        """Compares notes with a query."""
+        return VectorBackend(self.service.embed([query])[0]) if self.service else LocalBackend(query)
+
     def rebuild_graph(self, js_to_ts: bool = False) -> int:
         """Edges between the indexed files; how many files there are."""
         paths = self.store.read("chunks").select(F.col("file_path").alias("path")).distinct()
-        files = materialized(source_files(self.spark, self.root).join(paths, "path", "left_semi"))
-        self.store.overwrite("graph_edges", imports.build_edges(files, self.root, path_aliases(self.spark, self.root), js_to_ts))
+        with temporary(self.spark):
+            files = materialized(source_files(self.spark, self.root).join(paths, "path", "left_semi"))
+            self.store.overwrite("graph_edges", imports.build_edges(files, self.root, path_aliases(self.spark, self.root), js_to_ts))
         return paths.count()
 
     # retrieval
@@ -69,22 +95,25 @@ class Project:
         return f"Context set to: {file}"
 
     def search(self, query: str, top_k: int = 10) -> DataFrame:
-        """Reads the sign of each chunk's embedding, not its 256 numbers."""
-        chunks = self.store.read("chunks").drop("embedding")
-        return scoring.search_context(chunks, query, self.clock(), top_k, meta=self.store.read("file_meta"), log=self.store.read("query_log"), edges=self.store.read("graph_edges"), context_file=self.context_file(), backend=LocalBackend(query, sign="sign"))
+        """Of local embeddings reads the sign, not the 256 numbers."""
+        chunks = self.store.read("chunks")
+        backend = self._backend(query) if self.service else LocalBackend(query, sign="sign")
+        return scoring.search_context(chunks if self.service else chunks.drop("embedding"), query, self.clock(), top_k, meta=self.store.read("file_meta"), log=self.store.read("query_log"), edges=self.store.read("graph_edges"), context_file=self.context_file(), backend=backend)
 
     def search_context(self, query: str, top_k: int = 10, density: str = "balanced", exclude: list[str] | None = None, token_budget: int | None = None) -> str:
         """The rendered context. A path that the query mentions becomes the context file if there is none."""
         named = self.spark.range(1).select(mentioned_path(F.lit(query)).alias("x")).first()["x"]
         if named and not self.context_file():
             self.set_context(named)
-        packed = packing.compressed(self.search(query, top_k), density, exclude, token_budget)
-        return packing.search_report(packed, query, len(exclude or [])).first()["text"]
+        with temporary(self.spark):
+            packed = packing.compressed(self.search(query, top_k), density, exclude, token_budget)
+            return packing.search_report(packed, query, len(exclude or [])).first()["text"]
 
     def start_task(self, task: str, density: str = "balanced", token_budget: int | None = None) -> str:
-        notes = self._recalled(task, 3)
-        packed = packing.compressed(self.search(task, 8), density, None, token_budget)
-        return packing.task_report(notes, packed, task).first()["text"]
+        with temporary(self.spark):
+            notes = self._recalled(task, 3)
+            packed = packing.compressed(self.search(task, 8), density, None, token_budget)
+            return packing.task_report(notes, packed, task).first()["text"]
 
     def expand_chunk(self, chunk_id: str, query: str | None = None) -> str:
         row = feedback.expand_report(self.store.read("chunks"), chunk_id).first()
@@ -98,19 +127,23 @@ class Project:
 
     def save_learning(self, content: str, tags: list[str] | None = None) -> str:
         own = str(uuid.uuid4())
-        self.store.append("memories", memory.new_memory(self.spark, own, content, tags or [], self.clock(), self.store.next_seq("memories")))
+        row = memory.new_memory(self.spark, own, content, tags or [], self.clock(), self.store.next_seq("memories"))
+        if self.service:
+            row = row.withColumn("embedding", F.array(*map(F.lit, self.service.embed([content])[0])).cast("array<double>"))
+        self.store.append("memories", row)
         return own
 
     def _recalled(self, topic: str, top_k: int) -> DataFrame:
         """The memories that a topic recalls, which are marked as seen."""
         memories = self.store.read("memories")
-        found = materialized(memory.recall(memories, LocalBackend(topic), top_k).drop("embedding"))
+        found = materialized(memory.recall(memories, self._backend(topic), top_k).drop("embedding"))
         if not found.isEmpty():
             self.store.write("memories", memory.touched(memories, found.select("id"), self.clock()))
         return found
 
     def recall(self, topic: str, top_k: int = 5) -> str:
-        return memory.recall_report(self._recalled(topic, top_k)).first()["text"]
+        with temporary(self.spark):
+            return memory.recall_report(self._recalled(topic, top_k)).first()["text"]
 
     def list_memories(self) -> DataFrame:
         return memory.newest_first(self.store.read("memories"))
@@ -124,10 +157,11 @@ class Project:
 
     def audit_memories(self) -> str:
         memories = self.store.read("memories")
-        audited = materialized(memory.audit(memories, self.store.read("chunks")))
-        if not audited.where("marked").isEmpty():
-            self.store.write("memories", memory.after_audit(memories, audited))
-        return memory.audit_report(audited).first()["text"]
+        with temporary(self.spark):
+            audited = materialized(memory.audit(memories, self.store.read("chunks")))
+            if not audited.where("marked").isEmpty():
+                self.store.write("memories", memory.after_audit(memories, audited))
+            return memory.audit_report(audited).first()["text"]
 
     def save_checkpoint(self, summary: str, open_tasks: list[str] | None = None) -> str:
         own = str(uuid.uuid4())
@@ -146,18 +180,20 @@ class Project:
 
     # graph
 
-    def impact_lines(self, file: str, max_depth: int = 5) -> DataFrame:
+    def impact_lines(self, file: str, max_depth: int = 5, heading: str = "Impact of") -> DataFrame:
         """part, depth, line of the report, for any number of dependents."""
-        return graph.impact_report(self.store.read("graph_edges"), file, max_depth)
+        return graph.impact_report(self.store.read("graph_edges"), file, max_depth, heading)
 
-    def analyze_impact(self, file: str, max_depth: int = 5) -> str:
+    def analyze_impact(self, file: str, max_depth: int = 5, heading: str = "Impact of") -> str:
         """The report as a text, of MOST_LINES lines at most."""
-        lines = self.impact_lines(file, max_depth).orderBy("part", "depth", "line").limit(MOST_LINES + 1).collect()
+        with temporary(self.spark):
+            lines = self.impact_lines(file, max_depth, heading).orderBy("part", "depth", "line").limit(MOST_LINES + 1).collect()
         more = ["(more lines: see impact_lines)"] if len(lines) > MOST_LINES else []
         return "\n".join([r["line"] for r in lines[:MOST_LINES]] + more)
 
     def safe_to_change(self, file: str) -> str:
-        return graph.change_report(self.store.read("graph_edges"), file).first()["report"]
+        with temporary(self.spark):
+            return graph.change_report(self.store.read("graph_edges"), file).first()["report"]
 
     def status(self) -> dict:
         t = self.store.read

@@ -18,14 +18,16 @@ def arriving_files(spark: SparkSession, root: str, per_batch: int = 1000) -> Dat
     return raw.where(wanted(path, root)).select(path.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
 
 
-def index_stream(project, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Indexes what arrives below the project's root. A batch that is repeated replaces the same files again."""
-    from ..plans.materialize import materialized, temporary
+def index_stream(project, checkpoint: str, available_now: bool = True, files: DataFrame | None = None) -> StreamingQuery:
+    """Indexes what arrives below the project's root, or files, a stream of path, mtime, content.
+
+    The checkpoint keeps what has been taken. A batch that is repeated after a failure replaces the same files again.
+    """
 
     def replace(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            with temporary(batch.sparkSession):
-                project._replace(materialized(batch), None)
+        project.store.read("file_meta")
+        project._replace(batch, None)
 
-    writer = arriving_files(project.spark, project.root).writeStream.option("checkpointLocation", checkpoint).foreachBatch(replace)
+    files = arriving_files(project.spark, project.root) if files is None else files
+    writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(replace)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
