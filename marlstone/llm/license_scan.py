@@ -1,9 +1,10 @@
-"""License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
+"""License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies.
 
-Words are lower-cased runs of letters and digits of ASCII, shingles five words. Texts are cut into windows of several scales.
-Up to 32 words, a template belongs to the least scale that holds it; windows are of twice as many words and overlap by half, so that every
+Words are lower-cased runs of letters and digits of ASCII, shingles five words. Of a text only the shingles that stand in some template count for its
+windows: each shingle is looked up once, so windows are made where there are such shingles, not all over the text.
+Up to 64 words, a template belongs to the least scale that holds it; windows are of twice as many words and overlap by half, so that every
 occurrence lies whole in a window. Longer texts of licenses are cut into windows of PIECE words, STEP apart, and documents into
-windows of PIECE words too, APART: any excerpt of PIECE + APART words holds a whole window, which lies within STEP / 2 words of one
+windows of PIECE words too, APART: any excerpt of about PIECE words fills most of a window, which lies within STEP / 2 words of one
 of the license.
 
 Signatures are minima of one hash function. For texts they are those of BANDS ranges of it, ROWS to a band: two windows alike by j, by
@@ -12,8 +13,8 @@ templates share too little with a window for bands of two: there, each of the wi
 four fifths of the template is missed with a probability below (1 - j) ** LEAST; it is 0 for lines of up to eight words, as all their
 windows' shingles are among the minima.
 
-A match needs CONTAINED percent of a short template's shingles in one window, or TEXT_CONTAINED percent of a window's shingles
-(of the text's, if these are fewer) in both the window and the text of the license. Only DataFrame functions; templates are data, so that the plan is the same for any number of them.
+A match needs CONTAINED percent of a short template's shingles in one window, or, of a text, shingles for TEXT_CONTAINED percent of a
+window's (of the text's, if these are fewer). Only DataFrame functions; templates are data, so that the plan is the same for any number of them.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-SCALES = (8, 16, 32)
+SCALES = (8, 16, 32, 64)
 LEAST = 24
-PIECE, STEP, APART = 64, 8, 48
+PIECE, STEP, APART = 32, 4, 8
 BANDS, ROWS = 16, 2
 FEWEST = 24  # shingles of a window that may lie in a text
 CONTAINED, TEXT_CONTAINED = 80, 60
 CUT, OVERLAP = 1 << 20, 1 << 13
-FOLDER = "/usr/share/common-licenses"
+FOLDER = pathlib.Path(__file__).parent / "licenses"
 
 #: Lines and notices that say under which license a work is.
 TEMPLATES = {
@@ -53,10 +54,9 @@ TEMPLATES = {
 }
 
 
-def license_texts(folder: str = FOLDER) -> dict[str, str]:
-    """The texts of the licenses in a folder of the driver, by the names of their files; none if it isn't there."""
-    at = pathlib.Path(folder)
-    return {p.name: p.read_text(errors="replace") for p in sorted(at.iterdir()) if p.is_file() and not p.is_symlink()} if at.is_dir() else {}
+def license_texts(folder: str | pathlib.Path = FOLDER) -> dict[str, str]:
+    """The texts of licenses that come with the package, or those of another folder of the driver, by the names of their files."""
+    return {p.stem if p.suffix == ".txt" else p.name: p.read_text(errors="replace") for p in sorted(pathlib.Path(folder).iterdir()) if p.is_file()}
 
 
 def with_shingles(df: DataFrame, text: Column) -> DataFrame:
@@ -113,21 +113,46 @@ def segments(text: Column) -> Column:
     return F.when(F.length(text) > CUT, F.transform(at, lambda i: F.substring(text, i + 1, F.lit(CUT + OVERLAP)))).otherwise(F.array(text))
 
 
+def hits_of(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """doc_id, row, segment, n (its shingles), at, shingle: where a shingle of a template stands in a segment of a row."""
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(segments(F.coalesce(F.col("text"), F.lit("")))).alias("segment", "text"))
+    held = with_shingles(held, F.col("text")).select("doc_id", "row", "segment", F.size("_s").alias("n"), F.posexplode("_s").alias("at", "shingle"))
+    known = table.select(F.explode("shingles").alias("shingle")).distinct()
+    return held.join(F.broadcast(known), "shingle")  # the shingles of the templates
+
+
+def hit_windows(hits: DataFrame) -> DataFrame:
+    """doc_id, row, segment, scale, n (shingles in it), window: of each window that has hits, these, once each and in order."""
+    at = F.col("at")
+
+    def of(words: int, step: int, scale: int) -> Column:
+        span = words - SHINGLE + 1
+        begins = F.sequence(F.greatest(F.floor((at - span) / step) + 1, F.lit(0)), F.floor(at / step))
+        return F.transform(begins, lambda k: F.struct(F.lit(scale).alias("scale"), (k * step).alias("begin"), F.least(F.lit(span).cast("long"), F.col("n") - k * step).alias("n")))
+
+    all_ = F.concat(*[of(2 * scale, scale, scale) for scale in SCALES], of(PIECE, APART, PIECE + 1))
+    own = hits.select("doc_id", "row", "segment", "shingle", F.explode(all_).alias("w"))
+    sets = own.groupBy("doc_id", "row", "segment", "w.scale", "w.begin", "w.n").agg(F.sort_array(F.collect_set("shingle")).alias("window"))  # of one window
+    text = F.col("scale") == PIECE + 1
+    return sets.where(~text | ((F.col("n") >= FEWEST) & (F.size("window") >= ROWS)))
+
+
 def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, license, contained (the share in the best window) of each match."""
+    """doc_id, license, contained (the share in the best window) of each match.
+
+    Nulls, empty and very long texts, ties, repeated rows and clashing names as in license_scan.
+    """
     if not templates:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("contained")).limit(0)
     table = templates_table(docs.sparkSession, templates)
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(segments(F.coalesce(F.col("text"), F.lit("")))).alias("text"))
-    held = with_shingles(held, F.col("text")).select("doc_id", "_s").where(F.size("_s") > 0)
-    all_ = F.concat(*[windows_of(2 * scale, scale, scale) for scale in SCALES], windows_of(PIECE, APART, PIECE + 1))
-    signed = with_keys(held.select("doc_id", F.explode(all_).alias("w")))
+    windows = hit_windows(hits_of(docs, table))
+    signed = with_keys(windows.select("doc_id", "n", F.struct("scale", "window").alias("w")))
     met = signed.join(F.broadcast(template_keys(table)), ["scale", "key"])  # LEAST or BANDS rows for each window of a template
-    met = met.select("doc_id", "scale", "window", "name").join(F.broadcast(table.select("name", "shingles")), "name")  # a row a template
+    met = met.select("doc_id", "scale", "n", "window", "name").join(F.broadcast(table.select("name", "shingles")), "name")  # a row a template
     both = F.size(F.array_intersect("shingles", "window"))
     text = F.col("scale") == PIECE + 1
-    met = met.withColumn("share", both / F.when(text, F.least(F.size("window"), F.size("shingles"))).otherwise(F.size("shingles")))
-    enough = F.when(text, (F.col("share") * 100 >= TEXT_CONTAINED) & (F.size("window") >= FEWEST)).otherwise(F.col("share") * 100 >= CONTAINED)
+    met = met.withColumn("share", both / F.when(text, F.least(F.col("n"), F.size("shingles").cast("long"))).otherwise(F.size("shingles").cast("long")))
+    enough = F.when(text, F.col("share") * 100 >= TEXT_CONTAINED).otherwise(F.col("share") * 100 >= CONTAINED)
     return met.where(enough).groupBy("doc_id", F.col("name").alias("license")).agg(F.max("share").alias("contained"))
 
 

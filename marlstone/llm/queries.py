@@ -115,8 +115,8 @@ _SCALE = "CASE " + " ".join(f"WHEN n <= {x} THEN {x}" for x in license_scan.SCAL
 OP4 = f"""WITH t AS MATERIALIZED (SELECT name, n, t, {_SCALE} AS scale FROM (SELECT name, len(w) AS n, list_distinct({_ROLL}) AS t FROM (SELECT name, {_CUT.format('text')} AS w FROM (VALUES {_TEMPLATES}) v(name, text)))),
 d AS (SELECT doc_id, {_ROLL} AS s FROM (SELECT doc_id, {_CUT.format('text')} AS w FROM documents)),
 c AS (SELECT doc_id, name, s, t, scale, coalesce(2 * scale, {license_scan.PIECE}) - {license_scan.SHINGLE - 1} AS long, coalesce(scale, {license_scan.APART}) AS step FROM d JOIN t ON list_has_any(s, t)),
-x AS (SELECT doc_id, name, scale, t, unnest(list_transform(range(0, len(s), step), lambda i: list_distinct(s[i + 1:i + long]))) AS x FROM c),
-m AS (SELECT DISTINCT doc_id, name FROM x WHERE CASE WHEN scale IS NULL THEN len(x) >= {license_scan.FEWEST} AND len(list_intersect(x, t)) * 100 >= {license_scan.TEXT_CONTAINED} * least(len(x), len(t)) ELSE len(list_intersect(x, t)) * 100 >= {license_scan.CONTAINED} * len(t) END)
+x AS (SELECT doc_id, name, scale, t, unnest(list_transform(range(0, len(s), step), lambda i: list_distinct(s[i + 1:i + long]))) AS x, unnest(list_transform(range(0, len(s), step), lambda i: least(long, len(s) - i))) AS n FROM c),
+m AS (SELECT DISTINCT doc_id, name FROM x WHERE CASE WHEN scale IS NULL THEN n >= {license_scan.FEWEST} AND len(list_intersect(x, t)) * 100 >= {license_scan.TEXT_CONTAINED} * least(n, len(t)) ELSE len(list_intersect(x, t)) * 100 >= {license_scan.CONTAINED} * len(t) END)
 SELECT doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id"""
 
 

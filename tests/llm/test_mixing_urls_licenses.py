@@ -185,12 +185,12 @@ def brute_licenses(text, templates=license_scan.TEMPLATES):
     s, out = cut(text)[0], []
     for name, template in sorted(templates.items()):
         t, n = cut(template)
-        t, scale = set(t), next((x for x in (8, 16, 32) if n <= x), None)
+        t, scale = set(t), next((x for x in (8, 16, 32, 64) if n <= x), None)
         if scale:
             hit = any(len(t & set(s[a : a + 2 * scale - 4])) * 100 >= 80 * len(t) for a in range(0, len(s), scale))
         else:
-            windows = (set(s[a : a + 60]) for a in range(0, len(s), 48))
-            hit = any(len(w) >= 24 and len(t & w) * 100 >= 60 * min(len(w), len(t)) for w in windows)
+            windows = (s[a : a + 28] for a in range(0, len(s), 8))
+            hit = any(len(w) >= 24 and len(t & set(w)) * 100 >= 60 * min(len(w), len(t)) for w in windows)
         if hit:
             out.append(name)
     return ",".join(out)
@@ -224,8 +224,8 @@ def test_recall_of_license_excerpts(spark):
     for i in range(400):
         name, text = rng.choice(sorted(texts.items()))
         w = text.split()
-        a = rng.randrange(max(1, len(w) - 120))
-        part = w[a : a + rng.randint(115, 220)]
+        a = rng.randrange(max(1, len(w) - 110))
+        part = w[a : a + rng.randint(105, 220)]
         for k in range(len(part)):
             if i % 2 and rng.random() < 0.04:
                 part[k] = rng.choice(["changed", "words", ""])
@@ -238,6 +238,20 @@ def test_recall_of_license_excerpts(spark):
     assert all(got[i] == [""] for i in range(400, 450))
 
 
+@pytest.mark.parametrize(("words", "least"), [(30, 0.95), (45, 0.95), (60, 0.98)])
+def test_recall_of_short_excerpts(spark, words, least):
+    texts = {k: v for k, v in license_scan.license_texts().items()}
+    rng, rows, of = random.Random(words), [], {}
+    prose = lambda n: " ".join(rng.choice(["the", "software", "of", "use", "license", "copy", "under", "a", "work", "terms", "and"]) for _ in range(n))
+    for i in range(200):
+        of[i], text = rng.choice(sorted(texts.items()))
+        w = [x for x in re.split("[^A-Za-z0-9]+", text) if x]
+        a = rng.randrange(len(w) - words)
+        rows.append((i, f"{prose(rng.randint(0, 200))} {' '.join(w[a : a + words])} {prose(rng.randint(0, 200))}"))
+    got = {r["doc_id"]: r["licenses"].split(",") for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), texts).collect()}
+    assert sum(of[i] in got[i] for i in of) >= least * len(of)
+
+
 def test_license_in_a_very_long_text(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "CUT", 5000)
     text = license_scan.TEMPLATES["isc-text"]
