@@ -219,21 +219,21 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> tupl
     return held.select(*df.columns, *[(F.coalesce(F.sum(f"own_{k}").over(inside), F.lit(0)) + F.col(f"to_{k}")).alias(k) for k in sums]), total
 
 
-FILTER_BITS = 24
+LEAST_BITS, MOST_BITS = 24, 28
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
-    """Bits by the end of key, of fixed size: the fuller, the more rows it lets through, so what it lets through is checked exactly."""
-    slot = F.pmod("key", F.lit(1 << FILTER_BITS))
-    rows = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("bits")).collect()  # 1 << FILTER_BITS - 6 rows at most
-    flags = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in rows:
-        flags[r["w"]] = r["bits"]
+    """Bits by the end of key, eight a key or more, within bounds (32 MB at most): the fuller, the more rows it lets through, so what it lets through is checked exactly."""
+    bits = min(max((8 * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    slot = F.pmod("key", F.lit(1 << bits))
+    rows = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("bits")).toArrow()  # 1 << MOST_BITS - 6 rows at most
+    flags = np.zeros(1 << (bits - 6), np.int64)
+    flags[rows.column("w").to_numpy()] = rows.column("bits").to_numpy()
     return flags
 
 
 def set_bits(key: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    at = key & ((1 << FILTER_BITS) - 1)
+    at = key & (64 * len(flags) - 1)
     return (flags[at >> 6] >> (at & 63)) & 1 == 1
 
 

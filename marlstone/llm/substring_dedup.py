@@ -24,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COEFFICIENTS, all_words, free_names, joined_words, map_batches, mix64, row_slices, temporary, text_buffer, tidy, word_slices, written
+from .common import COEFFICIENTS, all_words, bit_filter, free_names, joined_words, map_batches, mix64, row_slices, set_bits, temporary, text_buffer, tidy, word_slices, written
 
 WORDS, SHINGLE = 35, 8
 MOST_KINDS = 256  # different pieces of an anchor; beyond them it is split
 SPLITS = (7, 1)  # windows of a piece that share a core, at the first split and at the second
 SHARD_WORDS = 50_000  # of a shard's pieces, on average; an anchor's pieces stay together
-LEAST_BITS, MOST_BITS = 20, 28  # of the filter of anchors: 32 MB at most; where more anchors repeat, it lets more pieces through, which are then grouped exactly
 
 
 def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -83,21 +82,6 @@ def repeated_anchors(docs: DataFrame, words: int) -> DataFrame:
     return written(map_batches(docs.select("text"), find, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
 
 
-def anchor_filter(anchors: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits by the end of the anchor, some eight an anchor, and how many there are as a power of two; sized by the count, within bounds."""
-    bits = min(max(int(8 * anchors.count()).bit_length(), LEAST_BITS), MOST_BITS)
-    slot = F.pmod("anchor", F.lit(1 << bits))
-    rows = anchors.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("bits")).toArrow()  # 1 << MOST_BITS - 6 rows at most
-    flags = np.zeros(1 << (bits - 6), np.int64)
-    flags[rows.column("w").to_numpy()] = rows.column("bits").to_numpy()
-    return flags, bits
-
-
-def may_be(x: np.ndarray, flags: np.ndarray, bits: int) -> np.ndarray:
-    at = x & ((1 << bits) - 1)
-    return (flags[at >> 6] >> (at & 63)) & 1 == 1
-
-
 PIECE = "doc_id long, text_key long, first long, windows long, lead long, anchor long, content string"
 
 
@@ -107,13 +91,12 @@ def with_hashes(pieces: DataFrame) -> DataFrame:
 
 def candidate_pieces(docs: DataFrame, words: int) -> DataFrame:
     """The pieces whose anchor may repeat: doc_id, text_key, first window, windows, words before the anchor, anchor, words joined by one space, and two hashes of these."""
-    flags, bits = anchor_filter(repeated_anchors(docs, words))
-    shared = docs.sparkSession.sparkContext.broadcast((flags, bits))  # bounded by MOST_BITS
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated_anchors(docs, words).select(F.col("anchor").alias("key"))))
 
     def find(batch):
         ids, keys, (buf, offsets) = batch.column(0), batch.column(1), text_buffer(batch.column(2))
         for row, first, windows, lead, start, end, anchor in pieces_of(buf, offsets, words):
-            hit = np.flatnonzero(may_be(anchor, *shared.value))
+            hit = np.flatnonzero(set_bits(anchor, shared.value))
             at = pa.array(row[hit])
             content = [b" ".join(buf[a:z].tobytes().split()).decode(errors="replace") for a, z in zip(start[hit].tolist(), end[hit].tolist(), strict=True)]
             yield {"doc_id": ids.take(at), "text_key": keys.take(at), "first": pa.array(first[hit]), "windows": pa.array(windows[hit]), "lead": pa.array(lead[hit]), "anchor": pa.array(anchor[hit]), "content": pa.array(content, pa.string())}
@@ -225,11 +208,11 @@ def shard_repeats(kinds: list[tuple], words: int) -> Iterator[tuple]:
 
 def among(pieces: DataFrame, anchors: DataFrame) -> DataFrame:
     """Pieces whose anchor is one of anchors (anchor), and maybe some others."""
-    shared = pieces.sparkSession.sparkContext.broadcast(anchor_filter(anchors))  # bounded by MOST_BITS
+    shared = pieces.sparkSession.sparkContext.broadcast(bit_filter(anchors.select(F.col("anchor").alias("key"))))
 
     @F.arrow_udf("boolean")
     def met(anchor: pa.Array) -> pa.Array:
-        return pa.array(may_be(anchor.to_numpy(zero_copy_only=False), *shared.value))
+        return pa.array(set_bits(anchor.to_numpy(zero_copy_only=False), shared.value))
 
     return pieces.where(met("anchor"))
 
@@ -336,12 +319,12 @@ def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
         raise ValueError("windows have two words or more")
     spans = repeated_spans(docs, words)
     docs = docs.drop("n_words", "removed", "kept_text")
-    shared = docs.sparkSession.sparkContext.broadcast(anchor_filter(spans.select(F.xxhash64("doc_id", "text_key").alias("anchor"))))  # bounded by MOST_BITS
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(spans.select(F.xxhash64("doc_id", "text_key").alias("key"))))
     own_id, own_key, own_spans, made = free_names(docs, "own_id", "own_key", "own_spans", "made")
 
     @F.arrow_udf("boolean")
     def met(key: pa.Array) -> pa.Array:
-        return pa.array(may_be(key.to_numpy(zero_copy_only=False), *shared.value))
+        return pa.array(set_bits(key.to_numpy(zero_copy_only=False), shared.value))
 
     @F.arrow_udf("struct<n_words:long,removed:array<struct<a:long,z:long>>,kept_text:string>")
     def kept(text: pa.Array, spans: pa.Array) -> pa.Array:

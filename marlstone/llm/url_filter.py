@@ -21,6 +21,7 @@ MASS = 1_000_000
 RATIO_PERCENT = 100
 STEP = 4
 SETTLED, TIE = 1e-10, 1e-8
+MOST_ROUNDS = 4600  # after these, what is left to come of any seed, shrunk by the damping each round, is less than the least double
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,8 +69,8 @@ def host_scores(pages: DataFrame, rules) -> DataFrame:
         both = links.select(F.lit(0).alias("kind"), "a", "b", "w").union(links.select(F.lit(1).alias("kind"), F.col("b").alias("a"), F.col("a").alias("b"), "w"))
         out = both.groupBy("kind", "a").agg(F.sum("w").alias("total"))
         both = written(both.join(out, ["kind", "a"]).select("kind", "a", "b", F.expr(f"double(w) * {DAMPING_PERCENT} / (double(total) * 100)").alias("share")))
-        changing, last = True, None
-        while changing:  # what is left to come shrinks by the damping each round
+        last = None
+        for _ in range(MOST_ROUNDS // STEP):
             start = scores.select("kind", "host", nothing.alias("mass"), F.col("mass").alias("before"))
             for turn in range(STEP):
                 held = scores.select("kind", F.col("host").alias("a"), "mass")
@@ -82,7 +83,8 @@ def host_scores(pages: DataFrame, rules) -> DataFrame:
             last = scores.table_path
             if old:
                 delete(pages.sparkSession, old)
-            changing = not scores.where(F.col("mass") - F.col("before") > F.col("mass") * SETTLED).isEmpty()
+            if scores.where(F.col("mass") - F.col("before") > F.col("mass") * SETTLED).isEmpty():
+                break
     both = scores.select("kind", "host", "mass", nothing.alias("own"), F.lit(0).cast("long").alias("shown")).union(seeds.select("kind", "host", nothing.alias("mass"), "own", "shown"))
     of = lambda k, c: F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0))
     both = both.groupBy("host").agg(*[of(k, c).alias(f"{c}_{k}") for k in (0, 1) for c in ("mass", "own", "shown")])

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import license_scan, mixing, url_filter
 
@@ -51,6 +52,13 @@ def test_mix_meets_targets(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mixed(docs(spark, rows[::-1])).collect()))
 
 
+def test_each_source_takes_its_target_within_its_longest_document(spark):
+    """With the registered seed."""
+    for sf in ("sf0.001", "sf0.01"):
+        rows = mixing.mixed(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("longest")).collect()
+        assert len(rows) > 15 and all(abs(r["taken"] - r["target"]) <= r["longest"] for r in rows)
+
+
 def test_mix_edge_cases(spark):
     df = docs(spark, [(1, None, None), (2, "", "a"), (None, words(5), "b"), (3, words(100_000), "b"), (3, words(100_000), "b")])
     got = mixing.mixed(df).collect()
