@@ -75,14 +75,14 @@ def _write(df: DataFrame, path: str, by: list[str]) -> int:
 
 
 def take(batch: DataFrame, number: int, out: str, settings: dict) -> dict:
-    """Writes the chunks and postings of a batch; what it read and wrote."""
-    spark, mark = batch.sparkSession, F.lit(number).cast("long")
+    """Writes the postings and chunks of a batch, chunks last: a batch counts when its chunks are there. What it read and wrote."""
+    mark = F.lit(number).cast("long")
     n = batch.agg(F.count("*").alias("rows"), F.count("doc_id").alias("ids")).first()
-    made = chunks_of(one_of_each(batch), settings["suffix"]).withColumn("batch", mark)
-    done = {"batch": number, "documents": n["rows"], "without_id": n["rows"] - n["ids"], "chunks": _write(made, f"{out}/chunks", ["batch"])}
-    own = spark.read.schema(CHUNKS).parquet(f"{out}/chunks").where(F.col("batch") == number)
-    terms = postings.postings(own.select("chunk_id", "doc_id", F.col("name"), "content"), "chunk_id", "doc_id").withColumn("slot", slot(F.col("term"))).withColumn("batch", mark)
+    made = chunks_of(one_of_each(batch), settings["suffix"])
+    terms = postings.postings(made.select("chunk_id", "doc_id", "name", "content"), "chunk_id", "doc_id").withColumn("slot", slot(F.col("term"))).withColumn("batch", mark)
+    done = {"batch": number, "documents": n["rows"], "without_id": n["rows"] - n["ids"]}
     done["postings"] = _write(terms.hint("rebalance", "slot"), f"{out}/postings", ["slot", "batch"])
+    done["chunks"] = _write(made.withColumn("batch", mark), f"{out}/chunks", ["batch"])
     log.info("batch %(batch)d: read %(documents)d documents (%(without_id)d without an id), wrote %(chunks)d chunks and %(postings)d postings", done)
     return done
 

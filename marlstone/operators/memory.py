@@ -48,11 +48,11 @@ def best_similarity(memories: DataFrame, chunks: DataFrame, limit: int = CHUNK_L
     @F.arrow_udf("double")
     def best(vectors: pa.Array) -> pa.Array:
         out = np.zeros(len(vectors))
-        lengths = np.array([len(v) for v in vectors])
+        lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
         for n, few in shared.value.items():
             at = np.flatnonzero(lengths == n)
             if len(at):
-                own = np.array([vectors[int(i)].as_py() for i in at], float)
+                own = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
                 norms = np.linalg.norm(own, axis=1)
                 out[at] = np.maximum(0, (own @ few).max(axis=1) / np.where(norms == 0, 1, norms))
         return pa.array(out)

@@ -82,6 +82,39 @@ def test_text_index_over_growing_input(spark, tmp_path):
     assert found[0]["content"]
 
 
+@pytest.mark.parametrize("at", ["postings", "chunks"])
+def test_text_index_after_a_failure(spark, tmp_path, monkeypatch, at):
+    """A run that dies before or between the two outputs of a batch changes nothing, and is taken up by the next one."""
+    docs, out, write = tmp_path / "documents", str(tmp_path / "out"), text_index._write
+    first = {i: f"alpha beta_{i}" for i in range(8)}
+    arrive(spark, docs, [(i, t, "s", "x") for i, t in first.items()])
+    text_index.run(spark, str(docs), out, SETTINGS)
+    arrive(spark, docs, [(3, "changed words", "s", "x"), (9, "new", "s", "x")])
+
+    def dies(df, path, by):
+        if path.endswith(at):
+            raise RuntimeError("the cluster is gone")
+        return write(df, path, by)
+
+    monkeypatch.setattr(text_index, "_write", dies)
+    with pytest.raises(Exception, match="the cluster is gone"):
+        text_index.run(spark, str(docs), out, SETTINGS)
+    assert held(spark, out) == expected(first)
+    monkeypatch.setattr(text_index, "_write", write)
+    done = text_index.run(spark, str(docs), out, SETTINGS)
+    assert [(d["batch"], d["documents"]) for d in done] == [(1, 2)]
+    assert held(spark, out) == expected(first | {3: "changed words", 9: "new"})
+    assert text_index.run(spark, str(docs), out, SETTINGS) == []
+
+
+def test_packs_of_no_texts(spark, tmp_path, small):
+    for t in ("documents", "events", "conversations"):
+        spark.read.parquet(f"{small}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}")
+    done = context_packs.run(spark, *(f"{tmp_path}/{t}" for t in ("documents", "events", "conversations")), str(tmp_path / "out"), queries.settings(context_packs))
+    packs, reports = context_packs.output(spark, str(tmp_path / "out"))
+    assert done["documents"] == 0 and packs.count() == 0 and "(none found for this topic)" in reports.where("task = 'brief'").first()["text"]
+
+
 def test_empty_input(spark, tmp_path):
     docs, out = tmp_path / "documents", str(tmp_path / "out")
     arrive(spark, docs, [])
