@@ -35,9 +35,11 @@ def pruned(rows: DataFrame, files: DataFrame, key: str = "file_path") -> DataFra
     return rows.join(files.select(F.col("path").alias(key)).distinct(), key, "left_semi").select(rows.columns)
 
 
-def stats(chunks: DataFrame, memories: DataFrame, meta: DataFrame, edges: DataFrame, checkpoints: DataFrame, log: DataFrame) -> DataFrame:
-    """name, n: one row for each count."""
-    one = lambda name, df, cond=None: df.agg(F.lit(name).alias("name"), (F.count_if(cond) if cond is not None else F.count("*")).alias("n"))
+def stats(chunks: DataFrame, memories: DataFrame, meta: DataFrame, edges: DataFrame, checkpoints: DataFrame, log: DataFrame, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """name, n: one row for each count. known has rows with n whose sum takes the place of a count."""
+    count = lambda name, df, cond: df.agg(F.lit(name).alias("name"), (F.count_if(cond) if cond is not None else F.count("*")).alias("n"))
+    summed = lambda name: known[name].agg(F.lit(name).alias("name"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+    one = lambda name, df, cond=None: summed(name) if name in (known or {}) else count(name, df, cond)
     parts = [one("chunks", chunks), one("memories", memories), one("stale", memories, F.col("stale")), one("files", meta), one("edges", edges), one("checkpoints", checkpoints), one("expands", log, F.col("action") == "expand")]
     out = parts[0]
     for p in parts[1:]:

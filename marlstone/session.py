@@ -78,7 +78,7 @@ class Project:
 
     def rebuild_graph(self, js_to_ts: bool = False) -> int:
         """Edges between the indexed files; how many files there are."""
-        paths = self.store.read("chunks").select(F.col("file_path").alias("path")).distinct()
+        paths = self.store.keys("chunks").select(F.col("file_path").alias("path"))
         with temporary(self.spark):
             files = materialized(source_files(self.spark, self.root).join(paths, "path", "left_semi"))
             self.store.overwrite("graph_edges", imports.build_edges(files, self.root, path_aliases(self.spark, self.root), js_to_ts))
@@ -197,6 +197,7 @@ class Project:
 
     def status(self) -> dict:
         t = self.store.read
-        rows = indexing.stats(t("chunks"), t("memories"), t("file_meta"), t("graph_edges"), t("checkpoints"), t("query_log")).collect()
+        known = {"chunks": self.store.keys("chunks"), "files": self.store.keys("file_meta")}
+        rows = indexing.stats(t("chunks"), t("memories"), t("file_meta"), t("graph_edges"), t("checkpoints"), t("query_log"), known).collect()
         return {r["name"]: r["n"] for r in rows} | {"current_file": self.context_file()}
 

@@ -134,10 +134,24 @@ def test_layers_give_what_the_last_change_of_each_file_wrote(spark, tmp_path, mo
         want |= {p: (n, t) for p, n in files}
         assert state(s) == (sorted((p, f"{p}::{i}") for p, (n, _) in want.items() for i in range(n)), sorted((p, t) for p, (n, t) in want.items() if n))
         assert len(s.layers("chunks", s.latest("chunks"))) <= most
+        assert {(r["file_path"], r["n"]) for r in s.keys("chunks").collect()} == {(p, n) for p, (n, _) in want.items() if n}
+        assert "/data-" not in "".join(s.keys("chunks").inputFiles())
     before = state(s)
     assert (s.vacuum() > 0) == (most == 3) and state(s) == before
 
 
+def test_keys_of_appended_and_written_rows(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    assert s.keys("chunks").count() == 0
+    s.write("chunks", chunk(spark, ("a", 2), ("b", 1)))
+    assert "/data-" not in "".join(s.keys("chunks").inputFiles())
+    s.append("chunks", chunk(spark, ("b", 2), ("c", 1)))
+    got = lambda: {(r["file_path"], r["n"]) for r in s.keys("chunks").collect()}
+    assert got() == {("a", 2), ("b", 3), ("c", 1)} and s.read("chunks").count() == 6
+    s.replace(change(spark, [("b", 0), ("d", 1)], 1))
+    assert got() == {("a", 2), ("c", 1), ("d", 1)} and s.read("chunks").count() == 4
+
+
 def tree(root, names):
     for i, n in enumerate(names):
         p = root / n
