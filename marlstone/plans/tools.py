@@ -396,6 +396,20 @@ def vector_topk_groups(spark, d):
     return found.select("vec_id", r6("score").alias("score"))
 
 
+@query(f"SELECT doc_id || '::module' AS id, source AS file, bm25 FROM (SELECT id::BIGINT AS doc_id, bm25 FROM ({oracle_sql()['bm25_scores']})) JOIN documents USING (doc_id) ORDER BY bm25 DESC, doc_id || '::module' LIMIT 10")
+def index_ranked(spark, d):
+    """The best chunks of an index that keeps postings; every ninth document had other words before and was replaced."""
+    root = f"{shared_folder(spark)}/ranked-{uuid.uuid4().hex}"
+    p = Project(spark, "/nowhere", f"{root}/store", clock=lambda: 5, ranked=True)
+    docs = table(spark, d, "documents")
+    ninth = F.col("doc_id") % 9 == 0
+    for rows, text in ((docs, F.when(ninth, F.repeat(F.lit(f"{QUERY} "), F.lit(20))).otherwise(F.col("text"))), (docs.where(ninth), F.col("text"))):
+        p.store.read("file_meta")
+        p._replace(rows.select(F.col("doc_id").cast("string").alias("path"), F.lit(1).cast("long").alias("mtime"), text.alias("content")), None)
+    source = docs.select(F.col("doc_id").cast("string").alias("file_path"), F.col("source").alias("file"))
+    return p.rank(QUERY, 10).join(source, "file_path").select("id", "file", r6("bm25").alias("bm25"))
+
+
 class _Dies(Store):
     """A writer that is gone before its change counts."""
 

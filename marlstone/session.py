@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import embed_text, mentioned_path
 from .functions.vectors import EmbeddingBackend, LocalBackend, VectorBackend
-from .operators import feedback, graph, imports, indexing, memory, packing, scoring
+from .operators import feedback, graph, imports, indexing, memory, packing, postings, scoring
 from .plans.materialize import counted, materialized, temporary
 from .schemas import CONTEXT_STATE
 from .sources.embedding_service import Service, new_vectors, with_vectors
@@ -23,9 +23,9 @@ MOST_LINES = 10_000
 class Project:
     """The index of a source tree. Indexing and rebuilding the graph are separate steps; without edges no file has dependents."""
 
-    def __init__(self, spark: SparkSession, root: str, store: str | None = None, clock=lambda: int(time.time()), service: Service | None = None):
-        """service embeds chunks, notes and queries; without one embeddings are local."""
-        self.spark, self.root, self.clock, self.service = spark, root.rstrip("/"), clock, service
+    def __init__(self, spark: SparkSession, root: str, store: str | None = None, clock=lambda: int(time.time()), service: Service | None = None, ranked: bool = False):
+        """service embeds chunks, notes and queries; without one embeddings are local. ranked: indexing keeps postings too, for rank."""
+        self.spark, self.root, self.clock, self.service, self.ranked = spark, root.rstrip("/"), clock, service, ranked
         self.store = Store(spark, store or f"{self.root}/.marlstone")
 
     # indexing
@@ -49,6 +49,8 @@ class Project:
 
         Nothing is written if there are no such files. The store must not have changed since its file_meta was read.
         """
+        for name in ("postings", "lengths") if self.ranked else ():
+            self.store.read(name)
         with temporary(self.spark):
             changed, n = counted(changed)
             keys = changed.select("path")
@@ -58,7 +60,11 @@ class Project:
             if not n:
                 return 0
             rows, made = counted(self._embedded(indexing.chunk_rows(changed, self.clock(), self.store.next_seq("chunks"))))
-            self.store.replace({"chunks": (rows, keys.select(F.col("path").alias("file_path"))), "file_meta": (indexing.file_rows(changed, git_times), keys)})
+            files = keys.select(F.col("path").alias("file_path"))
+            parts = {"chunks": (rows, files), "file_meta": (indexing.file_rows(changed, git_times), keys)}
+            if self.ranked:
+                parts |= {"postings": (postings.postings(rows, "file_path", "id"), files), "lengths": (postings.with_lengths(rows), files)}
+            self.store.replace(parts)
             return made
 
     def _embedded(self, chunks: DataFrame) -> DataFrame:
@@ -100,6 +106,13 @@ class Project:
         backend = self._backend(query) if self.service else LocalBackend(query, sign="sign")
         return scoring.search_context(chunks if self.service else chunks.drop("embedding"), query, self.clock(), top_k, meta=self.store.read("file_meta"), log=self.store.read("query_log"), edges=self.store.read("graph_edges"), context_file=self.context_file(), backend=backend)
 
+    def rank(self, query: str, top_k: int = 10) -> DataFrame:
+        """The top_k of all chunks by BM25, ties by id; reads postings of the query's terms, lengths, and the chunks that it gives. Of a ranked project."""
+        found = postings.bm25_scores(self.store.read("postings"), self.store.read("lengths"), query).orderBy(F.desc("bm25"), "id").limit(top_k).collect()  # top_k rows
+        chunks = self.store.read("chunks").where(F.col("id").isin([r["id"] for r in found]))
+        scores = self.spark.createDataFrame(found, "id string, bm25 double")
+        return chunks.join(F.broadcast(scores), "id").select("id", "file_path", "kind", "name", "start_line", "end_line", "content", "bm25")
+
     def search_context(self, query: str, top_k: int = 10, density: str = "balanced", exclude: list[str] | None = None, token_budget: int | None = None) -> str:
         """The rendered context. A path that the query mentions becomes the context file if there is none."""
         named = self.spark.range(1).select(mentioned_path(F.lit(query)).alias("x")).first()["x"]

@@ -5,8 +5,9 @@ import random
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
-from marlstone.operators import graph
+from marlstone.operators import graph, rerank
 from marlstone.plans.materialize import shared_folder
 from marlstone.session import Project
 from marlstone.sources import git, store
@@ -178,6 +179,29 @@ def test_an_index_writes_what_has_changed(spark, tmp_path):
     assert p.index_file(str(root / "src/m9.ts")) == 1 and p.status()["chunks"] == 700
 
 
+def test_ranking_of_an_index_that_changes(spark, tmp_path):
+    root = tmp_path / "p"
+    root.mkdir()
+    for i in range(6):
+        (root / f"{i}.md").write_text(f"# Part {i}\n" + "alpha beta " * i + "gamma\n")
+        os.utime(root / f"{i}.md", (1000, 1000))
+    p = Project(spark, str(root), str(tmp_path / "store"), clock=lambda: 5, ranked=True)
+    p.index()
+
+    def agrees():
+        all_ = rerank.bm25_scores(p.store.read("chunks"), "alpha gamma alpha").orderBy(F.desc("bm25"), "id").limit(3).collect()
+        got = p.rank("alpha gamma alpha", 3).orderBy(F.desc("bm25"), "id").collect()
+        assert [(r["id"], round(r["bm25"], 9)) for r in got] == [(r["id"], round(r["bm25"], 9)) for r in all_]
+        return [r["name"] for r in got]
+
+    first = agrees()
+    (root / "0.md").write_text("# Part 0\n" + "alpha gamma " * 4)
+    os.remove(root / "5.md")
+    assert p.index(prune_deleted=True) == {"files": 5, "chunks": 1}
+    assert "Part 0" in agrees() and "Part 0" not in first and p.store.read("lengths").count() == 5
+    assert p.rank("nowhere", 2).count() == 2  # all score 0: the first by id
+
+
 def test_tools_leave_no_tables(spark, tmp_path):
     root = tmp_path / "p"
     tree(root, ["src/a.ts", "src/b.ts"])
