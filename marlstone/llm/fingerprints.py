@@ -172,7 +172,11 @@ def digest_texts(texts: list[str]) -> list:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (text) with a column fingerprint; a null text is empty and has an empty fingerprint."""
+    """docs (text) with a column fingerprint, which replaces one of that name; other columns stay.
+
+    A null or empty text has an empty fingerprint. Equal texts, repeated rows too, have equal ones: what is rare, and which of equally rare windows is
+    taken, follows from the text alone. A very long text is read piece by piece; an empty table gives an empty result.
+    """
 
     @F.arrow_udf("string")
     def fingerprint(text: pa.Array) -> pa.Array:

@@ -264,7 +264,7 @@ def with_runs(docs: DataFrame, fewest: int = FEWEST, exponent: int = EXPONENT, r
     Words are [^\\x20\\x09-\\x0D]+ and equal if their bytes are (by a hash of 64 bits). collapsed_text has the words that no run contains after its first period, joined by
     one space. A null or empty text, or one without words, has no runs and an empty collapsed text. Rows stand for themselves, repeated ones and
     those with a null doc_id too; extra columns are ignored, whatever their names; an empty table gives an empty result. A text of any length is
-    taken whole by one task, which holds some 150 bytes a word of it. rotate first makes texts periodic by a rule on doc_id (see rotated; a
+    taken whole by one task, which holds some 300 bytes a word of it. rotate first makes texts periodic by a rule on doc_id (see rotated; a
     null doc_id leaves the text as it is).
     """
 

@@ -380,7 +380,11 @@ def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
 
 
 def decoded(tokens: DataFrame, model_file: str | None = None) -> DataFrame:
-    """tokens (ids) with a column text; null ids give a null text."""
+    """tokens (ids) with a column text, which replaces one of that name; other columns stay.
+
+    Null ids give a null text, no ids an empty one. Each row is decoded for itself, repeated ones alike, ids of any number as a whole; an empty table
+    gives an empty result.
+    """
     shared = tokens.sparkSession.sparkContext.broadcast(Pieces(model_file or default_model()))
 
     @F.arrow_udf("string")
