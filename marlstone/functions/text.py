@@ -10,7 +10,7 @@ PATH_PATTERN = r"(?:^|\s)([\w./\-@]+\.(?:ts|tsx|js|jsx|py|md|go|rs))"
 
 
 def _tokens(text: Column, kept: str) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^{kept}]", " "), " +"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[{kept}]+"), F.lit(0))
 
 
 def embed_tokens(text: Column) -> Column:

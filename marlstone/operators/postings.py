@@ -20,9 +20,15 @@ def with_lengths(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, *keys: str) -> DataFrame:
-    """keys, term, frequency of chunks (keys, name, content); counted before they are shuffled, as a chunk's terms stand together."""
-    each = chunks.select(*keys, F.explode(F.concat(bm25_tokens(F.col("name")), bm25_tokens(F.col("content")))).alias("term"))
-    return each.groupBy(*keys, "term").agg(F.count("*").alias("frequency"))
+    """keys, term, frequency of chunks (keys, name, content), whose keys differ; no shuffle, as all terms of a chunk stand in its row.
+
+    Terms are sorted, and counted as runs. They and the places where runs start are generated columns, so that lambdas read them and don't compute them again.
+    """
+    cut = chunks.select(*keys, F.explode(F.array(F.sort_array(F.concat(bm25_tokens(F.col("name")), bm25_tokens(F.col("content")))))).alias("terms"))
+    starts = F.filter(F.transform("terms", lambda t, i: F.when((i == 0) | (t != F.get("terms", i - 1)), i)), lambda i: i.isNotNull())
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("terms"))
+    run = lambda i, k: F.struct(F.get("terms", i).alias("term"), (end(k) - i).cast("long").alias("frequency"))
+    return cut.withColumn("starts", F.explode(F.array(starts))).select(*keys, F.inline(F.transform("starts", run)))
 
 
 def bm25_scores(terms: DataFrame, lengths: DataFrame, query: str, key: str = "id") -> DataFrame:
@@ -32,9 +38,10 @@ def bm25_scores(terms: DataFrame, lengths: DataFrame, query: str, key: str = "id
     """
     words = query_terms(lengths.sparkSession, query)
     average = lengths.agg(F.avg("tokens").alias("x")).scalar()
-    hits = terms.where(F.col("term").isin(words)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "frequency"))).alias("hits"))  # a query's terms at most
+    hits = terms.where(F.col("term").isin(words)).groupBy(key).agg(F.collect_list(F.struct("term", "frequency")).alias("hits"))  # a query's terms at most
     ratio = F.try_divide(F.col("length").cast("double"), F.col("average"))
-    weight = lambda t: term_weight(F.coalesce(F.element_at("hits", t), F.lit(0)).cast("double"), ratio)
+    found = lambda t: F.aggregate(F.filter("hits", lambda h: h["term"] == t), F.lit(0).cast("long"), lambda n, h: n + h["frequency"])
+    weight = lambda t: term_weight(found(t).cast("double"), ratio)
     score = F.lit(0.0)
     for w in words:
         score = score + weight(F.lit(w))
