@@ -31,6 +31,8 @@ CONFIG = Path(__file__).with_suffix(".json")
 DOCUMENTS = "doc_id long, text string, source string"
 CHUNKS = "chunk_id string, doc_id long, source string, kind string, name string, start_line int, end_line int, content string, sign int, tokens int, length int, batch long"
 POSTINGS = "chunk_id string, doc_id long, term string, frequency long, slot string, batch long"
+#: Documents that came again, up to which they are sent to all tasks.
+MOST_BROADCAST = 1_000_000
 log = logging.getLogger("marlstone.jobs.text_index")
 
 
@@ -99,10 +101,19 @@ def run(spark: SparkSession, documents: str, out: str, settings: dict) -> list[d
 
 
 def index(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
-    """The chunks and postings that hold now: of each document, those of the last batch that had it."""
+    """The chunks and postings that hold now: of each document, those of the last batch that had it.
+
+    Postings of batches that don't count are left out. Rows are compared only with documents that came again, and shuffled only if these are many.
+    """
     chunks, terms = spark.read.schema(CHUNKS).parquet(f"{out}/chunks"), spark.read.schema(POSTINGS).parquet(f"{out}/postings")
-    newest = chunks.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return chunks.join(newest, ["doc_id", "batch"], "left_semi"), terms.join(newest, ["doc_id", "batch"], "left_semi")
+    terms = terms.join(F.broadcast(chunks.select("batch").distinct()), "batch", "left_semi")
+    again = chunks.groupBy("doc_id").agg(F.min("batch").alias("first"), F.max("batch").alias("last")).where("first < last").select(F.col("doc_id").alias("_doc_id"), F.col("last").alias("_last"))
+    n = again.count()
+    if not n:
+        return chunks, terms
+    again = F.broadcast(again) if n <= MOST_BROADCAST else again
+    old = (F.col("doc_id") == F.col("_doc_id")) & (F.col("batch") < F.col("_last"))
+    return chunks.join(again, old, "left_anti"), terms.join(again, old, "left_anti")
 
 
 def search(spark: SparkSession, out: str, query: str, top_k: int = 10) -> DataFrame:

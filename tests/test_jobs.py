@@ -180,3 +180,26 @@ def test_command_lines(tmp_path, small):
     assert json.loads(said.stdout.splitlines()[-1])[0]["documents"] == 200 and "read 200 documents" in said.stderr
     said = call("jobs.context_packs", *(y for t in ("documents", "events", "conversations") for y in (f"--{t}", f"{small}/{t}.parquet")), "--out", str(tmp_path / "packs"))
     assert json.loads(said.stdout.splitlines()[-1])["reports"] == 3 and "3 reports" in said.stderr
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_what_holds_is_read_without_shuffling_postings(spark, tmp_path, monkeypatch, most):
+    """Also where joins are not broadcast by themselves; only documents that came again are compared, by a shuffle if they are many."""
+    docs, out = tmp_path / "documents", str(tmp_path / "out")
+    now = {i: f"alpha beta_{i} " * 3 for i in range(20)}
+    arrive(spark, docs, [(i, t, "s", "x") for i, t in now.items()])
+    text_index.run(spark, str(docs), out, SETTINGS)
+    monkeypatch.setattr(text_index, "MOST_BROADCAST", most)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins = lambda: [len(re.findall("SortMergeJoin|ShuffledHashJoin", df._jdf.queryExecution().executedPlan().toString())) for df in text_index.index(spark, out)]
+        assert joins() == [0, 0] and held(spark, out) == expected(now)
+        for more in ({3: "changed", 40: "new"}, {3: "changed again", 5: ""}):
+            arrive(spark, docs, [(i, t, "s", "x") for i, t in more.items()])
+            text_index.run(spark, str(docs), out, SETTINGS)
+            now |= more
+        assert (joins() == [0, 0]) == (most > 0) and held(spark, out) == expected(now)
+        assert text_index.index(spark, out)[0].count() == len(now)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
