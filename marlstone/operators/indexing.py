@@ -48,13 +48,18 @@ def stats(chunks: DataFrame, memories: DataFrame, meta: DataFrame, edges: DataFr
 
 
 def chunk_rows(changed: DataFrame, now: int, start: int) -> DataFrame:
-    """The rows of the chunks of changed (path, content): embedded, numbered from start, the last of equal ids."""
+    """The rows of the chunks of changed (path, content): embedded, numbered from start, the last of equal ids.
+
+    Chunks are shuffled once, to be numbered, and a second time only if an id is repeated; embeddings are made after that.
+    """
     from .chunking import chunk_files
 
     text = embed_text(F.col("name"), F.col("kind"), F.col("content"))
-    made = chunk_files(changed.select("path", "content")).orderBy("file_path", "ordinal")
-    made = made.withColumn("seq", F.monotonically_increasing_id() + start).withColumn("embedding", local_embedding(text)).withColumn("sign", local_sign(text)).withColumn("updated_at", F.lit(now).cast("long"))
-    return last_by_key(made.drop("ordinal"), "id")
+    cut = chunk_files(changed.select("path", "content"))
+    made = cut.orderBy("file_path", "ordinal").withColumn("seq", F.monotonically_increasing_id() + start).drop("ordinal")
+    if not cut.groupBy("id").count().where("count > 1").isEmpty():
+        made = last_by_key(made, "id")
+    return made.withColumn("embedding", local_embedding(text)).withColumn("sign", local_sign(text)).withColumn("updated_at", F.lit(now).cast("long"))
 
 
 def file_rows(changed: DataFrame, git_times: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
-from marlstone.operators import postings
+from marlstone.operators import indexing, postings
 
 CHUNKS = [("a", "Foo foo", "foo bar_1 BAR_1, x"), ("b", None, "z" + " z" * 3000), ("c", None, ""), ("d", "", "éİK k\n\tk_"), ("e", None, None), ("f", "only", None)]
 
@@ -39,3 +39,15 @@ def test_repeated_keys_add_up(spark):
     lengths = spark.createDataFrame([("a", 4, 4), ("b", 4, 4)], "id string, tokens int, length int")
     got = {r["id"]: r["bm25"] for r in postings.bm25_scores(terms, lengths, "x y x").collect()}
     assert abs(got["a"] - (2 * 3 * 2.5 / 4.5 + 2.5 / 2.5)) < 1e-9 and got["b"] == 0
+
+
+def test_chunks_are_shuffled_once_unless_ids_are_repeated(spark):
+    files = lambda *rows: spark.createDataFrame(rows, "path string, content string")
+    once = indexing.chunk_rows(files(("b.md", "# Y\nb"), ("a.md", "# X\na\n# Z\nc"), ("c.txt", "d")), 7, 10)
+    rows = sorted(once.collect(), key=lambda r: r["seq"])
+    assert [r["id"] for r in rows] == ["a.md::X", "a.md::Z", "b.md::Y", "c.txt::module"] and rows[0]["seq"] == 10
+    assert all(len(r["embedding"]) == 256 and r["embedding"][0] == r["sign"] / 16 and r["updated_at"] == 7 for r in rows)
+    assert "hashpartitioning" not in plan(once) and "rangepartitioning" in plan(once)
+    twice = indexing.chunk_rows(files(("a.md", "# X\nfirst\n# X\nsecond"), ("a.md::x.md", "# y\nlast"), ("a.md", "# x.md::y\nother")), 7, 10)
+    got = {r["id"]: r["content"] for r in twice.collect()}
+    assert twice.count() == 2 and got == {"a.md::X": "# X\nsecond", "a.md::x.md::y": "# y\nlast"}
